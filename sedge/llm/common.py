@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..shipping import ship
+
 #: Rows in one Arrow batch.  With long texts this bounds what a Python worker
 #: holds at once; Spark's default of 10,000 rows is too much for that.
 BATCH_ROWS = 1000
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep the session's Arrow batches at ``rows`` rows or fewer."""
+    """Keep the session's Arrow batches at ``rows`` rows or fewer, and let its
+    workers import this package."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     held = int(spark.conf.get(key))
     if held <= 0 or held > rows:

@@ -5,21 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, secret_scan, simhash, token_counts
+from . import bpe, html_main, media, mixing, pii, quality, secret_scan, simhash, token_counts, warc
+from .common import stored, text_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its factor, probability and whether it is sampled."""
+    t = text_of()
+    keys = [F.coalesce(k, F.lit("(none)")).alias(k) for k in ("source", "lang")]
+    docs = _table(spark, sf_dir, "documents").select("doc_id", *keys, mixing.topic_of(t).alias("topic"), mixing.words_of(t).alias("n_words"))
+    out = mixing.sampled(stored(docs, "mixing"), "n_words")
+    return out.select(
+        "doc_id", "source", "lang", "topic", "n_words",
+        F.round("__factor", 6).alias("factor"), F.round("__probability", 6).alias("probability"), F.col("__in").alias("sampled"),
+    )
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored_media = media.store_as_audio(_table(spark, sf_dir, "documents"))
+    return media.read_stored(stored_media).drop("duration_us", "frame_offsets")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.deduplicated(_table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality.judged(docs)
@@ -28,6 +50,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -36,9 +62,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality.oracle_sql()}
+    return {"op1_mixing": mixing.oracle_sql(), "op6_quality_rules": quality.oracle_sql()}
