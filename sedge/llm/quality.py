@@ -116,10 +116,12 @@ def measured(docs: DataFrame, text_column: str = "text") -> DataFrame:
     out = out.withColumn("__starts", F.when(m.isNotNull(), starts))
     repeated = F.when(F.col("__starts").isNull(), 0).otherwise(_repeated(F.col("__starts")))
     out = out.withColumn("n_repeat_words", repeated.cast("bigint"))
-    return out.drop("__words", "__lines", "__hashes", "__windows", "__marked", "__starts")
+    # A filter on a measure must not be pushed below here: it would repeat the
+    # measure's whole expression for each use.  None is pushed below a generator.
+    return out.select(*[F.col(f"`{c}`") for c in held], F.stack(F.lit(1), *[F.col(m) for m in MEASURES]).alias(*MEASURES))
 
 
-MEASURES = {"n_words", "word_chars", "n_symbols", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words"}
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 def judged(docs: DataFrame, text_column: str = "text", thresholds=THRESHOLDS) -> DataFrame:
