@@ -91,7 +91,7 @@ def diagnose(chunks: DataFrame, kinds: tuple | None = None) -> DataFrame:
 
 def problem_stats(problems: DataFrame) -> DataFrame:
     """Counts by type and by severity of each document, and in all."""
-    by = F.explode(F.array(F.struct(F.lit("all").alias("facet"), F.lit("all").alias("value")), F.struct(F.lit("type"), "problem_type"), F.struct(F.lit("severity"), "severity")))
+    by = F.explode(F.array(F.struct(F.lit("all").alias("facet"), F.lit("all").alias("value")), *[F.struct(F.lit(k).alias("facet"), F.col(c).alias("value")) for k, c in (("type", "problem_type"), ("severity", "severity"))]))
     rows = problems.select("doc_id", "chunk_id", by.alias("f")).select("doc_id", "chunk_id", "f.*")
     return rows.groupBy("doc_id", "facet", "value").agg(F.count("*").alias("problems"), F.countDistinct("chunk_id").alias("chunks"))
 

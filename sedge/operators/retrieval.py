@@ -80,7 +80,7 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.8, blocks: int = 8) -
     keyed = rows.select("vec_id", "embedding", "b", F.explode(others).alias("o"))
     keyed = keyed.select("vec_id", "embedding", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
 
-    def pairs(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def pairs(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         i, j = key
         a, b = frame[frame.b == i], frame[frame.b == j]
         unit = lambda f: (m := np.array(f.embedding.tolist(), np.float64).reshape(len(f), -1)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), NORM_FLOOR)

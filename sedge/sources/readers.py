@@ -32,7 +32,9 @@ def read_texts(files: DataFrame) -> DataFrame:
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the Parquet files of a table, old files included."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path)
+    # As a pattern, a path may be a folder or one file.
+    folder, _, name = path.rpartition("/")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/{{{name}}}")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, required: list[str]) -> tuple[DataFrame, DataFrame]:

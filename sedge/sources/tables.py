@@ -138,5 +138,5 @@ def signals(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame
     discipline = F.when(F.col("user_id") % 3 > 0, F.concat(F.lit("d"), F.col("user_id") % 3))
     return events.select(
         i.alias("signal_id"), kind.alias("signal_type"), F.col("user_id").alias("conversation_id"), F.concat(F.lit("q"), i % 40).alias("query"),
-        discipline.alias("discipline_id"), F.col("ts"), ((i % 10) / 10).alias("citation_score"),
+        discipline.alias("discipline_id"), F.col("ts").cast("timestamp").alias("ts") if stream else F.col("ts"), ((i % 10) / 10).alias("citation_score"),
     )
