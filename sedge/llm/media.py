@@ -218,6 +218,10 @@ def _bitrate_table(frame: bytes, h: Header) -> dict[str, int]:
     return {}
 
 
+def _sound(frame: bytes, h: Header) -> bool:
+    return crc16(frame[2:4] + frame[6 : 6 + h.side]) == int.from_bytes(frame[4:6], "big")
+
+
 def read_audio(data: bytes) -> tuple[Audio, list[bytes]]:
     """What the stream holds, and the data areas of its layer III frames."""
     audio, parts = Audio(), []
@@ -227,8 +231,9 @@ def read_audio(data: bytes) -> tuple[Audio, list[bytes]]:
         h = header(data[at : at + 4])
         stop = at + h.length if h else 0
         follows = h and stop <= end and (stop == end or (g := header(data[stop : stop + 4])) and g.stream == h.stream)
-        if h and stop <= end and audio.stream == h.stream and not lost:
-            follows = True
+        # Before damage, a frame where one is due may prove itself.
+        if not follows and h and stop <= end and not lost and audio.stream == h.stream and h.protected and h.layer == 3:
+            follows = _sound(data[at:stop], h)
         if not follows:
             if not lost:
                 audio.resyncs += 1
@@ -245,7 +250,7 @@ def read_audio(data: bytes) -> tuple[Audio, list[bytes]]:
                 continue
         if h.protected and h.layer == 3:
             audio.checked += 1
-            audio.broken += crc16(frame[2:4] + frame[6 : 6 + h.side]) != int.from_bytes(frame[4:6], "big")
+            audio.broken += not _sound(frame, h)
         audio.offsets.append(at)
         audio.samples += h.samples
         audio.kbits.add(h.bitrate)
