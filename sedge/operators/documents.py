@@ -45,6 +45,8 @@ def front_matter(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(pair).alias("p")).select("doc_id", "p.key", "p.value")
 
 
+#: Character references that blocks decode, the ampersand's last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 KINDS = {"h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "p": "text", "li": "list_item", "pre": "code", "td": "table"}
 
 
@@ -55,6 +57,8 @@ def html_blocks(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", F.posexplode(found).alias("pos", "raw"))
     tag = F.lower(F.regexp_extract("raw", r"^<([a-zA-Z0-9]+)", 1))
     text = strip(F.regexp_replace(F.regexp_replace("raw", r"<[^>]*>", ""), r"\s+", " "))
+    for entity, sign in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(sign))
     kind = F.create_map(*[F.lit(x) for p in KINDS.items() for x in p])[tag]
     level = F.when(tag.rlike("^h[1-6]$"), F.substring(tag, 2, 1).cast("int"))
     return rows.select("page_id", "pos", kind.alias("type"), text.alias("content"), level.alias("heading_level")).where("content <> ''")

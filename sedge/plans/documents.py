@@ -271,3 +271,37 @@ def register(spark, sf_dir):
     register_strategy("chunker", "sections", section_chunks)
     register_strategy("chunker", "fixed", C.fixed_chunks)
     return strategy("chunker", "sections")(tables.outline_blocks(spark, sf_dir)).select("chunk_id", "token_count")
+
+
+@query("a2_read_text_docs", "SELECT CAST(sum(length(text) + 1) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS warnings FROM documents")
+def read_text_docs(spark, sf_dir):
+    """Documents written as text files, found again and decoded."""
+    path = _written(tables.table(spark, sf_dir, "documents").select("text"), "text")
+    texts = readers.read_texts(readers.scan_files(spark, path))
+    return texts.agg(F.sum(F.length("text")).alias("chars"), F.count("warning").alias("warnings"))
+
+
+@query("a9_project_to_tables", statement("SELECT doc_id, chunk_id AS id, token_count FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, chunk_id, token_count FROM chunks)", "chunks"))
+def project_to_tables(spark, sf_dir):
+    """A project for each document, written as JSON, to its table of chunks."""
+    chunks = tables.chunks(spark, sf_dir)
+    item = F.struct(F.col("chunk_id").alias("id"), F.array().cast("array<string>").alias("block_ids"), "content", "token_count")
+    docs = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("chunks"))
+    doc = F.struct(F.col("doc_id").cast("string").alias("id"), F.lit("corpus").alias("source_path"), "chunks")
+    projects = docs.select(F.concat(F.lit("p"), "doc_id").alias("id"), F.array(doc).alias("documents"))
+    # One project a line; a file of its own takes the same reader's multiLine.
+    whole = spark.read.schema(readers.PROJECT).json(_written(projects, "json"))
+    return readers.project_tables(whole)["chunks"].select("doc_id", "id", "token_count")
+
+
+@query("i8_train_classifier")
+def train_classifier(spark, sf_dir):
+    """Accuracy of forests for both labels on the documents they are trained on."""
+    docs, labels, out = tables.table(spark, sf_dir, "documents"), tables.table(spark, sf_dir, "labels"), None
+    for name in ("quality", "toxic"):
+        rows = D.labelled_features(docs, labels, name)
+        found = D.predicted(D.classifier().fit(rows), rows, 0.0)
+        right = F.count_if(F.col("label").cast("int").cast("string") == F.col("predicted"))
+        part = found.agg(F.count("*").alias("n"), (right / F.count("*")).alias("accuracy")).withColumn("label", F.lit(name))
+        out = part if out is None else out.union(part)
+    return out

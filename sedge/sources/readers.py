@@ -56,7 +56,11 @@ PROJECT = (
 
 def read_project(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables nested in project files."""
-    whole = spark.read.schema(PROJECT).option("multiLine", "true").json(path)
+    return project_tables(spark.read.schema(PROJECT).option("multiLine", "true").json(path))
+
+
+def project_tables(whole: DataFrame) -> dict[str, DataFrame]:
+    """The tables nested in rows of projects."""
     docs = whole.select(F.col("id").alias("project_id"), F.explode("documents").alias("d"))
     suites = whole.select(F.col("id").alias("project_id"), F.explode("test_suites").alias("s"))
     return {
