@@ -28,11 +28,11 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces that a worker remembers; a full memory is emptied, never a wrong one.
 REMEMBERED = 300_000
 #: Prefixes that a worker remembers.
-REMEMBERED_PREFIXES = 1_000_000
+REMEMBERED_PREFIXES = 600_000
 #: Longer pieces do not share the tables of their beginnings.
 LONGEST_SHARED = 40
 #: Token pairs that a worker remembers.
-REMEMBERED_PAIRS = 500_000
+REMEMBERED_PAIRS = 300_000
 #: Longer pieces are not remembered.
 LONGEST_REMEMBERED = 200
 
