@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, words
+from ..functions.text import jaccard, strip, words
 
 # Metadata fields, their patterns and formats.
 FIELDS = (
@@ -182,3 +182,51 @@ def scaffold(chunks: DataFrame) -> DataFrame:
     answer = F.when(F.length("content") <= 500, F.col("content")).when((F.instr(cut, ".") > 0) & (last > 50), F.expr("substring(substring(content, 1, 500), 1, cast(length(substring(content, 1, 500)) - instr(reverse(substring(content, 1, 500)), '.') + 1 as int))")).otherwise(cut)
     confidence = 0.25 * (1 + F.when(F.col("hierarchy_path") != "", 1).otherwise(0) + F.when(t.between(100, 500), 1).otherwise(0) + F.when(F.col("content").contains("."), 1).otherwise(0))
     return chunks.where(t.between(50, 2000)).select("chunk_id", question.alias("question"), answer.alias("answer"), confidence.alias("confidence"))
+
+
+def new_version(examples: DataFrame, versions: DataFrame) -> DataFrame:
+    """The snapshot of each discipline's training examples under its next
+    number, one above the largest of ``versions`` (discipline, version).
+
+    Rows, to be written partitioned by discipline and version; a snapshot is
+    never one value."""
+    last = versions.groupBy("discipline").agg(F.max("version").alias("__last"))
+    rows = examples.where("NOT is_test_set").join(last, "discipline", "left")
+    return rows.withColumn("version", F.coalesce("__last", F.lit(0)) + 1).drop("__last")
+
+
+def version_history(snapshots: DataFrame) -> DataFrame:
+    """Versions of snapshot rows (discipline, version, status) with counts, the
+    newest first, and the latest published one marked."""
+    rows = snapshots.groupBy("discipline", "version", "status").agg(F.count("*").alias("example_count"))
+    newest = Window.partitionBy("discipline").orderBy(F.desc("version"))
+    published = F.max(F.when(F.col("status") == "published", F.col("version"))).over(Window.partitionBy("discipline"))
+    return rows.select("*", F.row_number().over(newest).cast("bigint").alias("place"), F.coalesce(F.col("version") == published, F.lit(False)).alias("is_latest"))
+
+
+def discovery_progress(responses: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Progress of each session.
+
+    ``responses`` has session, discipline and ``answered`` (ids); ``catalog``
+    question, phase and required, by discipline.  A phase is complete when all its
+    required questions are answered; a missing one is two minutes."""
+    needed = catalog.where("required").groupBy("discipline").agg(F.array_sort(F.collect_set(F.struct("question", "phase"))).alias("needed"))
+    rows = responses.join(needed, "discipline", "left").withColumn("needed", F.coalesce("needed", F.expr("cast(array() as array<struct<question:bigint,phase:bigint>>)")))
+    rows = rows.withColumn("open", F.filter("needed", lambda x: ~F.array_contains("answered", x["question"])))
+    phases = lambda c: F.array_distinct(F.transform(c, lambda x: x["phase"]))
+    n, missing = F.size("needed"), F.size("open")
+    return rows.select(
+        "session", (n - missing).cast("bigint").alias("answered_required"), n.cast("bigint").alias("required"),
+        F.round(F.when(n > 0, (n - missing) / n).otherwise(0.0), 6).alias("completion"),
+        F.array_join(F.transform("open", lambda x: x["question"].cast("string")), ",").alias("unanswered_required"),
+        F.array_join(F.array_except(phases("needed"), phases("open")).cast("array<string>"), ",").alias("phases_complete"), (2 * missing).cast("bigint").alias("minutes_remaining"),
+    )
+
+
+def seed_competencies(lists: DataFrame, target: int = 25) -> DataFrame:
+    """One competency for each of a session's ``items``, in order; those that the
+    ``safety`` items name, blanks and case apart, are marked."""
+    rows = lists.select("session", F.transform("safety", lambda x: strip(F.lower(x))).alias("s"), F.posexplode("items").alias("place", "name"))
+    critical = F.coalesce(F.array_contains("s", strip(F.lower("name"))), F.lit(False))
+    description = F.when(critical, F.concat(F.lit("SAFETY CRITICAL: "), "name")).otherwise(F.col("name"))
+    return rows.select("session", F.col("place").cast("bigint").alias("place"), "name", description.alias("description"), F.lit(target).cast("bigint").alias("coverage_target"))

@@ -111,3 +111,30 @@ def explosions(points: DataFrame, times: float = 10.0) -> DataFrame:
     rows = points.withColumns({"r": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy("run_id"))})
     out = rows.groupBy("run_id").agg(F.max("gradient_norm").alias("top"), F.max(F.when(F.col("r") == F.floor(F.col("n") / 2), F.col("gradient_norm"))).alias("median"))
     return out.where(F.col("top") > F.col("median") * times)
+
+
+def history(scores: DataFrame) -> DataFrame:
+    """The reports of each discipline: accuracy of a run over all competencies,
+    and which run is the latest."""
+    reports = scores.groupBy("discipline", "run").agg(F.sum("total").alias("total"), F.sum("correct").alias("correct"))
+    latest = reports.groupBy("discipline").agg(F.max("run").alias("__latest"))
+    accuracy = F.round(F.when(F.col("total") > 0, F.col("correct") / F.col("total")).otherwise(0.0), 6)
+    return reports.join(latest, "discipline").select("discipline", "run", "total", accuracy.alias("accuracy"), (F.col("run") == F.col("__latest")).alias("is_latest"))
+
+
+def active_versions(versions: DataFrame) -> DataFrame:
+    """State of versions (discipline, version, activated), versions being in the
+    order of their creation.
+
+    One version of a discipline is active, the last activated; a rollback puts
+    out the latest and activates the one before, or does nothing where there is
+    none.  Two small aggregates a discipline and no window, as one discipline
+    may hold most versions."""
+    top = versions.groupBy("discipline").agg(F.max("version").alias("__last"), F.max(F.when(F.col("activated"), F.col("version"))).alias("__active"))
+    rows = versions.join(top, "discipline")
+    before = rows.where("version < __last").groupBy("discipline").agg(F.max("version").alias("__before"))
+    rows = rows.join(before, "discipline", "left")
+    v, active = F.col("version"), F.coalesce(F.col("version") == F.col("__active"), F.lit(False))
+    target = F.coalesce(v == F.col("__before"), F.lit(False))
+    rolled = F.when(F.col("__before").isNull(), active).otherwise(target | (active & (v != F.col("__last"))))
+    return rows.select("discipline", "version", active.alias("active"), target.alias("rollback_target"), rolled.alias("active_after_rollback"))

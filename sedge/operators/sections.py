@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import strip, tokens
 
 LEVELS = 6
 #: Punctuation that file names do not take, as section ids are made of titles.
@@ -123,6 +123,44 @@ def outline_page_ends(toc: DataFrame) -> DataFrame:
     return toc.withColumn("page_end", F.greatest(F.col("page"), F.lead("page").over(w) - 1))
 
 
+def title_key(c: Column) -> Column:
+    """A title without case, leading number and repeated blanks."""
+    return F.regexp_replace(F.regexp_replace(strip(F.lower(c)), r"^\d+(\.\d+)*\.?\s*", ""), r"\s+", " ")
+
+
+def blocks_to_outline(toc: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The blocks of each outline entry (doc_id, seq, level, title, page).
+
+    An entry without children has the heading on its page that bears its title,
+    then the page's other blocks; an entry with children has that heading only."""
+    inner = F.coalesce(F.lead("level").over(Window.partitionBy("doc_id").orderBy("seq")) > F.col("level"), F.lit(False))
+    entries = toc.select("doc_id", "seq", "page", title_key(F.col("title")).alias("__key"), inner.alias("__inner"))
+    rows = entries.join(blocks.select("doc_id", "page", "pos", "block_id", "type", "content"), ["doc_id", "page"])
+    entry = Window.partitionBy("doc_id", "seq")
+    bears = (F.col("type") == "heading") & (title_key(F.col("content")) == F.col("__key"))
+    rows = rows.withColumn("is_heading", F.coalesce(F.col("pos") == F.min(F.when(bears, F.col("pos"))).over(entry), F.lit(False)))
+    place = F.row_number().over(entry.orderBy(F.desc("is_heading"), "pos"))
+    return rows.where("is_heading OR NOT __inner").select("doc_id", "seq", place.cast("bigint").alias("place"), "block_id", "is_heading")
+
+
+def repair_orphans(blocks: DataFrame) -> DataFrame:
+    """Blocks with their sections, where headings with neither content nor
+    children are texts of the section above them (0 where none is above).
+
+    The section above is that of the latest heading of a smaller level; the one
+    that takes an orphan has content then, so one pass is enough."""
+    order = _order()
+    rows = assign_sections(blocks)
+    heading, level = F.col("type") == "heading", F.coalesce("heading_level", F.lit(1))
+    after = F.lead(F.struct(heading.alias("h"), level.alias("l"))).over(order)
+    orphan = heading & (after.isNull() | (after["h"] & (after["l"] <= level)))
+    last = [F.coalesce(F.last(F.when(heading & (level == k), F.col("section_no")), True).over(order), F.lit(0)) for k in range(1, LEVELS + 1)]
+    rows = rows.withColumns({"repaired": orphan, **{f"__s{k}": c for k, c in enumerate(last, 1)}})
+    above = [F.when(level > k, F.col(f"__s{k}")).otherwise(F.lit(0)) for k in range(1, LEVELS + 1)]
+    rows = rows.withColumns({"section_no": F.when(F.col("repaired"), F.greatest(*above)).otherwise(F.col("section_no")), "type": F.when(F.col("repaired"), "text").otherwise(F.col("type"))})
+    return rows.drop(*[f"__s{k}" for k in range(1, LEVELS + 1)])
+
+
 def numbering(sections: DataFrame) -> DataFrame:
     """The numbering scheme of a document's headings."""
     t = F.trim("heading")

@@ -90,9 +90,23 @@ def outline_page_ends(spark, sf_dir):
     return S.outline_page_ends(_toc(spark, sf_dir)).select("doc_id", "seq", "level", "page", "page_end")
 
 
-@query("c7_blocks_to_outline", statement(f", {_TOC}\nSELECT t.doc_id, t.seq, o.block_id FROM toc t JOIN outline o ON t.doc_id = o.doc_id AND t.page = o.page", "outline"))
+def _key(c: str) -> str:
+    bare = STRIP.format(f"lower({c})")
+    return f"regexp_replace(regexp_replace({bare}, '^\\d+(\\.\\d+)*\\.?\\s*', ''), '\\s+', ' ', 'g')"
+
+
+@query(
+    "c7_blocks_to_outline",
+    statement(
+        f""", {_TOC}, entries AS (SELECT *, coalesce(lead(level) OVER (PARTITION BY doc_id ORDER BY seq) > level, false) AS inner_entry FROM toc),
+met AS (SELECT t.doc_id, t.seq, t.inner_entry, o.pos, o.block_id, o.type = 'heading' AND {_key('o.content')} = {_key('t.title')} AS bears FROM entries t JOIN outline o ON t.doc_id = o.doc_id AND t.page = o.page),
+marked AS (SELECT *, coalesce(pos = min(pos) FILTER (bears) OVER (PARTITION BY doc_id, seq), false) AS is_heading FROM met)
+SELECT doc_id, seq, row_number() OVER (PARTITION BY doc_id, seq ORDER BY is_heading DESC, pos) AS place, block_id, is_heading FROM marked WHERE is_heading OR NOT inner_entry""",
+        "outline",
+    ),
+)
 def blocks_to_outline(spark, sf_dir):
-    return _toc(spark, sf_dir).join(tables.outline_blocks(spark, sf_dir).select("doc_id", "page", "block_id"), ["doc_id", "page"]).select("doc_id", "seq", "block_id")
+    return S.blocks_to_outline(_toc(spark, sf_dir), tables.outline_blocks(spark, sf_dir))
 
 
 @query(
@@ -126,13 +140,19 @@ def sections(spark, sf_dir):
     return _sections(spark, sf_dir)
 
 
-@query("c11_repair_orphans", statement("SELECT doc_id, section_no, heading AS repaired FROM sections s WHERE section_no > 0 AND n_content = 0 AND NOT EXISTS (SELECT 1 FROM sections t WHERE t.doc_id = s.doc_id AND t.section_no = s.section_no + 1 AND t.level > s.level)", "sections"))
+@query(
+    "c11_repair_orphans",
+    statement(
+        """, r AS (SELECT *, type = 'heading' AND coalesce(lead(type) OVER w = 'heading' AND lead(heading_level) OVER w <= heading_level, lead(type) OVER w IS NULL) AS repaired,
+  last_value(CASE WHEN type = 'heading' AND heading_level = 1 THEN section_no END IGNORE NULLS) OVER w AS s1,
+  last_value(CASE WHEN type = 'heading' AND heading_level = 2 THEN section_no END IGNORE NULLS) OVER w AS s2 FROM sectioned WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, pos, block_id, CASE WHEN repaired THEN 'text' ELSE type END AS type, repaired, CAST(CASE WHEN NOT repaired THEN section_no
+  ELSE greatest(CASE WHEN heading_level > 1 THEN coalesce(s1, 0) ELSE 0 END, CASE WHEN heading_level > 2 THEN coalesce(s2, 0) ELSE 0 END) END AS BIGINT) AS section_no FROM r""",
+        "sectioned",
+    ),
+)
 def repair_orphans(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id").orderBy("section_no")
-    rows = _sections(spark, sf_dir).withColumn("child", F.coalesce(F.lead("level").over(w) > F.col("level"), F.lit(False)))
-    return rows.where("section_no > 0 AND n_content = 0 AND NOT child").select("doc_id", "section_no", F.col("heading").alias("repaired"))
+    return S.repair_orphans(tables.outline_blocks(spark, sf_dir)).select("doc_id", "pos", "block_id", "type", "repaired", "section_no")
 
 
 @query("c12_tree_stats", statement("SELECT doc_id, count(*) AS nodes, count(*) FILTER (n_content > 0) AS with_content, max(depth) AS max_depth, min(tokens) AS min_tokens, max(tokens) AS max_tokens, avg(tokens) AS avg_tokens FROM sections WHERE section_no > 0 GROUP BY doc_id", "sections"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import curriculum as C
 from ..sources import tables
 from .catalog import query
-from .sql import statement
+from .sql import STRIP, statement
 
 _DECOR = "'TM 9-' || (2000 + doc_id % 500) || '-' || (doc_id % 300) || CASE CAST(doc_id % 4 AS INTEGER) WHEN 0 THEN ' NSN 1234-56-789-0123' WHEN 1 THEN ' LIN: T12345 unit level maintenance' WHEN 2 THEN ' Figure 3-4 SMR: PAOZZ' ELSE ' WP 0001 00 Section 2.1' END || ' ' || content"
 _FOUND = ", ".join(f"CASE WHEN regexp_extract(content, '{p}', 0) <> '' THEN {{'field': '{n}', 'value': trim(regexp_extract(content, '{p}', 1)), 'share': length(regexp_extract(content, '{p}', 0)) / length(content)}} END" for n, p in C.FIELDS)
@@ -176,9 +176,24 @@ def apply_changes(spark, sf_dir):
     return C.apply_changes(log).select("id", "value")
 
 
-@query("f21_curriculum_version", statement("SELECT discipline, 1 AS version, count(*) AS examples FROM examples WHERE NOT is_test_set GROUP BY discipline", "examples"))
+@query(
+    "f21_curriculum_version",
+    statement(
+        """, old AS (SELECT discipline, contributor + 1 AS version FROM examples WHERE contributor < 3 GROUP BY ALL), train AS (SELECT * FROM examples WHERE NOT is_test_set),
+snap AS (SELECT t.discipline, o.version, 'published' AS status FROM train t JOIN old o ON t.discipline = o.discipline AND t.contributor < o.version
+  UNION ALL SELECT t.discipline, coalesce(n.last, 0) + 1, 'draft' FROM train t LEFT JOIN (SELECT discipline, max(version) AS last FROM old GROUP BY discipline) n ON t.discipline = n.discipline),
+h AS (SELECT discipline, version, status, count(*) AS example_count FROM snap GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY discipline ORDER BY version DESC) AS place, coalesce(version = max(version) FILTER (status = 'published') OVER (PARTITION BY discipline), false) AS is_latest FROM h""",
+        "examples",
+    ),
+)
 def curriculum_version(spark, sf_dir):
-    return tables.examples(spark, sf_dir).where("NOT is_test_set").groupBy("discipline").agg(F.count("*").alias("examples")).withColumn("version", F.lit(1))
+    """Published versions by contributors so far, and the next one's draft."""
+    rows = tables.examples(spark, sf_dir)
+    old = rows.where("contributor < 3").select("discipline", (F.col("contributor") + 1).alias("version")).distinct()
+    published = rows.where("NOT is_test_set").join(old, "discipline").where("contributor < version").select("discipline", "version", F.lit("published").alias("status"))
+    draft = C.new_version(rows, old).select("discipline", "version", F.lit("draft").alias("status"))
+    return C.version_history(published.union(draft))
 
 
 def _sizes(name: str, keys: tuple, marked: bool, quota: str):
@@ -273,17 +288,67 @@ def validate_drafts(spark, sf_dir):
     return tables.examples(spark, sf_dir).select("example_id", F.explode(F.array_compact(errors)).alias("error"))
 
 
-@query("f34_discovery_progress", "SELECT conv_id, count(*) FILTER (role = 'assistant') AS answered, count(*) FILTER (role = 'user') AS asked, 2 * (count(*) FILTER (role = 'user') - count(*) FILTER (role = 'assistant')) AS minutes FROM conversations GROUP BY conv_id")
+_ASKED = """turns AS (SELECT conv_id AS session, conv_id % 7 % 2 AS discipline, turn, role, text FROM conversations),
+catalog AS (SELECT discipline, turn AS question, turn // 4 AS phase, turn % 4 < 2 AS required FROM turns WHERE role = 'user' GROUP BY ALL)"""
+
+
+@query(
+    "f34_discovery_progress",
+    f"""WITH {_ASKED}, needed AS (SELECT discipline, list(question ORDER BY question) AS qs FROM catalog WHERE required GROUP BY discipline),
+got AS (SELECT session, discipline, coalesce(list(turn - 1) FILTER (role = 'assistant'), []) AS answered FROM turns GROUP BY ALL),
+r AS (SELECT session, coalesce(qs, []) AS qs, list_filter(coalesce(qs, []), lambda q: NOT list_contains(answered, q)) AS missing FROM got LEFT JOIN needed ON got.discipline = needed.discipline)
+SELECT session, CAST(len(qs) - len(missing) AS BIGINT) AS answered_required, CAST(len(qs) AS BIGINT) AS required, CASE WHEN len(qs) > 0 THEN round((len(qs) - len(missing)) / len(qs), 6) ELSE 0 END AS completion,
+  coalesce(array_to_string(missing, ','), '') AS unanswered_required,
+  coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(qs, lambda q: q // 4), lambda p: NOT list_contains(list_transform(missing, lambda m: m // 4), p)))), ','), '') AS phases_complete, CAST(2 * len(missing) AS BIGINT) AS minutes_remaining FROM r""",
+)
 def discovery_progress(spark, sf_dir):
-    a, u = F.count_if(F.col("role") == "assistant"), F.count_if(F.col("role") == "user")
-    return tables.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(a.alias("answered"), u.alias("asked"), (2 * (u - a)).alias("minutes"))
+    """Conversations as sessions: a user's turn is a question of the discipline's
+    catalog, the assistant's next turn its answer."""
+    turns = tables.table(spark, sf_dir, "conversations").withColumn("discipline", F.col("conv_id") % 7 % 2)
+    asked = turns.where("role = 'user'").select("discipline", F.col("turn").alias("question"), F.floor(F.col("turn") / 4).alias("phase"), (F.col("turn") % 4 < 2).alias("required"))
+    answered = F.collect_list(F.when(F.col("role") == "assistant", F.col("turn") - 1)).alias("answered")
+    return C.discovery_progress(turns.groupBy(F.col("conv_id").alias("session"), "discipline").agg(answered), asked.distinct())
+
+
+_LISTS = """, numbered AS (SELECT conv_id AS session, string_split(answer, ' ') AS items, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM examples)"""
+
+
+def _list(spark, sf_dir):
+    k = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    return tables.examples(spark, sf_dir).select(F.col("conv_id").alias("session"), F.split("answer", " ").alias("items"), k.alias("k"))
 
 
-@query("f35_seed_competencies", statement("SELECT conv_id, count(DISTINCT w) AS vocabulary FROM (SELECT conv_id, unnest(string_split(lower(answer), ' ')) AS w FROM examples) WHERE w <> '' GROUP BY conv_id", "examples"))
+def _items(k: int):
+    return F.coalesce(F.max(F.when(F.col("k") == k, F.col("items"))), F.expr("cast(array() as array<string>)"))
+
+
+@query(
+    "f35_seed_competencies",
+    statement(
+        f"""{_LISTS}, per AS (SELECT session, max(items) FILTER (k = 1) AS items, coalesce(max(items) FILTER (k = 2), []) AS safety FROM numbered GROUP BY session),
+e AS (SELECT session, CAST(unnest(range(len(items))) AS BIGINT) AS place, unnest(items) AS name, list_transform(safety, lambda x: {STRIP.format('lower(x)')}) AS s FROM per)
+SELECT session, place, name, CASE WHEN list_contains(s, {STRIP.format('lower(name)')}) THEN 'SAFETY CRITICAL: ' || name ELSE name END AS description, CAST(25 AS BIGINT) AS coverage_target FROM e""",
+        "examples",
+    ),
+)
 def seed_competencies(spark, sf_dir):
-    """The vocabulary that a session's answers seed."""
-    rows = tables.examples(spark, sf_dir).select("conv_id", F.explode(F.split(F.lower("answer"), " ")).alias("w")).where("w <> ''")
-    return rows.groupBy("conv_id").agg(F.countDistinct("w").alias("vocabulary"))
+    """A session's first answer lists competencies, its second the critical."""
+    return C.seed_competencies(_list(spark, sf_dir).groupBy("session").agg(_items(1).alias("items"), _items(2).alias("safety")))
+
+
+@query(
+    "f35_discipline_vocabulary",
+    statement(
+        f"""{_LISTS}, w AS (SELECT session, k, CAST(unnest(range(len(items))) AS BIGINT) AS i, unnest(items) AS word FROM numbered WHERE k IN (3, 4)),
+f AS (SELECT session, word, row_number() OVER (PARTITION BY session, word ORDER BY k, i) AS r, k, i FROM w)
+SELECT session, string_agg(word, ' ' ORDER BY k, i) AS vocabulary, count(*) AS n_words FROM f WHERE r = 1 GROUP BY session""",
+        "examples",
+    ),
+)
+def discipline_vocabulary(spark, sf_dir):
+    """The third and fourth lists, each word once, in order."""
+    rows = _list(spark, sf_dir).where("k IN (3, 4)").groupBy("session").agg(F.array_distinct(F.concat(_items(3), _items(4))).alias("v"))
+    return rows.select("session", F.array_join("v", " ").alias("vocabulary"), F.size("v").cast("bigint").alias("n_words"))
 
 
 @query("f36_curriculum_stats", statement("SELECT competency, discipline, count(*) AS n, CAST(sum(length(question)) AS BIGINT) AS question_chars, CAST(sum(length(answer)) AS BIGINT) AS answer_chars FROM examples GROUP BY GROUPING SETS ((competency), (discipline), ())", "examples"))

@@ -60,10 +60,16 @@ def compare_models(spark, sf_dir):
     return _changes(spark, sf_dir).select("competency", "before", "after", "change")
 
 
-@query("g6_eval_history", statement("SELECT discipline, max(run) AS latest, arg_max(share, run * 100 - competency) AS share FROM scores GROUP BY discipline", "scores"))
+@query(
+    "g6_eval_history",
+    statement(
+        """, r AS (SELECT discipline, run, CAST(sum(total) AS BIGINT) AS total, round(sum(correct) / sum(total), 6) AS accuracy FROM scores GROUP BY ALL)
+SELECT *, run = max(run) OVER (PARTITION BY discipline) AS is_latest FROM r""",
+        "scores",
+    ),
+)
 def eval_history(spark, sf_dir):
-    order = F.col("run") * 100 - F.col("competency")
-    return _scores(spark, sf_dir).groupBy("discipline").agg(F.max("run").alias("latest"), F.max_by("share", order).alias("share"))
+    return E.history(_scores(spark, sf_dir))
 
 
 @query("g7_regressions", statement(f", {_CHANGES}\nSELECT competency, before, after, severity FROM changes WHERE severity IS NOT NULL", "scores"))
@@ -82,12 +88,18 @@ def accuracy_trend(spark, sf_dir):
     return _scores(spark, sf_dir).select("competency", "run", "share", (F.col("share") - F.lag("share").over(w)).alias("delta"))
 
 
-@query("g10_active_version", "SELECT discipline, max(version) AS active, max(version) FILTER (r = 2) AS previous FROM (SELECT conv_id % 2 AS discipline, conv_id AS version, row_number() OVER (PARTITION BY conv_id % 2 ORDER BY conv_id DESC) AS r FROM (SELECT DISTINCT conv_id FROM conversations)) GROUP BY discipline")
+@query(
+    "g10_active_version",
+    """WITH v AS (SELECT DISTINCT conv_id % 7 % 2 AS discipline, conv_id AS version, conv_id % 3 = 0 AS activated FROM conversations),
+s AS (SELECT *, coalesce(version = max(version) FILTER (activated) OVER (PARTITION BY discipline), false) AS active, row_number() OVER (PARTITION BY discipline ORDER BY version DESC) AS r,
+  count(*) OVER (PARTITION BY discipline) AS n FROM v)
+SELECT discipline, version, active, r = 2 AS rollback_target, CASE WHEN n < 2 THEN active ELSE r = 2 OR active AND r > 1 END AS active_after_rollback FROM s""",
+)
 def active_version(spark, sf_dir):
-    """The last activated version of each discipline and the one to roll back to."""
-    versions = tables.table(spark, sf_dir, "conversations").select((F.col("conv_id") % 2).alias("discipline"), F.col("conv_id").alias("version")).distinct()
-    r = F.row_number().over(Window.partitionBy("discipline").orderBy(F.desc("version")))
-    return versions.withColumn("r", r).groupBy("discipline").agg(F.max("version").alias("active"), F.max(F.when(F.col("r") == 2, F.col("version"))).alias("previous"))
+    """Each conversation as a version of its discipline; a third are activated."""
+    c = F.col("conv_id")
+    versions = tables.table(spark, sf_dir, "conversations").select((c % 7 % 2).alias("discipline"), c.alias("version"), (c % 3 == 0).alias("activated"))
+    return E.active_versions(versions.distinct())
 
 
 def _points(value: str) -> str:
