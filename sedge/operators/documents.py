@@ -120,25 +120,89 @@ def char_features(docs: DataFrame) -> DataFrame:
     )
 
 
-def repetition_features(blocks: DataFrame) -> DataFrame:
-    """First lines of pages: how many, and how often they repeat."""
-    firsts = blocks.groupBy("doc_id", "page").agg(F.min_by("content", "pos").alias("first"), F.max_by("content", "pos").alias("last"))
-    per = firsts.groupBy("doc_id", "first").agg(F.count("*").alias("n"))
-    return per.groupBy("doc_id").agg(F.sum("n").alias("pages"), F.count("*").alias("different"), F.max("n").alias("most"))
+def repetition_features(boxes: DataFrame, edge: float = 0.08) -> DataFrame:
+    """What repeats over a document's pages (doc_id, page, page_height, pos,
+    content, y1, y2).
+
+    The top text of a page begins in its upper ``edge``, the bottom text ends in
+    its lower one; the first line is the first below the upper edge.  Texts are
+    headers or footers where one of them is on half of the pages that have any;
+    page numbers where half of the bottoms' first numbers follow the one before.
+    The ratio counts the k-th top if it repeats or the k-th bottom if it is a
+    number.  A document of one page has no repetition and diversity 1."""
+    h, order = F.col("page_height"), F.struct("y1", "pos")
+    text = strip(F.col("content"))
+    top, low, body = F.col("y1") < edge * h, F.col("y2") > (1 - edge) * h, F.col("y1") >= edge * h
+    pick = lambda f, c: f(F.when(c, text), F.when(c, order))
+    pages = boxes.groupBy("doc_id", "page").agg(pick(F.min_by, top).alias("top"), pick(F.max_by, low).alias("bottom"), pick(F.min_by, body).alias("first"))
+    number = F.expr("try_cast(nullif(regexp_extract(bottom, '[0-9]+', 0), '') as decimal(38,0))")
+    pages = pages.withColumns({"number": number, "same_top": F.count("*").over(Window.partitionBy("doc_id", "top")), "same_bottom": F.count("*").over(Window.partitionBy("doc_id", "bottom"))})
+    before = F.last("number", True).over(Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
+    pages = pages.withColumn("follows", F.col("number") == before + 1)
+    listed = lambda c, v: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("page", v.alias("v"))))), lambda x: x["v"])
+    half = lambda c, n: F.coalesce((F.count(c) >= 2) & (F.max(F.when(F.col(c).isNotNull(), F.col(n))) >= 0.5 * F.count(c)), F.lit(False))
+    out = pages.groupBy("doc_id").agg(
+        F.count("*").alias("pages"), half("top", "same_top").alias("has_headers"), half("bottom", "same_bottom").alias("has_footers"),
+        ((F.count("number") >= 2) & (F.count_if("follows") >= 0.5 * F.count("number"))).alias("has_page_numbers"),
+        listed("top", F.col("same_top") > 1).alias("tops"), listed("bottom", F.col("bottom").rlike(r"^[\d\s.-]+$")).alias("lows"),
+        F.when(F.count("first") > 0, F.countDistinct("first") / F.count("first")).otherwise(0.0).alias("diversity"),
+    )
+    hits = F.size(F.filter(F.arrays_zip("tops", "lows"), lambda x: F.coalesce(x["tops"], F.lit(False)) | F.coalesce(x["lows"], F.lit(False))))
+    many = F.col("pages") > 1
+    return out.select(
+        "doc_id", "pages", *[(many & F.col(c)).alias(c) for c in ("has_headers", "has_footers", "has_page_numbers")],
+        F.round(F.when(many, hits / F.col("pages")).otherwise(0.0), 6).alias("repetition_ratio"), F.round(F.when(many, F.col("diversity")).otherwise(1.0), 6).alias("first_line_diversity"),
+    )
 
 
 def rhythm_features(blocks: DataFrame) -> DataFrame:
-    n = lambda k: F.count_if(F.col("type") == k)
+    """Headings, tables, images, lists, codes and links a page, and the outline."""
     pages = F.countDistinct("page")
-    return blocks.groupBy("doc_id").agg(pages.alias("pages"), (n("heading") / pages).alias("headings"), (n("table") / pages).alias("tables"), (n("code") / pages).alias("codes"))
+    per = lambda k: F.round(F.count_if(F.col("type") == k) / pages, 6)
+    level = F.when(F.col("type") == "heading", F.col("heading_level"))
+    return blocks.groupBy("doc_id").agg(
+        pages.alias("pages"), per("heading").alias("headings"), per("table").alias("tables"), per("image").alias("images"), per("list").alias("lists"), per("code").alias("codes"),
+        (F.count(level) > 0).alias("has_outline"), F.coalesce(F.max(level), F.lit(0)).cast("bigint").alias("outline_depth"), F.countDistinct(level).alias("heading_sizes"),
+        F.sum(F.regexp_count("content", F.lit("https?://"))).alias("links"),
+    )
+
+
+def font_features(spans: DataFrame) -> DataFrame:
+    """Sizes and styles of a document's spans (size, font, bold, italic, mono)
+    that have a text."""
+    n, share = F.count("*"), lambda c: F.round(F.count_if(c) / F.count("*"), 6)
+    return spans.where(strip(F.col("content")) != "").groupBy("doc_id").agg(
+        n.alias("spans"), F.countDistinct("font").alias("font_count"), F.min("size").alias("size_min"), F.max("size").alias("size_max"), F.round(F.avg("size"), 6).alias("size_mean"),
+        F.round(F.stddev_pop("size"), 6).alias("size_std"), F.median("size").alias("size_median"), F.countDistinct(F.round("size", 1)).alias("distinct_sizes"),
+        share("bold").alias("bold_ratio"), share("italic").alias("italic_ratio"), share("mono").alias("mono_ratio"),
+    )
 
 
 def layout_features(boxes: DataFrame) -> DataFrame:
-    """Sizes and margins of boxes."""
-    height = F.col("y2") - F.col("y1")
-    return boxes.groupBy("doc_id").agg(
-        F.count("*").alias("boxes"), F.min("x1").alias("left"), F.min("y1").alias("top"), F.avg(height).alias("mean_height"), F.stddev_pop(height).alias("std_height")
-    )
+    """Page sizes, margins, text area and columns of a document's boxes.
+
+    A page has two columns if boxes have their centres left of 30 % and right of
+    70 % of its width and at most 20 % between; a document has what most of its
+    pages have, the first page's where they are even."""
+    w, h = F.col("page_width"), F.col("page_height")
+    centre = (F.col("x1") + F.col("x2")) / 2
+    left, right = F.count_if(centre < 0.3 * w), F.count_if(centre > 0.7 * w)
+    zero = F.lit(0.0)
+    pages = boxes.groupBy("doc_id", "page", "page_width", "page_height").agg(
+        F.greatest(zero, F.min("x1")).alias("ml"), F.greatest(zero, F.min("y1")).alias("mt"), F.max("x2").alias("x"), F.max("y2").alias("y"),
+        F.when((left > 0) & (right > 0) & (F.count("*") - left - right <= 0.2 * F.count("*")), 2).otherwise(1).alias("columns"),
+    )
+    pages = pages.withColumns({"mr": F.greatest(zero, w - F.col("x")), "mb": F.greatest(zero, h - F.col("y"))})
+    tw, th = w - F.col("ml") - F.col("mr"), h - F.col("mt") - F.col("mb")
+    area = F.when((w * h > 0) & (tw > 0) & (th > 0), tw * th / (w * h)).otherwise(0.0)
+    even = lambda c: F.round(F.when(F.avg(c) > 0, F.greatest(zero, 1 - F.stddev_pop(c) / F.avg(c))).otherwise(1.0), 6)
+    two, one = F.count_if(F.col("columns") == 2), F.count_if(F.col("columns") == 1)
+    return pages.groupBy("doc_id").agg(
+        F.median("page_width").alias("page_width"), F.median("page_height").alias("page_height"), even("page_width").alias("width_consistency"), even("page_height").alias("height_consistency"),
+        F.median("ml").alias("margin_left"), F.median("mr").alias("margin_right"), F.median("mt").alias("margin_top"), F.median("mb").alias("margin_bottom"),
+        F.round(F.avg(area), 6).alias("text_area_ratio"),
+        F.when(two > one, 2).when(two < one, 1).otherwise(F.min_by("columns", "page")).cast("bigint").alias("estimated_columns"),
+    )
 
 
 def sampled_pages(pages: DataFrame, most: int = 50) -> DataFrame:
@@ -184,3 +248,16 @@ def predicted(model, rows: DataFrame, least: float = 0.45) -> DataFrame:
     p = vector_to_array("probability")
     top: Column = F.array_max(p)
     return model.transform(rows).select("doc_id", "label", top.alias("confidence"), F.when(top < least, "unknown").otherwise((F.array_position(p, top) - 1).cast("string")).alias("predicted"), p.alias("probabilities"))
+
+
+def retrain_plan(synthetic: DataFrame, manual: DataFrame, models: DataFrame, least: int = 5) -> DataFrame:
+    """Whether a new model is due: there is none, or ``least`` labels came since
+    the last (``models``: trained_at; ``manual``: label, seq), and the classes of
+    the joint corpus."""
+    last = models.agg(F.max("trained_at")).scalar()
+    corpus = synthetic.select("label", F.lit(False).alias("own"), F.lit(None).cast("bigint").alias("seq")).unionByName(manual.select("label", F.lit(True).alias("own"), "seq"))
+    corpus = corpus.withColumn("new", F.col("own") & (last.isNull() | (F.col("seq") > last)))
+    rows = corpus.groupBy("label").agg(F.count_if(~F.col("own")).alias("synthetic"), F.count_if("own").alias("manual"), F.count_if("new").alias("since"))
+    # One row a label from here on.
+    total = F.sum("since").over(Window.partitionBy())
+    return rows.select("label", "synthetic", "manual", "since", total.alias("new_labels"), ((total >= least) | last.isNull()).alias("due"))

@@ -171,19 +171,92 @@ def char_features(spark, sf_dir):
     return D.char_features(tables.table(spark, sf_dir, "documents"))
 
 
-@query("i2_repetition_features", statement(", f AS (SELECT doc_id, page, arg_min(content, pos) AS f FROM outline GROUP BY doc_id, page), g AS (SELECT doc_id, f, count(*) AS n FROM f GROUP BY doc_id, f)\nSELECT doc_id, CAST(sum(n) AS BIGINT) AS pages, count(*) AS different, max(n) AS most FROM g GROUP BY doc_id", "outline"))
+_BOXES = """, boxes AS (SELECT doc_id, pos, page, content, type, 72 + CASE WHEN doc_id % 2 = 1 AND pos % 2 = 1 THEN 270.0::DOUBLE ELSE 0 END AS x1,
+  CASE WHEN doc_id % 2 = 1 AND pos % 2 = 0 THEN 270.0::DOUBLE ELSE 540 END AS x2, y1, y1 + 50 AS y2, 612.0::DOUBLE AS page_width, 720.0::DOUBLE + page % 3 AS page_height FROM decorated)"""
+
+
+def _boxes(spark, sf_dir):
+    """Blocks with boxes; documents of odd ids are set in two columns."""
+    odd, pos = F.col("doc_id") % 2 == 1, F.col("pos") % 2
+    x1, x2 = 72 + F.when(odd & (pos == 1), 270.0).otherwise(0.0), F.when(odd & (pos == 0), 270.0).otherwise(540.0)
+    rows = tables.decorated_blocks(spark, sf_dir)
+    return rows.select("doc_id", "pos", "page", "content", "type", x1.alias("x1"), x2.alias("x2"), "bbox.y1", "bbox.y2", F.lit(612.0).alias("page_width"), (F.lit(720.0) + F.col("page") % 3).alias("page_height"))
+
+
+@query(
+    "i2_repetition_features",
+    statement(
+        f"""{_BOXES}, t AS (SELECT *, {STRIP.format('content')} AS c, row(y1, pos) AS o FROM boxes),
+p AS (SELECT doc_id, page, arg_min(c, o) FILTER (y1 < 0.08::DOUBLE * page_height) AS top, arg_max(c, o) FILTER (y2 > (1 - 0.08::DOUBLE) * page_height) AS bottom, arg_min(c, o) FILTER (y1 >= 0.08::DOUBLE * page_height) AS first FROM t GROUP BY ALL),
+n AS (SELECT *, TRY_CAST(nullif(regexp_extract(bottom, '[0-9]+', 0), '') AS DECIMAL(38,0)) AS number, count(*) OVER (PARTITION BY doc_id, top) AS st, count(*) OVER (PARTITION BY doc_id, bottom) AS sb FROM p),
+f AS (SELECT *, number = 1 + last_value(number IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS follows,
+  count(top) OVER w AS ti, count(bottom) OVER w AS bi FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY page)),
+hits AS (SELECT doc_id, count(DISTINCT i) AS hits FROM (SELECT doc_id, ti AS i FROM f WHERE top IS NOT NULL AND st > 1 UNION ALL SELECT doc_id, bi FROM f WHERE regexp_matches(bottom, '^[0-9\\s.-]+$')) GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS pages, count(top) >= 2 AND max(st) FILTER (top IS NOT NULL) >= 0.5 * count(top) AS h, count(bottom) >= 2 AND max(sb) FILTER (bottom IS NOT NULL) >= 0.5 * count(bottom) AS l,
+  count(number) >= 2 AND count(*) FILTER (follows) >= 0.5 * count(number) AS k, CASE WHEN count(first) > 0 THEN count(DISTINCT first) / count(first) ELSE 0 END AS d FROM f GROUP BY doc_id)
+SELECT g.doc_id, pages, pages > 1 AND coalesce(h, false) AS has_headers, pages > 1 AND coalesce(l, false) AS has_footers, pages > 1 AND k AS has_page_numbers,
+  round(CASE WHEN pages > 1 THEN coalesce(hits, 0) / pages ELSE 0 END, 6) AS repetition_ratio, round(CASE WHEN pages > 1 THEN d ELSE 1 END, 6) AS first_line_diversity FROM g LEFT JOIN hits ON g.doc_id = hits.doc_id""",
+        "decorated",
+    ),
+)
 def repetition_features(spark, sf_dir):
-    return D.repetition_features(tables.outline_blocks(spark, sf_dir))
+    return D.repetition_features(_boxes(spark, sf_dir))
 
 
-@query("i3_rhythm_features", statement("SELECT doc_id, count(DISTINCT page) AS pages, count(*) FILTER (type = 'heading') / count(DISTINCT page) AS headings, count(*) FILTER (type = 'table') / count(DISTINCT page) AS tables, count(*) FILTER (type = 'code') / count(DISTINCT page) AS codes FROM outline GROUP BY doc_id", "outline"))
+_PER = ", ".join(f"round(count(*) FILTER (type = '{k}') / count(DISTINCT page), 6) AS {k}s" for k in ("heading", "table", "image", "list", "code"))
+
+
+@query(
+    "i3_rhythm_features",
+    statement(
+        f"""SELECT doc_id, count(DISTINCT page) AS pages, {_PER}, count(heading_level) > 0 AS has_outline, CAST(coalesce(max(heading_level), 0) AS BIGINT) AS outline_depth,
+  count(DISTINCT heading_level) AS heading_sizes, CAST(sum(len(regexp_extract_all(content, 'https?://'))) AS BIGINT) AS links FROM outline GROUP BY doc_id""",
+        "outline",
+    ),
+)
 def rhythm_features(spark, sf_dir):
     return D.rhythm_features(tables.outline_blocks(spark, sf_dir))
 
 
-@query("i4_font_layout_features", statement('SELECT doc_id, count(*) AS boxes, 72.0::DOUBLE AS "left", min(y1) AS top, 50.0::DOUBLE AS mean_height, 0.0::DOUBLE AS std_height FROM decorated GROUP BY doc_id', "decorated"))
+@query(
+    "i4_font_features",
+    statement(
+        f""", s AS (SELECT doc_id, content, 8.0::DOUBLE + length(content) % 7 AS size, 'f' || pos % 3 AS font, type IN ('heading', 'header') AS bold, pos % 9 = 0 AS italic, pos % 13 = 9 AS mono FROM decorated)
+SELECT doc_id, count(*) AS spans, count(DISTINCT font) AS font_count, min(size) AS size_min, max(size) AS size_max, round(avg(size), 6) AS size_mean, round(stddev_pop(size), 6) AS size_std, median(size) AS size_median,
+  count(DISTINCT round(size, 1)) AS distinct_sizes, round(count(*) FILTER (bold) / count(*), 6) AS bold_ratio, round(count(*) FILTER (italic) / count(*), 6) AS italic_ratio, round(count(*) FILTER (mono) / count(*), 6) AS mono_ratio
+  FROM s WHERE {STRIP.format('content')} <> '' GROUP BY doc_id""",
+        "decorated",
+    ),
+)
+def font_features(spark, sf_dir):
+    """Blocks as spans, with sizes and styles by their lengths and places."""
+    pos = F.col("pos")
+    rows = tables.decorated_blocks(spark, sf_dir)
+    return D.font_features(rows.select(
+        "doc_id", "content", (F.lit(8.0) + F.length("content") % 7).alias("size"), F.concat(F.lit("f"), pos % 3).alias("font"),
+        F.col("type").isin("heading", "header").alias("bold"), (pos % 9 == 0).alias("italic"), (pos % 13 == 9).alias("mono"),
+    ))
+
+
+_EVEN = "round(CASE WHEN avg({0}) > 0 THEN greatest(0, 1 - stddev_pop({0}) / avg({0})) ELSE 1 END, 6)"
+
+
+@query(
+    "i4_font_layout_features",
+    statement(
+        f"""{_BOXES}, p AS (SELECT doc_id, page, page_width, page_height, greatest(0, min(x1)) AS ml, greatest(0, min(y1)) AS mt, greatest(0, page_width - max(x2)) AS mr, greatest(0, page_height - max(y2)) AS mb,
+  count(*) AS n, count(*) FILTER ((x1 + x2) / 2 < 0.3::DOUBLE * page_width) AS l, count(*) FILTER ((x1 + x2) / 2 > 0.7::DOUBLE * page_width) AS r FROM boxes GROUP BY doc_id, page, page_width, page_height),
+q AS (SELECT *, CASE WHEN l > 0 AND r > 0 AND n - l - r <= 0.2::DOUBLE * n THEN 2 ELSE 1 END AS columns, page_width - ml - mr AS tw, page_height - mt - mb AS th FROM p)
+SELECT doc_id, median(page_width) AS page_width, median(page_height) AS page_height, {_EVEN.format('page_width')} AS width_consistency, {_EVEN.format('page_height')} AS height_consistency,
+  median(ml) AS margin_left, median(mr) AS margin_right, median(mt) AS margin_top, median(mb) AS margin_bottom,
+  round(avg(CASE WHEN page_width * page_height > 0 AND tw > 0 AND th > 0 THEN tw * th / (page_width * page_height) ELSE 0 END), 6) AS text_area_ratio,
+  CAST(CASE WHEN count(*) FILTER (columns = 2) > count(*) FILTER (columns = 1) THEN 2 WHEN count(*) FILTER (columns = 2) < count(*) FILTER (columns = 1) THEN 1 ELSE arg_min(columns, page) END AS BIGINT) AS estimated_columns
+  FROM q GROUP BY doc_id""",
+        "decorated",
+    ),
+)
 def font_layout_features(spark, sf_dir):
-    return D.layout_features(tables.decorated_blocks(spark, sf_dir).select("doc_id", "bbox.*"))
+    return D.layout_features(_boxes(spark, sf_dir))
 
 
 @query("i5_sample_pages", statement(", p AS (SELECT doc_id, page, max(page) OVER (PARTITION BY doc_id) AS n FROM (SELECT DISTINCT doc_id, page FROM outline))\nSELECT doc_id, page FROM p WHERE n <= 6 OR page <= 3 OR page > n - 2 OR floor((page - 4) * 1 / greatest(n - 5, 1)) > floor((page - 5) * 1 / greatest(n - 5, 1))", "outline"))
@@ -251,10 +324,18 @@ def manual_labels(spark, sf_dir):
     return spark.read.schema("doc_id bigint, label int").json(_written(rows, "json")).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("i14_retrain_plan", "SELECT count(*) AS labels, count(*) >= 5 AS due FROM labels")
+@query(
+    "i14_retrain_plan",
+    """WITH m AS (SELECT quality AS label, doc_id AS seq FROM labels), t AS (SELECT max(seq) AS last FROM m WHERE seq % 10 = 0),
+c AS (SELECT CAST(doc_id % 2 AS INTEGER) AS label, 'synthetic' AS origin, NULL AS seq FROM documents UNION ALL SELECT label, 'manual', seq FROM m),
+r AS (SELECT label, count(*) FILTER (origin = 'synthetic') AS synthetic, count(*) FILTER (origin = 'manual') AS manual, count(*) FILTER (origin = 'manual' AND (last IS NULL OR seq > last)) AS since FROM c, t GROUP BY label)
+SELECT *, CAST(sum(since) OVER () AS BIGINT) AS new_labels, sum(since) OVER () >= 5 OR (SELECT last FROM t) IS NULL AS due FROM r""",
+)
 def retrain_plan(spark, sf_dir):
-    n = F.count("*")
-    return tables.table(spark, sf_dir, "labels").agg(n.alias("labels"), (n >= 5).alias("due"))
+    """Labels as manual ones; a model was trained at every tenth id."""
+    manual = tables.table(spark, sf_dir, "labels").select(F.col("quality").alias("label"), F.col("doc_id").alias("seq"))
+    synthetic = tables.table(spark, sf_dir, "documents").select((F.col("doc_id") % 2).cast("int").alias("label"))
+    return D.retrain_plan(synthetic, manual, manual.where("seq % 10 = 0").select(F.col("seq").alias("trained_at")))
 
 
 @query("i15_upgrade_candidates", statement("SELECT doc_id, CASE WHEN t >= 5 THEN 'tables' WHEN c < 100 THEN 'scanned' END AS reason FROM (SELECT doc_id, count(*) FILTER (type = 'table') AS t, sum(length(content)) AS c FROM outline GROUP BY doc_id) WHERE t >= 5 OR c < 100", "outline"))
