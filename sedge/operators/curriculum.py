@@ -226,7 +226,7 @@ def discovery_progress(responses: DataFrame, catalog: DataFrame) -> DataFrame:
 def seed_competencies(lists: DataFrame, target: int = 25) -> DataFrame:
     """One competency for each of a session's ``items``, in order; those that the
     ``safety`` items name, blanks and case apart, are marked."""
-    rows = lists.select("session", F.transform("safety", lambda x: strip(F.lower(x))).alias("s"), F.posexplode("items").alias("place", "name"))
+    rows = lists.select("session", "items", F.transform("safety", lambda x: strip(F.lower(x))).alias("s")).select("session", "s", F.posexplode("items").alias("place", "name"))
     critical = F.coalesce(F.array_contains("s", strip(F.lower("name"))), F.lit(False))
     description = F.when(critical, F.concat(F.lit("SAFETY CRITICAL: "), "name")).otherwise(F.col("name"))
     return rows.select("session", F.col("place").cast("bigint").alias("place"), "name", description.alias("description"), F.lit(target).cast("bigint").alias("coverage_target"))

@@ -29,8 +29,10 @@ def keyword_search(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFr
     Only terms of queries are joined; chunks are read once for all queries."""
     asked = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     asked = small(asked)
-    words = terms(F.col("content"))
-    sized = chunks.select("chunk_id", F.size(words).alias("len"), F.explode(words).alias("term"))
+    # The words are a column before they are exploded: beside the generator their
+    # expression would run again for each row that it gives.
+    worded = chunks.select("chunk_id", terms(F.col("content")).alias("words"))
+    sized = worded.select("chunk_id", F.size("words").alias("len"), F.explode("words").alias("term"))
     wanted = small(asked.select("term").distinct())
     counted = sized.join(wanted, "term", "left_semi").groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf"))
     df = counted.groupBy("term").agg(F.count("*").alias("df"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedge.operators import chunks as C
-from sedge.operators import curriculum, evaluation
+from sedge.operators import curriculum, documents, evaluation, retrieval, sections
 from sedge.operators.registry import register_strategy, strategy
 from sedge.sources import readers, tables
 
@@ -87,3 +87,63 @@ def test_project_tables(spark, tmp_path):
     )
     made = readers.read_project(spark, str(tmp_path))
     assert {k: v.count() for k, v in made.items()} == {"documents": 1, "blocks": 1, "chunks": 1, "queries": 1}
+
+
+def test_orphans_join_the_section_above(spark):
+    r = random.Random(5)
+    rows, expected = [], {}
+    for doc in range(60):
+        stack, section, blocks = [], 0, []
+        for pos in range(r.randint(1, 14)):
+            kind = r.choice(("heading", "heading", "text"))
+            blocks.append((doc, pos, f"{doc}:{pos}", kind, f"t{pos}", r.randint(1, 6) if kind == "heading" else None))
+        for k, b in enumerate(blocks):
+            if b[3] == "heading":
+                section += 1
+                while stack and stack[-1][0] >= b[5]:
+                    stack.pop()
+                after = blocks[k + 1] if k + 1 < len(blocks) else None
+                orphan = after is None or (after[3] == "heading" and after[5] <= b[5])
+                expected[b[2]] = ("text", True, stack[-1][1] if stack else 0) if orphan else ("heading", False, section)
+                stack.append((b[5], section))
+            else:
+                expected[b[2]] = ("text", False, section)
+        rows += blocks
+    df = spark.createDataFrame(rows, "doc_id long, pos int, block_id string, type string, content string, heading_level int")
+    got = {x.block_id: (x.type, x.repaired, x.section_no) for x in sections.repair_orphans(df).collect()}
+    assert got == expected
+
+
+def test_rollback_needs_two_versions(spark):
+    rows = [("a", 1, True), ("b", 1, True), ("b", 2, False), ("b", 3, True), ("c", 1, False)]
+    out = evaluation.active_versions(spark.createDataFrame(rows, "discipline string, version int, activated boolean")).collect()
+    got = {(x.discipline, x.version): (x.active, x.active_after_rollback) for x in out}
+    assert got == {("a", 1): (True, True), ("b", 1): (False, False), ("b", 2): (False, True), ("b", 3): (True, False), ("c", 1): (False, False)}
+
+
+def test_retraining_is_due_without_a_model(spark):
+    labels = spark.createDataFrame([(0, 1), (1, 2), (1, 3)], "label int, seq long")
+    none = spark.createDataFrame([], "trained_at long")
+    plan = lambda m: {x.label: (x.synthetic, x.manual, x.since, x.due) for x in documents.retrain_plan(labels.select("label"), labels, m).collect()}
+    assert plan(none) == {0: (1, 1, 1, True), 1: (2, 2, 2, True)}
+    assert plan(spark.createDataFrame([(2,)], "trained_at long")) == {0: (1, 1, 0, False), 1: (2, 2, 1, False)}
+
+
+def test_pages_in_two_columns(spark):
+    box = "doc_id long, page int, x1 double, x2 double, y1 double, y2 double, page_width double, page_height double"
+    rows = [(1, 1, 10.0, 90.0, 0.0, 50.0, 300.0, 400.0), (1, 1, 220.0, 290.0, 0.0, 60.0, 300.0, 400.0), (2, 1, 10.0, 290.0, 5.0, 50.0, 300.0, 400.0)]
+    got = {x.doc_id: (x.estimated_columns, x.margin_left, x.margin_right, x.margin_bottom) for x in documents.layout_features(spark.createDataFrame(rows, box)).collect()}
+    assert got == {1: (2, 10.0, 10.0, 340.0), 2: (1, 10.0, 10.0, 350.0)}
+
+
+def test_next_version_and_its_snapshot(spark):
+    rows = spark.createDataFrame([("x", 0, False), ("y", 0, True), ("z", 1, False)], "example_id string, discipline int, is_test_set boolean")
+    old = spark.createDataFrame([(0, 4), (0, 2)], "discipline int, version int")
+    assert {(x.example_id, x.version) for x in curriculum.new_version(rows, old).collect()} == {("x", 5), ("z", 1)}
+
+
+def test_keyword_search_counts_words_once(spark):
+    chunks = spark.createDataFrame([("c1", "red red fox"), ("c2", "red hen"), ("c3", None), ("c4", "")], "chunk_id string, content string")
+    queries = spark.createDataFrame([(1, "Red fox"), (2, "absent")], "query_id int, query string")
+    got = [(x.query_id, x.chunk_id) for x in retrieval.keyword_search(chunks, queries).orderBy("query_id", "rank").collect()]
+    assert got == [(1, "c1"), (1, "c2")]
