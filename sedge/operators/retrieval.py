@@ -126,7 +126,9 @@ def validate_hits(hits: DataFrame, rules: list[tuple[str, Column, float]], thres
         return hits.withColumns({"validation": F.lit(1.0), "adjusted": F.col("score")})
     passed = sum((F.when(F.coalesce(t, F.lit(False)), F.lit(w)).otherwise(0.0) for _, t, w in rules), F.lit(0.0))
     rows = hits.withColumn("validation", passed / total)
-    return rows.withColumn("adjusted", F.round(F.col("score") * F.col("validation"), 6)).where(F.col("validation") >= threshold)
+    # Rounded half up on whole millionths, as the scores are.
+    adjusted = F.floor(F.round(F.col("score") * 1e6) * F.col("validation") + 0.5) / 1e6
+    return rows.withColumn("adjusted", adjusted).where(F.col("validation") >= threshold)
 
 
 def suite_results(queries: DataFrame, hits: DataFrame) -> DataFrame:

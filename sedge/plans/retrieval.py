@@ -92,7 +92,7 @@ def filter_reduction(spark, sf_dir):
     return tables.table(spark, sf_dir, "documents").groupBy("source").agg(F.round(1 - F.count_if(F.col("lang") == "en") / F.count("*"), 3).alias("reduction"))
 
 
-_VALID = """SELECT query_id, chunk_id, validation, round(score * validation, 6) AS adjusted FROM (SELECT *, (CASE WHEN length(content) >= 200 THEN 1.0 ELSE 0 END + CASE WHEN hierarchy_path <> '' THEN 2.0 ELSE 0 END + CASE WHEN regexp_matches(content, '(?i)the') THEN 1.0 ELSE 0 END)::DOUBLE / 4.0 AS validation
+_VALID = """SELECT query_id, chunk_id, validation, floor(round(score * 1e6::DOUBLE) * validation + 0.5::DOUBLE) / 1e6::DOUBLE AS adjusted FROM (SELECT *, (CASE WHEN length(content) >= 200 THEN 1.0 ELSE 0 END + CASE WHEN hierarchy_path <> '' THEN 2.0 ELSE 0 END + CASE WHEN regexp_matches(content, '(?i)the') THEN 1.0 ELSE 0 END)::DOUBLE / 4.0 AS validation
   FROM hits JOIN (SELECT chunk_id, content, hierarchy_path FROM chunks) USING (chunk_id)) WHERE validation >= 0.5"""
 
 
