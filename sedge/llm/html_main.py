@@ -1,42 +1,52 @@
-"""HTML extraction: structure first, then a suffix array of each host.
+"""HTML extraction: structure and a suffix array of each host, together.
 
 A page's html is cut into blocks.  Blocks inside navigation, headers, footers,
 sidebars, notices, adverts, forms, comments, scripts and styles are chrome;
-blocks inside an article or main element are its text; other blocks are open.
-Where a page has an article, that is the text, also where it repeats what other
-pages say.  A page without one has its open blocks, less what its host repeats:
+blocks inside an article or main element are main; other blocks are open.  The
+content of a page is its main blocks, or its open blocks where it has none.
+Structure alone drops the chrome; what the host repeats decides within content:
 
-* the token streams of chrome and open blocks of a host's pages are dealt to
-  groups of bounded size and concatenated; a suffix array sorted on the first
+* the content streams of a host's distinct pages are dealt by a digest of the
+  page to groups of bounded size; in each, a suffix array sorted on the first
   ``WINDOW`` tokens (by prefix doubling) gives equal substrings equal ranks;
-* each group sends one row a rank, with its smallest and largest page; the
-  groups of a host meet at the substring's digest, so that a substring found
-  once in each of two groups counts too, and a hot host is many small groups;
-* a substring of ``WINDOW`` tokens or more that two pages hold is covered;
-  covered tokens go, unique runs stay.
+* a repeat on a share of a host's pages is on that share of one group at least:
+  such substrings are candidates, and their distinct pages are then counted
+  exactly over the whole host, in content and in chrome;
+* a candidate is boilerplate if it stands in the content of ``SHARE`` of the
+  host's distinct pages, or of ``CHROME_SHARE`` if it stands in the chrome of as
+  many, and on ``MIN_PAGES`` in each case;
+* tokens covered by boilerplate go, other runs stay.  A main text of which more
+  than half is covered is a copy of other articles and stays whole.
+
+Copies of a page (equal html) count as one page.  Substrings of different groups
+are matched by 64-bit hashes.
 
 Defined results: a null html is the empty page with the empty text; a null url
-is a host of its own name; repeated rows give repeated rows, and copies of one
-page (same id) count as one page; other columns are not read; an empty table
-gives an empty table.  Pages are read whole.
+is a host of its own name; repeated rows give repeated rows; other columns are
+not read; an empty table gives an empty table.  Pages are read whole.
 """
 
 from __future__ import annotations
 
 import re
-from hashlib import md5
 from html import unescape
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.retrieval import small
 from .common import bounded_batches, map_rows, stored
 
 #: Tokens of a repeated substring at least, a power of two.
 WINDOW = 8
-#: Tokens in a group's concatenated stream, about.
-GROUP_TOKENS = 200_000
+#: Shares of a host's distinct pages that make a repeat boilerplate: without and
+#: with as many of them showing it in their chrome; pages at least.
+SHARE, CHROME_SHARE, MIN_PAGES = 0.5, 0.1, 3
+#: Hosts whose repeats are broadcast at most; those of more are joined by shuffle.
+HOSTS_SENT = 5_000
+#: Characters of html in a group, about.
+GROUP_CHARS = 8_000_000
 
 TAG = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?:.*?\]\]>|.*\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|math|object)\b[^>]*+>(?:.*?</\1\s*>|.*\Z)"
@@ -77,8 +87,8 @@ def _chrome(name: str, attributes: str, in_main: bool) -> bool:
 
 
 def blocks(html: str) -> list[tuple[str, str]]:
-    """(region, text) of each block in page order; regions are main, chrome and
-    open."""
+    """(region, text) of each block in page order; regions are main, chrome,
+    title and open."""
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
@@ -87,7 +97,9 @@ def blocks(html: str) -> list[tuple[str, str]]:
         if parts:
             text = SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
-                out.append((stack[-1][1] if stack else "open", text))
+                # A title is the page's own, so it is no evidence of chrome.
+                region = stack[-1][1] if stack else "open"
+                out.append(("title" if stack and stack[-1][0] == "title" else region, text))
             parts.clear()
 
     at = 0
@@ -121,31 +133,19 @@ def blocks(html: str) -> list[tuple[str, str]]:
     return out
 
 
-def _host(url: str | None) -> str:
-    m = re.match(r"(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", url or "", re.I)
-    return (m[1].rpartition("@")[2].lower() if m else url or "(none)") or "(none)"
+def _host():
+    """The host of a url, a column."""
+    url = F.coalesce("url", F.lit("(none)"))
+    found = F.regexp_extract(url, r"^(?i)(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", 1)
+    named = F.when(url.rlike(r"^(?i)(?:[a-z][a-z0-9+.-]*:)?//"), F.lower(F.substring_index(found, "@", -1))).otherwise(url)
+    return F.when(named == "", "(none)").otherwise(named)
 
 
-def _parse():
-    def step(ids, urls, htmls):
-        out = []
-        for i, url, html in zip(ids, urls, htmls):
-            found = blocks(html or "")
-            main = [t for region, t in found if region == "main"]
-            # A page with an article needs no open blocks of its own; it still
-            # shows what its host repeats.
-            side = [t for region, t in found if region != "main"]
-            opened = None if main else [t for region, t in found if region == "open"]
-            out.append((i, url, _host(url), "\n".join(main), opened, side))
-        return out
-
-    return step
-
-
-def parsed(pages: DataFrame) -> DataFrame:
-    kind = pages.schema["page_id"].dataType.simpleString()
-    schema = f"page_id {kind}, url string, host string, main string, opened array<string>, side array<string>"
-    return map_rows(pages, ["page_id", "url", "html"], schema, _parse)
+def _content(html: str | None) -> tuple[bool, list[str], list[str]]:
+    """Whether a page has a main text, its content and its chrome."""
+    found = blocks(html or "")
+    main = [t for region, t in found if region == "main"]
+    return bool(main), main or [t for region, t in found if region == "open"], [t for region, t in found if region == "chrome"]
 
 
 def ranks(tokens: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -158,110 +158,155 @@ def ranks(tokens: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return rank
 
 
-def _windows(batches):
-    """For each page of a batch its windows, those inside of one page only:
-    one row for each distinct window with its smallest and largest page."""
-    import pyarrow as pa
+def _hashes(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of concatenated streams: token codes, each token's stream, the places
+    where a window inside one stream starts, and the windows' hashes there."""
+    from xxhash import xxh64_intdigest
 
-    for batch in batches:
-        host, page, side = (batch.column(c).to_pylist() for c in ("host", "page_id", "side"))
-        ids: dict[str, int] = {}
-        stream, owner = [], []
-        for k, texts in enumerate(side):
-            words = " ".join(texts or ()).split()
-            # A separator of its own behind each page keeps windows inside it.
-            stream += [ids.setdefault(w, len(ids)) for w in words]
-            owner += [k] * len(words)
-            stream.append(-1 - k)
-            owner.append(-1)
-        names = list(ids)
-        rows: dict[tuple, list] = {}
-        if stream:
-            codes, own = np.array(stream, np.int64), np.array(owner)
-            rank = ranks(codes - codes.min())
-            whole = np.zeros(len(own), bool)
-            if len(own) >= WINDOW:
-                whole[: len(own) - WINDOW + 1] = (own[: len(own) - WINDOW + 1] >= 0) & (own[: len(own) - WINDOW + 1] == own[WINDOW - 1 :])
-            order = np.argsort(rank, kind="stable")
-            digest, last = "", -1
-            for at in order[whole[order]].tolist():
-                if rank[at] != last:
-                    last = rank[at]
-                    digest = md5(" ".join([names[c] for c in stream[at : at + WINDOW]]).encode("utf-8", "surrogatepass")).hexdigest()
-                k, p = (host[own[at]], digest), page[own[at]]
-                if p is not None:
-                    row = rows.setdefault(k, [p, p])
-                    row[0], row[1] = min(row[0], p), max(row[1], p)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "host": pa.array([k[0] for k in rows], pa.string()),
-                "window": pa.array([k[1] for k in rows], pa.string()),
-                "low": pa.array([v[0] for v in rows.values()], pa.int64()),
-                "high": pa.array([v[1] for v in rows.values()], pa.int64()),
-            }
-        )
-
-
-def repeated_windows(pages: DataFrame) -> DataFrame:
-    """(host, window): digests of token windows that two pages of a host hold.
-
-    Pages are dealt by host and by a digest of their id into ranges, so that
-    neighbours share a suffix array and a hot host takes many."""
-    bounded_batches(pages.sparkSession, 1000)
-    side = pages.where(F.size("side") > 0).select("host", F.col("page_id").cast("bigint").alias("page_id"), "side")
-    found = side.mapInArrow(_windows, "host string, window string, low bigint, high bigint")
-    merged = found.groupBy("host", "window").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    return merged.where("low < high").select("host", "window")
-
-
-def _own_windows(batches):
-    """(rid, window, at) of the open blocks of pages without an article."""
+    ids: dict[str, int] = {}
+    codes = np.array([ids.setdefault(w, len(ids)) for words in streams for w in words], np.int64)
+    own = np.repeat(np.arange(len(streams)), [len(words) for words in streams])
+    starts = np.flatnonzero(own[: len(own) - WINDOW + 1] == own[WINDOW - 1 :]) if len(own) >= WINDOW else np.zeros(0, np.int64)
+    names = np.array([xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in ids], np.uint64)
+    hashed = np.zeros(len(starts), np.uint64)
+    for k in range(WINDOW if len(starts) else 0):
+        hashed = hashed * np.uint64(0x9E3779B97F4A7C15) + names[codes[starts + k]]
+    return codes, own, starts, hashed.view(np.int64)
+
+
+def _streams(batches):
+    """(host, bucket, parts, digest, text) of the content of each page; copies
+    within a task go, so that a page's copies are few rows of its group."""
     import pyarrow as pa
 
+    seen = set()
     for batch in batches:
         out = []
-        for rid, host, opened in zip(*(batch.column(c).to_pylist() for c in ("rid", "host", "opened"))):
-            words = " ".join(opened).split()
-            for at in range(len(words) - WINDOW + 1):
-                out.append((rid, host, md5(" ".join(words[at : at + WINDOW]).encode("utf-8", "surrogatepass")).hexdigest(), at))
-        cols = list(zip(*out)) or [[], [], [], []]
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["rid", "host", "window", "at"])
+        for host, bucket, parts, digest, html in zip(*(c.to_pylist() for c in batch.columns)):
+            if (host, digest) not in seen:
+                seen.add((host, digest))
+                text = " ".join(_content(html)[1])
+                if text:
+                    out.append((host, bucket, parts, digest, text))
+        cols = list(zip(*out)) or [[], [], [], [], []]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "bucket", "parts", "digest", "text"])
+
+
+def _group(key, table):
+    """The windows that may be boilerplate, of one group of a host's pages."""
+    import pyarrow as pa
 
+    pages = dict(zip(table["digest"].to_pylist(), table["text"].to_pylist()))
+    whole = table["parts"][0].as_py() == 1
+    found = np.zeros(0, np.int64)
+    least = max(MIN_PAGES if whole else 1, int(np.ceil(CHROME_SHARE * len(pages) - 1e-9)))
+    if len(pages) >= least:
+        codes, own, starts, hashed = _hashes([t.split() for t in pages.values()])
+        if len(starts):
+            # Windows that run over a page's end are not looked at.
+            rank = ranks(codes)[starts]
+            pairs = np.unique(rank * len(pages) + own[starts])
+            held = np.bincount(pairs // len(pages), minlength=rank.max() + 1)
+            first = np.unique(rank, return_index=True)[1]
+            found = np.unique(hashed[first[held[rank[first]] >= least]])
+    return pa.table({"host": pa.array([key[0].as_py()] * len(found), pa.string()), "window": pa.array(found, pa.int64())})
+
+
+def _sought(hosts, column):
+    """The windows looked for in each row; rows of one host share them."""
+    held: dict[str, np.ndarray] = {}
+    for k, host in enumerate(hosts):
+        if host not in held:
+            held[host] = np.sort(np.array(column[k].as_py() or [], np.int64))
+        yield held[host]
+
+
+def _counted(batches):
+    """(host, window, digest, content, chrome): where a page has a candidate."""
+    import pyarrow as pa
 
-def _uncovered():
-    def step(ids, urls, opened, covered):
+    for batch in batches:
+        hosts, digests, htmls = (batch.column(c).to_pylist() for c in ("host", "digest", "html"))
+        out = [[], [], [], [], []]
+        for host, digest, html, sought in zip(hosts, digests, htmls, _sought(hosts, batch.column("windows"))):
+            _, content, chrome = _content(html)
+            _, own, starts, hashed = _hashes([" ".join(content).split(), " ".join(chrome).split()])
+            met = np.isin(hashed, sought)
+            inside, where = hashed[met], own[starts[met]]
+            main, side = set(inside[where == 0].tolist()), set(inside[where == 1].tolist())
+            for w in main | side:
+                for c, v in zip(out, (host, w, digest, int(w in main), int(w in side))):
+                    c.append(v)
+        kinds = (pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["host", "window", "digest", "content", "chrome"])
+
+
+def left_over(content: list[str], sought: np.ndarray, is_main: bool) -> list[str]:
+    """The blocks of a content less what boilerplate covers."""
+    words = [t.split() for t in content]
+    stream = [w for block in words for w in block]
+    _, _, starts, hashed = _hashes([stream])
+    at = starts[np.isin(hashed, sought)]
+    if not len(at):
+        return content
+    edge = np.zeros(len(stream) + 1, np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + WINDOW, -1)
+    gone = np.cumsum(edge)[:-1] > 0
+    if is_main and gone.sum() * 2 > len(stream):
+        return content
+    kept, k = [], 0
+    for block in words:
+        left = " ".join(w for w, g in zip(block, gone[k : k + len(block)]) if not g)
+        k += len(block)
+        if left:
+            kept.append(left)
+    return kept
+
+
+def _texts():
+    def step(ids, urls, hosts, htmls, windows):
+        held: dict[str, np.ndarray] = {}
         out = []
-        for i, url, texts, starts in zip(ids, urls, opened, covered):
-            gone = {k for at in starts or () for k in range(at, at + WINDOW)}
-            kept, at = [], 0
-            for text in texts:
-                words = text.split()
-                left = " ".join(w for k, w in enumerate(words, at) if k not in gone)
-                at += len(words)
-                if left:
-                    kept.append(left)
-            text = "\n".join(kept)
+        for i, url, host, html, sought in zip(ids, urls, hosts, htmls, windows):
+            is_main, content, _ = _content(html)
+            if sought:
+                if host not in held:
+                    held[host] = np.array(sought, np.int64)
+                content = left_over(content, held[host], is_main)
+            text = "\n".join(content)
             out.append((i, url, text, len(text)))
         return out
 
     return step
 
 
+def boilerplate(pages: DataFrame) -> DataFrame:
+    """(host, windows) of ``pages`` (host, digest, html): each host's boilerplate."""
+    bounded_batches(pages.sparkSession)
+    distinct = pages.groupBy("host", "digest").agg(F.max(F.length("html")).alias("chars"))
+    hosts = stored(distinct.groupBy("host").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")), "hosts")
+    # Hosts of more than one group are few: so many groups hold so many characters.
+    large = small(hosts.where(F.col("chars") > GROUP_CHARS).select("host", F.ceil(F.col("chars") / GROUP_CHARS).alias("parts")))
+    dealt = pages.join(large, "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
+    dealt = dealt.select("host", F.pmod(F.xxhash64("digest"), F.col("parts")).alias("bucket"), "parts", "digest", "html")
+    streams = dealt.mapInArrow(_streams, "host string, bucket bigint, parts bigint, digest binary, text string")
+    candidates = streams.groupBy("host", "bucket").applyInArrow(_group, "host string, window bigint").distinct()
+    sought = stored(candidates.groupBy("host").agg(F.collect_set("window").alias("windows")), "candidates")
+    met = pages.join(small(sought, HOSTS_SENT), "host").mapInArrow(_counted, "host string, window bigint, digest binary, content int, chrome int")
+    once = met.groupBy("host", "window", "digest").agg(F.max("content").alias("content"), F.max("chrome").alias("chrome"))
+    held = once.groupBy("host", "window").agg(F.sum("content").alias("content"), F.sum("chrome").alias("chrome")).join(hosts, "host")
+    of = lambda share: F.greatest(F.lit(MIN_PAGES), F.ceil(F.lit(share) * F.col("n") - 1e-9))
+    alike = F.least("content", "chrome") >= of(CHROME_SHARE)
+    return stored(held.where((F.col("content") >= of(SHARE)) | alike).groupBy("host").agg(F.collect_list("window").alias("windows")), "boilerplate")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each page."""
-    found = parsed(pages)
-    with_main = found.where("main <> '' OR size(opened) = 0").select("page_id", "url", F.col("main").alias("text"))
-    with_main = with_main.withColumn("n_chars", F.length("text").cast("bigint"))
-    # Pages without an article, by a key of their content: equal rows share it.
-    rid = F.md5(F.concat_ws("\u0001", F.col("page_id").cast("string"), "url", F.array_join("opened", "\n")))
-    opened = stored(found.where("main = '' AND size(opened) > 0").select(rid.alias("rid"), "page_id", "url", "host", "opened"), "opened")
+    digest = F.unhex(F.md5(F.coalesce("html", F.lit(""))))
+    rows = pages.select("page_id", "url", "html", _host().alias("host"), digest.alias("digest"))
+    found = small(boilerplate(rows.select("host", "digest", "html")), HOSTS_SENT)
     kind = pages.schema["page_id"].dataType.simpleString()
     schema = f"page_id {kind}, url string, text string, n_chars bigint"
-    if opened.isEmpty():
-        return with_main
-    own = opened.dropDuplicates(["rid"]).mapInArrow(_own_windows, "rid string, host string, window string, at int")
-    covered = own.join(repeated_windows(found), ["host", "window"], "left_semi")
-    starts = covered.groupBy("rid").agg(F.collect_list("at").alias("starts"))
-    rest = map_rows(opened.join(starts, "rid", "left"), ["page_id", "url", "opened", "starts"], schema, _uncovered)
-    return with_main.unionByName(rest)
+    return map_rows(rows.join(found, "host", "left"), ["page_id", "url", "host", "html", "windows"], schema, _texts)

@@ -181,6 +181,36 @@ def test_hosts_repeat_and_unique_runs_stay(spark):
         assert out[k] == (whole if k >= 4 else f"{k} alone\nunique text {k}")
 
 
+def test_suffix_array_decides_within_articles(spark, monkeypatch):
+    """What a host repeats goes from articles too; passages that two articles
+    share, copies of a page and copied articles stay."""
+    monkeypatch.setattr(html_main, "GROUP_CHARS", 1_500)
+    notice = "please read our house rules before you write to the editors of this paper"
+    quote = "to be or not to be that is the question here"
+    rows = []
+    for k in range(20):
+        own = " ".join(f"w{k}x{j}" for j in range(30))
+        rows.append((k, f"http://h/{k}", f"<article><p>{own}</p><p>{notice}</p><p>{quote if k < 2 else ''} e{k}</p></article>"))
+    rows += [(100 + k, f"http://h/copy{k}", "<article><p>one page that is sent again and again by the host</p></article>") for k in range(15)]
+    # Most of a host's pages are near copies of one article.
+    body = " ".join(f"b{j}" for j in range(40))
+    rows += [(200 + k, f"http://near/{k}", f"<article><p>{body}</p><p>variant {k}</p></article>") for k in range(6)]
+    # Shown as chrome by some pages, as part of the article by others.
+    asked = "join our weekly letter and get all of the news by mail"
+    for k in range(12):
+        own = " ".join(f"v{k}x{j}" for j in range(30))
+        side, inside = ("", asked) if k < 3 else (asked, "") if k < 6 else ("", "")
+        rows.append((300 + k, f"http://c/{k}", f"<aside>{side}</aside><article><p>{own}</p><p>{inside}</p></article>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    out = {x.page_id: x.text for x in html_main.main_text(df).collect()}
+    for k in range(20):
+        own = " ".join(f"w{k}x{j}" for j in range(30))
+        assert out[k] == f"{own}\n{quote + ' ' if k < 2 else ''}e{k}"
+    assert {out[100 + k] for k in range(15)} == {"one page that is sent again and again by the host"}
+    assert all(out[200 + k] == f"{body}\nvariant {k}" for k in range(6))
+    assert all(out[300 + k] == " ".join(f"v{k}x{j}" for j in range(30)) for k in range(12))
+
+
 def test_ranks_equal_sorted_windows():
     import numpy as np
 
