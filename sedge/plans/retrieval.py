@@ -68,7 +68,7 @@ def embed(spark, sf_dir):
 @query("e4_similar_chunks", f"WITH {_VECS} SELECT b.vec_id AS query_id, a.vec_id, round({_COS}, 6) AS score FROM vecs a, vecs b WHERE b.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND {_COS} >= 0.8")
 def similar_chunks(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
-    n = F.broadcast(q.select("query_id", "query_vector", R.norm(F.col("query_vector")).alias("n2")))
+    n = R.small(q.select("query_id", "query_vector", R.norm(F.col("query_vector")).alias("n2")))
     rows = v.withColumn("n1", R.norm(F.col("embedding"))).join(n, F.col("vec_id") != F.col("query_id"))
     score = R.dot(F.col("embedding"), F.col("query_vector")) / (F.col("n1") * F.col("n2"))
     return rows.select("query_id", "vec_id", F.round(score, 6).alias("score"), score.alias("raw")).where("raw >= 0.8").drop("raw")

@@ -147,3 +147,12 @@ def test_keyword_search_counts_words_once(spark):
     queries = spark.createDataFrame([(1, "Red fox"), (2, "absent")], "query_id int, query string")
     got = [(x.query_id, x.chunk_id) for x in retrieval.keyword_search(chunks, queries).orderBy("query_id", "rank").collect()]
     assert got == [(1, "c1"), (1, "c2")]
+
+
+def test_large_query_sets_are_not_broadcast(spark, monkeypatch, sf_dir):
+    from sedge.plans import retrieval as plans
+
+    seen = []
+    monkeypatch.setattr(plans.R, "small", lambda df, *a: seen.append(df.columns) or df)
+    plans.similar_chunks(spark, sf_dir)
+    assert ["query_id", "query_vector", "n2"] in seen
