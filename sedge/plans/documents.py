@@ -357,7 +357,8 @@ def register(spark, sf_dir):
 @query("a2_read_text_docs", "SELECT CAST(sum(length(text) + 1) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS warnings FROM documents")
 def read_text_docs(spark, sf_dir):
     """Documents written as text files, found again and decoded."""
-    path = _written(tables.table(spark, sf_dir, "documents").select("text"), "text")
+    # Files of a bounded number of documents; larger ones are read by lines.
+    path = _written(tables.table(spark, sf_dir, "documents").select("text"), "text", maxRecordsPerFile=1000)
     texts = readers.read_texts(readers.scan_files(spark, path))
     return texts.agg(F.sum(F.length("text")).alias("chars"), F.count("warning").alias("warnings"))
 

@@ -22,11 +22,35 @@ def scan_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> Da
     return files.select("path", "length", extension.alias("extension"), kind.alias("format"), reason.alias("rejected"), "content")
 
 
-def read_texts(files: DataFrame) -> DataFrame:
-    """Decoded texts of scanned files: UTF-8, or Latin-1 with a warning."""
+def read_texts(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Decoded texts of scanned files: UTF-8, or Latin-1 with a warning.
+
+    A file of ``max_bytes`` or less is one row.  A larger one comes as a row for
+    each line, its line end included, so no task holds the whole of it."""
+    files = files.where("format = 'text'")
     good = F.is_valid_utf8(F.col("content").cast("string"))
     text = F.when(good, F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
-    return files.where("rejected IS NULL AND format = 'text'").select("path", text.alias("text"), F.when(~good, "decoded as Latin-1").alias("warning"))
+    # The comparison reaches the scan: the content of larger files is not read.
+    whole = files.where((F.col("length") <= max_bytes) & (F.col("rejected").isNull() | (F.col("rejected") == "too large")))
+    whole = whole.select("path", text.alias("text"), F.when(~good, "decoded as Latin-1").alias("warning"))
+    large = [x.path for x in files.where(F.col("length") > max_bytes).select("path").collect()]
+    return whole.union(_lines(files.sparkSession, large)) if large else whole
+
+
+def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, text, warning) of each line of text files."""
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    path = F.regexp_replace("_metadata.file_path", "^file:///", "file:/")
+    raw = spark.read.option("lineSep", "\n").text(paths)
+    lines = raw.select(path.alias("path"), F.col("_metadata.file_size").alias("bytes"), at.alias("at"), "value")
+    files = lines.groupBy("path").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("good"), F.max("at").alias("last"),
+        # The last line has no end if the file is one byte short.
+        (F.sum(F.octet_length("value") + 1) > F.max("bytes")).alias("open_end"),
+    )
+    end = F.when(F.col("open_end") & (F.col("at") == F.col("last")), "").otherwise("\n")
+    text = F.when(F.col("good"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
+    return lines.join(files, "path").select("path", F.concat(text, end).alias("text"), F.when(~F.col("good"), "decoded as Latin-1").alias("warning"))
 
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:

@@ -156,3 +156,17 @@ def test_large_query_sets_are_not_broadcast(spark, monkeypatch, sf_dir):
     monkeypatch.setattr(plans.R, "small", lambda df, *a: seen.append(df.columns) or df)
     plans.similar_chunks(spark, sf_dir)
     assert ["query_id", "query_vector", "n2"] in seen
+
+
+def test_large_texts_are_read_by_lines(spark, tmp_path):
+    want = {"ended.txt": "one\ntwo é\n\nthree\r\n", "open.txt": "one\n\ntwo", "small.txt": "x"}
+    for name, text in want.items():
+        (tmp_path / name).write_bytes(text.encode())
+    (tmp_path / "latin.txt").write_bytes("plain line\ncafé au lait\n".encode("latin-1"))
+    want["latin.txt"] = "plain line\ncafé au lait\n"
+    rows = readers.read_texts(readers.scan_files(spark, str(tmp_path), 5), 5).collect()
+    got = {}
+    for x in rows:
+        got.setdefault(x.path.rsplit("/", 1)[1], []).append(x.text)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted([p for p in re.split(r"(?<=\n)", t) if p]) for k, t in want.items()}
+    assert {x.path.rsplit("/", 1)[1] for x in rows if x.warning} == {"latin.txt"}
