@@ -15,8 +15,10 @@ def first_of_each(signals: DataFrame) -> DataFrame:
     return signals.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def first_of_each_stream(signals: DataFrame, delay: str = "1 day") -> DataFrame:
-    return signals.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["signal_id"])
+def first_of_each_stream(signals: DataFrame) -> DataFrame:
+    """One row for each signal id, the first seen.  Ids are kept for the whole
+    run, without a watermark: files may come in any order of time."""
+    return signals.dropDuplicates(["signal_id"])
 
 
 def target() -> Column:

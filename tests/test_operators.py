@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedge.operators import chunks as C
-from sedge.operators import curriculum, documents, evaluation, retrieval, sections
+from sedge.operators import curriculum, documents, evaluation, feedback, retrieval, sections
 from sedge.operators.registry import register_strategy, strategy
 from sedge.sources import readers, tables
+from sedge.streaming.runs import finished
 
 
 def test_conflicts_equal_all_pairs(spark):
@@ -170,3 +171,14 @@ def test_large_texts_are_read_by_lines(spark, tmp_path):
         got.setdefault(x.path.rsplit("/", 1)[1], []).append(x.text)
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted([p for p in re.split(r"(?<=\n)", t) if p]) for k, t in want.items()}
     assert {x.path.rsplit("/", 1)[1] for x in rows if x.warning} == {"latin.txt"}
+
+
+def test_stream_keeps_every_signal_in_any_order(spark, tmp_path):
+    """Twelve files of four batches' worth, newest first, with late repeats."""
+    path = str(tmp_path / "signals.parquet")
+    for k in range(12):
+        ids = [10 * k + j for j in range(10)] + ([3] if k == 9 else [])
+        rows = spark.createDataFrame([(i, 30 - k) for i in ids], "signal_id long, day int")
+        rows.selectExpr("signal_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, day) AS ts").coalesce(1).write.mode("append").parquet(path)
+    out = finished(feedback.first_of_each_stream(readers.stream_of(spark, path)), "test_signals")
+    assert sorted(x.signal_id for x in out.collect()) == list(range(120))
