@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import chunks as C
 from ..operators import documents as D
 from ..operators.registry import register_strategy, strategy
 from ..sources import readers, tables
+from ..sources.shared import shared_folder
 from .catalog import query
 from .sql import STRIP, statement
 
@@ -77,9 +76,7 @@ def export_record(spark, sf_dir):
 
 
 def _written(df, kind: str, **options):
-    spark = df.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/sedge-shared").rstrip("/")
-    path = f"{base}/sink-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, "sink")
     df.write.format(kind).options(**options).save(path)
     return path
 
@@ -126,8 +123,7 @@ _payload("a21_to_pinecone", D.to_pinecone, "metadata")
 def export_training_split(spark, sf_dir):
     split = F.when(F.col("is_test_set"), "test").otherwise("train")
     rows = tables.examples(spark, sf_dir).select(F.col("question").alias("instruction"), F.col("answer").alias("output"), split.alias("split"))
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/sedge-shared").rstrip("/")
-    path = f"{base}/split-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "split")
     rows.write.partitionBy("split").json(path)
     return spark.read.schema("instruction string, output string, split string").json(path)
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 
+from ..sources.shared import shared_folder
+
 
 def finished(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and return the table of its output.
@@ -14,12 +14,11 @@ def finished(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     In append mode the last windows are written when the watermark passes them;
     ``complete`` writes them all."""
     spark = stream.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/sedge-shared").rstrip("/")
-    folder, table = f"{base}/stream-{name}-{uuid.uuid4().hex}", f"stream_{name}_{uuid.uuid4().hex}"
+    folder = shared_folder(spark, f"stream-{name}")
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode(mode)
     if mode == "append":
         writer.format("parquet").option("path", f"{folder}/out").start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{folder}/out")
     # Complete results are aggregates: each batch replaces the table.
-    writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out")).queryName(table).start().awaitTermination()
+    writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out")).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
