@@ -23,14 +23,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut in the lineage
-    which survives lost executors."""
-    return _written(df, shared_folder(df.sparkSession, name))
+    which survives lost executors.  ``options`` are the writer's."""
+    return _written(df, shared_folder(df.sparkSession, name), **options)
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+def _written(df: DataFrame, path: str, **options) -> DataFrame:
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
