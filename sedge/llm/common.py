@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +11,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..shipping import ship
+from ..sources.shared import Rounds, shared_folder, stored
+
+__all__ = ["Rounds", "bounded_batches", "map_rows", "shared_folder", "stored", "text_of"]
 
 #: Rows in one Arrow batch.  With long texts this bounds what a Python worker
 #: holds at once; Spark's default of 10,000 rows is too much for that.
@@ -60,26 +62,6 @@ def _mapper(out: pa.Schema, start):
     return run
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all nodes share.
-
-    Where the setting is unset (tests on one machine), a local folder is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/sedge-shared"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut in the lineage
-    which survives lost executors."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_of(column: str = "text"):
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

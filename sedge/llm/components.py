@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Rounds
 
 ROUNDS = 60
 
@@ -19,12 +19,13 @@ ROUNDS = 60
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) of one ordered type to (node, component): the smallest
     node reachable.  Nodes without a link to another are left out."""
-    held = stored(_ordered(edges.select("a", "b")), "edges")
+    rounds = Rounds(edges.sparkSession, "edges")
+    held = rounds.hold(_ordered(edges.select("a", "b")))
     mark = _mark(held)
     for _ in range(ROUNDS):
         if not mark[0]:
             break
-        held = stored(_small_star(_large_star(held)), "edges")
+        held = rounds.hold(_small_star(_large_star(held)))
         now = _mark(held)
         if now == mark:
             break
