@@ -7,17 +7,21 @@ first line of each record, so files of any size are read as a stream.  A
 payload that holds such a cut itself is written in base 64, which a header
 field says.
 
-Resolution: headers are shuffled by payload digest and length, the record with
-the largest page id of a group is the response, and the others become revisits
-that refer to it.  The group's largest is found by a partial aggregate, so a
-digest that a third of all records share is no hot spot, and no group is
-gathered.
+Resolution: only headers are shuffled, by payload digest and length; payloads
+stay in the archives where they were captured.  The record with the largest page
+id of a group is the response, and the others become revisits that refer to it.
+The group's largest is found by a partial aggregate; groups of one record take
+no part in the join, and the join's sides are tables of slim rows, so that Spark
+can split a digest that a third of all records share.  Revisit records are
+written from headers alone.  Responses are streamed once more from the captured
+archives, a bounded set of archives at a time: the ids of the set's revisits are
+broadcast (``SENT`` at most) and their records passed over.
 
 Defined results: a null html is the empty payload; a null url writes no target;
 records without an id are revisits of the group's largest id, or responses if
 no record of the group has an id; records that share the largest id are all
-responses; repeated rows give repeated rows; an empty table gives empty
-archives; other columns are not read.
+responses; repeated rows give repeated rows; ids of any type keep it; an empty
+table gives empty archives; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,17 +29,27 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+from functools import reduce
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, shared_folder
+from ..operators.retrieval import small
+from .common import map_rows, shared_folder, stored
 
 VERSION, END = "WARC/1.1", "\r\n"
 CUT = END * 2 + VERSION + END
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 NAMES = uuid.UUID("8a3fb0cf-7f6c-4f8b-a0f6-3d9a4b5f2c11")
+#: Records in one archive at most.
+ARCHIVE_RECORDS = 100_000
+#: Ids of revisits that are broadcast at once at most (some 100 bytes each).
+SENT = 200_000
+#: Sets of archives copied by one job.
+SETS_AT_ONCE = 8
+RECORD_ID = r"\r\nWARC-Record-ID: <urn:uuid:([^>]+)>"
 
 
 def digest(payload: bytes) -> str:
@@ -46,10 +60,11 @@ def record_id(page_id, payload_digest: str, kind: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMES, f'{kind}|{page_id}|{payload_digest}')}>"
 
 
-def record(kind: str, page_id, url: str | None, payload: bytes, held: str, refers: tuple | None = None) -> str:
-    """One record as text, without the line ends behind it."""
-    top = f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=UTF-8{END}Content-Length: {len(payload)}{END * 2}"
-    body, coded = payload if kind == "response" else b"", False
+def record(kind: str, page_id, url: str | None, payload: bytes | None, size: int, held: str, refers: tuple | None = None) -> str:
+    """One record as text, without the line ends behind it.  A revisit has the
+    size and the digest of a payload only."""
+    top = f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=UTF-8{END}Content-Length: {size}{END * 2}"
+    body, coded = payload or b"", False
     if CUT.encode() in top.encode() + body + (END * 2).encode():
         body, coded = base64.b64encode(body), True
     block = top.encode() + body
@@ -60,18 +75,18 @@ def record(kind: str, page_id, url: str | None, payload: bytes, held: str, refer
         ("WARC-Payload-Digest", f"sha1:{held}"),
         ("WARC-Block-Digest", f"sha1:{digest(block)}"),
         ("Content-Type", "application/http; msgtype=response"),
-        ("X-Payload-Length", str(len(payload))),
+        ("X-Payload-Length", str(size)),
     ]
     if url is not None:
         fields.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
     if page_id is not None:
-        fields.append(("X-Page-Id", str(page_id)))
+        fields.append(("X-Page-Id", quote(str(page_id))))
     if coded:
         fields.append(("X-Payload-Encoding", "base64"))
     if kind == "revisit":
         fields += [("WARC-Profile", PROFILE), ("WARC-Truncated", "length"), ("WARC-Refers-To-Date", DATE)]
         if refers:
-            fields += [("WARC-Refers-To", record_id(refers[0], held, "response")), ("X-Refers-To-Page", str(refers[0]))]
+            fields += [("WARC-Refers-To", record_id(refers[0], held, "response")), ("X-Refers-To-Page", quote(str(refers[0])))]
             if refers[1] is not None:
                 fields.append(("WARC-Refers-To-Target-URI", refers[1].replace("\r", "%0D").replace("\n", "%0A")))
     fields.append(("Content-Length", str(len(block))))
@@ -91,30 +106,62 @@ def parsed(text: str) -> tuple[dict[str, str], bytes]:
     return fields, data[:size]
 
 
-def _records():
-    def step(ids, urls, htmls, kinds, refers, refer_urls):
+def _captured():
+    def step(ids, urls, htmls):
         out = []
-        for i, url, html, kind, to, to_url in zip(ids, urls, htmls, kinds, refers, refer_urls):
+        for i, url, html in zip(ids, urls, htmls):
             payload = (html or "").encode("utf-8", "surrogatepass")
-            out.append((record(kind, i, url, payload, digest(payload), None if to is None else (to, to_url)),))
+            out.append((record("response", i, url, payload, len(payload), digest(payload)),))
         return out
 
     return step
 
 
-def write_archives(rows: DataFrame, path: str) -> None:
-    """Write rows (page_id, url, html, record_type, refers_to, refers_to_url)."""
-    columns = ["page_id", "url", "html", "record_type", "refers_to", "refers_to_url"]
-    lines = map_rows(rows, columns, "value string", _records)
+def _revisits():
+    def step(ids, urls, sizes, digests, refers, refer_urls):
+        return [
+            (record("revisit", i, url, None, size, held, None if to is None else (to, to_url)),)
+            for i, url, size, held, to, to_url in zip(ids, urls, sizes, digests, refers, refer_urls)
+        ]
+
+    return step
+
+
+def _renewed():
+    def step(texts):
+        out = []
+        for text in texts:
+            fields, block = parsed(text)
+            fields["WARC-Date"] = DATE
+            head = "".join(f"{k}: {v}{END}" for k, v in fields.items())
+            out.append((f"{VERSION}{END}{head}{END}{block.decode('utf-8', 'surrogatepass')}",))
+        return out
+
+    return step
+
+
+def _save(lines: DataFrame, path: str) -> None:
     # Fast compression: archives are read again soon.
-    lines.write.option("lineSep", END * 2).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+    writer = lines.write.mode("append").option("lineSep", END * 2).option("maxRecordsPerFile", ARCHIVE_RECORDS)
+    writer.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+
+
+def write_archives(pages: DataFrame, path: str) -> None:
+    """A response record for each row (page_id, url, html)."""
+    _save(map_rows(pages, ["page_id", "url", "html"], "value string", _captured), path)
+
+
+def _lines(spark: SparkSession, paths) -> DataFrame:
+    """(value, file): the records of archives as text."""
+    raw = spark.read.option("lineSep", CUT).schema("value string").text(paths)
+    return raw.select("value", F.col("_metadata.file_path").alias("file"))
 
 
 def _fields(with_payload: bool):
     def start():
-        def step(texts):
+        def step(texts, files):
             out = []
-            for text in texts:
+            for text, file in zip(texts, files):
                 fields, block = parsed(text)
                 _, _, body = block.partition((END * 2).encode())
                 if fields.get("X-Payload-Encoding") == "base64":
@@ -125,12 +172,14 @@ def _fields(with_payload: bool):
                     raise ValueError(f"record {fields['WARC-Record-ID']}: payload differs")
                 page, to = fields.get("X-Page-Id"), fields.get("X-Refers-To-Page")
                 row = (
-                    None if page is None else int(page),
+                    None if page is None else unquote(page),
                     int(fields["X-Payload-Length"]),
                     held,
                     fields["WARC-Type"],
-                    None if to is None else int(to),
+                    None if to is None else unquote(to),
                     fields.get("WARC-Target-URI"),
+                    fields["WARC-Record-ID"][len("<urn:uuid:") : -1],
+                    file,
                 )
                 out.append((*row, body.decode("utf-8", "surrogatepass") if whole else None) if with_payload else row)
             return out
@@ -140,39 +189,77 @@ def _fields(with_payload: bool):
     return start
 
 
-def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, with_payload: bool = False, id_type: str = "bigint") -> DataFrame:
     """The records of all archives in a folder, checked against their digests."""
-    lines = spark.read.option("lineSep", CUT).schema("value string").text(path)
-    schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string"
-    return map_rows(lines, ["value"], schema + ", html string" * with_payload, _fields(with_payload))
+    schema = "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, url string, record_id string, file string"
+    rows = map_rows(_lines(spark, path), ["value", "file"], schema + ", html string" * with_payload, _fields(with_payload))
+    return rows.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
-def resolved(records: DataFrame) -> DataFrame:
-    """``records`` with ``record_type``, ``refers_to`` and ``refers_to_url`` by
+def resolved(headers: DataFrame) -> DataFrame:
+    """``headers`` with ``record_type``, ``refers_to`` and ``refers_to_url`` by
     payload digest."""
     keys = ["payload_digest", "payload_bytes"]
-    first = records.groupBy(*keys).agg(F.max(F.struct("page_id", "url")).alias("__first"))
-    joined = records.drop("record_type", "refers_to").join(first, keys)
+    first = headers.groupBy(*keys).agg(F.max(F.struct("page_id", "url")).alias("__first"), F.count("*").alias("__n"))
+    shared = stored(first.where("__n > 1").drop("__n"), "shared-payloads")
+    joined = headers.drop("record_type", "refers_to").join(small(shared), keys, "left")
     lead = F.col("__first.page_id")
     response = lead.isNull() | F.coalesce(F.col("page_id") == lead, F.lit(False))
     return joined.select(
-        "page_id", "url", "html", *keys,
-        F.when(response, "response").otherwise("revisit").alias("record_type"),
-        F.when(~response, lead).alias("refers_to"),
-        F.when(~response, F.col("__first.url")).alias("refers_to_url"),
+        *headers.drop("record_type", "refers_to").columns, F.when(response, "response").otherwise("revisit").alias("record_type"),
+        F.when(~response, lead).alias("refers_to"), F.when(~response, F.col("__first.url")).alias("refers_to_url"),
     )
 
 
-def deduplicated(pages: DataFrame, folder: str | None = None) -> DataFrame:
+def _sets(by_file: DataFrame, limit: int):
+    """(archives, revisits) of sets with ``limit`` revisits or fewer together; an
+    archive with more is a set of its own.  The driver sees a row an archive, as
+    it does when Spark lists them."""
+    held, n = [], 0
+    for x in by_file.orderBy("file").toLocalIterator():
+        if held and n + x.n > limit:
+            yield held, n
+            held, n = [], 0
+        held.append(x.file)
+        n += x.n
+    if held:
+        yield held, n
+
+
+def deduplicated(pages: DataFrame, folder: str | None = None, sent: int = SENT) -> DataFrame:
     """Archive all pages, read the archives, write deduplicated ones with fresh
     headers, and return what those hold."""
-    spark = pages.sparkSession
+    spark, kind = pages.sparkSession, pages.schema["page_id"].dataType.simpleString()
     folder = folder or shared_folder(spark, "warc")
-    none = F.lit(None)
-    rows = pages.select(
-        F.col("page_id").cast("bigint"), "url", "html", F.lit("response").alias("record_type"),
-        none.cast("bigint").alias("refers_to"), none.cast("string").alias("refers_to_url"),
-    )
-    write_archives(rows, f"{folder}/captured")
-    write_archives(resolved(read_archives(spark, f"{folder}/captured", True)), f"{folder}/deduplicated")
-    return read_archives(spark, f"{folder}/deduplicated").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    captured, out = f"{folder}/captured", f"{folder}/deduplicated"
+    write_archives(pages, captured)
+    headers = stored(read_archives(spark, captured, id_type=kind), "headers")
+    verdicts = stored(resolved(headers), "verdicts")
+    columns = ["page_id", "url", "payload_bytes", "payload_digest", "refers_to", "refers_to_url"]
+    _save(map_rows(verdicts.where("record_type = 'revisit'"), columns, "value string", _revisits), out)
+    _copy_responses(captured, verdicts, out, sent)
+    return read_archives(spark, out, id_type=kind).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _copy_responses(captured: str, verdicts: DataFrame, out: str, sent: int) -> None:
+    """Copy the captured records that are no revisits, ``SETS_AT_ONCE`` sets of
+    archives in a job, each with the ids of its own revisits."""
+    spark = verdicts.sparkSession
+    revisit = F.col("record_type") == "revisit"
+    by_file = verdicts.groupBy("file").agg(F.count_if(revisit).alias("n"))
+    whole = (by_file.agg(F.sum("n")).first()[0] or 0) <= sent
+    sets = [(captured, 0)] if whole else _sets(by_file, sent)
+    jobs: list[DataFrame] = []
+
+    def copy() -> None:
+        _save(map_rows(reduce(DataFrame.union, jobs), ["value"], "value string", _renewed), out)
+        jobs.clear()
+
+    for files, n in sets:
+        lines = _lines(spark, files).select("value", F.regexp_extract("value", RECORD_ID, 1).alias("record_id"))
+        gone = verdicts.where(revisit if whole else revisit & F.col("file").isin(files)).select("record_id").distinct()
+        jobs.append(lines.join(F.broadcast(gone) if n <= sent else gone, "record_id", "left_anti"))
+        if len(jobs) == SETS_AT_ONCE:
+            copy()
+    if jobs:
+        copy()
