@@ -2,13 +2,20 @@
 
 A page's html is cut into blocks.  Blocks inside navigation, headers, footers,
 sidebars, notices, adverts, forms, comments, scripts and styles are chrome;
-blocks inside an article or main element are main; other blocks are open.  The
-content of a page is its main blocks, or its open blocks where it has none.
-Structure alone drops the chrome; what the host repeats decides within content:
+blocks inside an article or main element are main; other blocks are open.  A class,
+id or role makes an element chrome if it is made of words of chrome and of layout
+only (``cookie-notice``, ``comments-list``), not if one of its parts is such a
+word (``related-work``, ``notice-period``).  A button in a sentence is a part of
+it.  The content of a page is its main blocks, or its open blocks where it has
+none.  Structure alone drops the chrome; what the host repeats decides within
+content:
 
 * the content streams of a host's distinct pages are dealt by a digest of the
-  page to groups of bounded size; in each, a suffix array sorted on the first
-  ``WINDOW`` tokens (by prefix doubling) gives equal substrings equal ranks;
+  page to groups of bounded size and concatenated; a suffix array of the group
+  puts suffixes that begin alike next to each other.  Where neighbours share
+  ``WINDOW`` tokens or more they are one interval, a substring that is repeated
+  on so many distinct pages.  Longer repeats are covered by the intervals of
+  their substrings of ``WINDOW`` tokens, so these are all that is handed on;
 * a repeat on a share of a host's pages is on that share of one group at least:
   such substrings are candidates, and their distinct pages are then counted
   exactly over the whole host, in content and in chrome;
@@ -18,17 +25,19 @@ Structure alone drops the chrome; what the host repeats decides within content:
 * tokens covered by boilerplate go, other runs stay.  A main text of which more
   than half is covered is a copy of other articles and stays whole.
 
-Copies of a page (equal html) count as one page.  Substrings of different groups
-are matched by 64-bit hashes.
+Pages are parsed once.  Copies of a page (equal html) count as one page.
+Substrings of different groups are matched by 64-bit hashes.
 
 Defined results: a null html is the empty page with the empty text; a null url
-is a host of its own name; repeated rows give repeated rows; other columns are
-not read; an empty table gives an empty table.  Pages are read whole.
+is a host of its own name; repeated rows give repeated rows; ids of any type keep
+it, and rows without one are pages like others; other columns are not read; an
+empty table gives an empty table.  Pages are read whole.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from html import unescape
 
 import numpy as np
@@ -43,8 +52,9 @@ WINDOW = 8
 #: Shares of a host's distinct pages that make a repeat boilerplate: without and
 #: with as many of them showing it in their chrome; pages at least.
 SHARE, CHROME_SHARE, MIN_PAGES = 0.5, 0.1, 3
-#: Hosts whose repeats are broadcast at most; those of more are joined by shuffle.
-HOSTS_SENT = 5_000
+#: Substrings of all hosts that are broadcast at most (8 bytes each); more are
+#: joined by shuffle.
+SENT = 1_000_000
 #: Characters of html in a group, about.
 GROUP_CHARS = 8_000_000
 
@@ -69,7 +79,12 @@ CHROME_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices "
     "alert popup modal overlay sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar share sharing "
     "social related recommended newsletter subscribe subscription signup login search comment comments disqus respond replies widget "
-    "pagination pager skip contentinfo complementary search-form site-header page-header".split()
+    "pagination pager skip contentinfo complementary".split()
+)
+#: Words of layout, which say nothing of what an element holds.
+LAYOUT_NAMES = frozenset(
+    "area bar block body bottom box btn button buttons col column container content element fixed form group header heading holder icon icons inner item items left "
+    "link links list main mobile module outer page panel post right row section side site slot sticky text thread title top unit wrap wrapper".split()
 )
 MAIN_TAGS, SPACE = frozenset(("article", "main")), re.compile(r"\s+")
 
@@ -79,11 +94,14 @@ def _chrome(name: str, attributes: str, in_main: bool) -> bool:
         return True
     if not attributes:
         return False
-    for m in NAMES.finditer(attributes):
-        words = (m[1] or m[2] or m[3] or "").lower().split()
-        if any(w in CHROME_NAMES or not CHROME_NAMES.isdisjoint(re.split(r"[-_]", w)) for w in words):
-            return True
-    return False
+    return any(chrome_name(w) for m in NAMES.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").split())
+
+
+def chrome_name(word: str) -> bool:
+    """Whether a class, id or role names chrome as a whole."""
+    parts = {p.rstrip("0123456789") for p in re.split(r"[^a-z0-9]+", word.lower())}
+    parts = {p for p in parts if p.isalpha()}
+    return not parts.isdisjoint(CHROME_NAMES) and parts <= CHROME_NAMES | LAYOUT_NAMES
 
 
 def blocks(html: str) -> list[tuple[str, str]]:
@@ -102,7 +120,7 @@ def blocks(html: str) -> list[tuple[str, str]]:
                 out.append(("title" if stack and stack[-1][0] == "title" else region, text))
             parts.clear()
 
-    at = 0
+    at, inline = 0, False
     for m in TAG.finditer(html):
         if m.start() > at:
             parts.append(html[at : m.start()])
@@ -112,8 +130,12 @@ def blocks(html: str) -> list[tuple[str, str]]:
             continue
         if name == "br":
             parts.append(" ")
+        elif name == "button" and (inline if m[2] else "".join(parts).strip()):
+            # In the midst of a sentence: a part of it.
+            inline = not m[2]
         elif name in BLOCKS or name in HOLDERS:
             close()
+            inline = False
             if name not in HOLDERS:
                 continue
             region = stack[-1][1] if stack else "open"
@@ -141,21 +163,56 @@ def _host():
     return F.when(named == "", "(none)").otherwise(named)
 
 
-def _content(html: str | None) -> tuple[bool, list[str], list[str]]:
+def content_of(html: str | None) -> tuple[bool, list[str], list[str]]:
     """Whether a page has a main text, its content and its chrome."""
     found = blocks(html or "")
     main = [t for region, t in found if region == "main"]
     return bool(main), main or [t for region, t in found if region == "open"], [t for region, t in found if region == "chrome"]
 
 
-def ranks(tokens: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """The rank of each suffix by its first ``window`` tokens, by doubling."""
-    rank, width = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1, 1
-    while width < window:
-        after = np.concatenate([rank[width:], np.zeros(min(width, len(rank)), np.int64)])[: len(rank)]
-        rank = np.unique(rank * (len(rank) + 1) + after, return_inverse=True)[1].astype(np.int64) + 1
+def suffix_array(codes: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of a stream of codes in order, by prefix doubling; and the rank
+    of each by its first ``depth`` codes, a power of two.
+
+    A suffix's rank is the place of the first suffix that begins like it.  Each
+    round sorts only those that are not yet told apart."""
+    n = len(codes)
+    _, kind, counts = np.unique(codes, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(counts) - counts)[kind].astype(np.int64)
+    left, width, at_depth = np.flatnonzero(counts[kind] > 1), 1, None
+    while True:
+        if width == depth:
+            at_depth = rank.copy()
+        if not len(left):
+            break
+        after = np.where(left + width < n, rank[np.minimum(left + width, n - 1)] + 1, 0)
+        order = np.argsort(rank[left] * (n + 1) + after, kind="stable")
+        left, after = left[order], after[order]
+        own = rank[left]
+        group = np.concatenate([[True], own[1:] != own[:-1]])
+        part = group | np.concatenate([[True], after[1:] != after[:-1]])
+        place = np.arange(len(left))
+        rank[left] = own + np.maximum.accumulate(np.where(part, place, 0)) - np.maximum.accumulate(np.where(group, place, 0))
+        left = left[~(part & np.concatenate([part[1:], [True]]))]
         width *= 2
-    return rank
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
+    return order, rank if at_depth is None else at_depth
+
+
+def repeats(codes: np.ndarray, own: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place, distinct pages) of each interval of the suffix array whose
+    suffixes share ``WINDOW`` tokens, all inside one page; ``own`` gives each
+    token's page and ``starts`` the places with so many tokens before its end."""
+    order, depth = suffix_array(codes)
+    inside = np.zeros(len(codes), bool)
+    inside[starts] = True
+    order = order[inside[order]]
+    interval = np.cumsum(np.concatenate([[0], depth[order][1:] != depth[order][:-1]]))
+    n_pages = int(own.max()) + 1
+    pages = np.bincount(np.unique(interval * n_pages + own[order]) // n_pages)
+    first = order[np.unique(interval, return_index=True)[1]]
+    return first, pages
 
 
 def _hashes(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -174,22 +231,31 @@ def _hashes(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return codes, own, starts, hashed.view(np.int64)
 
 
+def _parsed():
+    def step(ids, urls, hosts, digests, htmls):
+        out = []
+        for i, url, host, digest, html in zip(ids, urls, hosts, digests, htmls):
+            is_main, content, chrome = content_of(html)
+            out.append((i, url, host, digest, len(html or ""), is_main, content, " ".join(chrome)))
+        return out
+
+    return step
+
+
 def _streams(batches):
-    """(host, bucket, parts, digest, text) of the content of each page; copies
-    within a task go, so that a page's copies are few rows of its group."""
+    """(host, bucket, parts, digest, text) of the content of each page, compressed;
+    copies within a task go, so that a page's copies are few rows of its group."""
     import pyarrow as pa
 
     seen = set()
     for batch in batches:
         out = []
-        for host, bucket, parts, digest, html in zip(*(c.to_pylist() for c in batch.columns)):
-            if (host, digest) not in seen:
+        for host, bucket, parts, digest, content in zip(*(c.to_pylist() for c in batch.columns)):
+            if content and (host, digest) not in seen:
                 seen.add((host, digest))
-                text = " ".join(_content(html)[1])
-                if text:
-                    out.append((host, bucket, parts, digest, text))
+                out.append((host, bucket, parts, digest, zlib.compress(" ".join(content).encode("utf-8", "surrogatepass"), 1)))
         cols = list(zip(*out)) or [[], [], [], [], []]
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "bucket", "parts", "digest", "text"])
 
 
@@ -202,14 +268,10 @@ def _group(key, table):
     found = np.zeros(0, np.int64)
     least = max(MIN_PAGES if whole else 1, int(np.ceil(CHROME_SHARE * len(pages) - 1e-9)))
     if len(pages) >= least:
-        codes, own, starts, hashed = _hashes([t.split() for t in pages.values()])
+        codes, own, starts, hashed = _hashes([zlib.decompress(t).decode("utf-8", "surrogatepass").split() for t in pages.values()])
         if len(starts):
-            # Windows that run over a page's end are not looked at.
-            rank = ranks(codes)[starts]
-            pairs = np.unique(rank * len(pages) + own[starts])
-            held = np.bincount(pairs // len(pages), minlength=rank.max() + 1)
-            first = np.unique(rank, return_index=True)[1]
-            found = np.unique(hashed[first[held[rank[first]] >= least]])
+            first, held = repeats(codes, own, starts)
+            found = np.unique(hashed[np.searchsorted(starts, first[held >= least])])
     return pa.table({"host": pa.array([key[0].as_py()] * len(found), pa.string()), "window": pa.array(found, pa.int64())})
 
 
@@ -227,11 +289,10 @@ def _counted(batches):
     import pyarrow as pa
 
     for batch in batches:
-        hosts, digests, htmls = (batch.column(c).to_pylist() for c in ("host", "digest", "html"))
+        hosts, digests, contents, chromes = (batch.column(c).to_pylist() for c in ("host", "digest", "content", "chrome"))
         out = [[], [], [], [], []]
-        for host, digest, html, sought in zip(hosts, digests, htmls, _sought(hosts, batch.column("windows"))):
-            _, content, chrome = _content(html)
-            _, own, starts, hashed = _hashes([" ".join(content).split(), " ".join(chrome).split()])
+        for host, digest, content, chrome, sought in zip(hosts, digests, contents, chromes, _sought(hosts, batch.column("windows"))):
+            _, own, starts, hashed = _hashes([" ".join(content).split(), chrome.split()])
             met = np.isin(hashed, sought)
             inside, where = hashed[met], own[starts[met]]
             main, side = set(inside[where == 0].tolist()), set(inside[where == 1].tolist())
@@ -242,59 +303,68 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["host", "window", "digest", "content", "chrome"])
 
 
-def left_over(content: list[str], sought: np.ndarray, is_main: bool) -> list[str]:
-    """The blocks of a content less what boilerplate covers."""
+def left_over(content: list[str], sought: np.ndarray, is_main: bool) -> tuple[list[str], int]:
+    """The blocks of a content less what boilerplate covers, and the tokens that
+    were covered."""
     words = [t.split() for t in content]
     stream = [w for block in words for w in block]
     _, _, starts, hashed = _hashes([stream])
     at = starts[np.isin(hashed, sought)]
     if not len(at):
-        return content
+        return content, 0
     edge = np.zeros(len(stream) + 1, np.int64)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + WINDOW, -1)
     gone = np.cumsum(edge)[:-1] > 0
-    if is_main and gone.sum() * 2 > len(stream):
-        return content
+    covered = int(gone.sum())
+    if is_main and covered * 2 > len(stream):
+        return content, covered
     kept, k = [], 0
     for block in words:
         left = " ".join(w for w, g in zip(block, gone[k : k + len(block)]) if not g)
         k += len(block)
         if left:
             kept.append(left)
-    return kept
+    return kept, covered
 
 
 def _texts():
-    def step(ids, urls, hosts, htmls, windows):
+    def step(ids, urls, hosts, is_mains, contents, windows):
         held: dict[str, np.ndarray] = {}
         out = []
-        for i, url, host, html, sought in zip(ids, urls, hosts, htmls, windows):
-            is_main, content, _ = _content(html)
+        for i, url, host, is_main, content, sought in zip(ids, urls, hosts, is_mains, contents, windows):
+            covered = 0
             if sought:
                 if host not in held:
                     held[host] = np.array(sought, np.int64)
-                content = left_over(content, held[host], is_main)
+                content, covered = left_over(content, held[host], is_main)
             text = "\n".join(content)
-            out.append((i, url, text, len(text)))
+            out.append((i, url, text, len(text), covered))
         return out
 
     return step
 
 
+def _joined(pages: DataFrame, windows: DataFrame, how: str = "inner") -> DataFrame:
+    """``pages`` with their host's ``windows``, broadcast if they are few in all."""
+    n = windows.agg(F.sum(F.size("windows"))).first()[0] or 0
+    return pages.join(F.broadcast(windows) if n <= SENT else windows, "host", how)
+
+
 def boilerplate(pages: DataFrame) -> DataFrame:
-    """(host, windows) of ``pages`` (host, digest, html): each host's boilerplate."""
+    """(host, windows) of parsed ``pages``: each host's boilerplate."""
     bounded_batches(pages.sparkSession)
-    distinct = pages.groupBy("host", "digest").agg(F.max(F.length("html")).alias("chars"))
+    distinct = pages.groupBy("host", "digest").agg(F.max("chars").alias("chars"))
     hosts = stored(distinct.groupBy("host").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")), "hosts")
     # Hosts of more than one group are few: so many groups hold so many characters.
     large = small(hosts.where(F.col("chars") > GROUP_CHARS).select("host", F.ceil(F.col("chars") / GROUP_CHARS).alias("parts")))
     dealt = pages.join(large, "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
-    dealt = dealt.select("host", F.pmod(F.xxhash64("digest"), F.col("parts")).alias("bucket"), "parts", "digest", "html")
-    streams = dealt.mapInArrow(_streams, "host string, bucket bigint, parts bigint, digest binary, text string")
+    dealt = dealt.select("host", F.pmod(F.xxhash64("digest"), F.col("parts")).alias("bucket"), "parts", "digest", "content")
+    streams = dealt.mapInArrow(_streams, "host string, bucket bigint, parts bigint, digest binary, text binary")
     candidates = streams.groupBy("host", "bucket").applyInArrow(_group, "host string, window bigint").distinct()
     sought = stored(candidates.groupBy("host").agg(F.collect_set("window").alias("windows")), "candidates")
-    met = pages.join(small(sought, HOSTS_SENT), "host").mapInArrow(_counted, "host string, window bigint, digest binary, content int, chrome int")
+    met = _joined(pages.select("host", "digest", "content", "chrome"), sought)
+    met = met.mapInArrow(_counted, "host string, window bigint, digest binary, content int, chrome int")
     once = met.groupBy("host", "window", "digest").agg(F.max("content").alias("content"), F.max("chrome").alias("chrome"))
     held = once.groupBy("host", "window").agg(F.sum("content").alias("content"), F.sum("chrome").alias("chrome")).join(hosts, "host")
     of = lambda share: F.greatest(F.lit(MIN_PAGES), F.ceil(F.lit(share) * F.col("n") - 1e-9))
@@ -302,11 +372,20 @@ def boilerplate(pages: DataFrame) -> DataFrame:
     return stored(held.where((F.col("content") >= of(SHARE)) | alike).groupBy("host").agg(F.collect_list("window").alias("windows")), "boilerplate")
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) for each page."""
+def parsed(pages: DataFrame) -> DataFrame:
+    """(page_id, url, host, digest, chars, is_main, content, chrome) of each page."""
     digest = F.unhex(F.md5(F.coalesce("html", F.lit(""))))
-    rows = pages.select("page_id", "url", "html", _host().alias("host"), digest.alias("digest"))
-    found = small(boilerplate(rows.select("host", "digest", "html")), HOSTS_SENT)
+    rows = pages.select("page_id", "url", _host().alias("host"), digest.alias("digest"), "html")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    schema = f"page_id {kind}, url string, host string, digest binary, chars bigint, is_main boolean, content array<string>, chrome string"
+    return stored(map_rows(rows, ["page_id", "url", "host", "digest", "html"], schema, _parsed), "parsed", compression="zstd")
+
+
+def main_text(pages: DataFrame) -> DataFrame:
+    """(page_id, url, text, n_chars, n_covered) for each page; ``n_covered`` are
+    the tokens of its content that the host's repeats cover."""
+    rows = parsed(pages)
+    found = boilerplate(rows)
     kind = pages.schema["page_id"].dataType.simpleString()
-    schema = f"page_id {kind}, url string, text string, n_chars bigint"
-    return map_rows(rows.join(found, "host", "left"), ["page_id", "url", "host", "html", "windows"], schema, _texts)
+    schema = f"page_id {kind}, url string, text string, n_chars bigint, n_covered bigint"
+    return map_rows(_joined(rows, found, "left"), ["page_id", "url", "host", "is_main", "content", "windows"], schema, _texts)
