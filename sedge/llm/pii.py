@@ -6,12 +6,17 @@ test is dropped and still uses up its text): ``email``, ``ip`` (parts at most
 255), ``card`` (12 to 19 digits passing Luhn), ``phone`` (9 to 15 digits behind
 a plus sign).
 
-The field is trained when a query is planned, from ``labelled_table()``: a
-small table of labelled lines made by a rule from a seed.  Its features are
-shapes of a word and of its neighbours and a few cue words, never the word
-itself.  A word without a digit or an ``@`` can only be outside of any span;
-that cuts texts exactly into short runs, which are decoded by Viterbi in
-batches of equal length.  Spans that meet no base span are added.
+The field is trained when a query is planned, from a small table of labelled
+lines (``pii_table.LINES``): numbers without a plus sign, spelt-out or bracketed
+mail and network addresses, cards with other signs between their digits, and what
+is taken for such.  Its features are shapes of whole words and of their
+neighbours and a few cue words, never the word itself.  Only marked words can be
+in a span: those with a digit or an ``@``, those with a bracketed ``at`` or dot,
+and the neighbours of a word ``dot``.  That cuts texts exactly into short runs,
+which are decoded by Viterbi in batches of equal length.  A span is added if it
+meets no base span and passes its kind's own test, with the spelling undone: an
+address by the base pattern, network parts at most 255, a card's length and
+check digit, 9 to 15 digits of a phone.
 
 Defined results: a null text is the empty text (no spans, the hash of the empty
 string); repeated rows give repeated rows; ``find_personal_data`` reads no
@@ -21,7 +26,6 @@ table.  Texts are scanned whole, in time linear in their length.
 
 from __future__ import annotations
 
-import random
 import re
 from functools import lru_cache
 from hashlib import sha256
@@ -30,6 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import bounded_batches, map_rows
+from .pii_table import LINES
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -40,15 +45,23 @@ LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 #: Words that can be part of a span: those with a digit or an @.
 CANDIDATE = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
 
-#: Labelled lines of the training table, and the seed of the rule.
-TRAINING_LINES, TRAINING_SEED = 1500, 7
+#: A bracketed at or dot, and the word dot: how addresses are spelt out.
+SPELT = re.compile(r"[(\[{](?:at|dot|\.)[)\]}]|(?<!\S)dot(?!\S)", re.I)
+AT_WORD = re.compile(r"[(\[{]?at[)\]}]?", re.I)
+
 CUES = {
-    "mail": {"mail", "email", "e-mail", "correo", "write", "contact"},
-    "phone": {"phone", "tel", "call", "mobile", "fax", "telefon", "teléfono", "téléphone", "cell"},
-    "card": {"card", "visa", "mastercard", "karte", "carte", "tarjeta"},
-    "ip": {"ip", "host", "server", "address", "from"},
-    "id": {"key", "token", "id", "order", "version", "v", "no", "nr", "page", "isbn", "hash", "commit", "year"},
-}
+    "mail": {"mail", "email", "e-mail", "correo", "write", "contact", "send", "reach", "escribe", "schreib", "address"},
+    "phone": {"phone", "tel", "call", "mobile", "fax", "telefon", "teléfono", "téléphone", "cell", "ring", "dial", "text", "hotline", "appelez", "llame", "rufen", "handy", "móvil", "portable", "whatsapp", "sms"},
+    "card": {"card", "visa", "mastercard", "amex", "karte", "carte", "tarjeta"},
+    "ip": {"ip", "host", "server", "from", "blocked", "login"},
+    "id": {
+        "key", "token", "id", "order", "version", "v", "no", "nr", "page", "pages", "isbn", "hash", "commit", "year", "invoice", "ticket", "ref", "serial", "part", "sku", "case",
+        "item", "batch", "model", "account", "tracking", "bestellung", "rechnung", "commande", "facture", "factura", "pedido", "release", "section", "chapter", "build", "lot", "zip",
+        "rfc", "iso", "issue", "revision", "article", "patent", "file", "row", "rows", "count", "total", "seed", "sum", "reference", "referencia", "référence", "auftrag", "kunde", "parcel",
+    },
+    "number": {"number", "numero", "número", "numéro", "nummer", "is", "al", "le", "an", "sie", "to", "a", "me", "on", "us", "the", "for", "at", "or", "and", "our", "my", "her", "his"},
+    "dot": {"dot"},
+}
 TAGS = ("O", *[f"{p}-{k}" for k in KINDS for p in "BI"])
 
 
@@ -95,47 +108,47 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 @lru_cache(1 << 16)
 def shape(word: str) -> str:
     """Letters as x, digits as their run length up to 5, the rest as it is."""
-    out = []
-    for c in word[:40]:
-        k = "x" if c.isalpha() else "0" if c.isdigit() else c
-        if k == "x" and out and out[-1] == "x":
-            continue
-        out.append(k)
-    return re.sub("0+", lambda m: str(min(len(m[0]), 5)), "".join(out))
+    out = re.sub("[^\\W\\d_]+", "x", word)
+    return re.sub("\\d+", lambda m: str(min(len(m[0]), 5)), out)
 
 
 @lru_cache(1 << 16)
 def cue(word: str) -> str:
-    w = word.strip(".,:;()[]#\"'").lower()
+    w = word.strip(".,:;()[]{}<>#\"'").lower()
     return next((k for k, words in CUES.items() if w in words), "-")
 
 
 @lru_cache(1 << 16)
 def own_features(word: str) -> tuple[str, ...]:
     digits = sum(map(str.isdigit, word))
-    s = shape(word)
+    s = shape(word.strip(EDGES))
     return (
         f"s={s}",
         f"p={s[:4]}",
         f"e={s[-3:]}",
-        f"d={min(digits, 20)}",
-        f"c={''.join(sorted({c for c in word if not c.isalnum()}))[:8]}",
-        f"a={any(map(str.isalpha, word))}|{digits > 0}",
+        f"d={digits if digits < 20 else 'more'}",
+        f"c={''.join(sorted({c for c in word if not c.isalnum()}))}",
+        f"a={any(map(str.isalpha, word))}|{digits > 0}|{word[-1:] in ',;.'}",
         f"@={word.count('@')}|{'.' in word.partition('@')[2].strip('.')}",
+        f"k={cue(word)}|{SPELT.search(word) is not None}",
     )
 
 
-def features(words: list[str], at: int) -> list[str]:
-    before = words[at - 1] if at else ""
-    after = words[at + 1] if at + 1 < len(words) else ""
-    far = words[at - 2] if at > 1 else ""
+def features(before: list[str], words: list[str], after: list[str], at: int) -> list[str]:
+    """Of word ``at`` of a run, with the words around the run."""
+    line = [*["^"] * (2 - len(before)), *before, *words, *after, *["$"] * (2 - len(after))]
+    at += 2
+    near = lambda k: shape(line[k].strip(EDGES)) if has_mark(line[k]) else "w"
     return [
         "bias",
-        *own_features(words[at]),
-        f"-s={shape(before) if has_mark(before) else 'w'}",
-        f"+s={shape(after) if has_mark(after) else 'w'}",
-        f"-c={cue(before)}",
-        f"-2c={cue(far)}",
+        *own_features(line[at]),
+        f"-s={near(at - 1)}",
+        f"+s={near(at + 1)}",
+        f"-c={cue(line[at - 1])}",
+        f"-2c={cue(line[at - 2])}",
+        f"+c={cue(line[at + 1])}",
+        f"-cc={cue(line[at - 2])}|{cue(line[at - 1])}",
+        f"--={next((k for k in (cue(x) for x in reversed(line[:at])) if k not in ('-', 'number')), '-')}",
     ]
 
 
@@ -143,68 +156,21 @@ def has_mark(word: str) -> bool:
     return "@" in word or any(map(str.isdigit, word))
 
 
-def labelled_table(lines: int = TRAINING_LINES, seed: int = TRAINING_SEED) -> list[tuple[list[str], list[str]]]:
-    """Labelled lines: words and their tags, half of them with personal data."""
-    r = random.Random(seed)
-    plain = "the of and to in is that it for on le la de et un der die und el que los this was here see at".split()
-    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    w = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9)))
-    say = lambda k: r.choice(sorted(CUES[k]))
-
-    def personal() -> tuple[str, list[str], list[str]]:
-        k = r.choice(KINDS)
-        if k == "email":
-            return k, [say("mail")] * r.randint(0, 1), [r.choice([f"{w()}.{w()}@{w()}.com", f"{w()}@{w()}.{w()}.org", f"{w()}{d(2)}@{w()}.net", f"<{w()}@{w()}.de>"])]
-        if k == "ip":
-            part = lambda: str(r.randint(0, 255))
-            return k, [say("ip")] * r.randint(0, 1), [".".join(part() for _ in range(4)) + r.choice(["", "", ".", ",", ":80"])]
-        if k == "card":
-            form = r.choice(["{0} {1} {2} {3}", "{0}-{1}-{2}-{3}", "{0}{1}{2}{3}"])
-            return k, [say("card")], form.format(*[d(4) for _ in range(4)]).split()
-        form = r.choice(["({0}) {1}-{2}", "{0}-{1}-{2}", "+1 {0} {1} {2}", "+{0} {1} {2}", "+49-{0}-{1}{2}", "{0}.{1}.{2}", "+33 {0} {2}"])
-        body = form.format(d(3), d(3), d(4)).split()
-        return k, [say("phone")] if not body[0].startswith(("+", "(")) else [say("phone")] * r.randint(0, 1), body
-
-    def other() -> list[str]:
-        return r.choice(
-            [
-                [say("id"), d(r.randint(1, 16))],
-                [d(r.randint(1, 19))],
-                [f"{d(1)}.{d(2)}.{d(1)}"],
-                [f"{d(4)}-{d(2)}-{d(2)}"],
-                [f"{d(2)}:{d(2)}"],
-                [f"{d(3)},{d(3)}"],
-                [f"{d(2)}.{d(2)}%"],
-                [f"${d(3)}.{d(2)}"],
-                ["".join(r.choice("0123456789abcdef") for _ in range(r.choice([16, 32, 40])))],
-                [f"AKIA{d(4)}{w().upper()}{d(4)}"],
-                [f"{w()}{d(2)}"],
-                [f"@{w()}"],
-                [f"{w()}@"],
-                [f"{d(3)}-{d(1)}-{d(2)}-{d(6)}-{d(1)}"],
-                [f"{d(2)}/{d(2)}/{d(4)}"],
-                [f"({d(1)})"],
-                [f"{d(1)}.{d(1)}.{d(1)}.{d(1)}.{d(1)}"],
-            ]
-        )
-
-    table = []
-    for _ in range(lines):
-        words, tags = [], []
-        for _ in range(r.randint(1, 3)):
-            filler = [r.choice([*plain, w()]) for _ in range(r.randint(1, 4))]
-            words += filler
-            tags += ["O"] * len(filler)
-            if r.random() < 0.5:
-                k, lead, body = personal()
-                words += lead + body
-                tags += ["O"] * len(lead) + [f"B-{k}"] + [f"I-{k}"] * (len(body) - 1)
-            else:
-                body = other()
-                words += body
-                tags += ["O"] * len(body)
-        table.append((words, tags))
-    return table
+#: Signs around a word that are not part of a span.
+EDGES = ".,;:!?()[]{}<>\"'"
+
+
+def labelled_table(lines: str = LINES) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """(text, spans) of each line of a labelled table."""
+    out = []
+    for line in filter(None, lines.split("\n")):
+        text, spans, at = "", [], 0
+        for m in re.finditer(r"\[(email|ip|card|phone):((?:[^\[\]]|\[(?:at|dot|\.)\])*)\]", line):
+            text += line[at : m.start()]
+            spans.append((len(text), len(text) + len(m[2]), m[1]))
+            text, at = text + m[2], m.end()
+        out.append((text + line[at:], spans))
+    return out
 
 
 class Field:
@@ -213,9 +179,9 @@ class Field:
     def __init__(self, names: dict[str, int], emit: np.ndarray, move: np.ndarray, start: np.ndarray):
         self.names, self.emit, self.move, self.start = names, emit, move, start
 
-    def scores(self, words: list[str], at: int) -> np.ndarray:
-        rows = [k for f in features(words, at) if (k := self.names.get(f)) is not None]
-        return self.emit[rows].sum(0)
+    def scores(self, before: list[str], words: list[str], after: list[str]) -> np.ndarray:
+        known = self.names.get
+        return np.stack([self.emit[[k for f in features(before, words, after, t) if (k := known(f)) is not None]].sum(0) for t in range(len(words))])
 
     def decode(self, runs: list[np.ndarray]) -> list[np.ndarray]:
         """The best tags of runs of scores, batched by length."""
@@ -240,24 +206,20 @@ class Field:
         return out
 
 
-def train(table, rounds: int = 120, rate: float = 0.5, decay: float = 1e-3) -> Field:
+def train(table, rounds: int = 150, rate: float = 0.3, decay: float = 0.05) -> Field:
     """Full-batch gradient ascent (with per-weight steps) on the likelihood of
     the marked runs of the labelled lines."""
     names: dict[str, int] = {}
     runs = []
-    for words, tags in table:
-        marks = [has_mark(w) for w in words]
-        t = 0
-        while t < len(words):
-            if not marks[t]:
-                t += 1
-                continue
-            end = t
-            while end < len(words) and marks[end]:
-                end += 1
-            rows = [[names.setdefault(f, len(names)) for f in features(words, k)] for k in range(t, end)]
-            runs.append((rows, [TAGS.index(x) for x in tags[t:end]]))
-            t = end
+    for text, spans in table:
+        for group in marked_runs(text):
+            before, words, after = surroundings(text, group)
+            tags = []
+            for a, b in group:
+                held = next(((x, k) for x, y, k in spans if a < y and x < b), None)
+                tags.append(0 if held is None else TAGS.index(f"{'B' if a <= held[0] else 'I'}-{held[1]}"))
+            rows = [[names.setdefault(f, len(names)) for f in features(before, words, after, t)] for t in range(len(words))]
+            runs.append((rows, tags))
     n, width = len(TAGS), len(runs[0][0][0])
     emit, move, start = np.zeros((len(names), n)), np.zeros((n, n)), np.zeros(n)
     # A span goes on only inside of one of its kind.
@@ -311,22 +273,70 @@ def trained() -> Field:
 
 # ------------------------------------------------------------------ scanning
 
-#: Signs around a word that are not part of a span.
-EDGES = ".,;:!?()[]<>\"'"
+
+
+def _word_before(text: str, at: int) -> tuple[int, int]:
+    while at and text[at - 1].isspace():
+        at -= 1
+    start = at
+    while start and not text[start - 1].isspace():
+        start -= 1
+    return start, at
+
+
+def _word_after(text: str, at: int) -> tuple[int, int]:
+    while at < len(text) and text[at].isspace():
+        at += 1
+    end = at
+    while end < len(text) and not text[end].isspace():
+        end += 1
+    return at, end
+
+
+def marked_runs(text: str) -> list[list[tuple[int, int]]]:
+    """The places of marked words, in runs with only white space between."""
+    places = {m.span() for m in CANDIDATE.finditer(text)}
+    last = -1
+    for m in SPELT.finditer(text):
+        if m.start() < last:
+            continue
+        start, end = _word_before(text, m.end())[0], _word_after(text, m.start())[1]
+        last = end
+        places.add((start, end))
+        for step, side in ((_word_before, start), (_word_after, end)):
+            word = step(text, side)
+            if word[0] < word[1]:
+                places.add(word)
+            beyond = step(text, word[0] if step is _word_before else word[1])
+            if AT_WORD.fullmatch(text[beyond[0] : beyond[1]]):
+                places.add(beyond)
+                places.add(step(text, beyond[0] if step is _word_before else beyond[1]))
+    runs: list[list[tuple[int, int]]] = []
+    for place in sorted(p for p in places if p[0] < p[1]):
+        if runs and (text[runs[-1][-1][1] : place[0]].isspace()):
+            runs[-1].append(place)
+        else:
+            runs.append([place])
+    return runs
+
+
+def surroundings(text: str, group: list[tuple[int, int]]) -> tuple[list[str], list[str], list[str]]:
+    """Up to two whole words before a run, its words, and up to two behind."""
+    before, after = [], []
+    start, end = group[0][0], group[-1][1]
+    for _ in range(2):
+        (start, stop), (first, end) = _word_before(text, start), _word_after(text, end)
+        before, after = [text[start:stop], *before] if start < stop else before, [*after, text[first:end]] if first < end else after
+    return before, [text[a:b] for a, b in group], after
 
 
 def added_spans(texts: list[str], base: list[list[tuple[int, int, str]]], field: Field) -> list[list[tuple[int, int, str]]]:
     """For each text the field's spans that meet no base span."""
     runs, places = [], []
     for k, text in enumerate(texts):
-        group: list[re.Match] = []
-        for m in CANDIDATE.finditer(text):
-            if group and not text[group[-1].end() : m.start()].isspace():
-                _close(text, group, field, runs, places, k)
-                group = []
-            group.append(m)
-        if group:
-            _close(text, group, field, runs, places, k)
+        for group in marked_runs(text):
+            runs.append(field.scores(*surroundings(text, group)))
+            places.append((k, group))
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     for tags, (k, group) in zip(field.decode(runs), places):
         at = 0
@@ -338,35 +348,34 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, str]]], field:
             end = at + 1
             while end < len(tags) and TAGS[tags[end]] == "I" + tag[1:]:
                 end += 1
-            a, b = group[at].start(), group[end - 1].end()
-            text = texts[k]
-            while a < b and text[a] in EDGES and text[a] != "(":
-                a += 1
-            while b > a and text[b - 1] in EDGES:
-                b -= 1
-            if a < b and plausible(text[a:b], tag[2:]) and not any(a < y and x < b for x, y, _ in base[k]):
+            a, b = trimmed(texts[k], group[at][0], group[end - 1][1])
+            if a < b and plausible(texts[k][a:b], tag[2:]) and not any(a < y and x < b for x, y, _ in base[k]):
                 out[k].append((a, b, tag[2:]))
             at = end
     return out
 
 
+def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """A span without the signs around it; brackets that pair inside it stay."""
+    while a < b and text[a] in EDGES and not (text[a] in "([{" and re.match(r".[^()\[\]{}]*[)\]}].", text[a:b])):
+        a += 1
+    while b > a and text[b - 1] in EDGES:
+        b -= 1
+    return a, b
+
+
 def plausible(span: str, kind: str) -> bool:
-    """What a span of the field must have at least to be one of its kind."""
-    digits = sum(map(str.isdigit, span))
+    """Whether a span, with its spelling undone, passes the test of its kind."""
+    plain = re.sub(r"(?i)\s*[(\[{]dot[)\]}]\s*|\s+dot\s+|[(\[{]\.[)\]}]", ".", span)
+    digits = re.sub(r"\D", "", span)
     if kind == "email":
-        return "@" in span[1:-1]
+        plain = re.sub(r"(?i)\s*[(\[{]at[)\]}]\s*|\s+at\s+", "@", plain)
+        return emails(plain) == [(0, len(plain))]
     if kind == "ip":
-        return span.count(".") >= 3 and digits >= 4
-    return 12 <= digits <= 19 if kind == "card" else 7 <= digits <= 15
-
-
-def _close(text: str, group: list, field: Field, runs: list, places: list, k: int) -> None:
-    first, last = group[0].start(), group[-1].end()
-    before = text[max(0, first - 60) : first].split()[-2:]
-    after = text[last : last + 30].split()[:1]
-    words = [*before, *[m[0] for m in group], *after]
-    runs.append(np.stack([field.scores(words, len(before) + t) for t in range(len(group))]))
-    places.append((k, group))
+        return re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", plain) is not None and all(int(p) <= 255 for p in plain.split("."))
+    if kind == "card":
+        return re.fullmatch(r"[0-9](?:[ ./_-]?[0-9])+", span) is not None and 12 <= len(digits) <= 19 and luhn(digits)
+    return re.fullmatch(r"\+?\(?[0-9][0-9 ()./-]*[0-9]", span) is not None and 9 <= len(digits) <= 15
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -387,7 +396,7 @@ def _starter(field: Field):
             out = []
             for i, (base, spans) in zip(ids, all_spans([t or "" for t in texts], field)):
                 n = [sum(s[2] == k for s in base) for k in KINDS]
-                out.append((i, *n, sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base)))
+                out.append((i, *n, sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base), len(spans)))
             return out
 
         return step
@@ -399,7 +408,7 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column:
     """One row for each input row: base counts, their digest, and all spans."""
     schema = (
         f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, n_email bigint, n_ip bigint, n_card bigint, "
-        "n_phone bigint, base_sha256 string, spans string, n_added bigint"
+        "n_phone bigint, base_sha256 string, spans string, n_added bigint, n_spans bigint"
     )
     return map_rows(docs, [id_column, text_column], schema, _starter(field or trained()))
 
