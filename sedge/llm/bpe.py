@@ -5,8 +5,9 @@ last of its encoding.  The table of these tokens is filled from left to right:
 token ``t`` ending at ``j`` is the last one of prefix ``j`` if it may follow the
 last token of the prefix before it, which a walk down the merges of both tokens
 decides.  Following the table back from the end gives the encoding.  The table
-of a prefix never changes when bytes are appended, so appends are exact, and
-after an edit only the prefixes behind the edit are filled again.
+of a prefix never changes when bytes are appended, so appends are exact.  After an
+edit, prefixes are filled again from the edit on until last tokens have agreed
+with the old ones over the longest token's length; what is behind stays.
 
 Defined results: a null text is the empty text (no tokens); repeated rows give
 repeated rows; other columns of the input are not read; an empty table gives an
@@ -47,6 +48,7 @@ class Merges:
     def __init__(self, tokens: dict[str, int], pair):
         self.ids, self.pair = tokens, pair
         self.symbols = {i: s for s, i in tokens.items()}
+        self.longest = max(map(len, tokens), default=0)
         #: Every end of a token, with the token's id or None where it is none.
         self.tails: dict[str, int | None] = {}
         for s in tokens:
@@ -104,13 +106,19 @@ class PrefixTable:
 
     def __init__(self, merges: Merges, data: str = ""):
         self.merges, self.data, self.last = merges, "", []
+        #: Prefixes filled so far.
+        self.filled = 0
         self.append(data)
 
     def append(self, more: str) -> None:
         self.data += more
+        self._fill(len(self.data))
+
+    def _fill(self, stop: int) -> None:
         data, last = self.data, self.last
         tails, allowed, follows = self.merges.tails, self.merges.allowed, self.merges.follows
-        for end in range(len(last) + 1, len(data) + 1):
+        self.filled += stop - len(last)
+        for end in range(len(last) + 1, stop + 1):
             start = end - 1
             while True:
                 token = tails.get(data[start:end], -1)
@@ -128,11 +136,21 @@ class PrefixTable:
             last.append(token)
 
     def edit(self, start: int, end: int, new: str) -> None:
-        """Replace ``data[start:end]`` by ``new``; prefixes before it stay."""
-        rest = new + self.data[end:]
-        self.data = self.data[:start]
+        """Replace ``data[start:end]`` by ``new``.  Prefixes before it stay, and
+        so do those behind a stretch of the longest token's length, all of it
+        behind the edit, whose last tokens are the old ones."""
+        old, shift, least = self.last[start:], len(new) - (end - start), start + len(new)
+        self.data = self.data[:start] + new + self.data[end:]
         del self.last[start:]
-        self.append(rest)
+        alike = 0
+        while len(self.last) < len(self.data) and alike < self.merges.longest:
+            self._fill(len(self.last) + 1)
+            at = len(self.last)
+            # The prefix of length ``least`` is the first without changed symbols behind it.
+            same = at >= least and at - shift > start and self.last[-1] == old[at - shift - start - 1]
+            alike = alike + 1 if same else 0
+        if len(self.last) < len(self.data):
+            self.last += old[len(self.last) - shift - start :]
 
     def tokens(self) -> tuple[int, ...]:
         out, end, symbols = [], len(self.last), self.merges.symbols
