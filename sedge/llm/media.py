@@ -4,9 +4,11 @@
 layer III frames: valid mono frames of silence whose data area carries the
 payload, with the standard checksum over header and side information.
 ``read_audio`` reads any MPEG audio stream: it parses ID3 tags, Xing and VBRI
-tables, finds frame headers again behind damage (a header counts only if
-another of its stream, or the end, follows where its length says), verifies
-checksums, and gives the exact duration and each frame's offset for seeking.
+tables with their seek points, finds frame headers again behind damage (a header
+counts only if another of its stream, or the end, follows where its length says,
+or, before damage, if its own checksum holds), verifies the checksums of all
+three layers, and gives the exact duration and each frame's offset.  ``seek``
+finds the frame of a moment by these, ``table_seek`` about where a table puts it.
 
 Defined results: a null text is the empty text, whose payload is 64 zero bytes;
 repeated rows give repeated rows; other columns of the input are not read; an
@@ -54,7 +56,13 @@ class Header:
     bitrate: int
     rate: int
     padded: bool
-    mono: bool
+    #: 0 stereo, 1 joint stereo, 2 two channels, 3 one channel.
+    mode: int
+    extension: int
+
+    @property
+    def mono(self) -> bool:
+        return self.mode == 3
 
     @property
     def samples(self) -> int:
@@ -88,7 +96,7 @@ def header(data: bytes) -> Header | None:
     if version is None or layer == 4 or bits in (0, 15) or rate == 3 or data[3] & 3 == 2:
         return None
     kbit = BITRATES[version == 1, layer][bits]
-    return Header(version, layer, not data[1] & 1, kbit, RATES[version][rate], bool(data[2] & 2), data[3] >> 6 == 3)
+    return Header(version, layer, not data[1] & 1, kbit, RATES[version][rate], bool(data[2] & 2), data[3] >> 6, data[3] >> 4 & 3)
 
 
 @lru_cache(1)
@@ -103,13 +111,47 @@ def _crc_table() -> list[int]:
 
 
 @lru_cache(4096)
-def crc16(data: bytes) -> int:
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The checksum of all of ``data``, or of its first ``bits``."""
     table, crc = _crc_table(), CRC_START
-    for b in data:
+    whole, rest = (len(data), 0) if bits is None else divmod(bits, 8)
+    for b in data[:whole]:
         crc = crc << 8 & 0xFFFF ^ table[crc >> 8 ^ b]
+    for k in range(rest):
+        high = crc >> 15 ^ data[whole] >> 7 - k & 1
+        crc = crc << 1 & 0xFFFF ^ (CRC_POLYNOMIAL if high else 0)
     return crc
 
 
+def allocation_widths(h: Header) -> list[int]:
+    """Bits of the allocation of each subband of a layer II frame."""
+    if h.version != 1:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    each = h.bitrate / (1 if h.mono else 2)
+    if each <= 48:
+        return [4] * 2 + [3] * (10 if h.rate == 32000 else 6)
+    return [4] * 11 + [3] * 12 + [2] * (4 if each <= 80 or h.rate == 48000 else 7)
+
+
+def protected_bits(frame: bytes, h: Header) -> int | None:
+    """Bits behind the checksum that it covers; None if the frame ends before."""
+    if h.layer == 3:
+        return 8 * h.side
+    channels, bound = 1 if h.mono else 2, 4 * (h.extension + 1) if h.mode == 1 else 32
+    if h.layer == 1:
+        return 4 * (bound * channels + 32 - bound)
+    at, chosen, end = 8 * 6, 0, 8 * len(frame)
+    for band, width in enumerate(allocation_widths(h)):
+        own = channels if band < bound else 1
+        for _ in range(own):
+            if at + width > end:
+                return None
+            value = int.from_bytes(frame[at // 8 : at // 8 + 2].ljust(2, b"\0"), "big") >> 16 - at % 8 - width & (1 << width) - 1
+            chosen += (value > 0) * (channels // own)
+            at += width
+    return at - 8 * 6 + 2 * chosen
+
+
 # ------------------------------------------------------------------- writing
 
 
@@ -172,6 +214,8 @@ def to_audio(payload: bytes, n_bytes: int) -> bytes:
 class Audio:
     tags: dict[str, str] = field(default_factory=dict)
     table: dict[str, int] = field(default_factory=dict)
+    #: Offsets that the table gives for equal parts of the duration.
+    points: list[int] = field(default_factory=list)
     offsets: list[int] = field(default_factory=list)
     samples: int = 0
     duration_us: int = 0
@@ -202,24 +246,47 @@ def _tags(data: bytes, audio: Audio) -> int:
     return 10 + size
 
 
-def _bitrate_table(frame: bytes, h: Header) -> dict[str, int]:
-    """A Xing, Info or VBRI table in a frame, or nothing."""
-    at = 4 + 2 * h.protected + h.side
-    if frame[at : at + 4] in (b"Xing", b"Info"):
-        flags, at, out = int.from_bytes(frame[at + 4 : at + 8], "big"), at + 8, {}
+def _bitrate_table(frame: bytes, h: Header, at: int) -> tuple[dict[str, int], list[int]]:
+    """A Xing, Info or VBRI table in the frame at ``at``, and the offsets of its
+    seek points; or nothing."""
+    place = 4 + 2 * h.protected + h.side
+    if frame[place : place + 4] in (b"Xing", b"Info"):
+        flags, place, out = int.from_bytes(frame[place + 4 : place + 8], "big"), place + 8, {}
         for bit, name in ((1, "frames"), (2, "bytes")):
             if flags & bit:
-                out[name] = int.from_bytes(frame[at : at + 4], "big")
-                at += 4
-        return out | {"toc": 100 if flags & 4 else 0}
+                out[name] = int.from_bytes(frame[place : place + 4], "big")
+                place += 4
+        points = [at + b * out.get("bytes", 0) // 256 for b in frame[place : place + 100]] if flags & 4 else []
+        return out | {"toc": len(points)}, points
     if frame[36:40] == b"VBRI":
         n = lambda a, b: int.from_bytes(frame[36 + a : 36 + b], "big")
-        return {"bytes": n(10, 14), "frames": n(14, 18), "toc": n(18, 20)}
-    return {}
+        entries, scale, width, points = n(18, 20), n(20, 22), n(22, 24), [at]
+        for k in range(entries):
+            points.append(points[-1] + scale * n(26 + k * width, 26 + (k + 1) * width))
+        return {"bytes": n(10, 14), "frames": n(14, 18), "toc": entries}, points[:-1] if entries else []
+    return {}, []
 
 
 def _sound(frame: bytes, h: Header) -> bool:
-    return crc16(frame[2:4] + frame[6 : 6 + h.side]) == int.from_bytes(frame[4:6], "big")
+    bits = protected_bits(frame, h)
+    if bits is None or 48 + bits > 8 * len(frame):
+        return False
+    return crc16(frame[2:4] + frame[6 : 6 + (bits + 7) // 8], 16 + bits) == int.from_bytes(frame[4:6], "big")
+
+
+def seek(audio: Audio, us: int) -> int | None:
+    """The offset of the frame that sounds at a moment; None where none does."""
+    if not audio.offsets or not 0 <= us < audio.duration_us:
+        return None
+    each = audio.samples // len(audio.offsets)
+    return audio.offsets[us * audio.stream[2] // (1_000_000 * each)]
+
+
+def table_seek(audio: Audio, us: int) -> int | None:
+    """About where the table's seek points put a moment."""
+    if not audio.points or not 0 <= us < audio.duration_us:
+        return None
+    return audio.points[us * len(audio.points) // audio.duration_us]
 
 
 def read_audio(data: bytes) -> tuple[Audio, list[bytes]]:
@@ -232,7 +299,7 @@ def read_audio(data: bytes) -> tuple[Audio, list[bytes]]:
         stop = at + h.length if h else 0
         follows = h and stop <= end and (stop == end or (g := header(data[stop : stop + 4])) and g.stream == h.stream)
         # Before damage, a frame where one is due may prove itself.
-        if not follows and h and stop <= end and not lost and audio.stream == h.stream and h.protected and h.layer == 3:
+        if not follows and h and stop <= end and not lost and audio.stream == h.stream and h.protected:
             follows = _sound(data[at:stop], h)
         if not follows:
             if not lost:
@@ -245,10 +312,11 @@ def read_audio(data: bytes) -> tuple[Audio, list[bytes]]:
         frame = data[at:stop]
         if audio.stream is None:
             audio.stream = h.stream
-            if held := _bitrate_table(frame, h):
-                audio.table, at = held, stop
+            audio.table, audio.points = _bitrate_table(frame, h, at)
+            if audio.table:
+                at = stop
                 continue
-        if h.protected and h.layer == 3:
+        if h.protected:
             audio.checked += 1
             audio.broken += not _sound(frame, h)
         audio.offsets.append(at)
@@ -262,12 +330,12 @@ def read_audio(data: bytes) -> tuple[Audio, list[bytes]]:
 
 
 def feature(a: Audio) -> str:
-    kept = len(a.offsets)
-    seek = ",".join(str(a.offsets[k * kept // 10]) for k in range(10)) if kept else ""
+    """The stream in short; the offsets of all frames stand as a checksum."""
     rate = a.stream[2] if a.stream else 0
+    offsets = zlib.crc32(",".join(map(str, a.offsets)).encode())
     return (
-        f"rate={rate};frames={kept};samples={a.samples};us={a.duration_us};kbit={min(a.kbits, default=0)}-{max(a.kbits, default=0)};"
-        f"table={a.table.get('frames', -1)}/{a.table.get('bytes', -1)};crc={a.checked - a.broken}/{a.checked};resyncs={a.resyncs};seek={seek}"
+        f"rate={rate};frames={len(a.offsets)};samples={a.samples};us={a.duration_us};kbit={min(a.kbits, default=0)}-{max(a.kbits, default=0)};"
+        f"table={a.table.get('frames', -1)}/{a.table.get('bytes', -1)}/{len(a.points)};crc={a.checked - a.broken}/{a.checked};resyncs={a.resyncs};offsets={offsets:08x}"
     )
 
 
