@@ -17,11 +17,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its factor, probability and whether it is sampled."""
     t = text_of()
     keys = [F.coalesce(k, F.lit("(none)")).alias(k) for k in ("source", "lang")]
-    docs = _table(spark, sf_dir, "documents").select("doc_id", *keys, mixing.topic_of(t).alias("topic"), mixing.words_of(t).alias("n_words"))
-    out = mixing.sampled(stored(docs, "mixing"), "n_words")
+    key = mixing.draw_key("doc_id", "text").alias("key")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", *keys, mixing.topic_of(t).alias("topic"), mixing.words_of(t).alias("n_words"), key)
+    out = mixing.sampled(stored(docs, "mixing"), "n_words", key_column="key")
     return out.select(
-        "doc_id", "source", "lang", "topic", "n_words",
-        F.round("__factor", 6).alias("factor"), F.round("__probability", 6).alias("probability"), F.col("__in").alias("sampled"),
+        "row.doc_id", "row.source", "row.lang", "row.topic", "row.n_words",
+        F.round("factor", 6).alias("factor"), F.round("probability", 6).alias("probability"), F.col("in_sample").alias("sampled"),
     )
 
 
@@ -30,8 +31,7 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored_media = media.store_as_audio(_table(spark, sf_dir, "documents"))
-    return media.read_stored(stored_media).drop("duration_us", "frame_offsets")
+    return media.read_stored(media.store_as_audio(_table(spark, sf_dir, "documents")))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
