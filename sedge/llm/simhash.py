@@ -24,10 +24,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.retrieval import small
 from .common import map_rows, stored
 from .components import components
 
 BITS, SHINGLE, SEED, DISTANCE = 64, 3, 42, 3
+#: Repeats of a whole row from which it is set apart before rows are shuffled.
+HOT = 1000
 
 
 def fingerprint(text: str) -> int:
@@ -69,6 +72,13 @@ def _start():
     return step
 
 
+def _start_keyed():
+    def step(keys, ids, texts):
+        return [(k, i, fingerprint(t or "")) for k, i, t in zip(keys, ids, texts)]
+
+    return step
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, fp): one row for each input row."""
     schema = f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, fp bigint"
@@ -105,23 +115,51 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def groups(known: DataFrame) -> DataFrame:
+    """(fp, whole) of distinct fingerprints: the smallest fingerprint reachable."""
+    near = components(near_links(known.select("fp"))).withColumnsRenamed({"node": "fp", "component": "near"})
+    nodes = stored(known.select("fp").join(near, "fp", "left").select("fp", F.coalesce("near", "fp").alias("grp")), "groups")
+    joined = components(far_links(nodes)).withColumnsRenamed({"node": "grp", "component": "whole"})
+    return nodes.join(joined, "grp", "left").select("fp", F.coalesce("whole", "grp").alias("whole"))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) for each input row."""
     rows = stored(fingerprints(docs, id_column, text_column), "fingerprints")
-    known = stored(rows.groupBy("fp").agg(F.min(id_column).alias("first_id")), "distinct")
-    groups = components(near_links(known.select("fp"))).withColumnsRenamed({"node": "fp", "component": "near"})
-    nodes = known.join(groups, "fp", "left").select("fp", "first_id", F.coalesce("near", "fp").alias("grp"))
-    nodes = stored(nodes, "groups")
-    joined = components(far_links(nodes.select("fp", "grp"))).withColumnsRenamed({"node": "grp", "component": "whole"})
-    labels = nodes.join(joined, "grp", "left").select("fp", "first_id", F.coalesce("whole", "grp").alias("whole"))
+    known = stored(rows.groupBy("fp").agg(F.min(F.col(f"`{id_column}`")).alias("first_id")), "distinct")
+    labels = known.join(groups(known), "fp")
     first = labels.groupBy("whole").agg(F.min("first_id").alias("component_id"))
     by_fp = labels.join(first, "whole").select("fp", "component_id")
     out = rows.join(by_fp, "fp")
-    return out.select(id_column, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select(F.col(f"`{id_column}`"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def row_key(docs: DataFrame, text_column: str):
+    """A digest of a whole row."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_column]
+    text = F.coalesce(F.md5(F.col(f"`{text_column}`")), F.lit("-"))
+    return F.concat(text, F.md5(F.to_json(F.struct(*rest)))) if rest else text
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents whose id is the smallest of their component (or null)."""
-    found = near_duplicates(docs, id_column, text_column)
-    go = found.where(F.col(id_column) > F.col("component_id")).select(F.col(id_column).alias("__go")).distinct()
-    return docs.join(go, docs[id_column] == F.col("__go"), "left_anti")
+    """One row of each component: that of the smallest id (rows without an id come
+    last), and of rows that share it, that of the smallest digest.
+
+    Only digests, ids and fingerprints go through the search; texts meet its
+    verdict once, by digest.  Of a row that is repeated as a whole one is kept,
+    by a streaming or partial aggregate."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(own.alias("own"), row_key(docs, text_column).alias("key"))
+    searched = docs.select(row_key(docs, text_column).alias("key"), F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
+    kind = docs.schema[id_column].dataType.simpleString()
+    rows = stored(map_rows(searched, ["key", "id", "text"], f"key string, id {kind}, fp bigint", _start_keyed), "fingerprints")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best")
+    known = stored(rows.groupBy("fp").agg(best), "distinct")
+    winners = known.join(groups(known), "fp").groupBy("whole").agg(F.min("best")["key"].alias("key"))
+    repeats = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    winners = stored(winners.select("key").join(small(stored(repeats, "repeats")), "key", "left"), "winners")
+    if not winners.where("n > 1").limit(1).count():
+        return keyed.join(winners, "key", "left_semi").select("own.*")
+    hot = small(winners.where(F.col("n") > HOT).select("key"))
+    rest = keyed.join(hot, "key", "left_anti").join(winners, "key", "left_semi").dropDuplicates(["key"])
+    return rest.union(keyed.join(hot, "key", "left_semi").dropDuplicates(["key"])).select("own.*")
