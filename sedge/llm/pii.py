@@ -131,6 +131,7 @@ def own_features(word: str) -> tuple[str, ...]:
         f"a={any(map(str.isalpha, word))}|{digits > 0}|{word[-1:] in ',;.'}",
         f"@={word.count('@')}|{'.' in word.partition('@')[2].strip('.')}",
         f"k={cue(word)}|{SPELT.search(word) is not None}",
+        f"t={','.join(k for k in KINDS if plausible(word.strip('.,;:!?'), k))}",
     )
 
 
