@@ -56,7 +56,7 @@ SHARE, CHROME_SHARE, MIN_PAGES = 0.5, 0.1, 3
 #: joined by shuffle.
 SENT = 1_000_000
 #: Characters of html in a group, about.
-GROUP_CHARS = 8_000_000
+GROUP_CHARS = 2_000_000
 
 TAG = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?:.*?\]\]>|.*\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|math|object)\b[^>]*+>(?:.*?</\1\s*>|.*\Z)"
