@@ -17,44 +17,96 @@ BAD_STARTS = ("and ", "or ", "but ", "however, ", "therefore, ")
 WEIGHTS = {"token_range": 0.25, "sentences": 0.20, "hierarchy": 0.25, "tables": 0.15, "references": 0.15}
 
 
-def pack(blocks: DataFrame, max_tokens: int, target: int | None = None, by: tuple = ("doc_id",)) -> DataFrame:
+def folded(rows: DataFrame, by: tuple, item: list[str], fold, schema: str) -> DataFrame:
+    """Fold each group's rows in the order of their first field.
+
+    ``fold`` takes a list of tuples of the fields ``item`` and returns tuples of
+    ``schema``.  The order matters row by row, so it is one pass over a group's
+    small tuples in Arrow batches of groups; texts pass through only where they
+    are what is cut."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    from ..shipping import ship
+
+    ship(rows.sparkSession)
+    groups = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*item))).alias("items"))
+    keys = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in by)
+    out = to_arrow_schema(StructType.fromDDL(f"{keys}, {schema}"))
+
+    def run(batches):
+        for batch in batches:
+            *key_columns, items = (c.to_pylist() for c in batch.columns)
+            made = [(*key, *row) for *key, held in zip(*key_columns, items) for row in fold([tuple(x[n] for n in item) for x in held])]
+            columns = list(zip(*made)) or [[] for _ in out]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
+
+    return groups.select(*by, "items").mapInArrow(run, f"{keys}, {schema}")
+
+
+def pack(blocks: DataFrame, max_tokens: int, target: int | None = None, by: tuple = ("doc_id",), overlap: int = 0, min_tokens: int = 0) -> DataFrame:
     """Greedy packing of a document's blocks in order: ``group_no`` by block.
 
     Tables and code stand alone.  A group ends before it would pass
-    ``max_tokens``, or when it has reached ``target``.  The order matters block
-    by block, so it is one fold over a document's small (tokens, kind) structs;
-    texts do not take part in it."""
+    ``max_tokens``, or when it has reached ``target``; the next one begins with
+    the last blocks that have ``overlap`` tokens or fewer together.  A last group
+    under ``min_tokens`` joins the one before, unless the last block stands
+    alone."""
     target = target or max_tokens
-    item = F.struct("pos", "tokens", F.col("type").isin("table", "code").alias("alone"))
-    docs = blocks.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(0).alias("g"), F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("open"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = x["alone"] | ~acc["open"] | ((acc["n"] > 0) & (acc["n"] + x["tokens"] > max_tokens)) | (acc["n"] >= target)
-        first = F.size(acc["out"]) == 0
-        g = F.when(new & ~first, acc["g"] + 1).otherwise(acc["g"])
-        n = F.when(new, x["tokens"]).otherwise(acc["n"] + x["tokens"])
-        return F.struct(g.alias("g"), n.alias("n"), (~x["alone"]).alias("open"), F.concat(acc["out"], F.array(g)).alias("out"))
-
-    folded = docs.select(*by, "items", F.aggregate("items", start, step)["out"].alias("groups"))
-    flat = folded.select(*by, F.explode(F.arrays_zip("items", "groups")).alias("z"))
-    return flat.select(*by, F.col("z.items.pos").alias("pos"), F.col("z.groups").alias("group_no"))
-
-
-def merge_tails(groups: DataFrame, min_tokens: int) -> DataFrame:
-    """A last group under ``min_tokens`` joins the one before it."""
-    w = Window.partitionBy("doc_id")
-    last = F.max("group_no").over(w)
-    tail = F.sum(F.when(F.col("group_no") == last, F.col("tokens"))).over(w)
-    alone = F.max(F.when(F.col("group_no") == last, F.col("type").isin("table", "code"))).over(w)
-    joins = (F.col("group_no") == last) & (last > 0) & (tail < min_tokens) & ~alone
-    return groups.withColumn("group_no", F.when(joins, last - 1).otherwise(F.col("group_no")))
-
-
-def fixed_chunks(blocks: DataFrame, max_tokens: int = 200, min_tokens: int = 20) -> DataFrame:
-    """Chunks of packed blocks."""
-    groups = pack(blocks, max_tokens)
-    rows = merge_tails(blocks.join(groups, ["doc_id", "pos"]), min_tokens)
+
+    def fold(items):
+        groups: list[list] = []
+        held: list[tuple] = []
+        size = 0
+
+        def end() -> None:
+            nonlocal held, size
+            groups.append([x[0] for x in held])
+            kept, size = [], 0
+            for x in reversed(held):
+                if size + x[1] > overlap:
+                    break
+                kept.append(x)
+                size += x[1]
+            held = kept[::-1] if overlap else []
+            size = sum(x[1] for x in held)
+
+        for x in items:
+            if x[2]:
+                if held:
+                    groups.append([y[0] for y in held])
+                groups.append([x[0]])
+                held, size = [], 0
+                continue
+            if held and size + x[1] > max_tokens:
+                end()
+            held.append(x)
+            size += x[1]
+            if size >= target:
+                end()
+        if held:
+            rest = [x[0] for x in held]
+            if size < min_tokens and groups and not items[-1][2]:
+                groups[-1] = sorted({*groups[-1], *rest})
+            else:
+                groups.append(rest)
+        return [(pos, k) for k, group in enumerate(groups) for pos in group]
+
+    kind = blocks.schema["pos"].dataType.simpleString()
+    rows = blocks.select(*by, "pos", "tokens", F.col("type").isin("table", "code").alias("alone"))
+    if kind.startswith("struct"):
+        # Parts of blocks: places are pairs, packed as one number in their order.
+        rows = rows.withColumn("pos", F.col("pos.pos").cast("bigint") * (1 << 24) + F.col("pos.part"))
+        out = folded(rows, by, ["pos", "tokens", "alone"], fold, "pos bigint, group_no int")
+        return out.withColumn("pos", F.struct(F.floor(F.col("pos") / (1 << 24)).cast("int").alias("pos"), (F.col("pos") % (1 << 24)).cast("int").alias("part")))
+    return folded(rows, by, ["pos", "tokens", "alone"], fold, f"pos {kind}, group_no int")
+
+
+def fixed_chunks(blocks: DataFrame, max_tokens: int = 200, target: int = 150, overlap: int = 20, min_tokens: int = 20) -> DataFrame:
+    """Chunks of packed blocks that overlap by whole blocks."""
+    groups = pack(blocks, max_tokens, target, overlap=overlap, min_tokens=min_tokens)
+    rows = blocks.join(groups, ["doc_id", "pos"])
     parts = F.array_sort(F.collect_list(F.struct("pos", "content")))
     made = rows.groupBy("doc_id", F.col("group_no").alias("chunk_pos")).agg(
         parts.alias("parts"), F.sum("tokens").alias("tokens"), F.count("*").alias("block_count"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")
@@ -87,50 +139,71 @@ def hierarchy_chunks(blocks: DataFrame, max_tokens: int = 400, target: int = 200
     return made.withColumn("chunk_pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("section_no", "group_no")) - 1)
 
 
-SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ", "")
+# Separators from the coarsest to the finest.
+SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ")
 
 
-def _recursive(text: str, target: int, at: int = 0) -> list[str]:
-    size = lambda t: max(1, len(t) // 4)
-    if size(text) <= target or at == len(SEPARATORS):
-        return [text]
-    sep = SEPARATORS[at]
-    if not sep:
-        return [text[k : k + 4 * target] for k in range(0, len(text), 4 * target)]
-    if sep not in text:
-        return _recursive(text, target, at + 1)
-    out, held = [], ""
-    parts = text.split(sep)
-    for k, part in enumerate(parts):
-        piece = part + sep if k + 1 < len(parts) else part
-        if held and size(held + piece) > target:
-            out.append(held)
-            held = ""
-        if size(piece) > target:
-            out += [held] * bool(held) + _recursive(piece, target, at + 1)
-            held = ""
-        else:
-            held += piece
-    return out + [held] * bool(held)
-
-
-def recursive_chunks(docs: DataFrame, target: int = 200) -> DataFrame:
-    """Texts cut at the coarsest separator that makes pieces small enough.
-
-    The recursion goes text by text; Spark deals texts to tasks in batches."""
-    import pyarrow as pa
+def _size(text: str) -> int:
+    return max(1, len(text) // 4) if text else 0
 
-    from ..shipping import ship
-
-    ship(docs.sparkSession)
-
-    def run(batches):
-        for batch in batches:
-            rows = [(i, k, c) for i, t in zip(*(c.to_pylist() for c in batch.columns)) for k, c in enumerate(_recursive(t or "", target))]
-            ids, pos, content = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(content, pa.string())], names=["doc_id", "chunk_pos", "content"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, chunk_pos int, content string")
+def _recursive(text: str, target: int, at: int = 0) -> list[str]:
+    """Pieces of ``target`` tokens or fewer, cut at the coarsest separators that do;
+    what has none is cut by characters.  Pieces that fit together are joined."""
+    if _size(text) <= target:
+        return [text]
+    while at < len(SEPARATORS):
+        sep, at = SEPARATORS[at], at + 1
+        *ended, last = text.split(sep)
+        parts = [p for p in [*(p + sep for p in ended), last] if p.strip()]
+        if len(parts) > 1:
+            # A part ends with this separator, so finer ones cut it.
+            out: list[str] = []
+            room = -1
+            for piece in (q for p in parts for q in _recursive(p, target, at)):
+                n = _size(piece)
+                if n <= room:
+                    out[-1] += piece
+                    room -= n
+                else:
+                    out.append(piece)
+                    room = target - n
+            return out
+    return [text[k : k + 4 * target] for k in range(0, len(text), 4 * target)]
+
+
+def recursive_chunks(blocks: DataFrame, target: int = 150, min_tokens: int = 20, max_tokens: int = 200, overlap: int = 20) -> DataFrame:
+    """Blocks cut at the coarsest separators that make pieces small enough; small
+    pieces joined with the next, the last words of each put before the next.
+
+    Tables and code stand alone.  The recursion goes text by text; Spark deals
+    documents to tasks in batches."""
+
+    def fold(items):
+        chunks: list[str] = []
+        for _, alone, content in items:
+            pieces = [content] if alone else [p.strip() for p in _recursive(content, target) if p.strip()]
+            for piece in pieces:
+                joined = f"{chunks[-1]}\n\n{piece}" if chunks else ""
+                if chunks and _size(chunks[-1]) < min_tokens and _size(joined) <= max_tokens:
+                    chunks[-1] = joined
+                else:
+                    chunks.append(piece)
+        out, before = [], ""
+        for k, chunk in enumerate(chunks):
+            tail, room = [], overlap
+            for word in reversed(before.split()):
+                room -= _size(word)
+                if room < 0:
+                    break
+                tail.append(word)
+            content = " ".join(reversed(tail)) + "\n\n" + chunk if tail else chunk
+            out.append((k, content, _size(content)))
+            before = chunk
+        return out
+
+    rows = blocks.select("doc_id", "pos", F.col("type").isin("table", "code").alias("alone"), "content")
+    return folded(rows, ("doc_id",), ["pos", "alone", "content"], fold, "chunk_pos int, content string, token_count bigint")
 
 
 def add_overlap(chunks: DataFrame, overlap: int = 20) -> DataFrame:
@@ -152,18 +225,19 @@ def add_overlap(chunks: DataFrame, overlap: int = 20) -> DataFrame:
 def merge_small(chunks: DataFrame, min_tokens: int = 20, max_tokens: int = 400) -> DataFrame:
     """Folds a chunk into the one before while that is under ``min_tokens`` and
     both fit: ``merged_no`` by chunk."""
-    docs = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_pos", "token_count"))).alias("items"))
-    start = F.struct(F.lit(-1).alias("g"), F.lit(0).cast("bigint").alias("n"), F.array().cast("array<int>").alias("out"))
 
-    def step(acc, x):
-        joins = (acc["g"] >= 0) & (acc["n"] < min_tokens) & (acc["n"] + x["token_count"] <= max_tokens)
-        g = F.when(joins, acc["g"]).otherwise(acc["g"] + 1)
-        n = F.when(joins, acc["n"] + x["token_count"]).otherwise(x["token_count"])
-        return F.struct(g.alias("g"), n.alias("n"), F.concat(acc["out"], F.array(g)).alias("out"))
+    def fold(items):
+        out, group, held = [], -1, 0
+        for pos, n in items:
+            if group >= 0 and held < min_tokens and held + n <= max_tokens:
+                held += n
+            else:
+                group, held = group + 1, n
+            out.append((pos, n, group))
+        return out
 
-    folded = docs.select("doc_id", "items", F.aggregate("items", start, step)["out"].alias("groups"))
-    flat = folded.select("doc_id", F.explode(F.arrays_zip("items", "groups")).alias("z"))
-    return flat.select("doc_id", F.col("z.items.chunk_pos").alias("chunk_pos"), F.col("z.items.token_count").alias("token_count"), F.col("z.groups").alias("merged_no"))
+    kind = chunks.schema["chunk_pos"].dataType.simpleString()
+    return folded(chunks, ("doc_id",), ["chunk_pos", "token_count"], fold, f"chunk_pos {kind}, token_count bigint, merged_no int")
 
 
 def score_token_range(t: Column) -> Column:
@@ -188,7 +262,7 @@ def score_hierarchy(last_type: Column, has_heading: Column, has_content: Column)
 def broken_table(kind: Column, content: Column) -> Column:
     lines = F.split(content, "\n")
     bad = ~F.get(lines, 0).contains("|") | ~F.get(lines, 1).contains("---")
-    return (kind == "table") & (F.size(lines) >= 2) & bad
+    return (kind == "table") & (F.size(lines) >= 2) & F.coalesce(bad, F.lit(False))
 
 
 def score_references(content: Column) -> Column:
@@ -205,7 +279,7 @@ def quality(chunks: DataFrame) -> DataFrame:
             "token_range": score_token_range(F.col("token_count")),
             "sentences": score_sentences(F.col("content")),
             "hierarchy": score_hierarchy(F.col("last_type"), F.col("has_heading"), F.col("has_content")),
-            "tables": F.lit(1.0),
+            "tables": F.when(F.col("has_broken_table"), 0.7).otherwise(1.0),
             "references": score_references(F.col("content")),
         }
     )
@@ -241,20 +315,44 @@ def suggestions(scored: DataFrame) -> DataFrame:
     return scored.select("chunk_id", F.explode(F.array_compact(advice)).alias("suggestion"))
 
 
-def metrics(chunks: DataFrame, by: tuple = ("strategy",)) -> DataFrame:
-    """Sizes of a strategy's chunks; the median is the upper one."""
-    ranked = chunks.withColumns(
-        {
-            "__r": F.row_number().over(Window.partitionBy(*by).orderBy("token_count", "doc_id", "chunk_pos")) - 1,
-            "__n": F.count("*").over(Window.partitionBy(*by)),
-        }
-    )
+def metrics(scored: DataFrame, by: tuple = ("strategy",)) -> DataFrame:
+    """Sizes, quality and paths of a strategy's scored chunks.
+
+    The median is the upper one, found in the counts of each size, which are few
+    however many chunks there are."""
     t = F.col("token_count")
-    return ranked.groupBy(*by).agg(
-        F.count("*").alias("chunks"), F.avg(t).alias("avg_tokens"), F.min(t).alias("min_tokens"), F.max(t).alias("max_tokens"),
-        F.max(F.when(F.col("__r") == F.floor(F.col("__n") / 2), t)).alias("median_tokens"),
+    out = scored.groupBy(*by).agg(
+        F.count("*").alias("chunks"), F.sum("block_count").alias("blocks"), F.avg(t).alias("avg_tokens"), F.min(t).alias("min_tokens"), F.max(t).alias("max_tokens"),
+        mean_score().alias("avg_quality"), (F.count_if(F.col("hierarchy_path") != "") / F.count("*")).alias("preservation"),
         F.count_if(t < 100).alias("under_100"), F.count_if((t >= 100) & (t <= 500)).alias("from_100_to_500"), F.count_if(t > 500).alias("over_500"),
     )
+    sizes = scored.groupBy(*by, "token_count").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*by)
+    sizes = sizes.withColumns({"upto": F.sum("n").over(w.orderBy("token_count")), "all": F.sum("n").over(w)})
+    median = sizes.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(*by).agg(F.min("token_count").alias("median_tokens"))
+    return out.join(median, list(by))
+
+
+def compare_strategies(measured: DataFrame) -> DataFrame:
+    """Points of each strategy, the best one, why, and how much better its quality
+    is than the worst of the others'.  One row a strategy, of which there are few."""
+    avg = F.col("avg_tokens")
+    score = (
+        40 * F.col("preservation") + 30 * F.col("avg_quality") + F.when(avg.between(300, 600), 20).when(avg.between(200, 800), 10).otherwise(0)
+        + F.when(F.col("chunks") < 1000, 10).otherwise(0)
+    )
+    every = Window.partitionBy()
+    rows = measured.withColumn("score", F.round(score, 6))
+    rows = rows.withColumn("best", F.row_number().over(every.orderBy(F.desc("score"), "strategy")) == 1)
+    reasons = F.array_compact(
+        F.array(
+            F.when(F.col("preservation") > 0.8, "keeps the structure"), F.when(F.col("avg_quality") > 0.9, "high quality"),
+            F.when(avg.between(300, 600), "good size"), F.when(F.col("preservation") > 0.9, "has paths"),
+        )
+    )
+    worst = F.min(F.when(~F.col("best"), F.col("avg_quality"))).over(every)
+    gap = F.round(F.col("avg_quality") - worst, 6)
+    return rows.select("strategy", "score", "best", F.when(F.col("best"), F.array_join(reasons, ", ")).alias("reasons"), F.when(F.col("best") & (gap > 0.1), gap).alias("gap"))
 
 
 def path_rollup(chunks: DataFrame, separator: str = " > ") -> DataFrame:
@@ -270,15 +368,24 @@ def path_rollup(chunks: DataFrame, separator: str = " > ") -> DataFrame:
 
 
 def merge_requested(chunks: DataFrame, requests: DataFrame) -> DataFrame:
-    """Chunks named together by a request (request_id, chunk_id) become one; the
-    others stay."""
+    """Chunks named together by a request (request_id, chunk_id) become one, with
+    all their blocks and the first path; all are scored; the others stay."""
     named = chunks.join(requests, "chunk_id")
-    parts = F.array_sort(F.collect_list(F.struct("chunk_pos", "content", "chunk_id")))
-    made = named.groupBy("doc_id", "request_id").agg(parts.alias("p"), F.count("*").alias("n")).where("n >= 2")
+    first = lambda c: F.min_by(c, "chunk_pos")
+    parts = F.array_sort(F.collect_list(F.struct("chunk_pos", "content", "chunk_id", "block_ids")))
+    made = named.groupBy("doc_id", "request_id").agg(
+        parts.alias("p"), F.count("*").alias("n"), first(F.nullif("hierarchy_path", F.lit(""))).alias("path"), F.max_by("last_type", "chunk_pos").alias("last_type"),
+        *[F.bool_or(c).alias(c) for c in ("has_heading", "has_content", "has_broken_table")],
+    ).where("n >= 2")
     content = F.array_join(F.transform("p", lambda x: x["content"]), "\n\n")
-    merged = made.select("doc_id", F.get("p", 0)["chunk_pos"].alias("chunk_pos"), F.get("p", 0)["chunk_id"].alias("chunk_id"), content.alias("content"), tokens(content).alias("token_count"))
+    head = F.get("p", 0)
+    merged = made.select(
+        "doc_id", head["chunk_pos"].alias("chunk_pos"), head["chunk_id"].alias("chunk_id"), content.alias("content"), tokens(content).alias("token_count"),
+        F.flatten(F.transform("p", lambda x: x["block_ids"])).alias("block_ids"), F.coalesce("path", F.lit("")).alias("hierarchy_path"),
+        "last_type", "has_heading", "has_content", "has_broken_table",
+    )
     gone = made.select(F.explode("p.chunk_id").alias("chunk_id"))
-    return merged.unionByName(chunks.join(gone, "chunk_id", "left_anti").select(*merged.columns))
+    return quality(merged.unionByName(chunks.join(gone, "chunk_id", "left_anti").select(*merged.columns)))
 
 
 def split_requested(chunks: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -291,9 +398,31 @@ def split_requested(chunks: DataFrame, requests: DataFrame) -> tuple[DataFrame,
     return good, rows.where(~ok).select("chunk_id", "at")
 
 
+PATCHED = ("tags", "hierarchy_hint", "notes", "custom", "is_locked")
+
+
 def update_chunks(chunks: DataFrame, patches: DataFrame) -> DataFrame:
-    """Values of a patch (chunk_id, notes, is_locked) over the old ones, where
+    """Values of a patch (chunk_id and any of ``PATCHED``) over the old ones, where
     they are not null."""
-    p = patches.select("chunk_id", F.col("notes").alias("__n"), F.col("is_locked").alias("__l"))
-    rows = chunks.join(p, "chunk_id", "left")
-    return rows.withColumns({"notes": F.coalesce("__n", "notes"), "is_locked": F.coalesce("__l", "is_locked")}).drop("__n", "__l")
+    given = [c for c in PATCHED if c in patches.columns]
+    rows = chunks.join(patches.select("chunk_id", *[F.col(c).alias(f"__{c}") for c in given]), "chunk_id", "left")
+    return rows.withColumns({c: F.coalesce(f"__{c}", c) for c in given}).drop(*[f"__{c}" for c in given])
+
+
+def rechunk(blocks: DataFrame, old: DataFrame, chunker) -> DataFrame:
+    """New chunks by a chunker, and behind them the old ones that are locked."""
+    new = chunker(blocks)
+    columns = [c for c in new.columns if c in old.columns]
+    return new.select(F.lit("new").alias("origin"), *columns).unionByName(old.where("is_locked").select(F.lit("locked").alias("origin"), *columns))
+
+
+def truncate_tokens(c: Column, n: int) -> Column:
+    """The first ``n`` tokens, at four characters each."""
+    return F.substring(c, 1, 4 * n)
+
+
+def split_by_tokens(docs: DataFrame, n: int) -> DataFrame:
+    """Windows of ``n`` tokens of each text; an empty text has one."""
+    parts = F.greatest(F.ceil(F.length("text") / (4 * n)), F.lit(1)) - 1
+    rows = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("bigint"), parts)).alias("part"))
+    return rows.select("doc_id", "part", F.substring("text", (4 * n * F.col("part") + 1).cast("int"), F.lit(4 * n)).alias("content"))

@@ -7,15 +7,23 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip, tokens, words
 
-# References and connectives that point out of a chunk.
+# References and connectives that point out of a chunk, in the order
+# in which they are tried; those that questions are made of; and limits.
 FORWARD = (r"\bas follows:?\b", r"\bbelow:?\b", r"\bsee table\s+\d+", r"\bsee figure\s+\d+")
 BACKWARD = (r"\bas mentioned\b", r"\bas noted\b", r"\babove\b", r"\bprevious(?:ly)?\b", r"\bsee section\b")
 CONNECTIVES = ("however", "therefore", "additionally", "furthermore", "moreover", "consequently", "thus", "hence")
-PROCEDURES = (r"\bstep\s+\d+", r"\bfirst,", r"\bnext,", r"\bfinally,")
+ASK_FORWARD = (r"\bas follows:?\b", r"\bbelow:?\b", r"\bnext\b", r"\bsubsequent\b", r"\blater\b")
+ASK_BACKWARD = (r"\bas mentioned\b", r"\bas noted\b", r"\babove\b", r"\bprevious(?:ly)?\b", r"\bearlier\b", r"\bsee (?:section|figure|table)\b")
+ASK_CONNECTIVES = (*CONNECTIVES, "nevertheless")
+PROCEDURES = (r"\bstep\s+\d+", r"\bfirst\b.*\bthen\b", r"\bshall\b", r"\bmust\b.*\bfollowing\b")
+NO_SUBJECT = ("the", "a", "an", "in", "on", "at")
 TABLE_MARKS = ("|", "\t\t", "────")
 LIST_NUMBER = r"(?m)^\s*(\d+)[\.\)]\s+"
-#: A list's range of numbers is spelt out up to this span; wider ones have gaps.
-WIDEST_LIST = 10_000
+TOPIC = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"
+HEADING_LINE = r"(?m)^#+\s+|^\d+\.\d+\s+|^[A-Z][A-Z\s]+:?$"
+MERGED_BELOW = 20
+#: Numbers of a list are exact up to so many digits; longer ones count as the next.
+LIST_DIGITS = 37
 
 
 def neighbours(chunks: DataFrame) -> DataFrame:
@@ -31,22 +39,24 @@ def first_match(c: Column, patterns) -> Column:
     return out
 
 
-def connective(content: Column) -> Column:
+def connective(content: Column, words_: tuple = CONNECTIVES) -> Column:
     c, out = F.lower(strip(content)), None
-    for w in CONNECTIVES:
+    for w in words_:
         out = F.when(c.startswith(w), w) if out is None else out.when(c.startswith(w), w)
     return out
 
 
 def list_numbers(content: Column) -> Column:
+    """The numbers of numbered lines, as whole decimals."""
     found = F.regexp_extract_all(content, F.lit(LIST_NUMBER), F.lit(1))
-    return F.transform(F.filter(found, lambda x: F.length(x) < 10), lambda x: x.cast("bigint"))
+    bare = F.transform(found, lambda x: F.regexp_replace(x, "^0+(?=.)", ""))
+    return F.transform(bare, lambda x: F.when(F.length(x) > LIST_DIGITS, F.lit("1" + "0" * LIST_DIGITS)).otherwise(x).cast("decimal(38,0)"))
 
 
-def missing_numbers(numbers: Column) -> Column:
-    low, high = F.array_min(numbers), F.array_max(numbers)
-    every = F.when(high - low <= WIDEST_LIST, F.sequence(low, high)).otherwise(F.array(low, low + 1, high))
-    return F.when(F.size(numbers) > 0, F.array_except(every, numbers))
+def has_gaps(numbers: Column) -> Column:
+    """Whether a number between the least and the largest is missing; the range is
+    compared with the count, so its width does not matter."""
+    return (F.size(numbers) > 0) & (F.array_max(numbers) - F.array_min(numbers) + 1 > F.size(F.array_distinct(numbers)))
 
 
 def marked_lines(content: Column) -> Column:
@@ -67,7 +77,7 @@ def problem_columns(t: Column, content: Column) -> list[tuple[str, Column]]:
         ("forward_ref", F.when(first_match(content, FORWARD).isNotNull(), "medium")),
         ("backward_ref", F.when(first_match(content, BACKWARD).isNotNull(), "low")),
         ("list_start", F.when((F.size(numbers) > 0) & (F.array_min(numbers) > 1), "high")),
-        ("list_gaps", F.when(F.size(missing_numbers(numbers)) > 0, "medium")),
+        ("list_gaps", F.when(has_gaps(numbers), "medium")),
         ("table_partial", F.when((lines > 0) & (lines < 3), "medium")),
     ]
 
@@ -80,13 +90,17 @@ TYPES = {
 
 
 def diagnose(chunks: DataFrame, kinds: tuple | None = None) -> DataFrame:
-    """One row for each problem of a chunk."""
+    """One row for each problem of a chunk, in the order ``seq``; large chunks with
+    their content."""
     made = [
-        F.when(s.isNotNull(), F.struct(F.lit(k).alias("kind"), F.lit(TYPES[k]).alias("problem_type"), s.alias("severity")))
-        for k, s in problem_columns(F.col("token_count"), F.col("content")) if kinds is None or k in kinds
+        F.when(s.isNotNull(), F.struct(F.lit(k).alias("kind"), F.lit(TYPES[k]).alias("problem_type"), s.alias("severity"), F.lit(n).alias("rule")))
+        for n, (k, s) in enumerate(problem_columns(F.col("token_count"), F.col("content"))) if kinds is None or k in kinds
     ]
-    rows = neighbours(chunks).select("doc_id", "chunk_id", "chunk_pos", "token_count", "prev_id", "next_id", F.explode(F.array_compact(F.array(*made))).alias("p"))
-    return rows.select("doc_id", "chunk_id", "chunk_pos", "token_count", "prev_id", "next_id", F.concat_ws("_", F.lit("problem"), "chunk_id", "p.kind").alias("problem_id"), "p.*")
+    held = ["doc_id", "chunk_id", "chunk_pos", "token_count", "prev_id", "next_id"]
+    rows = neighbours(chunks).select(*held, "content", F.explode(F.array_compact(F.array(*made))).alias("p"))
+    content = F.when(F.col("p.kind") == "size_large", F.col("content")).alias("content")
+    seq = F.struct("chunk_pos", F.col("p.rule").alias("rule")).alias("seq")
+    return rows.select(*held, content, seq, F.concat_ws("_", F.lit("problem"), "chunk_id", "p.kind").alias("problem_id"), "p.kind", "p.problem_type", "p.severity")
 
 
 def problem_stats(problems: DataFrame) -> DataFrame:
@@ -100,23 +114,27 @@ def questions(chunks: DataFrame) -> DataFrame:
     """Questions that a chunk's faults suggest, with the chunks expected."""
     c, w = strip(F.col("content")), words(F.col("content"))
     numbers = list_numbers(F.col("content"))
-    capital = F.slice(F.filter(words(F.substring("content", 1, 100)), lambda x: x.rlike(r"^\p{Lu}") & ~x.isin("The", "This", "That", "These", "Those", "A")), 1, 3)
-    subject = F.when(F.size(capital) > 0, F.array_join(capital, " ")).otherwise(F.array_join(F.slice(w, 1, 5), " "))
+    capital = F.slice(F.filter(words(F.substring("content", 1, 100)), lambda x: x.rlike(r"^\p{Lu}") & ~F.lower(x).isin(*NO_SUBJECT)), 1, 3)
+    head = words(F.substring("content", 1, 100))
+    subject = F.when(F.size(capital) > 0, F.array_join(capital, " ")).when(F.size(head) >= 5, F.array_join(F.slice(head, 1, 5), " ")).otherwise(F.substring("content", 1, 30))
     tail = F.array_join(F.slice(w, F.greatest(F.size(w) - 4, F.lit(1)), F.lit(5)), " ")
     ask = lambda kind, when, text, expected: F.when(when, F.struct(F.lit(kind).alias("question_type"), text.alias("question"), expected.alias("expected")))
     own, around = F.array("chunk_id"), lambda other: F.array_compact(F.array(*other))
     procedure = F.lit(False)
     for p in PROCEDURES:
-        procedure = procedure | c.rlike("(?i)" + p)
+        procedure = procedure | F.col("content").rlike("(?i)" + p)
+    topics = F.size(F.array_distinct(F.regexp_extract_all(F.substring("content", 1, 500), F.lit(TOPIC), F.lit(0))))
+    low, high = F.array_min(numbers), F.array_max(numbers)
     made = F.array(
-        ask("boundary_start", connective(F.col("content")).isNotNull() & F.col("prev_id").isNotNull(), F.concat(F.lit("What led to: "), subject, F.lit("?")), around(["prev_id", "chunk_id"])),
-        ask("boundary_end", ~c.rlike(r"[.!?]$") & (F.size(w) >= 5) & F.col("next_id").isNotNull(), F.concat(F.lit("What follows after '"), tail, F.lit("'?")), around(["chunk_id", "next_id"])),
-        ask("reference_forward", first_match(F.col("content"), FORWARD).isNotNull(), F.concat(F.lit("What does the text on "), subject, F.lit(" refer to?")), around(["chunk_id", "next_id"])),
-        ask("reference_backward", first_match(F.col("content"), BACKWARD).isNotNull(), F.concat(F.lit("What was said before about "), subject, F.lit("?")), around(["prev_id", "chunk_id"])),
-        ask("structure_list", (F.size(numbers) > 0) & (F.array_min(numbers) > 1), F.concat(F.lit("Which items precede number "), F.array_min(numbers), F.lit("?")), around(["prev_id", "chunk_id"])),
+        ask("boundary_start", connective(F.col("content"), ASK_CONNECTIVES).isNotNull(), F.concat(F.lit("What led to: "), subject, F.lit("?")), around(["prev_id", "chunk_id"])),
+        ask("boundary_end", (c != "") & ~c.rlike(r"[.!?]$") & (F.size(w) >= 5) & F.col("next_id").isNotNull(), F.concat(F.lit("What follows after '"), tail, F.lit("'?")), around(["chunk_id", "next_id"])),
+        ask("reference_forward", first_match(F.col("content"), ASK_FORWARD).isNotNull(), F.concat(F.lit("What does the text on "), subject, F.lit(" refer to?")), own),
+        ask("reference_backward", first_match(F.col("content"), ASK_BACKWARD).isNotNull(), F.concat(F.lit("What was said before about "), subject, F.lit("?")), own),
+        ask("structure_list", (F.size(numbers) > 0) & (low > 1), F.concat(F.lit("Which items precede number "), low.cast("string"), F.lit("?")), around(["prev_id", "chunk_id"])),
+        ask("structure_more", (F.size(numbers) > 0) & (high >= 5) & ~c.endswith("."), F.concat(F.lit("Which items follow number "), high.cast("string"), F.lit("?")), around(["chunk_id", "next_id"])),
         ask("structure_procedure", procedure, F.concat(F.lit("What are the steps for "), subject, F.lit("?")), own),
-        ask("coherence_small", F.col("token_count") < 20, F.concat(F.lit("What is meant by "), subject, F.lit("?")), own),
-        ask("coherence_large", F.col("token_count") > 500, F.concat(F.lit("What is the main topic of "), subject, F.lit("?")), own),
+        ask("coherence_large", (F.col("token_count") > 500) & (topics > 10), F.concat(F.lit("What is the main topic of "), subject, F.lit("?")), own),
+        ask("coherence_small", F.col("token_count") < MERGED_BELOW, F.concat(F.lit("What is meant by '"), F.substring(c, 1, 50), F.lit("'?")), own),
     )
     rows = neighbours(chunks).select("doc_id", "chunk_id", F.explode(F.array_compact(made)).alias("q"))
     return rows.select("doc_id", "chunk_id", "q.*")
@@ -132,65 +150,108 @@ def question_results(asked: DataFrame, hits: DataFrame) -> DataFrame:
     return rows.withColumns({"status": status, "missing": missing, "ranks": F.transform("expected", lambda x: F.array_position("retrieved", x))})
 
 
-def question_report(results: DataFrame) -> DataFrame:
-    return results.groupBy("question_type").agg(
-        F.count("*").alias("questions"), *[F.count_if(F.col("status") == s).alias(s) for s in ("pass", "partial", "fail")]
-    )
-
-
-MERGES = ("size_small", "connective", "lowercase_start", "incomplete_end", "list_start", "list_gaps", "table_partial")
+def question_report(results: DataFrame, worst: int = 10) -> DataFrame:
+    """(facet, doc_id, name, questions, pass, partial, fail): results by type, and
+    the ``worst`` chunks of each document by questions that did not pass.  A report
+    of that many rows a document; all failures are the results themselves."""
+    counts = [F.count("*").alias("questions"), *[F.count_if(F.col("status") == s).alias(s) for s in ("pass", "partial", "fail")]]
+    types = results.groupBy("question_type").agg(*counts).select(F.lit("type").alias("facet"), F.lit(None).cast("bigint").alias("doc_id"), F.col("question_type").alias("name"), "questions", "pass", "partial", "fail")
+    per = results.groupBy("doc_id", "chunk_id").agg(*counts).where("partial + fail > 0")
+    order = Window.partitionBy("doc_id").orderBy(F.desc(F.col("partial") + F.col("fail")), "chunk_id")
+    chunks = per.withColumn("r", F.row_number().over(order)).where(F.col("r") <= worst)
+    return types.unionByName(chunks.select(F.lit("chunk").alias("facet"), "doc_id", F.col("chunk_id").alias("name"), "questions", "pass", "partial", "fail"))
 
 
-def plan_fixes(problems: DataFrame, contents: DataFrame) -> DataFrame:
+def plan_fixes(problems: DataFrame) -> DataFrame:
     """One action for each problem that has one: merge with a neighbour, or
-    split in two."""
-    k = F.col("kind")
+    split in two.  ``problems`` carry the content of large chunks."""
+    k, small = F.col("kind"), F.col("token_count") < MERGED_BELOW
+    meaning = F.col("problem_type").isin("semantic_incomplete", "structural_breakage")
+    either = F.coalesce("next_id", "prev_id")
     to = (
-        F.when(k == "size_small", F.coalesce("next_id", "prev_id"))
-        .when(k.isin("connective", "lowercase_start", "list_start"), F.col("prev_id"))
-        .when(k.isin("incomplete_end", "list_gaps", "table_partial"), F.col("next_id"))
-        .when(k == "forward_ref", F.col("next_id")).when(k == "backward_ref", F.col("prev_id"))
+        F.when(meaning & small, either).when(k.isin("connective", "lowercase_start", "list_start"), F.col("prev_id")).when(k == "incomplete_end", F.col("next_id"))
+        .when(meaning, either).when(k == "forward_ref", F.col("next_id")).when(k == "backward_ref", F.col("prev_id"))
     )
-    confidence = F.when(k == "list_start", 0.9).when(k.isin(*MERGES), 0.8).when(k.isin("forward_ref", "backward_ref"), 0.6)
+    confidence = F.when(k.isin("forward_ref", "backward_ref"), 0.6).when((k == "list_start") & ~small, 0.9).otherwise(0.8)
+    back = F.col("prev_id").isNotNull() & (to == F.col("prev_id"))
+    pair = F.when(back, F.array(to, "chunk_id")).otherwise(F.array("chunk_id", to))
+    first = F.when(back, F.col("chunk_pos") - 1).otherwise(F.col("chunk_pos"))
     merge = problems.where(to.isNotNull()).select(
-        "doc_id", "problem_id", F.lit("merge").alias("action"), F.array_sort(F.array("chunk_id", to)).alias("chunk_ids"), confidence.alias("confidence"), F.lit(None).cast("int").alias("at")
+        "doc_id", "problem_id", "seq", F.lit("merge").alias("action"), pair.alias("chunk_ids"), first.alias("place"), confidence.alias("confidence"), F.lit(None).cast("int").alias("at")
     )
-    long = problems.where("kind = 'size_large'").join(contents.select("chunk_id", "content"), "chunk_id")
-    at, confidence = split_point(F.col("content"))
-    split = long.select("doc_id", "problem_id", F.lit("split"), F.array("chunk_id"), confidence, at)
+    at, sure = split_point(F.col("content"), F.col("token_count"))
+    split = problems.where("kind = 'size_large'").select("doc_id", "problem_id", "seq", F.lit("split"), F.array("chunk_id"), "chunk_pos", sure, at)
     return merge.union(split)
 
 
-def split_point(content: Column) -> tuple[Column, Column]:
-    """Where to cut a long chunk: the first paragraph end past 40 % of half its
-    length if it has three paragraphs, else its middle."""
+def split_point(content: Column, token_count: Column) -> tuple[Column, Column]:
+    """Where to cut a long chunk, and how sure: behind the paragraph with which two
+    fifths of half its tokens are reached, if it has three paragraphs; else at its
+    middle heading, if it has two; else in its middle."""
     parts = F.split(content, "\n\n")
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.length(F.array_join(F.slice(parts, F.lit(1), k), "\n\n")))
-    past = F.filter(ends, lambda e: e >= F.length(content) / 2 * 0.4)
-    many = (F.size(parts) >= 3) & (F.get(past, 0) < F.length(content))
-    return F.when(many, F.get(past, 0)).otherwise(F.floor(F.length(content) / 2).cast("int")), F.when(many, 0.7).otherwise(0.5)
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("at"))
+
+    def step(acc: Column, p: Column) -> Column:
+        n, i = acc["n"] + tokens(p), acc["i"] + 1
+        return F.struct(i.alias("i"), n.alias("n"), F.when((acc["at"] == 0) & (n >= F.floor(token_count / 2) * 0.4), i).otherwise(acc["at"]).alias("at"))
+
+    upto = F.greatest(F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, step)["at"], F.lit(1))
+    paragraph = F.length(F.array_join(F.slice(parts, F.lit(1), upto), "\n\n"))
+    headings = F.regexp_extract_all(content, F.lit(HEADING_LINE), F.lit(0))
+    middle = F.floor(F.size(headings) / 2).cast("int")
+    rest = F.element_at(F.split(content, HEADING_LINE, middle + 2), -1)
+    heading = F.length(content) - F.length(rest) - F.length(F.get(headings, middle))
+    many, some = F.size(parts) >= 3, F.size(headings) >= 2
+    at = F.when(many, paragraph).when(some, heading).otherwise(F.floor(F.length(content) / 2)).cast("int")
+    return at, F.when(many, 0.7).when(some, 0.8).otherwise(0.5)
+
+
+def plan_summary(problems: DataFrame, actions: DataFrame) -> DataFrame:
+    """Of each document: problems, planned and kept actions, chunks in more than one
+    action, and the improvement expected."""
+    touched = actions.select("doc_id", F.explode("chunk_ids").alias("chunk")).groupBy("doc_id", "chunk").agg(F.count("*").alias("n"))
+    clash = touched.groupBy("doc_id").agg(F.count_if(F.col("n") > 1).alias("conflicts"))
+    planned = actions.groupBy("doc_id").agg(F.count("*").alias("planned"))
+    kept = resolve_conflicts(actions).groupBy("doc_id").agg(F.count("*").alias("kept"))
+    rows = problems.groupBy("doc_id").agg(F.count("*").alias("problems")).join(planned, "doc_id", "left").join(kept, "doc_id", "left").join(clash, "doc_id", "left")
+    rows = rows.fillna(0, ["planned", "kept", "conflicts"])
+    return rows.withColumn("improvement", F.round(F.least(F.lit(1.0), F.col("kept") / F.col("problems") * 0.7), 6))
 
 
 def resolve_conflicts(actions: DataFrame) -> DataFrame:
     """Actions that are the best for every chunk they touch, by confidence, then
-    merges, then order."""
-    touched = actions.select("problem_id", "confidence", "action", F.explode("chunk_ids").alias("chunk"))
-    best = Window.partitionBy("chunk").orderBy(F.desc("confidence"), "action", "problem_id")
-    losers = touched.withColumn("r", F.row_number().over(best)).where("r > 1").select("problem_id").distinct()
-    return actions.join(losers, "problem_id", "left_anti")
+    merges, then the order of their problems."""
+    touched = actions.select("doc_id", "problem_id", "confidence", "action", "seq", F.explode("chunk_ids").alias("chunk"))
+    best = Window.partitionBy("doc_id", "chunk").orderBy(F.desc("confidence"), "action", "seq")
+    losers = touched.withColumn("r", F.row_number().over(best)).where("r > 1").select("doc_id", "problem_id").distinct()
+    return actions.join(losers, ["doc_id", "problem_id"], "left_anti")
 
 
 def apply_fixes(chunks: DataFrame, actions: DataFrame) -> DataFrame:
-    """All surviving actions at once: they are disjoint."""
-    merges = actions.where("action = 'merge'").select("problem_id", F.explode("chunk_ids").alias("chunk_id"))
-    named = chunks.join(merges, "chunk_id").groupBy("doc_id", "problem_id").agg(F.array_sort(F.collect_list(F.struct("chunk_pos", "content"))).alias("p"))
-    content = F.array_join(F.transform("p", lambda x: x["content"]), "\n\n")
-    merged = named.select("doc_id", F.get("p", 0)["chunk_pos"].alias("chunk_pos"), F.lit(0).alias("half"), content.alias("content"))
-    cuts = actions.where("action = 'split'").select(F.get("chunk_ids", 0).alias("chunk_id"), "at")
-    halves = F.array(F.struct(F.lit(0).alias("half"), F.expr("substring(content, 1, at)").alias("content")), F.struct(F.lit(1).alias("half"), F.expr("substring(content, at + 1)").alias("content")))
-    split = chunks.join(cuts, "chunk_id").select("doc_id", "chunk_pos", F.explode(halves).alias("h")).select("doc_id", "chunk_pos", "h.*")
-    gone = actions.select(F.explode("chunk_ids").alias("chunk_id")).distinct()
-    rest = chunks.join(gone, "chunk_id", "left_anti").select("doc_id", "chunk_pos", F.lit(0).alias("half"), "content")
-    rows = merged.unionByName(split).unionByName(rest)
-    pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_pos", "half")) - 1
-    return rows.select("doc_id", pos.alias("chunk_pos"), F.concat_ws("+", "doc_id", pos).alias("chunk_id"), strip(F.col("content")).alias("content"), tokens(strip(F.col("content"))).alias("token_count"))
+    """All surviving actions at once: they are disjoint.  Every join and window is
+    by document and chunk, or by document."""
+    marked = actions.select("doc_id", "problem_id", "action", "at", F.explode("chunk_ids").alias("chunk_id"))
+    rows = chunks.join(marked, ["doc_id", "chunk_id"], "left")
+    halves = F.array(
+        F.struct(F.lit(0).alias("half"), F.expr("substring(content, 1, at)").alias("content")), F.struct(F.lit(1).alias("half"), F.expr("substring(content, at + 1)").alias("content"))
+    )
+    whole = F.array(F.struct(F.lit(0).alias("half"), F.col("content").alias("content")))
+    pieces = rows.select("doc_id", "chunk_pos", "problem_id", "action", F.explode(F.when(F.col("action") == "split", halves).otherwise(whole)).alias("h"))
+    # What is merged meets under its problem; all else is for itself.
+    key = F.when(F.col("action") == "merge", F.col("problem_id")).otherwise(F.concat_ws("/", "chunk_pos", "h.half"))
+    parts = F.array_sort(F.collect_list(F.struct("chunk_pos", "h.half", "h.content")))
+    made = pieces.groupBy("doc_id", key.alias("key")).agg(parts.alias("p"))
+    content = strip(F.array_join(F.transform("p", lambda x: x["content"]), "\n\n"))
+    pos = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.get("p", 0)["chunk_pos"], F.get("p", 0)["half"])) - 1
+    out = made.select("doc_id", pos.alias("chunk_pos"), content.alias("content"))
+    return out.select("doc_id", "chunk_pos", F.concat_ws("+", "doc_id", "chunk_pos").alias("chunk_id"), "content", tokens(F.col("content")).alias("token_count"))
+
+
+def fix_report(before: DataFrame, after: DataFrame, applied: DataFrame) -> DataFrame:
+    """Problems of each document before and after, the share that went, and whether
+    more problems are left than actions were applied, which fails validation."""
+    n = lambda rows, name: rows.groupBy("doc_id").agg(F.count("*").alias(name))
+    rows = n(before, "before").join(n(after, "after"), "doc_id", "full_outer").join(n(applied, "applied"), "doc_id", "left").fillna(0)
+    gone = F.when(F.col("before") > 0, (F.col("before") - F.col("after")) / F.col("before")).otherwise(0.0)
+    failed = (F.col("applied") > 0) & (F.col("after") > F.col("applied"))
+    return rows.withColumns({"reduction": F.round(gone, 6), "validation_failed": failed})

@@ -23,7 +23,8 @@ def markdown_lines(docs: DataFrame) -> DataFrame:
 
 
 def markdown_blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of markdown: runs of lines of a kind, each heading for itself."""
+    """Blocks of markdown: runs of lines of a kind, each heading for itself; lists
+    numbered anew or with dashes, tables with one form of rows, quotes marked."""
     rows = markdown_lines(docs)
     w = Window.partitionBy("doc_id").orderBy("line")
     opens_fence = F.col("raw").rlike(r"^\s*```") & (F.col("fences") % 2 == 1)
@@ -31,10 +32,27 @@ def markdown_blocks(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("block", F.sum(F.when(new, 1).otherwise(0)).over(w)).where("kind <> 'blank'")
     parts = F.array_sort(F.collect_list(F.struct("line", "raw")))
     made = rows.groupBy("doc_id", "block", "kind").agg(parts.alias("p"), F.min("line").alias("line"))
-    text = F.array_join(F.transform("p", lambda x: x["raw"]), "\n")
-    content = F.when(F.col("kind") == "heading", F.regexp_replace(text, r"^#{1,6}\s+", "")).when(F.col("kind") == "list", F.regexp_replace(text, r"(?m)^\s*[*+-]\s+", "- ")).otherwise(text)
-    level = F.when(F.col("kind") == "heading", F.length(F.regexp_extract(text, r"^(#{1,6})", 1)))
-    return made.select("doc_id", "line", F.col("kind").alias("type"), content.alias("content"), level.alias("heading_level"), F.size("p").alias("lines"))
+    lines = F.transform("p", lambda x: x["raw"])
+    kind = F.col("kind")
+    ordered = (kind == "list") & F.get(lines, 0).rlike(r"^\s*\d")
+    items = F.transform(lines, lambda x: F.regexp_replace(x, r"^\s*([-*+]|\d+[.)])\s+", ""))
+    listed = F.array_join(F.transform(items, lambda x, i: F.concat(F.when(ordered, F.concat((i + 1).cast("string"), F.lit(". "))).otherwise("- "), x)), "\n")
+    quoted = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("> "), F.regexp_replace(x, r"^>\s*", ""))), "\n")
+    cells = F.transform(lines, table_cells)
+    body = F.filter(cells, lambda r: ~F.forall(r, lambda c: c.rlike(r"^:?-+:?$")))
+    row = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
+    rule = F.concat(F.lit("| "), F.array_join(F.transform(F.get(body, 0), lambda c: F.lit("---")), " | "), F.lit(" |"))
+    table = F.array_join(F.flatten(F.transform(body, lambda r, i: F.when(i == 0, F.array(row(r), rule)).otherwise(F.array(row(r))))), "\n")
+    text = F.array_join(lines, "\n")
+    content = F.when(kind == "heading", F.regexp_replace(text, r"^#{1,6}\s+", "")).when(kind == "list", listed).when(kind == "quote", quoted).when(kind == "table", table).otherwise(text)
+    level = F.when(kind == "heading", F.length(F.regexp_extract(text, r"^(#{1,6})", 1)))
+    count = F.when(kind == "list", F.size("p")).when(kind == "table", F.size(body))
+    return made.select("doc_id", "line", kind.alias("type"), content.alias("content"), level.alias("heading_level"), F.size("p").alias("lines"), F.when(kind == "list", ordered).alias("ordered"), count.alias("item_count"))
+
+
+def table_cells(line: Column) -> Column:
+    """The trimmed cells of a table's line."""
+    return F.transform(F.split(F.regexp_replace(strip(line), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
 
 
 def front_matter(docs: DataFrame) -> DataFrame:
@@ -70,54 +88,115 @@ SCHEMA_VERSION = "1.1"
 
 
 def export_record(chunks: DataFrame) -> DataFrame:
-    """The flat record of a chunk with its maps."""
+    """The record of a scored chunk: pages, quality, source, what enrichment found
+    (``fields``), what users gave (``tags``, ``hierarchy_hint``, ``notes`` and
+    ``custom``, whose keys get a prefix) and what the system knows."""
+    present = lambda m: F.map_filter(m, lambda k, v: F.coalesce(v, F.lit("")) != "")
+    none = F.create_map().cast("map<string,string>")
+    custom = F.transform_keys(F.coalesce("custom", none), lambda k, v: F.concat(F.lit("custom_"), k))
+    user = F.map_concat(present(F.create_map(F.lit("hierarchy_hint"), "hierarchy_hint", F.lit("notes"), "notes")), custom)
+    system = present(F.create_map(F.lit("block_count"), F.col("block_count").cast("string"), F.lit("last_type"), F.col("last_type")))
     return chunks.select(
-        F.lit(SCHEMA_VERSION).alias("schema_version"), F.col("chunk_id").alias("id"), "content", "token_count", "hierarchy_path",
-        F.col("doc_id").alias("document_id"), F.col("start_page").alias("page_start"), F.col("end_page").alias("page_end"),
-        F.map_filter(F.create_map(F.lit("custom_blocks"), F.col("block_count").cast("string"), F.lit("custom_last"), F.col("last_type")), lambda k, v: v.isNotNull()).alias("user_metadata"),
+        F.lit(SCHEMA_VERSION).alias("schema_version"), F.col("chunk_id").alias("id"), "content", "token_count", "hierarchy_path", F.col("overall").alias("quality_score"), "source", "source_type",
+        F.col("doc_id").cast("string").alias("document_id"), F.col("start_page").alias("page_start"), F.col("end_page").alias("page_end"), F.coalesce("fields", none).alias("enrichment_fields"),
+        F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), user.alias("user_metadata"), system.alias("system_metadata"),
     )
 
 
+def _flat(r: DataFrame, columns: list[str], tags: bool) -> Column:
+    """A map of texts: the columns that are not null, enrichment with a prefix, and
+    the tags as one text."""
+    own = F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("string"))])
+    found = F.transform_keys("enrichment_fields", lambda k, v: F.concat(F.lit("enrichment_"), k))
+    more = F.when(F.size("tags") > 0, F.create_map(F.lit("tags"), F.array_join("tags", "; "))).otherwise(F.create_map().cast("map<string,string>"))
+    whole = F.map_concat(own, found, more) if tags else F.map_concat(own, found)
+    return F.map_filter(whole, lambda k, v: v.isNotNull())
+
+
+ABOUT = ["source", "source_type", "document_id", "hierarchy_path", "quality_score", "token_count"]
+
+
 def to_chromadb(r: DataFrame) -> DataFrame:
-    """Flat metadata; pages that are null are left out."""
-    meta = F.struct("token_count", "hierarchy_path", "document_id", "page_start", "page_end")
-    return r.select("id", F.col("content").alias("document"), F.to_json(meta).alias("metadata"))
+    """Flat metadata; pages that are null are left out, lists are texts."""
+    return r.select("id", F.col("content").alias("document"), F.to_json(_flat(r, [*ABOUT, "page_start", "page_end"], True)).alias("metadata"))
 
 
 def to_qdrant(r: DataFrame) -> DataFrame:
     """A nested payload that keeps nulls."""
-    payload = F.struct("content", "token_count", "hierarchy_path", "document_id", "page_start", "page_end")
+    payload = F.struct("content", *ABOUT, "page_start", "page_end", F.col("enrichment_fields").alias("enrichment"), "user_metadata", "tags")
     return r.select("id", F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"))
 
 
 def to_weaviate(r: DataFrame, cls: str = "Chunk") -> DataFrame:
-    properties = F.struct("content", F.col("token_count").alias("tokenCount"), F.col("hierarchy_path").alias("hierarchyPath"), F.col("document_id").alias("documentId"))
-    return r.select("id", F.lit(cls).alias("class"), F.to_json(properties).alias("properties"))
+    """Properties named in camel case."""
+    camel = {
+        "content": "content", "id": "chunkId", "source": "source", "source_type": "sourceType", "document_id": "documentId", "hierarchy_path": "hierarchyPath", "quality_score": "qualityScore",
+        "token_count": "tokenCount", "page_start": "pageStart", "page_end": "pageEnd",
+    }
+    own = F.create_map(*[x for c, n in camel.items() for x in (F.lit(n), F.col(c).cast("string"))])
+    found = F.transform_keys("enrichment_fields", lambda k, v: F.concat(F.lit("enrichment_"), k))
+    return r.select("id", F.lit(cls).alias("class"), F.to_json(F.map_concat(own, found), {"ignoreNullFields": "false"}).alias("properties"))
 
 
 def to_pinecone(r: DataFrame) -> DataFrame:
-    """Content inside the metadata."""
-    return r.select("id", F.to_json(F.struct("content", "token_count", "document_id", F.array("hierarchy_path").alias("path"))).alias("metadata"))
+    """Content inside the metadata; tags stay a list, kept beside the flat values."""
+    flat = _flat(r, ["content", *ABOUT, "page_start", "page_end"], False)
+    return r.select("id", F.to_json(flat).alias("metadata"), F.to_json(F.col("tags")).alias("tags"))
+
+
+def jsonl_record(r: DataFrame) -> DataFrame:
+    """One object for each chunk: id, text and metadata."""
+    flat = F.map_concat(
+        F.map_filter(
+            F.create_map(*[x for n, c in (("source", "source"), ("source_type", "source_type"), ("page", "page_start"), ("page_end", "page_end"), ("hierarchy_path", "hierarchy_path"), ("quality_score", "quality_score"), ("token_count", "token_count")) for x in (F.lit(n), F.col(c).cast("string"))]),
+            lambda k, v: v.isNotNull(),
+        ),
+        F.col("user_metadata"),
+        F.when(F.size("tags") > 0, F.create_map(F.lit("tags"), F.array_join("tags", "; "))).otherwise(F.create_map().cast("map<string,string>")),
+    )
+    return r.select("id", F.col("content").alias("text"), flat.alias("metadata"))
+
+
+def csv_rows(r: DataFrame) -> DataFrame:
+    """The ten columns of a table of chunks."""
+    score = F.floor(F.round(F.col("quality_score") * 1e6) / 1e3 + 0.5) / 1e3
+    return r.select(
+        F.col("id").alias("chunk_id"), F.col("source").alias("document"), "content", "token_count", score.alias("quality_score"), "page_start", "page_end", "hierarchy_path",
+        F.array_join("tags", "; ").alias("tags"), F.coalesce(F.col("user_metadata")["notes"], F.lit("")).alias("notes"),
+    )
 
 
-def nested_documents(chunks: DataFrame) -> DataFrame:
-    """One object for each document with its chunks in order."""
-    items = F.sort_array(F.collect_list(F.struct("chunk_pos", "chunk_id", "token_count")))
-    return chunks.groupBy("doc_id").agg(F.to_json(items).alias("chunks"), F.sum("token_count").alias("tokens"))
+def nested_documents(r: DataFrame, chunker: str = "sections") -> DataFrame:
+    """One object for each document: how it was made, and its chunks in order."""
+    place = lambda x: F.struct(x["page_start"], x["id"])
+    before = lambda x, y: F.when(place(x) < place(y), -1).when(place(x) > place(y), 1).otherwise(0)
+    fields = ("page_start", "id", "content", "token_count", "quality_score", "hierarchy_path", "page_end", "tags", "user_metadata", "system_metadata")
+    items = F.array_sort(F.collect_list(F.struct(*fields)), before)
+    made = r.groupBy("document_id", "source", "source_type").agg(items.alias("chunks"))
+    processing = F.struct(F.lit("tables").alias("loader"), F.lit(chunker).alias("chunker"))
+    return made.select(F.lit(SCHEMA_VERSION).alias("version"), F.col("document_id").alias("id"), "source", "source_type", processing.alias("processing"), "chunks")
 
 
 # ------------------------------------------------------------------- features
 
 
+# White space and ASCII punctuation as patterns.
+BLANKS = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+PUNCTUATION = r"[!-/:-@\[-`{-~]"
+
+
 def char_features(docs: DataFrame) -> DataFrame:
-    """Shares of kinds of characters."""
+    """Counts of kinds of characters, and their shares; what is of none is special."""
     n = F.length("text")
     count = lambda p: n - F.length(F.regexp_replace("text", p, ""))
-    letters, upper = count(r"\p{L}"), count(r"\p{Lu}")
-    return docs.select(
-        "doc_id", n.alias("n"), letters.alias("letters"), count(r"\p{Nd}").alias("digits"), count(r"\s").alias("blanks"), upper.alias("upper"),
-        F.when(letters > 0, F.round(upper / letters, 6)).otherwise(0.0).alias("upper_share"),
-    )
+    rows = docs.select(
+        "doc_id", n.alias("n"), count(r"\p{L}").alias("letters"), count(r"\p{Nd}").alias("digits"), count(BLANKS).alias("blanks"), count(PUNCTUATION).alias("punctuation"), count(r"\p{Lu}").alias("upper")
+    )
+    special = F.col("n") - F.col("letters") - F.col("digits") - F.col("blanks") - F.col("punctuation")
+    rows = rows.withColumn("special", F.greatest(special, F.lit(0)))
+    share = lambda c: F.when(F.col("n") > 0, F.round(F.col(c) / F.col("n"), 6)).otherwise(0.0).alias(f"{c}_share")
+    upper = F.when(F.col("letters") > 0, F.round(F.col("upper") / F.col("letters"), 6)).otherwise(0.0)
+    return rows.select("*", *map(share, ("letters", "digits", "punctuation", "blanks", "special")), upper.alias("upper_share"))
 
 
 def repetition_features(boxes: DataFrame, edge: float = 0.08) -> DataFrame:
@@ -207,47 +286,118 @@ def layout_features(boxes: DataFrame) -> DataFrame:
 
 def sampled_pages(pages: DataFrame, most: int = 50) -> DataFrame:
     """The first three, the last two, and an even spread between: a feature of
-    the profile, up to ``most`` pages a document."""
-    n, p = F.col("n"), F.col("page")
-    spread = F.floor((p - 4) * F.lit(most - 5) / F.greatest(n - 5, F.lit(1))) > F.floor((p - 5) * F.lit(most - 5) / F.greatest(n - 5, F.lit(1)))
-    return pages.where((n <= most) | (p <= 3) | (p > n - 2) | spread)
-
-
-def upgrade_candidates(features: DataFrame) -> DataFrame:
-    """Documents that need heavier extraction, and why."""
-    reason = F.when(F.col("tables") >= 5, "tables").when(F.col("chars") < 100, "scanned")
-    return features.select("doc_id", reason.alias("reason")).where("reason IS NOT NULL")
-
-
-def labelled_features(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """Numeric features and the label of labelled documents."""
-    return char_features(docs).join(labels.select("doc_id", F.col(column).cast("double").alias("label")), "doc_id")
-
-
-FEATURES = ("n", "letters", "digits", "blanks", "upper", "upper_share")
-
-
-def folds(rows: DataFrame, k: int = 3) -> DataFrame:
-    """Stratified folds by the rank of hashes in each label."""
-    w = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return rows.withColumn("fold", (F.row_number().over(w) - 1) % k)
-
-
-def classifier(trees: int = 10, depth: int = 4):
-    from pyspark.ml import Pipeline
+    the profile, up to ``most`` pages a document (doc_id, page, n)."""
+    n, p = F.col("n"), F.col("page") - 4
+    step = F.greatest(F.lit(1), F.floor((n - 5) / (most - 5)))
+    spread = (p >= 0) & (p % step == 0) & (p / step < most - 5)
+    return pages.where((n <= most) | (F.col("page") <= 3) | (F.col("page") > n - 2) | spread)
+
+
+def upgrade_candidates(boxes: DataFrame, tables: int = 5, chars: int = 100, first: int = 5, grid: int = 50) -> DataFrame:
+    """Documents that need heavier extraction, and why: ``tables`` tables, a page
+    among the ``first`` with under ``chars`` characters, or boxes in columns there."""
+    early = F.col("page") <= first
+    per = boxes.groupBy("doc_id", "page").agg(F.count_if(F.col("type") == "table").alias("t"), F.sum(F.length(strip(F.col("content")))).alias("c"))
+    per = per.groupBy("doc_id").agg(F.sum("t").alias("tables"), F.min(F.when(early, F.col("c"))).alias("chars"))
+    places = boxes.where(early).groupBy("doc_id").agg(F.countDistinct(F.floor(F.col("x1") / grid + 0.5)).alias("places"))
+    reasons = F.array_compact(F.array(F.when(F.col("tables") >= tables, "tables"), F.when(F.col("chars") < chars, "scanned"), F.when(F.col("places") >= 2, "columns")))
+    return per.join(places, "doc_id", "left").select("doc_id", F.explode(reasons).alias("reason"))
+
+
+#: The features of a document, by group, in the order of its vector.
+FEATURES = {
+    "byte": ("file_size", "pdf_version", "object_count", "stream_count", "has_metadata", "has_xmp_metadata", "page_count", "encrypted", "has_acroform"),
+    "font": ("font_count", "size_min", "size_max", "size_mean", "size_std", "size_median", "bold_ratio", "italic_ratio", "mono_ratio", "distinct_sizes"),
+    "layout": (
+        "page_width", "page_height", "width_consistency", "height_consistency", "margin_left", "margin_right", "margin_top", "margin_bottom", "text_area_ratio", "estimated_columns"
+    ),
+    "char": ("letters_share", "digits_share", "punctuation_share", "blanks_share", "special_share", "upper_share", "n"),
+    "rep": ("has_page_numbers", "has_headers", "has_footers", "repetition_ratio", "first_line_diversity"),
+    "rhythm": ("headings", "tables", "images", "lists", "has_outline", "outline_depth", "links", "heading_sizes"),
+}
+NAMES = tuple(f"{g}_{c}" for g, cs in FEATURES.items() for c in cs)
+
+
+def byte_features(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """What the table of documents knows of a file: size, blocks, pages, and whether
+    it names a source; what only a PDF has is 0."""
+    per = blocks.groupBy("doc_id").agg(F.count("*").alias("object_count"), F.max("page").alias("page_count"))
+    zero = {c: F.lit(0) for c in ("pdf_version", "stream_count", "has_xmp_metadata", "encrypted", "has_acroform")}
+    rows = docs.select("doc_id", F.octet_length("text").alias("file_size"), F.col("source").isNotNull().alias("has_metadata"))
+    return rows.join(per, "doc_id", "left").withColumns(zero)
+
+
+def fingerprints(groups: dict[str, DataFrame], docs: DataFrame) -> DataFrame:
+    """(doc_id, features): the vector of each document, by groups of features; what a
+    document lacks is 0."""
+    out = docs.select("doc_id")
+    for g, columns in FEATURES.items():
+        named = groups[g].select("doc_id", *[F.col(c).cast("double").alias(f"{g}_{c}") for c in columns])
+        out = out.join(named, "doc_id", "left")
+    return out.fillna(0.0, list(NAMES)).select("doc_id", F.array(*NAMES).alias("features"))
+
+
+#: Labelled rows that a classifier is fitted on at most, the first by their hashes.
+FIT_ROWS = 50_000
+
+
+def fitted(rows: DataFrame, trees: int = 30, depth: int = 5, most: int = FIT_ROWS):
+    """A forest over labelled vectors (doc_id, features, label)."""
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector
 
-    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=42)])
+    n = rows.count()
+    if n > most:
+        # A share by hash: the same rows in every run, and no sort.
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(most / n * 1_000_000))
+    held = rows.select(array_to_vector("features").alias("v"), F.col("label").cast("double").alias("label"))
+    return RandomForestClassifier(featuresCol="v", numTrees=trees, maxDepth=depth, seed=42).fit(held)
 
 
 def predicted(model, rows: DataFrame, least: float = 0.45) -> DataFrame:
-    """The most probable class, or unknown below ``least``."""
-    from pyspark.ml.functions import vector_to_array
+    """The most probable class of each vector, or unknown below ``least``."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    p = vector_to_array("probability")
+    p = F.col("probabilities")
     top: Column = F.array_max(p)
-    return model.transform(rows).select("doc_id", "label", top.alias("confidence"), F.when(top < least, "unknown").otherwise((F.array_position(p, top) - 1).cast("string")).alias("predicted"), p.alias("probabilities"))
+    out = model.transform(rows.withColumn("v", array_to_vector("features"))).withColumn("probabilities", vector_to_array("probability"))
+    kept = [c for c in ("doc_id", "label", "fold") if c in rows.columns]
+    return out.select(*kept, top.alias("confidence"), F.when(top < least, "unknown").otherwise((F.array_position(p, top) - 1).cast("string")).alias("predicted"), "probabilities")
+
+
+def cross_validated(rows: DataFrame, folds: int = 5) -> DataFrame:
+    """(fold, label, predicted, n): the confusion matrix of each fold, predicted by a
+    model of the others.  Folds are by hash, so no class is ranked in one task."""
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(folds)).cast("int"))
+    out = None
+    for k in range(folds):
+        model = fitted(rows.where(F.col("fold") != k))
+        part = predicted(model, rows.where(F.col("fold") == k), 0.0)
+        out = part if out is None else out.union(part)
+    return out.groupBy("fold", F.col("label").cast("int").alias("label"), F.col("predicted").cast("int").alias("predicted")).agg(F.count("*").alias("n"))
+
+
+def fold_report(confusion: DataFrame, baseline: float = 0.7) -> DataFrame:
+    """Accuracy of each class and in all, over all folds, and whether it is enough."""
+    right = F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0))
+    rows = confusion.groupingSets([[F.col("label")], []], F.col("label")).agg(F.sum("n").alias("n"), (right / F.sum("n")).alias("accuracy"))
+    return rows.withColumn("enough", F.col("accuracy") >= baseline)
+
+
+def unknown_queue(found: DataFrame, top: int = 3) -> DataFrame:
+    """Documents of no known class with their most probable ones."""
+    ranked = F.slice(F.reverse(F.array_sort(F.transform("probabilities", lambda x, i: F.struct(x.alias("p"), (-i).alias("c"))))), 1, top)
+    return found.where("predicted = 'unknown'").select("doc_id", "confidence", F.transform(ranked, lambda x: F.struct((-x["c"]).alias("class"), x["p"].alias("probability"))).alias("top"))
+
+
+def manual_labels(lines: DataFrame, classes: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Labels of a log of JSON lines (doc_id, label), and the lines passed over: not
+    JSON, without a class, or of an unknown one."""
+    o = F.from_json("value", "doc_id bigint, label string")
+    rows = lines.where(F.trim("value") != "").withColumn("o", o)
+    good = F.coalesce(F.col("o.doc_id").isNotNull() & F.col("o.label").isin(*classes), F.lit(False))
+    reason = F.when(F.col("o.label").isNull(), "corrupt").otherwise("unknown class")
+    return rows.where(good).select("o.*"), rows.where(~good).select("value", reason.alias("reason"))
 
 
 def retrain_plan(synthetic: DataFrame, manual: DataFrame, models: DataFrame, least: int = 5) -> DataFrame:

@@ -21,31 +21,54 @@ def first_of_each_stream(signals: DataFrame) -> DataFrame:
     return signals.dropDuplicates(["signal_id"])
 
 
+def filtered(signals: DataFrame, conversation=None, discipline=None, kind=None, start=None, end=None) -> DataFrame:
+    """Signals of a conversation, a discipline, a type and a time, each if given."""
+    for column, value in (("conversation_id", conversation), ("discipline_id", discipline), ("signal_type", kind)):
+        if value is not None:
+            signals = signals.where(F.col(column) == value)
+    if start is not None:
+        signals = signals.where(F.col("ts") >= F.lit(start).cast("timestamp"))
+    return signals if end is None else signals.where(F.col("ts") <= F.lit(end).cast("timestamp"))
+
+
 def target() -> Column:
     t = F.col("signal_type")
     return (
         F.when(t.isin("accepted", "citation_clicked"), "none").when(t.isin("no_result", "rephrased", "follow_up"), "retrieval")
-        .when(t == "flagged_error", "curriculum").when(F.coalesce(F.col("citation_score"), F.lit(0.0)) < 0.5, "retrieval").otherwise("curriculum")
+        .when(t == "flagged_error", "curriculum").when(F.col("citation_score") < 0.5, "retrieval").otherwise("curriculum")
     )
 
 
+#: Why a signal is routed as it is, and what to do, by type (rejections by target).
+REASONS = {
+    "accepted": ("a good answer", "nothing to do"), "citation_clicked": ("a source was of use", "nothing to do"),
+    "no_result": ("nothing was found", "add or index documents on the topic"), "rephrased": ("the first search missed", "look at how the query meets the chunks"),
+    "follow_up": ("the sources may be incomplete", "look at the chunks' borders"), "flagged_error": ("an error was reported", "add corrective examples"),
+    "rejected/retrieval": ("rejected with poor sources", "look at the retrieval of the query"), "rejected/curriculum": ("rejected in spite of good sources", "add examples of such reasoning"),
+}
+
+
 def route(signals: DataFrame) -> DataFrame:
-    """Where a signal should be worked on, and how soon: stateless."""
+    """Where a signal should be worked on, how soon, why and how: stateless."""
     t = F.col("signal_type")
-    priority = F.when(t == "flagged_error", "high").when(t.isin("rejected", "no_result"), "medium").when(t.isin("rephrased", "follow_up"), "low").otherwise("none")
-    return signals.withColumns({"target": target(), "priority": priority})
+    priority = F.when(t == "flagged_error", "high").when(t.isin("rejected", "no_result", "rephrased"), "medium").otherwise("low")
+    rows = signals.withColumns({"target": target(), "priority": priority})
+    key = F.when(t == "rejected", F.concat_ws("/", t, "target")).otherwise(t)
+    said = lambda n: F.create_map(*[F.lit(x) for k, v in REASONS.items() for x in (k, v[n])])[key]
+    return rows.withColumns({"reason": said(0), "action": said(1)})
 
 
 def dashboard(signals: DataFrame, as_of: str, days: int = 30) -> DataFrame:
-    """Counts of the last days of each discipline."""
+    """Counts and rates of the last days of each discipline."""
     rows = signals.where(F.col("ts") >= F.to_timestamp(F.lit(as_of)) - F.expr(f"INTERVAL {days} DAYS"))
     return counted(route(rows).groupBy(F.coalesce("discipline_id", F.lit("unknown")).alias("discipline")))
 
 
 def counted(grouped) -> DataFrame:
     n = lambda c: F.count_if(c)
+    accepted, rejected = n(F.col("signal_type") == "accepted"), n(F.col("signal_type") == "rejected")
     return grouped.agg(
-        F.count("*").alias("total"), n(F.col("signal_type") == "accepted").alias("accepted"), n(F.col("signal_type") == "rejected").alias("rejected"),
+        F.count("*").alias("total"), accepted.alias("accepted"), rejected.alias("rejected"), F.round(accepted / F.count("*"), 6).alias("acceptance_rate"), F.round(rejected / F.count("*"), 6).alias("rejection_rate"),
         n(F.col("signal_type") == "flagged_error").alias("flagged"), n(F.col("target") == "retrieval").alias("to_retrieval"), n(F.col("target") == "curriculum").alias("to_curriculum"),
     )
 
@@ -62,10 +85,47 @@ def low_acceptance(signals: DataFrame, least: int = 3) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.countDistinct("query").alias("queries")).where(F.col("n") >= least)
 
 
+def patterns(signals: DataFrame, least: int = 3) -> DataFrame:
+    """What shows up ``least`` times: failing queries, disciplines that reject, and
+    queries without results, with when, how often, and where the first signal (or,
+    if that needs nothing, the commonest type) should be worked on.
+
+    Patterns of one kind about the same queries are one, that seen first.  Sets of
+    queries meet by size and sum of hashes; no group is gathered."""
+    rows = route(signals).withColumn("at", F.struct("ts", "signal_id"))
+    kinds = (("repeated_failure", FAILURES, "query"), ("low_acceptance", ("rejected",), None), ("missing_coverage", ("no_result",), "query"))
+    subject = F.coalesce("discipline_id", F.lit("unknown"))
+    tagged = None
+    for place, (name, types, by) in enumerate(kinds):
+        part = rows.where(F.col("signal_type").isin(*types)).withColumns({"pattern": F.lit(name), "subject": F.col(by) if by else subject, "place": F.lit(place)})
+        tagged = part if tagged is None else tagged.union(part)
+    keys = ["place", "pattern", "subject"]
+    # By query first: what a subject has of queries and of types comes from these.
+    per = tagged.groupBy(*keys, "query").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"), *[F.min_by(c, "at").alias(c) for c in ("target", "priority", "action")])
+    out = per.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.count("*").alias("queries"), F.sum(F.xxhash64("query").cast("decimal(20,0)")).alias("set"), F.min("first").alias("first"), F.max("last").alias("last"),
+        *[F.min_by(c, "first").alias(c) for c in ("target", "priority", "action")],
+    ).where(F.col("n") >= least)
+    types = tagged.groupBy(*keys, "signal_type").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    top = types.groupBy(*keys).agg(F.min_by("signal_type", F.struct(-F.col("n"), "at")).alias("common"))
+    out = out.join(top, keys)
+    guess = F.when(F.col("common").isin("no_result", "rephrased", "follow_up"), "retrieval").when(F.col("common").isin("flagged_error", "rejected"), "curriculum").otherwise("none")
+    same = Window.partitionBy("pattern", "queries", "set").orderBy("first")
+    out = out.withColumns({"r": F.row_number().over(same), "target": F.when(F.col("target") == "none", guess).otherwise(F.col("target"))}).where("r = 1")
+    return out.orderBy(F.desc("n"), "place", "first").select("pattern", "subject", "n", "queries", F.col("first.ts").alias("first_seen"), F.col("last.ts").alias("last_seen"), "target", "priority", "action")
+
+
+def turn_feedback(signals: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Signals (conv_id, turn, ...) of turns that exist, and the rejected rest."""
+    known = turns.select("conv_id", "turn").distinct()
+    return signals.join(known, ["conv_id", "turn"], "left_semi"), signals.join(known, ["conv_id", "turn"], "left_anti")
+
+
 def sessions(signals: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    """Signals of a conversation no more than ``gap`` apart."""
+    """Signals of a conversation no more than ``gap`` apart, and their types."""
     rows = signals.withWatermark("ts", delay) if signals.isStreaming else signals
-    out = rows.groupBy("conversation_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    types = F.array_join(F.array_sort(F.collect_set("signal_type")), ",")
+    out = rows.groupBy("conversation_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), types.alias("types"), F.min("ts").alias("first"), F.max("ts").alias("last"))
     return out.drop("w")
 
 

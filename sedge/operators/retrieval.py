@@ -6,96 +6,254 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.shared import BROADCAST_ROWS, small, stored
 
-#: Query terms are broadcast up to so many rows (short words: some 50 bytes).
-BROADCAST_ROWS = 100_000
+#: Weights of a block of queries, and blocks, that are held against all chunks as
+#: matrices.
+CELLS, BLOCKS = 4_000_000, 8
 NORM_FLOOR = 1e-10
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has ``limit`` rows or fewer."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def terms(c: Column) -> Column:
     """Lower-case words of two letters or more."""
     return F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)), lambda x: F.length(x) > 1)
 
 
-def keyword_search(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def keyword_search(chunks: DataFrame, queries: DataFrame, k: int = 10, by: str | None = None) -> DataFrame:
     """Top ``k`` chunks of each query (query_id, query) by term frequency times
-    inverse document frequency; scores are shares of the query's best.
+    inverse document frequency; ``score`` is the share of the query's best, ``raw``
+    the sum itself.  With ``by``, a column of the chunks, each of its values is a
+    corpus of its own that every query is put to.
 
-    Only terms of queries are joined; chunks are read once for all queries."""
+    Query sets of up to ``CELLS`` weights (queries times terms) a block, in up to
+    ``BLOCKS`` blocks, are held against the chunks as matrix products, and only the
+    best of a partition leave it; larger sets meet the chunks by term."""
     asked = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    asked = small(asked)
+    asked = stored(asked, "asked")
+    keys = [by] if by else []
+    size = asked.agg(F.countDistinct("query_id").alias("q"), F.countDistinct("term").alias("t"), F.count("*").alias("n")).first()
+    cells = size.q * size.t
+    if size.n <= BROADCAST_ROWS * 5 and cells <= CELLS * BLOCKS:
+        scores = _by_matrix(chunks, asked, k, keys, -(-cells // CELLS))
+    else:
+        scores = _by_terms(chunks, asked, keys)
+    order = Window.partitionBy(*keys, "query_id").orderBy(F.desc(F.round("raw", 9)), "chunk_id")
+    top = scores.where("raw > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = F.max("raw").over(Window.partitionBy(*keys, "query_id"))
+    return top.select(*keys, "query_id", "rank", "chunk_id", F.round(F.col("raw") / best, 6).alias("score"), F.round("raw", 6).alias("raw"))
+
+
+def _by_terms(chunks: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """Scores by joins on terms: a row for each term that a chunk and a query share."""
+    wanted = small(asked.select("term").distinct())
     # The words are a column before they are exploded: beside the generator their
     # expression would run again for each row that it gives.
-    worded = chunks.select("chunk_id", terms(F.col("content")).alias("words"))
-    sized = worded.select("chunk_id", F.size("words").alias("len"), F.explode("words").alias("term"))
-    wanted = small(asked.select("term").distinct())
-    counted = sized.join(wanted, "term", "left_semi").groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = counted.groupBy("term").agg(F.count("*").alias("df"))
-    n = chunks.agg(F.count("*").alias("n"))
-    scored = counted.join(df, "term").join(asked, "term").join(F.broadcast(n))
+    worded = chunks.select(*keys, "chunk_id", terms(F.col("content")).alias("words"))
+    sized = worded.select(*keys, "chunk_id", F.size("words").alias("len"), F.explode("words").alias("term"))
+    counted = sized.join(wanted, "term", "left_semi").groupBy(*keys, "chunk_id", "len", "term").agg(F.count("*").alias("tf"))
+    df = counted.groupBy(*keys, "term").agg(F.count("*").alias("df"))
+    n = chunks.groupBy(*keys).agg(F.count("*").alias("n"))
+    scored = counted.join(df, [*keys, "term"]).join(small(asked), "term")
+    scored = scored.join(small(n), keys) if keys else scored.join(F.broadcast(n))
     idf = F.log((F.col("n") + 1) / (F.col("df") * F.col("times") + 1)) + 1
-    scores = scored.groupBy("query_id", "chunk_id").agg(F.sum(F.col("times") * F.col("tf") / F.col("len") * idf).alias("raw"))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("raw", 9)), "chunk_id")
-    top = scores.where("raw > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    best = F.max("raw").over(Window.partitionBy("query_id"))
-    return top.select("query_id", "rank", "chunk_id", F.round(F.col("raw") / best, 6).alias("score"))
+    return scored.groupBy(*keys, "query_id", "chunk_id").agg(F.sum(F.col("times") * F.col("tf") / F.col("len") * idf).alias("raw"))
+
+
+def _by_matrix(chunks: DataFrame, asked: DataFrame, k: int, keys: list[str], blocks: int) -> DataFrame:
+    """Scores by products of a batch's term shares with the queries' weights: the
+    best ``k`` of each partition, blocks of queries one after another."""
+    from ..shipping import ship
+
+    spark = chunks.sparkSession
+    ship(spark)
+    wanted = F.broadcast(asked.select("term").distinct())
+    words = chunks.select(*keys, F.array_distinct(terms(F.col("content"))).alias("words")).select(*keys, F.explode("words").alias("term"))
+    found: dict = {}
+    # Both tables are bounded by the query set and by the corpora asked.
+    for row in words.join(wanted, "term", "left_semi").groupBy(*keys, "term").agg(F.count("*").alias("df")).toLocalIterator():
+        found.setdefault(row[0] if keys else None, {})[row.term] = row.df
+    sizes = {(row[0] if keys else None): row.n for row in chunks.groupBy(*keys).agg(F.count("*").alias("n")).collect()}
+    rows = asked.orderBy("query_id", "term").collect()
+    ids = sorted({r.query_id for r in rows}, key=str)
+    kind = asked.schema["query_id"].dataType.simpleString()
+    slot = f"`{keys[0]}` {chunks.schema[keys[0]].dataType.simpleString()}, " if keys else ""
+    chunk_kind = chunks.schema["chunk_id"].dataType.simpleString()
+    schema = f"{slot}query_id {kind}, chunk_id {chunk_kind}, raw double"
+    out, step = None, -(-len(ids) // max(1, blocks))
+    for at in range(0, len(ids), max(1, step)):
+        own = set(ids[at : at + step])
+        held = spark.sparkContext.broadcast(([(r.query_id, r.term, r.times) for r in rows if r.query_id in own], found, sizes))
+        part = chunks.select(*keys, "chunk_id", "content").mapInArrow(_best_of(held, k, bool(keys), schema), schema)
+        out = part if out is None else out.union(part)
+    return out if out is not None else spark.createDataFrame([], schema)
+
+
+def _best_of(held, k: int, slotted: bool, schema: str):
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        import re
+
+        import numpy as np
+        import pyarrow as pa
+
+        rows, found, sizes = held.value
+        queries = list(dict.fromkeys(q for q, _, _ in rows))
+        place = {q: n for n, q in enumerate(queries)}
+        column: dict[str, int] = {}
+        for _, t, _ in rows:
+            column.setdefault(t, len(column))
+        split, weights, best = re.compile("[a-z]+"), {}, {}
+
+        def weight(slot):
+            if slot not in weights:
+                w, df, n = np.zeros((len(column), len(queries))), found.get(slot, {}), sizes.get(slot, 0)
+                for q, t, times in rows:
+                    if t in df:
+                        w[column[t], place[q]] = times * (np.log((n + 1) / (df[t] * times + 1)) + 1)
+                weights[slot] = w
+            return weights[slot]
+
+        for batch in batches:
+            slots = batch.column(0).to_pylist() if slotted else [None] * batch.num_rows
+            ids, texts = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            for slot in set(slots):
+                own = [j for j in range(len(ids)) if slots[j] == slot]
+                for start in range(0, len(own), 500):
+                    part = own[start : start + 500]
+                    shares = np.zeros((len(part), len(column)))
+                    for r, j in enumerate(part):
+                        words = [w for w in split.findall((texts[j] or "").lower()) if len(w) > 1]
+                        for w in words:
+                            if (c := column.get(w)) is not None:
+                                shares[r, c] += 1
+                        if words:
+                            shares[r] /= len(words)
+                    raw = shares @ weight(slot)
+                    key = np.round(raw, 9)
+                    for q in range(len(queries)):
+                        scores = key[:, q]
+                        met = np.flatnonzero(raw[:, q] > 0)
+                        if len(met) > k:
+                            least = np.partition(scores[met], len(met) - k)[len(met) - k]
+                            met = met[scores[met] >= least]
+                        if len(met):
+                            kept = best.get((slot, q), []) + [(-scores[m], ids[part[m]], raw[m, q]) for m in met.tolist()]
+                            best[slot, q] = sorted(kept)[:k]
+        flat = [(*([slot] if slotted else []), queries[q], i, float(r)) for (slot, q), kept in best.items() for _, i, r in kept]
+        columns = list(zip(*flat)) or [[] for _ in out]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
+
+    return run
+
+
+# ------------------------------------------------------------------- vectors
+
+#: Vectors in one block; a pair of blocks is one product in one task.
+BLOCK_ROWS = 4096
+
+
+def packed(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", rows: int = BLOCK_ROWS) -> DataFrame:
+    """(block, ids, units): unit vectors in blocks of about ``rows``, as matrices."""
+    import pyarrow as pa
+
+    from ..shipping import ship
+
+    ship(vectors.sparkSession)
+    n = -(-vectors.count() // rows) or 1
+
+    def pack(key, table):
+        import numpy as np
+
+        m = np.array(table["v"].to_pylist(), np.float64).reshape(table.num_rows, -1)
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), NORM_FLOOR)
+        ids = pa.array([table["i"].to_pylist()], pa.list_(pa.int64()))
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "ids": ids, "units": pa.array([m.tobytes()], pa.binary())})
+
+    dealt = vectors.select(F.pmod(F.xxhash64(id_column), F.lit(n)).cast("int").alias("block"), F.col(id_column).alias("i"), F.col(vector_column).alias("v"))
+    return dealt.groupBy("block").applyInArrow(pack, "block int, ids array<bigint>, units binary")
+
+
+def _products(pairs: DataFrame, take, names: tuple[str, str]) -> DataFrame:
+    """(left, right, score) of pairs of blocks; ``take`` picks places of a product."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, b = np.array(row["ids"]), np.array(row["ids2"])
+                s = np.frombuffer(row["units"]).reshape(len(a), -1) @ np.frombuffer(row["units2"]).reshape(len(b), -1).T
+                x, y = take(a, b, s)
+                yield pa.RecordBatch.from_arrays([pa.array(a[x], pa.int64()), pa.array(b[y], pa.int64()), pa.array(s[x, y], pa.float64())], names=[*names, "score"])
 
-def norm(v: Column) -> Column:
-    return F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), F.lit(NORM_FLOOR))
+    return pairs.select("ids", "units", "ids2", "units2").mapInArrow(run, f"{names[0]} bigint, {names[1]} bigint, score double")
 
 
-def dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
+def _against(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """Each block of a stated query set beside each block of the vectors."""
+    q = packed(queries, "query_id", "query_vector").select("ids", "units")
+    v = packed(vectors).select(F.col("ids").alias("ids2"), F.col("units").alias("units2"))
+    return v.crossJoin(small(stored(q, "query-blocks"), 64))
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Top ``k`` vectors (vec_id, embedding) of each query (query_id,
-    query_vector) by cosine; the query set is stated, so each query is held
-    against all vectors, and only the best of a partition leave it."""
-    v = vectors.select("vec_id", "embedding", norm(F.col("embedding")).alias("n1"))
-    q = small(queries.select("query_id", "query_vector", norm(F.col("query_vector")).alias("n2")))
-    scored = v.join(q, F.lit(True)).select("query_id", "vec_id", (dot(F.col("embedding"), F.col("query_vector")) / (F.col("n1") * F.col("n2"))).alias("score"))
+    query_vector) by cosine; only the best of each block leave it."""
+
+    def take(a, b, s):
+        import numpy as np
+
+        key, rows, columns = np.round(s, 9), [], []
+        for r in range(len(a)):
+            best = np.lexsort((b, -key[r]))[:k]
+            rows += [r] * len(best)
+            columns += best.tolist()
+        return rows, columns
+
+    scored = _products(_against(vectors, queries), take, ("query_id", "vec_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = 0.8, blocks: int = 8) -> DataFrame:
-    """All pairs of vectors with a cosine of ``threshold`` or more.
+def similar_to(vectors: DataFrame, queries: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Vectors with a cosine of ``threshold`` or more to a query, itself left out."""
 
-    Unit vectors are dealt to blocks; each pair of blocks is one task's matrix
-    product, so no task holds more than two blocks."""
-    import numpy as np
-    import pandas as pd
+    def take(a, b, s):
+        import numpy as np
 
-    from ..shipping import ship
+        return np.nonzero((s >= threshold - 1e-12) & (a[:, None] != b))
+
+    return _products(_against(vectors, queries), take, ("query_id", "vec_id"))
+
+
+def similar_pairs(vectors: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(a, b, n_a, n_b, score): pairs of different vectors with a cosine of
+    ``threshold`` or more, each named by the smallest id of its equals, with their
+    numbers; copies make no pairs.
+
+    Blocks have a fixed number of rows, and each pair of blocks is one task's
+    product, so memory does not grow with the table."""
+    classes = stored(vectors.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")), "classes")
+    blocks = stored(packed(classes), "blocks")
+    other = blocks.select(F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("units").alias("units2"))
+    pairs = blocks.crossJoin(other).where("block <= block2")
+
+    def take(a, b, s):
+        import numpy as np
 
-    ship(vectors.sparkSession)
-    rows = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("b"))
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    keyed = rows.select("vec_id", "embedding", "b", F.explode(others).alias("o"))
-    keyed = keyed.select("vec_id", "embedding", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-
-    def pairs(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
-        a, b = frame[frame.b == i], frame[frame.b == j]
-        unit = lambda f: (m := np.array(f.embedding.tolist(), np.float64).reshape(len(f), -1)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), NORM_FLOOR)
-        if a.empty or b.empty:
-            return pd.DataFrame({"a": [], "b": [], "cosine": []}).astype({"a": "int64", "b": "int64"})
-        s = unit(a) @ unit(b).T
         x, y = np.nonzero(s >= threshold - 1e-9)
-        left, right, c = a.vec_id.to_numpy()[x], b.vec_id.to_numpy()[y], s[x, y]
-        keep = left < right if i == j else left != right
-        left, right, c = left[keep], right[keep], c[keep]
-        return pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right), "cosine": c})
+        keep = a[x] < b[y] if len(a) == len(b) and (a == b).all() else a[x] != b[y]
+        return x[keep], y[keep]
 
-    return keyed.groupBy("i", "j").applyInPandas(pairs, "a bigint, b bigint, cosine double")
+    met = _products(pairs, take, ("l", "r")).select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"), "score")
+    sizes = classes.select("vec_id", "n")
+    met = met.join(sizes.select(F.col("vec_id").alias("a"), F.col("n").alias("n_a")), "a")
+    return met.join(sizes.select(F.col("vec_id").alias("b"), F.col("n").alias("n_b")), "b").select("a", "b", "n_a", "n_b", "score")
 
 
 def metadata_filter(rows: DataFrame, criteria: list[tuple[str, str, str | None]]) -> DataFrame:
@@ -131,18 +289,49 @@ def validate_hits(hits: DataFrame, rules: list[tuple[str, Column, float]], thres
     return rows.withColumn("adjusted", adjusted).where(F.col("validation") >= threshold)
 
 
-def suite_results(queries: DataFrame, hits: DataFrame) -> DataFrame:
-    """Missing expected and retrieved excluded chunks of each query."""
-    found = hits.groupBy("query_id").agg(F.collect_set("chunk_id").alias("got"))
-    rows = queries.join(found, "query_id", "left").withColumn("got", F.coalesce("got", F.array().cast("array<string>")))
-    missing, wrong = F.array_except("expected", "got"), F.array_intersect("excluded", "got")
-    return rows.select("query_id", F.size(missing).alias("missing"), F.size(wrong).alias("wrong"), ((F.size(missing) == 0) & (F.size(wrong) == 0)).alias("passed"))
+def suite_results(wanted: DataFrame, hits: DataFrame) -> DataFrame:
+    """Missing expected and retrieved excluded chunks of each query.
+
+    ``wanted`` has a row (query_id, chunk_id, expected) for each chunk that a query
+    names; a query that names none has one without a chunk."""
+    got = hits.select("query_id", "chunk_id", F.lit(True).alias("__got")).distinct()
+    rows = wanted.join(got, ["query_id", "chunk_id"], "left")
+    named, met = F.col("chunk_id").isNotNull(), F.col("__got").isNotNull()
+    per = rows.groupBy("query_id").agg(F.count_if(named & F.col("expected") & ~met).alias("missing"), F.count_if(named & ~F.col("expected") & met).alias("wrong"))
+    return per.withColumn("passed", (F.col("missing") == 0) & (F.col("wrong") == 0))
+
+
+def suite_report(results: DataFrame) -> DataFrame:
+    """Queries that pass and fail, and their rate."""
+    n = F.count_if("passed")
+    return results.agg(n.alias("passed"), (F.count("*") - n).alias("failed"), F.round(n / F.count("*"), 6).alias("pass_rate"))
+
+
+def suite_coverage(chunks: DataFrame, hits: DataFrame, often: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Of each document: chunks, those retrieved, those of ``often`` queries and the
+    coverage rate; and the chunks that no query retrieves."""
+    per = hits.groupBy("chunk_id").agg(F.countDistinct("query_id").alias("n"))
+    rows = chunks.select("doc_id", "chunk_id").join(per, "chunk_id", "left")
+    out = rows.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count("n").alias("retrieved"), F.count_if(F.col("n") >= often).alias("often"))
+    return out.withColumn("rate", F.round(F.col("retrieved") / F.col("chunks"), 6)), rows.where("n IS NULL").select("doc_id", "chunk_id")
+
+
+def compare_strategies(hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of each strategy and query the hits and the best one; and of each strategy the
+    mean best score, and whether it is the highest."""
+    per = hits.groupBy("strategy", "query_id").agg(F.count("*").alias("hits"), F.min_by("chunk_id", "rank").alias("top"), F.max("raw").alias("top_score"))
+    mean = per.groupBy("strategy").agg((F.sum(F.round(F.col("top_score") * 1_000_000).cast("bigint")) / F.count("*")).alias("m"))
+    mean = mean.select("strategy", (F.round("m") / 1_000_000).alias("mean_top"))
+    return per, mean.withColumn("best", F.row_number().over(Window.partitionBy().orderBy(F.desc("mean_top"), "strategy")) == 1)
 
 
 def pack_context(hits: DataFrame, limit: int = 1500, most: int = 5) -> DataFrame:
-    """The first hits of a query as one text, up to the first that overflows:
-    every block has a token at least, so that is where the running sum passes."""
-    block = F.concat(F.lit("[Source "), F.col("rank"), F.lit("]\n"), F.col("content"))
+    """The first hits of a query as one text, each with a line of its section, page
+    and title (where it has them), up to the first that overflows: every block has a
+    token at least, so that is where the running sum passes."""
+    given = lambda c: F.col(c) if c in hits.columns else F.lit(None).cast("string")
+    about = F.concat_ws(" | ", F.nullif(given("section"), F.lit("")), F.concat(F.lit("page "), given("page")), F.concat(F.lit("("), given("title"), F.lit(")")))
+    block = F.concat_ws("\n", F.concat(F.lit("[Source "), F.col("rank"), F.lit("]")), F.nullif(about, F.lit("")), F.col("content"))
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     rows = hits.where(F.col("rank") <= most).withColumn("block", block)
     rows = rows.withColumn("sum", F.sum(tokens(F.col("block"))).over(w)).where(F.col("sum") <= limit)
@@ -150,6 +339,19 @@ def pack_context(hits: DataFrame, limit: int = 1500, most: int = 5) -> DataFrame
     return rows.groupBy("query_id").agg(F.array_join(F.transform(parts, lambda x: x["block"]), "\n\n").alias("context"), F.max("sum").alias("tokens"), F.count("*").alias("sources"))
 
 
+def first_sentence(prompt: Column, content: Column) -> Column:
+    """The answer without a model: the first sentence of the best hit."""
+    return F.regexp_extract(content, r"^([^.!?]*[.!?]?)", 1)
+
+
+def batch_answers(packed_: DataFrame, queries: DataFrame, best: DataFrame, answer=first_sentence) -> DataFrame:
+    """Prompts and answers of all queries; ``answer`` is a model's column function of
+    the prompt and the best hit's content."""
+    rows = packed_.join(queries, "query_id").join(best.select("query_id", "content"), "query_id")
+    rows = rows.withColumn("prompt", build_prompt(F.col("context"), F.col("query")))
+    return rows.select("query_id", "prompt", "sources", answer(F.col("prompt"), F.col("content")).alias("answer"))
+
+
 PROMPT = "Use the context to answer.\n\nContext:\n{context}\n\nQuestion: {query}\nAnswer:"
 
 

@@ -8,44 +8,55 @@ from ..operators import chunks as C
 from ..operators import documents as D
 from ..operators.registry import register_strategy, strategy
 from ..sources import readers, tables
-from ..sources.shared import shared_folder
-from .catalog import query
+from ..sources.shared import shared_folder, stored
+from .catalog import SQL, query
+from .chunks import scored_sql
 from .sql import STRIP, statement
 
-# Markdown made of the corpus: front matter, headings, fences, lists, tables.
+# Markdown made of the corpus: front matter, headings, fences, lists, tables, quotes.
 _MD = r"""md AS (SELECT doc_id, '---' || chr(10) || 'title: Doc ' || doc_id || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda x, i:
-  CASE i % 6 WHEN 1 THEN '## ' || substr(x, 1, 30) || chr(10) WHEN 2 THEN '* ' || x WHEN 3 THEN '| ' || substr(x, 1, 10) || ' |' WHEN 4 THEN '```' || chr(10) || x || chr(10) || '```' ELSE x || chr(10) END), chr(10)) AS text FROM documents)"""
+  CASE i % 8 WHEN 1 THEN '## ' || substr(x, 1, 30) || chr(10) WHEN 2 THEN '* ' || x || chr(10) || '  + more' WHEN 3 THEN '| ' || substr(x, 1, 10) || ' |b' || chr(10) || '|:--|---|' || chr(10) || '|c| d |' WHEN 4 THEN '```' || chr(10) || x || chr(10) || '```'
+  WHEN 5 THEN '4. ' || x || chr(10) || '7) end' WHEN 6 THEN '>' || x || chr(10) || '> said' ELSE x || chr(10) END), chr(10)) AS text FROM documents)"""
 
 
 def markdown(spark, sf_dir):
     nl = F.lit("\n")
-    k = lambda i: (i + 1) % 6
+    k = lambda i: (i + 1) % 8
     line = lambda x, i: (
-        F.when(k(i) == 1, F.concat(F.lit("## "), F.substring(x, 1, 30), nl)).when(k(i) == 2, F.concat(F.lit("* "), x)).when(k(i) == 3, F.concat(F.lit("| "), F.substring(x, 1, 10), F.lit(" |")))
-        .when(k(i) == 4, F.concat(F.lit("```\n"), x, F.lit("\n```"))).otherwise(F.concat(x, nl))
+        F.when(k(i) == 1, F.concat(F.lit("## "), F.substring(x, 1, 30), nl)).when(k(i) == 2, F.concat(F.lit("* "), x, F.lit("\n  + more")))
+        .when(k(i) == 3, F.concat(F.lit("| "), F.substring(x, 1, 10), F.lit(" |b\n|:--|---|\n|c| d |"))).when(k(i) == 4, F.concat(F.lit("```\n"), x, F.lit("\n```")))
+        .when(k(i) == 5, F.concat(F.lit("4. "), x, F.lit("\n7) end"))).when(k(i) == 6, F.concat(F.lit(">"), x, F.lit("\n> said"))).otherwise(F.concat(x, nl))
     )
     body = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
     text = F.concat(F.lit("---\ntitle: Doc "), "doc_id", F.lit("\nlang: "), "lang", F.lit("\n---\n\n"), body)
     return tables.table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
 
 
+_CELLS = f"list_transform(ls, lambda l: list_transform(string_split(regexp_replace({STRIP.format('l')}, '^\\||\\|$', '', 'g'), '|'), lambda c: trim(c)))"
+_LISTED = r"array_to_string(list_transform(ls, lambda l, i: CASE WHEN regexp_matches(ls[1], '^\s*\d') THEN i || '. ' ELSE '- ' END || regexp_replace(l, '^\s*([-*+]|\d+[.)])\s+', '')), chr(10))"
+_QUOTED = r"array_to_string(list_transform(ls, lambda l: '> ' || regexp_replace(l, '^>\s*', '')), chr(10))"
+_TABLE = "array_to_string(list_transform(body, lambda r, i: '| ' || array_to_string(r, ' | ') || ' |' || CASE WHEN i = 1 THEN chr(10) || '| ' || array_to_string(list_transform(r, lambda c: '---'), ' | ') || ' |' ELSE '' END), chr(10))"
 _LINES = rf"""lines0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS line FROM md),
 lines1 AS (SELECT *, sum(CASE WHEN regexp_matches(raw, '^\s*```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS fences FROM lines0),
 lines2 AS (SELECT *, CASE WHEN fences % 2 = 1 OR regexp_matches(raw, '^\s*```') THEN 'code' WHEN {STRIP.format('raw')} = '' THEN 'blank' WHEN regexp_matches(raw, '^#{{1,6}}\s') THEN 'heading' WHEN regexp_matches(raw, '^\s*\|') THEN 'table'
   WHEN regexp_matches(raw, '^\s*([-*+]|\d+[.)])\s') THEN 'list' WHEN regexp_matches(raw, '^>') THEN 'quote' ELSE 'text' END AS kind FROM lines1),
 lines3 AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS block FROM (SELECT *, kind <> coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY line), '') OR kind = 'heading' OR (regexp_matches(raw, '^\s*```') AND fences % 2 = 1) AS new FROM lines2)),
-mdb AS (SELECT doc_id, CAST(min(line) AS INTEGER) AS line, kind AS type, string_agg(raw, chr(10) ORDER BY line) AS t, CAST(count(*) AS INTEGER) AS lines FROM lines3 WHERE kind <> 'blank' GROUP BY doc_id, block, kind)"""
+mdb0 AS (SELECT doc_id, CAST(min(line) AS INTEGER) AS line, kind AS type, list(raw ORDER BY line) AS ls, CAST(count(*) AS INTEGER) AS lines FROM lines3 WHERE kind <> 'blank' GROUP BY doc_id, block, kind),
+mdb1 AS (SELECT *, array_to_string(ls, chr(10)) AS t, CASE WHEN type = 'table' THEN list_filter({_CELLS}, lambda r: len(list_filter(r, lambda c: NOT regexp_matches(c, '^:?-+:?$'))) > 0) END AS body FROM mdb0),
+mdb AS (SELECT doc_id, line, type, lines, CASE type WHEN 'heading' THEN regexp_replace(t, '^#{{1,6}}\s+', '') WHEN 'list' THEN {_LISTED} WHEN 'quote' THEN {_QUOTED} WHEN 'table' THEN {_TABLE} ELSE t END AS content,
+  CASE WHEN type = 'heading' THEN CAST(length(regexp_extract(t, '^(#{{1,6}})', 1)) AS INTEGER) END AS heading_level, CASE WHEN type = 'list' THEN regexp_matches(ls[1], '^\s*\d') END AS ordered,
+  CAST(CASE type WHEN 'list' THEN lines WHEN 'table' THEN len(body) END AS INTEGER) AS item_count FROM mdb1)"""
 _MDB = f"WITH {_MD}, {_LINES}\n"
 
 
-@query("a5_markdown_to_blocks", _MDB + r"SELECT doc_id, line, type, CASE type WHEN 'heading' THEN regexp_replace(t, '^#{1,6}\s+', '') WHEN 'list' THEN regexp_replace(t, '(?m)^\s*[*+-]\s+', '- ', 'g') ELSE t END AS content, CASE WHEN type = 'heading' THEN CAST(length(regexp_extract(t, '^(#{1,6})', 1)) AS INTEGER) END AS heading_level FROM mdb")
+@query("a5_markdown_to_blocks", _MDB + "SELECT doc_id, line, type, content, heading_level FROM mdb")
 def markdown_to_blocks(spark, sf_dir):
-    return D.markdown_blocks(markdown(spark, sf_dir)).drop("lines")
+    return D.markdown_blocks(markdown(spark, sf_dir)).select("doc_id", "line", "type", "content", "heading_level")
 
 
-@query("a6_markdown_lists_tables", _MDB + r"SELECT doc_id, line, type, lines FROM mdb WHERE type IN ('list', 'table', 'quote')")
+@query("a6_markdown_lists_tables", _MDB + "SELECT doc_id, line, type, lines, content, ordered, item_count FROM mdb WHERE type IN ('list', 'table', 'quote')")
 def markdown_lists_tables(spark, sf_dir):
-    return D.markdown_blocks(markdown(spark, sf_dir)).where("type IN ('list', 'table', 'quote')").select("doc_id", "line", "type", "lines")
+    return D.markdown_blocks(markdown(spark, sf_dir)).where("type IN ('list', 'table', 'quote')").select("doc_id", "line", "type", "lines", "content", "ordered", "item_count")
 
 
 @query("a7_front_matter", "SELECT doc_id, 'title' AS key, 'Doc ' || doc_id AS value FROM documents UNION ALL SELECT doc_id, 'lang', lang FROM documents")
@@ -53,7 +64,22 @@ def front_matter(spark, sf_dir):
     return D.front_matter(markdown(spark, sf_dir))
 
 
-@query("a8_html_to_blocks")
+_DROPPED = "html"
+for _t in ("script", "style", "nav", "head", "footer"):
+    _DROPPED = f"regexp_replace({_DROPPED}, '(?s)<{_t}\\b.*?</{_t}>', ' ', 'g')"
+_DROPPED = f"regexp_replace({_DROPPED}, '(?s)<!--.*?-->', ' ', 'g')"
+_BARE = STRIP.format(r"regexp_replace(regexp_replace(raw, '<[^>]*>', '', 'g'), '\s+', ' ', 'g')")
+for _a, _b in D.ENTITIES:
+    _BARE = f"replace({_BARE}, '{_a}', '{_b.replace(chr(39), chr(39) * 2)}')"
+
+
+@query(
+    "a8_html_to_blocks",
+    rf"""WITH cut AS (SELECT page_id, string_split(regexp_replace({_DROPPED}, '<(h[1-6]|p|li|pre|td)\b([^>]*>)', chr(1) || '<\1\2', 'g'), chr(1))[2:] AS parts FROM pages),
+b AS (SELECT page_id, unnest(parts) AS raw, CAST(unnest(range(len(parts))) AS INTEGER) AS pos FROM cut), t AS (SELECT page_id, pos, lower(regexp_extract(raw, '^<([a-zA-Z0-9]+)', 1)) AS tag, {_BARE} AS content FROM b)
+SELECT page_id, pos, CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN 'heading' ELSE CASE tag WHEN 'p' THEN 'text' WHEN 'li' THEN 'list_item' WHEN 'pre' THEN 'code' ELSE 'table' END END AS type, content, CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN CAST(substr(tag, 2, 1) AS INTEGER) END AS heading_level
+  FROM t WHERE content <> ''""",
+)
 def html_to_blocks(spark, sf_dir):
     return D.html_blocks(tables.table(spark, sf_dir, "pages"))
 
@@ -65,14 +91,55 @@ def validate_curriculum(spark, sf_dir):
     return rows.select("example_id", F.explode(F.array_compact(errors)).alias("error"))
 
 
+_GIVEN = """given AS (SELECT s.*, source, 'text' AS source_type, CAST(s.doc_id AS VARCHAR) AS document_id, CASE WHEN s.doc_id % 5 = 0 THEN ['a', 'b c'] ELSE [] END AS tags, CASE WHEN chunk_pos % 3 = 0 THEN 'seen' END AS notes, CASE WHEN chunk_pos % 4 = 1 THEN 'top' END AS hint,
+  CASE WHEN s.doc_id % 4 = 0 THEN CAST(chunk_pos AS VARCHAR) END AS custom, CASE WHEN chunk_pos % 2 = 0 THEN 'TM 9-' || s.doc_id % 9 END AS tm, CASE WHEN s.doc_id % 7 > 0 THEN start_page END AS page_start, CASE WHEN s.doc_id % 7 > 0 THEN end_page END AS page_end
+  FROM scored s JOIN (SELECT doc_id, source FROM documents) d ON s.doc_id = d.doc_id)"""
+
+
+def _given(final: str) -> str:
+    return scored_sql(f", {_GIVEN}\n{final}")
+
+
 def _record(spark, sf_dir):
-    return D.export_record(tables.chunks(spark, sf_dir))
+    """Scored chunks with what users gave and enrichment found for some; some have no
+    pages."""
+    d, pos = F.col("doc_id"), F.col("chunk_pos")
+    paged = lambda c: F.when(d % 7 > 0, F.col(c))
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", "source")
+    rows = C.quality(tables.chunks(spark, sf_dir)).join(docs, "doc_id")
+    return D.export_record(rows.withColumns({
+        "source_type": F.lit("text"), "tags": F.when(d % 5 == 0, F.array(F.lit("a"), F.lit("b c"))), "notes": F.when(pos % 3 == 0, "seen"), "hierarchy_hint": F.when(pos % 4 == 1, "top"),
+        "custom": F.when(d % 4 == 0, F.create_map(F.lit("k"), pos.cast("string"))), "fields": F.when(pos % 2 == 0, F.create_map(F.lit("tm_number"), F.concat(F.lit("TM 9-"), d % 9))),
+        "start_page": paged("start_page"), "end_page": paged("end_page"),
+    }))
 
 
-@query("a14_export_record", statement("SELECT '1.1' AS schema_version, chunk_id AS id, content, token_count, hierarchy_path, doc_id AS document_id, start_page AS page_start, end_page AS page_end, CAST(block_count AS VARCHAR) AS custom_blocks, last_type AS custom_last FROM chunks", "chunks"))
+def _flat_sql(pairs: dict[str, str]) -> str:
+    """Entries 'key=value' in the order of their keys; values that are null are out."""
+    return "array_to_string(list_filter([" + ", ".join(f"'{k}=' || {v}" for k, v in sorted(pairs.items())) + "], lambda x: x IS NOT NULL), chr(10))"
+
+
+def _entries(column):
+    """A map as 'key=value' lines in the order of its keys."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(column)), lambda e: F.concat_ws("=", e["key"], e["value"])), "\n")
+
+
+_USER = {"hierarchy_hint": "hint", "notes": "notes", "custom_k": "custom"}
+_TAGS = "nullif(array_to_string(tags, '; '), '')"
+_ABOUT = {"source": "source", "source_type": "source_type", "document_id": "document_id", "hierarchy_path": "hierarchy_path", "quality_score": "CAST(overall AS VARCHAR)", "token_count": "CAST(token_count AS VARCHAR)"}
+_PAGES = {"page_start": "CAST(page_start AS VARCHAR)", "page_end": "CAST(page_end AS VARCHAR)"}
+
+
+@query(
+    "a14_export_record",
+    _given(
+        "SELECT '1.1' AS schema_version, chunk_id AS id, content, token_count, hierarchy_path, overall AS quality_score, source, source_type, document_id, page_start, page_end, coalesce('tm_number=' || tm, '') AS enrichment_fields, "
+        f"array_to_string(tags, ',') AS tags, {_flat_sql(_USER)} AS user_metadata, {_flat_sql({'block_count': 'block_count', 'last_type': 'last_type'})} AS system_metadata FROM given"
+    ),
+)
 def export_record(spark, sf_dir):
-    rows = _record(spark, sf_dir)
-    return rows.select("*", *[F.col("user_metadata")[k].alias(k) for k in ("custom_blocks", "custom_last")]).drop("user_metadata")
+    maps = {c: _entries(c) for c in ("enrichment_fields", "user_metadata", "system_metadata")}
+    return _record(spark, sf_dir).withColumns({**maps, "tags": F.array_join("tags", ",")})
 
 
 def _written(df, kind: str, **options):
@@ -81,42 +148,77 @@ def _written(df, kind: str, **options):
     return path
 
 
-@query("a15_sink_jsonl", statement("SELECT chunk_id AS id, content AS text, token_count FROM chunks", "chunks"))
+_LINE = {"source": "source", "source_type": "source_type", "page": _PAGES["page_start"], "page_end": _PAGES["page_end"], "hierarchy_path": "hierarchy_path", "quality_score": _ABOUT["quality_score"], "token_count": _ABOUT["token_count"]}
+
+
+@query("a15_sink_jsonl", _given(f"SELECT chunk_id AS id, content AS text, {_flat_sql({**_LINE, **_USER, 'tags': _TAGS})} AS metadata FROM given"))
 def sink_jsonl(spark, sf_dir):
-    rows = tables.chunks(spark, sf_dir).select(F.col("chunk_id").alias("id"), F.col("content").alias("text"), "token_count")
-    return spark.read.schema(rows.schema).json(_written(rows, "json"))
+    rows = D.jsonl_record(_record(spark, sf_dir))
+    return spark.read.schema(rows.schema).json(_written(rows, "json")).withColumn("metadata", _entries("metadata"))
 
 
-@query("a16_sink_json_nested", statement("SELECT doc_id, count(*) AS chunks, CAST(sum(token_count) AS BIGINT) AS tokens FROM chunks GROUP BY doc_id", "chunks"))
+@query(
+    "a16_sink_json_nested",
+    _given("SELECT document_id AS id, '1.1' AS version, source, source_type, 'tables' AS loader, 'sections' AS chunker, count(*) AS chunks, CAST(sum(token_count) AS BIGINT) AS tokens, string_agg(chunk_id, ',' ORDER BY page_start NULLS FIRST, chunk_id) AS ids, count(notes) AS notes FROM given GROUP BY document_id, source, source_type"),
+)
 def sink_json_nested(spark, sf_dir):
-    rows = D.nested_documents(tables.chunks(spark, sf_dir))
+    rows = D.nested_documents(_record(spark, sf_dir))
     back = spark.read.schema(rows.schema).json(_written(rows, "json"))
-    items = F.from_json("chunks", "array<struct<chunk_pos bigint, chunk_id string, token_count bigint>>")
-    return back.select("doc_id", F.size(items).cast("bigint").alias("chunks"), "tokens")
+    total = F.aggregate("chunks", F.lit(0).cast("bigint"), lambda a, x: a + x["token_count"])
+    noted = F.size(F.filter("chunks", lambda x: x["user_metadata"]["notes"].isNotNull())).cast("bigint")
+    return back.select(
+        "id", "version", "source", "source_type", "processing.loader", "processing.chunker", F.size("chunks").cast("bigint").alias("chunks"), total.alias("tokens"),
+        F.array_join(F.transform("chunks", lambda x: x["id"]), ",").alias("ids"), noted.alias("notes"),
+    )
 
 
-@query("a17_sink_csv", statement("SELECT chunk_id, doc_id, token_count, start_page, end_page, block_count, last_type FROM chunks", "chunks"))
+@query(
+    "a17_sink_csv",
+    _given("SELECT chunk_id, source AS document, content, token_count, floor(round(overall * 1000000) / 1000 + 0.5) / 1000 AS quality_score, page_start, page_end, hierarchy_path, array_to_string(tags, '; ') AS tags, coalesce(notes, '') AS notes FROM given"),
+)
 def sink_csv(spark, sf_dir):
-    rows = tables.chunks(spark, sf_dir).select("chunk_id", "doc_id", "token_count", "start_page", "end_page", "block_count", "last_type")
-    return spark.read.schema(rows.schema).option("header", "true").csv(_written(rows, "csv", header="true"))
+    rows = D.csv_rows(_record(spark, sf_dir))
+    form = {"header": "true", "quoteAll": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "nullValue": "\\N", "emptyValue": ""}
+    return spark.read.schema(rows.schema).options(**form, multiLine="true").csv(_written(rows, "csv", **form))
+
+
+@query("a18_to_chromadb", _given(f"SELECT chunk_id AS id, content AS document, {_flat_sql({**_ABOUT, **_PAGES, 'enrichment_tm_number': 'tm', 'tags': _TAGS})} AS metadata FROM given"))
+def to_chromadb(spark, sf_dir):
+    rows = D.to_chromadb(_record(spark, sf_dir))
+    return rows.withColumn("metadata", _entries(F.from_json("metadata", "map<string,string>")))
+
+
+@query(
+    "a19_to_qdrant",
+    _given(
+        f"SELECT chunk_id AS id, content, {_flat_sql(_ABOUT)} AS about, page_start, page_end, coalesce('tm_number=' || tm, '') AS enrichment, {_flat_sql(_USER)} AS user_metadata, array_to_string(tags, ',') AS tags, true AS keeps_nulls FROM given"
+    ),
+)
+def to_qdrant(spark, sf_dir):
+    rows = D.to_qdrant(_record(spark, sf_dir))
+    form = "content string, source string, source_type string, document_id string, hierarchy_path string, quality_score double, token_count bigint, page_start int, page_end int, enrichment map<string,string>, user_metadata map<string,string>, tags array<string>"
+    p = rows.select("id", F.contains("payload", F.lit('"page_start":')).alias("keeps_nulls"), F.from_json("payload", form).alias("p")).select("id", "keeps_nulls", "p.*")
+    about = F.create_map(*[x for c in sorted(_ABOUT) for x in (F.lit(c), F.col(c).cast("string"))])
+    return p.select("id", "content", _entries(about).alias("about"), "page_start", "page_end", _entries("enrichment").alias("enrichment"), _entries("user_metadata").alias("user_metadata"), F.array_join("tags", ",").alias("tags"), "keeps_nulls")
 
 
-_J = "SELECT chunk_id AS id, content, token_count, doc_id AS document_id FROM chunks"
+_CAMEL = {
+    "content": "content", "chunkId": "chunk_id", "source": "source", "sourceType": "source_type", "documentId": "document_id", "hierarchyPath": "hierarchy_path", "qualityScore": _ABOUT["quality_score"],
+    "tokenCount": _ABOUT["token_count"], "pageStart": f"coalesce({_PAGES['page_start']}, '')", "pageEnd": f"coalesce({_PAGES['page_end']}, '')", "enrichment_tm_number": "tm",
+}
 
 
-def _payload(name: str, f, column: str, extra: str = ""):
-    @query(name, statement(_J, "chunks"))
-    def plan(spark, sf_dir):
-        rows = f(_record(spark, sf_dir))
-        parsed = F.from_json(column, "content string, token_count bigint, tokenCount bigint, document_id bigint, documentId bigint")
-        content = F.coalesce(F.col("document") if "document" in rows.columns else F.lit(None), parsed["content"])
-        return rows.select("id", content.alias("content"), F.coalesce(parsed["token_count"], parsed["tokenCount"]).alias("token_count"), F.coalesce(parsed["document_id"], parsed["documentId"]).alias("document_id"))
+@query("a20_to_weaviate", _given(f"SELECT chunk_id AS id, 'Chunk' AS class, {_flat_sql(_CAMEL)} AS properties FROM given"))
+def to_weaviate(spark, sf_dir):
+    rows = D.to_weaviate(_record(spark, sf_dir))
+    held = F.transform_values(F.from_json("properties", "map<string,string>"), lambda k, v: F.coalesce(v, F.lit("")))
+    return rows.select("id", "class", _entries(held).alias("properties"))
 
 
-_payload("a18_to_chromadb", D.to_chromadb, "metadata")
-_payload("a19_to_qdrant", D.to_qdrant, "payload")
-_payload("a20_to_weaviate", D.to_weaviate, "properties")
-_payload("a21_to_pinecone", D.to_pinecone, "metadata")
+@query("a21_to_pinecone", _given(f"SELECT chunk_id AS id, {_flat_sql({**_ABOUT, **_PAGES, 'content': 'content', 'enrichment_tm_number': 'tm'})} AS metadata, array_to_string(tags, ',') AS tags FROM given"))
+def to_pinecone(spark, sf_dir):
+    rows = D.to_pinecone(_record(spark, sf_dir))
+    return rows.select("id", _entries(F.from_json("metadata", "map<string,string>")).alias("metadata"), F.array_join(F.from_json("tags", "array<string>"), ",").alias("tags"))
 
 
 @query("a22_export_training_split", statement("SELECT question AS instruction, answer AS output, CASE WHEN is_test_set THEN 'test' ELSE 'train' END AS split FROM examples", "examples"))
@@ -148,21 +250,42 @@ def read_eval_cases(spark, sf_dir):
     return readers.read_jsonl(spark, _written(rows, "json"), "example_id string, competency bigint", ["example_id", "competency"])[0]
 
 
-@query("a12_validate_jsonl", statement("SELECT reason, count(*) AS n FROM (SELECT CASE CAST(turn % 4 AS INTEGER) WHEN 0 THEN 'not JSON' ELSE 'missing: output' END AS reason FROM examples WHERE turn % 8 IN (0, 2, 4)) GROUP BY reason", "examples"))
+@query(
+    "a12_validate_jsonl",
+    statement(
+        "SELECT reason, count(*) AS n, (SELECT count(*) FROM examples) AS lines FROM (SELECT CASE CAST(turn % 4 AS INTEGER) WHEN 0 THEN 'not an object' ELSE 'missing: output' END AS reason FROM examples WHERE turn % 8 IN (0, 2, 4)) GROUP BY reason",
+        "examples",
+    ),
+)
 def validate_jsonl(spark, sf_dir):
-    """Lines that are no JSON, and those that lack a field."""
+    """Lines that are no JSON, and those that lack a field, with their numbers."""
     good = F.to_json(F.struct(F.col("question").alias("instruction"), F.col("answer").alias("output")))
     line = F.when(F.col("turn") % 4 == 0, "{broken").when(F.col("turn") % 8 == 2, F.to_json(F.struct(F.col("question").alias("instruction")))).otherwise(good)
-    path = _written(tables.examples(spark, sf_dir).select(line.alias("value")), "text")
-    return readers.read_jsonl(spark, path, "instruction string, output string", ["instruction", "output"])[1].groupBy("reason").agg(F.count("*").alias("n"))
+    lines = readers.numbered_lines(spark, _written(tables.examples(spark, sf_dir).select(line.alias("value")), "text"))
+    bad = readers.validate_jsonl(lines, ["instruction", "output"]).groupBy("reason").agg(F.count("*").alias("n"))
+    total = lines.groupBy("file").agg(F.max("line").alias("n")).agg(F.sum("n").alias("lines"))
+    return bad.join(F.broadcast(total))
 
 
-@query("a1_scan_files", "SELECT 'parquet' AS extension, 'unknown extension' AS rejected")
+@query("a1_scan_files", "SELECT 'txt' AS extension, 'text' AS format, NULL AS rejected, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents UNION ALL SELECT 'parquet', NULL, 'unknown extension', NULL")
 def scan_files(spark, sf_dir):
-    return readers.scan_files(spark, f"{sf_dir}/nation.parquet").select("extension", "rejected").distinct()
+    """Documents as text files, and the table's own files."""
+    texts = _written(tables.table(spark, sf_dir, "documents").select("text"), "text", maxRecordsPerFile=1000)
+    found = readers.scan_files(spark, texts).unionByName(readers.scan_files(spark, f"{sf_dir}/documents.parquet"))
+    bytes_ = F.sum(F.when(F.col("rejected").isNull(), F.col("length"))).alias("bytes")
+    return found.groupBy("extension", "format", "rejected").agg(bytes_)
+
+
+_COUNT = lambda p: f"length(text) - length(regexp_replace(text, '{p}', '', 'g'))"
+_SHARE = lambda c: f"CASE WHEN n > 0 THEN round({c} / n, 6) ELSE 0 END AS {c}_share"
+_L, _ND, _LU = r"\p{L}", r"\p{Nd}", r"\p{Lu}"
+_CHARS = (
+    f"SELECT *, {', '.join(map(_SHARE, ('letters', 'digits', 'punctuation', 'blanks', 'special')))}, CASE WHEN letters > 0 THEN round(upper / letters, 6) ELSE 0 END AS upper_share FROM (SELECT *, greatest(n - letters - digits - blanks - punctuation, 0) AS special FROM "
+    rf"(SELECT doc_id, length(text) AS n, {_COUNT(_L)} AS letters, {_COUNT(_ND)} AS digits, {_COUNT(D.BLANKS)} AS blanks, {_COUNT(D.PUNCTUATION)} AS punctuation, {_COUNT(_LU)} AS upper FROM documents))"
+)
 
 
-@query("i1_char_features", r"SELECT doc_id, length(text) AS n, length(text) - length(regexp_replace(text, '\p{L}', '', 'g')) AS letters, length(text) - length(regexp_replace(text, '\p{Nd}', '', 'g')) AS digits, length(text) - length(regexp_replace(text, '\s', '', 'g')) AS blanks, length(text) - length(regexp_replace(text, '\p{Lu}', '', 'g')) AS upper, coalesce(round((length(text) - length(regexp_replace(text, '\p{Lu}', '', 'g'))) / nullif(length(text) - length(regexp_replace(text, '\p{L}', '', 'g')), 0), 6), 0) AS upper_share FROM documents")
+@query("i1_char_features", _CHARS)
 def char_features(spark, sf_dir):
     return D.char_features(tables.table(spark, sf_dir, "documents"))
 
@@ -255,69 +378,115 @@ def font_layout_features(spark, sf_dir):
     return D.layout_features(_boxes(spark, sf_dir))
 
 
-@query("i5_sample_pages", statement(", p AS (SELECT doc_id, page, max(page) OVER (PARTITION BY doc_id) AS n FROM (SELECT DISTINCT doc_id, page FROM outline))\nSELECT doc_id, page FROM p WHERE n <= 6 OR page <= 3 OR page > n - 2 OR floor((page - 4) * 1 / greatest(n - 5, 1)) > floor((page - 5) * 1 / greatest(n - 5, 1))", "outline"))
+@query(
+    "i5_sample_pages",
+    statement(
+        ", p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS page, count(*) OVER (PARTITION BY doc_id) AS n FROM outline), s AS (SELECT *, greatest(1, (n - 5) // 45) AS step FROM p)\n"
+        "SELECT doc_id, page FROM s WHERE n <= 50 OR page <= 3 OR page > n - 2 OR (page >= 4 AND (page - 4) % step = 0 AND (page - 4) / step < 45)",
+        "outline",
+    ),
+)
 def sample_pages(spark, sf_dir):
-    pages = tables.outline_blocks(spark, sf_dir).select("doc_id", "page").distinct()
-    n = pages.groupBy("doc_id").agg(F.max("page").alias("n"))
-    return D.sampled_pages(pages.join(n, "doc_id"), 6).select("doc_id", "page")
+    """Blocks as pages, as documents are short."""
+    from pyspark.sql import Window
 
+    w = Window.partitionBy("doc_id")
+    pages = tables.outline_blocks(spark, sf_dir).select("doc_id", F.row_number().over(w.orderBy("pos")).alias("page"), F.count("*").over(w).alias("n"))
+    return D.sampled_pages(pages).select("doc_id", "page")
 
-@query("i6_fingerprint_vector")
-def fingerprint_vector(spark, sf_dir):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
-    rows = D.char_features(tables.table(spark, sf_dir, "documents"))
-    return VectorAssembler(inputCols=list(D.FEATURES), outputCol="v").transform(rows).select("doc_id", vector_to_array("v").alias("features"))
+def _fingerprints(spark, sf_dir):
+    docs, blocks, boxes = tables.table(spark, sf_dir, "documents"), tables.blocks(spark, sf_dir), _boxes(spark, sf_dir)
+    groups = {
+        "byte": D.byte_features(docs, blocks), "font": font_features(spark, sf_dir), "layout": D.layout_features(boxes), "char": D.char_features(docs), "rep": D.repetition_features(boxes),
+        "rhythm": D.rhythm_features(tables.outline_blocks(spark, sf_dir)),
+    }
+    return stored(D.fingerprints(groups, docs), "fingerprints")
+
+
+_BYTES = statement(
+    "SELECT d.doc_id, strlen(text) AS file_size, 0 AS pdf_version, n AS object_count, 0 AS stream_count, source IS NOT NULL AS has_metadata, 0 AS has_xmp_metadata, pages AS page_count, 0 AS encrypted, 0 AS has_acroform FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, max(page) AS pages FROM typed GROUP BY doc_id) b ON d.doc_id = b.doc_id",
+    "typed",
+)
+_GROUPS = {"byte": _BYTES, "font": SQL["i4_font_features"], "layout": SQL["i4_font_layout_features"], "char": _CHARS, "rep": SQL["i2_repetition_features"], "rhythm": SQL["i3_rhythm_features"]}
+_VECTOR = "array_to_string([" + ", ".join(f"CAST(round(coalesce(CAST({g}.{c} AS DOUBLE), 0) * 1000) AS BIGINT)" for g, cs in D.FEATURES.items() for c in cs) + "], ',')"
+
+
+@query("i6_fingerprint_vector", f"SELECT d.doc_id, {_VECTOR} AS features FROM documents d " + " ".join(f"LEFT JOIN ({q}) {g} ON d.doc_id = {g}.doc_id" for g, q in _GROUPS.items()))
+def fingerprint_vector(spark, sf_dir):
+    """All features in order, in whole thousandths."""
+    whole = F.transform("features", lambda x: F.round(x * 1000).cast("bigint").cast("string"))
+    return _fingerprints(spark, sf_dir).select("doc_id", F.array_join(whole, ",").alias("features"))
 
 
 def _labelled(spark, sf_dir):
-    return D.labelled_features(tables.table(spark, sf_dir, "documents"), tables.table(spark, sf_dir, "labels"), "quality")
+    """Vectors of all documents, and those with labels: quality and toxicity make four
+    classes."""
+    rows = _fingerprints(spark, sf_dir)
+    labels = tables.table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 2 + F.col("toxic")).cast("int").alias("label"))
+    return rows, rows.join(labels, "doc_id")
 
 
 @query("i7_synthetic_corpus")
 def synthetic_corpus(spark, sf_dir):
     """Feature rows drawn around the mean of each label, with ratios clipped."""
-    means = _labelled(spark, sf_dir).groupBy("label").agg(F.avg("upper_share").alias("m"), F.coalesce(F.stddev_pop("upper_share"), F.lit(0.0)).alias("s"))
+    rows = D.char_features(tables.table(spark, sf_dir, "documents")).join(tables.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    means = rows.groupBy("label").agg(F.avg("upper_share").alias("m"), F.coalesce(F.stddev_pop("upper_share"), F.lit(0.0)).alias("s"))
     draw = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("m") + F.col("s") * F.randn(42)))
     return F.broadcast(means).join(spark.range(40), F.lit(True)).select("label", "id", draw.alias("upper_share"))
 
 
 @query("i9_predict_type")
 def predict_type(spark, sf_dir):
-    rows = _labelled(spark, sf_dir)
-    return D.predicted(D.classifier().fit(rows), rows)
+    """Every document, by a model of the labelled ones."""
+    rows, labelled = _labelled(spark, sf_dir)
+    return D.predicted(D.fitted(labelled), rows)
 
 
 @query("i10_feature_importance")
 def feature_importance(spark, sf_dir):
-    model = D.classifier().fit(_labelled(spark, sf_dir)).stages[-1]
-    return spark.createDataFrame([(n, float(x)) for n, x in zip(D.FEATURES, model.featureImportances.toArray())], "feature string, importance double")
+    """The features of the model in the order of their weight."""
+    model = D.fitted(_labelled(spark, sf_dir)[1])
+    ranked = sorted(zip(D.NAMES, map(float, model.featureImportances.toArray())), key=lambda x: (-x[1], x[0]))
+    return spark.createDataFrame([(n, w, k) for k, (n, w) in enumerate(ranked, 1)], "feature string, importance double, place int")
 
 
 @query("i11_cross_validate")
 def cross_validate(spark, sf_dir):
-    """Accuracy by fold; each fold is predicted by a model of the others."""
-    rows, out = D.folds(_labelled(spark, sf_dir)), None
-    for k in range(3):
-        model = D.classifier().fit(rows.where(F.col("fold") != k))
-        part = D.predicted(model, rows.where(F.col("fold") == k)).select(F.lit(k).alias("fold"), "label", "predicted")
-        out = part if out is None else out.union(part)
-    right = F.count_if(F.col("label").cast("int").cast("string") == F.col("predicted"))
-    return out.groupBy("fold").agg(F.count("*").alias("n"), (right / F.count("*")).alias("accuracy"))
+    return D.cross_validated(_labelled(spark, sf_dir)[1])
+
+
+@query("i11_fold_report")
+def fold_report(spark, sf_dir):
+    return D.fold_report(cross_validate(spark, sf_dir))
 
 
 @query("i12_unknown_queue")
 def unknown_queue(spark, sf_dir):
-    rows = _labelled(spark, sf_dir)
-    found = D.predicted(D.classifier().fit(rows), rows, 0.9).where("predicted = 'unknown'")
-    return found.select("doc_id", "confidence", F.slice(F.reverse(F.array_sort("probabilities")), 1, 3).alias("top"))
+    rows, labelled = _labelled(spark, sf_dir)
+    return D.unknown_queue(D.predicted(D.fitted(labelled), rows, 0.6))
+
+
+_LOGGED = "SELECT doc_id, ['bad', 'good', 'odd', NULL][CAST(CASE WHEN doc_id % 11 = 0 THEN 3 WHEN doc_id % 13 = 0 THEN 4 ELSE quality + 1 END AS INTEGER)] AS label FROM labels"
+
+
+def _label_log(spark, sf_dir):
+    """A log of labels; some lines are cut, some name no class."""
+    d = F.col("doc_id")
+    name = F.when(d % 11 == 0, "odd").otherwise(F.when(F.col("quality") == 1, "good").otherwise("bad"))
+    line = F.to_json(F.struct("doc_id", name.alias("label")))
+    cut = F.when((d % 11 != 0) & (d % 13 == 0), F.substring(line, 1, 9)).otherwise(line)
+    return D.manual_labels(spark.read.text(_written(tables.table(spark, sf_dir, "labels").select(cut.alias("value")), "text")), ["good", "bad"])
 
 
-@query("i13_manual_labels", "SELECT quality AS label, count(*) AS n FROM labels GROUP BY quality")
+@query("i13_manual_labels", f"SELECT label, count(*) AS n FROM ({_LOGGED}) WHERE label IN ('good', 'bad') GROUP BY label")
 def manual_labels(spark, sf_dir):
-    rows = tables.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    return spark.read.schema("doc_id bigint, label int").json(_written(rows, "json")).groupBy("label").agg(F.count("*").alias("n"))
+    return _label_log(spark, sf_dir)[0].groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("i13_rejected_labels", f"SELECT CASE WHEN label = 'odd' THEN 'unknown class' ELSE 'corrupt' END AS reason, count(*) AS n FROM ({_LOGGED}) WHERE label IS NULL OR label = 'odd' GROUP BY 1")
+def rejected_labels(spark, sf_dir):
+    return _label_log(spark, sf_dir)[1].groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -334,10 +503,17 @@ def retrain_plan(spark, sf_dir):
     return D.retrain_plan(synthetic, manual, manual.where("seq % 10 = 0").select(F.col("seq").alias("trained_at")))
 
 
-@query("i15_upgrade_candidates", statement("SELECT doc_id, CASE WHEN t >= 5 THEN 'tables' WHEN c < 100 THEN 'scanned' END AS reason FROM (SELECT doc_id, count(*) FILTER (type = 'table') AS t, sum(length(content)) AS c FROM outline GROUP BY doc_id) WHERE t >= 5 OR c < 100", "outline"))
+@query(
+    "i15_upgrade_candidates",
+    statement(
+        f"""{_BOXES}, p AS (SELECT doc_id, page, count(*) FILTER (type = 'table') AS t, sum(length({STRIP.format('content')})) AS c FROM boxes GROUP BY ALL), s AS (SELECT doc_id, sum(t) AS t, min(c) FILTER (page <= 5) AS c FROM p GROUP BY doc_id),
+x AS (SELECT doc_id, count(DISTINCT floor(x1 / 50 + 0.5)) AS n FROM boxes WHERE page <= 5 GROUP BY doc_id)
+SELECT doc_id, reason FROM (SELECT s.doc_id, unnest([CASE WHEN t >= 5 THEN 'tables' END, CASE WHEN c < 100 THEN 'scanned' END, CASE WHEN n >= 2 THEN 'columns' END]) AS reason FROM s LEFT JOIN x ON s.doc_id = x.doc_id) WHERE reason IS NOT NULL""",
+        "decorated",
+    ),
+)
 def upgrade_candidates(spark, sf_dir):
-    per = tables.outline_blocks(spark, sf_dir).groupBy("doc_id").agg(F.count_if(F.col("type") == "table").alias("tables"), F.sum(F.length("content")).alias("chars"))
-    return D.upgrade_candidates(per)
+    return D.upgrade_candidates(_boxes(spark, sf_dir))
 
 
 @query("u1_register_strategy", statement("SELECT chunk_id, token_count FROM chunks", "chunks"))
@@ -374,12 +550,8 @@ def project_to_tables(spark, sf_dir):
 
 @query("i8_train_classifier")
 def train_classifier(spark, sf_dir):
-    """Accuracy of forests for both labels on the documents they are trained on."""
-    docs, labels, out = tables.table(spark, sf_dir, "documents"), tables.table(spark, sf_dir, "labels"), None
-    for name in ("quality", "toxic"):
-        rows = D.labelled_features(docs, labels, name)
-        found = D.predicted(D.classifier().fit(rows), rows, 0.0)
-        right = F.count_if(F.col("label").cast("int").cast("string") == F.col("predicted"))
-        part = found.agg(F.count("*").alias("n"), (right / F.count("*")).alias("accuracy")).withColumn("label", F.lit(name))
-        out = part if out is None else out.union(part)
-    return out
+    """What a model of the labelled documents says of those it was fitted on."""
+    labelled = _labelled(spark, sf_dir)[1]
+    found = D.predicted(D.fitted(labelled), labelled, 0.0)
+    right = F.count_if(F.col("label").cast("string") == F.col("predicted"))
+    return found.groupBy("label").agg(F.count("*").alias("n"), (right / F.count("*")).alias("accuracy"))

@@ -5,78 +5,108 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..functions.text import strip
+from ..operators.registry import register_strategy, strategy
+from ..operators.sections import page_chunks
 from ..sources import tables
+from ..sources.shared import stored
 from .catalog import query
-from .sql import TOKENS, statement
+from .sql import STRIP, TOKENS, statement
 
-# Queries: the first eight words of the benchmark's items.
-_ASKED = "asked AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS query FROM benchmark)"
+# Queries: the benchmark's items.
+_ASKED = "asked AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 _TERMS = "list_filter(regexp_extract_all(lower({0}), '[a-z]+'), lambda x: length(x) > 1)"
 
 
-def _hits_sql(chunks: str, k: int, prefix: str = "") -> str:
+def hits_sql(chunks: str, k: int, prefix: str = "") -> str:
     return f"""{prefix}qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TERMS.format('query')}) AS term FROM asked) GROUP BY ALL),
 {prefix}ct AS (SELECT chunk_id, len, term, count(*) AS tf FROM (SELECT chunk_id, len({_TERMS.format('content')}) AS len, unnest({_TERMS.format('content')}) AS term FROM {chunks}) WHERE term IN (SELECT term FROM {prefix}qt) GROUP BY ALL),
 {prefix}dfs AS (SELECT term, count(*) AS df FROM {prefix}ct GROUP BY term),
 {prefix}raws AS (SELECT query_id, chunk_id, sum(times * tf / len * (ln(((SELECT count(*) FROM {chunks}) + 1) / (df * times + 1)) + 1)) AS raw FROM {prefix}ct JOIN {prefix}dfs USING (term) JOIN {prefix}qt USING (term) GROUP BY ALL),
-{prefix}hits AS (SELECT query_id, rank, chunk_id, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, chunk_id) AS rank FROM {prefix}raws WHERE raw > 0) WHERE rank <= {k})"""
+{prefix}hits AS MATERIALIZED (SELECT query_id, rank, chunk_id, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score, round(raw, 6) AS raw FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, chunk_id) AS rank FROM {prefix}raws WHERE raw > 0) WHERE rank <= {k})"""
 
 
 def _sql(final: str, chunks: str = "chunks", k: int = 10, more: str = "") -> str:
-    return statement(f", {_ASKED}{more}, {_hits_sql(chunks, k)}\n{final}", "chunks")
+    return statement(f", {_ASKED}{more}, {hits_sql(chunks, k)}\n{final}", "chunks")
 
 
 def asked(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "benchmark")
-    return rows.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("query"))
+    return rows.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @query("e1_keyword_search", _sql("SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, score FROM hits"))
 def keyword_search(spark, sf_dir):
-    return R.keyword_search(tables.chunks(spark, sf_dir), asked(spark, sf_dir))
+    return _hits(spark, sf_dir).drop("raw")
+
+
+def _hits(spark, sf_dir, k: int = 10):
+    return R.keyword_search(tables.chunks(spark, sf_dir), asked(spark, sf_dir), k)
 
 
 _UNIT = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
-_VECS = f"vecs AS (SELECT vec_id, {_UNIT} AS e, greatest(sqrt(list_sum(list_transform({_UNIT}, lambda x: x * x))), 1e-10) AS n FROM embeddings)"
+_VECS = f"vecs AS (SELECT vec_id, label, {_UNIT} AS e, greatest(sqrt(list_sum(list_transform({_UNIT}, lambda x: x * x))), 1e-10) AS n FROM embeddings)"
 _COS = "list_dot_product(a.e, b.e) / (a.n * b.n)"
 
 
 def _vectors(spark, sf_dir):
-    v = tables.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    """All vectors, and those of ids divisible by 20 as queries."""
+    v = tables.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+def _nearest(where: str) -> str:
+    return (
+        f"WITH {_VECS}, s AS (SELECT b.vec_id AS query_id, a.vec_id, {_COS} AS score FROM vecs a, vecs b WHERE b.vec_id % 20 = 0 AND {where}) SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM "
+        "(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s) WHERE rank <= 5"
+    )
 
 
-@query("e2_vector_search", f"WITH {_VECS}, s AS (SELECT b.vec_id AS query_id, a.vec_id, {_COS} AS score FROM vecs a, vecs b WHERE b.vec_id % 50 = 0) SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s) WHERE rank <= 5")
+@query("e2_vector_search", _nearest("true"))
 def vector_search(spark, sf_dir):
     return R.vector_search(*_vectors(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-@query("e3_embed")
-def embed(spark, sf_dir):
-    """Without a model: hashed term frequencies, scaled by their rarity."""
+@query("e2_search_in_documents", _nearest("a.label % 2 = 0"))
+def search_in_documents(spark, sf_dir):
+    """Among the vectors of some documents only."""
+    v, q = _vectors(spark, sf_dir)
+    return R.vector_search(v.where("label % 2 = 0"), q).withColumn("score", F.round("score", 6))
+
+
+def hashed_terms(chunks):
+    """The embedding without a model: hashed term frequencies, scaled by rarity."""
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
 
-    rows = tables.chunks(spark, sf_dir).select("chunk_id", R.terms(F.col("content")).alias("terms"))
+    rows = chunks.select("chunk_id", R.terms(F.col("content")).alias("terms"))
     tf = HashingTF(inputCol="terms", outputCol="tf", numFeatures=256).transform(rows)
     idf = IDF(inputCol="tf", outputCol="idf").fit(tf).transform(tf)
     out = Normalizer(inputCol="idf", outputCol="vector").transform(idf)
-    from pyspark.ml.functions import vector_to_array
-
     return out.select("chunk_id", vector_to_array("vector").alias("embedding"))
 
 
-@query("e4_similar_chunks", f"WITH {_VECS} SELECT b.vec_id AS query_id, a.vec_id, round({_COS}, 6) AS score FROM vecs a, vecs b WHERE b.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND {_COS} >= 0.8")
+register_strategy("embedder", "hashed_terms", hashed_terms)
+
+
+@query("e3_embed")
+def embed(spark, sf_dir):
+    """By a registered embedder; a model is registered in the same way."""
+    return strategy("embedder", "hashed_terms")(tables.chunks(spark, sf_dir))
+
+
+@query("e4_similar_chunks", f"WITH {_VECS} SELECT b.vec_id AS query_id, a.vec_id, round({_COS}, 6) AS score FROM vecs a, vecs b WHERE b.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND {_COS} >= 0.8 - 1e-12")
 def similar_chunks(spark, sf_dir):
-    v, q = _vectors(spark, sf_dir)
-    n = R.small(q.select("query_id", "query_vector", R.norm(F.col("query_vector")).alias("n2")))
-    rows = v.withColumn("n1", R.norm(F.col("embedding"))).join(n, F.col("vec_id") != F.col("query_id"))
-    score = R.dot(F.col("embedding"), F.col("query_vector")) / (F.col("n1") * F.col("n2"))
-    return rows.select("query_id", "vec_id", F.round(score, 6).alias("score"), score.alias("raw")).where("raw >= 0.8").drop("raw")
+    return R.similar_to(*_vectors(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-@query("e5_similarity_pairs", f"WITH {_VECS} SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 5) AS cosine FROM vecs a, vecs b WHERE a.vec_id < b.vec_id AND {_COS} >= 0.8 - 1e-9")
+@query(
+    "e5_similarity_pairs",
+    f"WITH {_VECS}, c AS (SELECT min(vec_id) AS vec_id, e, any_value(n) AS n, count(*) AS k FROM vecs GROUP BY e) SELECT a.vec_id AS a, b.vec_id AS b, a.k AS n_a, b.k AS n_b, round({_COS}, 5) AS cosine FROM c a, c b WHERE a.vec_id < b.vec_id AND {_COS} >= 0.8 - 1e-9",
+)
 def similarity_pairs(spark, sf_dir):
-    return R.similar_pairs(tables.table(spark, sf_dir, "embeddings")).withColumn("cosine", F.round("cosine", 5))
+    rows = R.similar_pairs(tables.table(spark, sf_dir, "embeddings"))
+    return rows.select("a", "b", "n_a", "n_b", F.round("score", 5).alias("cosine"))
 
 
 _CRITERIA = [("lang", "eq", "en"), ("source", "contains", "SRC1"), ("n_chars", "gt", "500"), ("text", "regex", "the|and"), ("lang", "exists", None)]
@@ -87,6 +117,22 @@ def metadata_filter(spark, sf_dir):
     return R.metadata_filter(tables.table(spark, sf_dir, "documents"), _CRITERIA).select("doc_id")
 
 
+_MAPPED = "mapped AS (SELECT doc_id, chunk_id, CASE WHEN chunk_pos % 2 = 0 THEN 'TM 9-' || doc_id % 9 ELSE '' END AS tm, CASE WHEN chunk_pos % 3 > 0 THEN CASE WHEN chunk_pos % 6 = 1 THEN 'none' ELSE CAST(chunk_pos AS VARCHAR) END END AS depth, CASE doc_id % 2 WHEN 0 THEN 'MANUAL' ELSE 'REPORT' END AS doc_type FROM chunks)"
+
+
+@query("e6_enrichment_filter", statement(f", {_MAPPED}\nSELECT chunk_id FROM mapped WHERE doc_type = 'MANUAL' AND trim(tm) <> '' AND contains(lower(tm), 'tm 9') AND TRY_CAST(depth AS DOUBLE) < 9", "chunks"))
+def enrichment_filter(spark, sf_dir):
+    """By fields that were extracted and by the type of document; what is no number
+    is not less than one."""
+    pos = F.col("chunk_pos")
+    tm = F.when(pos % 2 == 0, F.concat(F.lit("TM 9-"), F.col("doc_id") % 9)).otherwise("")
+    depth = F.when(pos % 3 > 0, F.when(pos % 6 == 1, "none").otherwise(pos.cast("string")))
+    fields = F.map_filter(F.create_map(F.lit("tm"), tm, F.lit("depth"), depth), lambda k, v: v.isNotNull())
+    rows = tables.chunks(spark, sf_dir).select("chunk_id", fields.alias("fields"), F.when(F.col("doc_id") % 2 == 0, "MANUAL").otherwise("REPORT").alias("doc_type"))
+    criteria = [("fields.tm", "exists", None), ("fields.tm", "contains", "tm 9"), ("fields.depth", "lt", "9")]
+    return R.metadata_filter(rows.where("doc_type = 'MANUAL'"), criteria).select("chunk_id")
+
+
 @query("e7_filter_reduction", "SELECT source, round(1 - count(*) FILTER (lang = 'en') / count(*), 3) AS reduction FROM documents GROUP BY source")
 def filter_reduction(spark, sf_dir):
     return tables.table(spark, sf_dir, "documents").groupBy("source").agg(F.round(1 - F.count_if(F.col("lang") == "en") / F.count("*"), 3).alias("reduction"))
@@ -96,16 +142,15 @@ _VALID = """SELECT query_id, chunk_id, validation, floor(round(score * 1e6::DOUB
   FROM hits JOIN (SELECT chunk_id, content, hierarchy_path FROM chunks) USING (chunk_id)) WHERE validation >= 0.5"""
 
 
-def _validated(spark, sf_dir, chunks=None):
-    chunks = tables.chunks(spark, sf_dir) if chunks is None else chunks
-    hits = R.keyword_search(chunks, asked(spark, sf_dir)).join(chunks.select("chunk_id", "content", "hierarchy_path"), "chunk_id")
+def _validated(hits, chunks):
+    rows = hits.join(chunks.select("chunk_id", "content", "hierarchy_path"), "chunk_id")
     rules = [("length", F.length("content") >= 200, 1.0), ("path", F.col("hierarchy_path") != "", 2.0), ("content", F.col("content").rlike("(?i)the"), 1.0)]
-    return R.validate_hits(hits, rules, 0.5)
+    return R.validate_hits(rows, rules, 0.5)
 
 
 @query("e8_validate_hits", _sql(_VALID))
 def validate_hits(spark, sf_dir):
-    return _validated(spark, sf_dir).select("query_id", "chunk_id", "validation", "adjusted")
+    return _validated(_hits(spark, sf_dir), tables.chunks(spark, sf_dir)).select("query_id", "chunk_id", "validation", "adjusted")
 
 
 @query(
@@ -116,58 +161,88 @@ def retrieve(spark, sf_dir):
     """Filter, search and validation, with the counts of each stage."""
     every = tables.chunks(spark, sf_dir)
     pre = every.where("token_count > 100")
-    hits = R.keyword_search(pre, asked(spark, sf_dir))
-    valid = _validated(spark, sf_dir, pre).groupBy("query_id").agg(F.count("*").alias("valid"))
+    hits = stored(R.keyword_search(pre, asked(spark, sf_dir)), "hits")
+    valid = _validated(hits, pre).groupBy("query_id").agg(F.count("*").alias("valid"))
     sizes = every.agg(F.count("*").alias("chunks"), F.count_if(F.col("token_count") > 100).alias("filtered"))
     per = hits.groupBy("query_id").agg(F.count("*").alias("hits")).join(valid, "query_id", "left")
     return per.join(F.broadcast(sizes)).select("query_id", "chunks", "filtered", "hits", "valid")
 
 
-_SUITE = "suite AS (SELECT item_id AS query_id, list_sort(list(chunk_id) FILTER (doc_id % 40 = item_id % 40 AND chunk_pos = 1)) AS expected, list_sort(list(chunk_id) FILTER (doc_id % 40 = (item_id + 1) % 40 AND chunk_pos = 1)) AS excluded FROM benchmark, chunks GROUP BY item_id)"
+_SUITE = "suite AS (SELECT item_id AS query_id, chunk_id, doc_id % 40 = item_id % 40 AS expected FROM benchmark LEFT JOIN chunks ON chunk_pos = 1 AND (doc_id % 40 = item_id % 40 OR doc_id % 40 = (item_id + 1) % 40))"
 
 
 def _suite(spark, sf_dir):
+    """The first sections of some documents are expected, of some excluded."""
     firsts = tables.chunks(spark, sf_dir).where("chunk_pos = 1").select((F.col("doc_id") % 40).alias("k"), "chunk_id")
-    by = firsts.groupBy("k").agg(F.sort_array(F.collect_list("chunk_id")).alias("ids"))
-    items = tables.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    a = items.join(by.select("k", F.col("ids").alias("expected")), F.col("query_id") % 40 == F.col("k"), "left").drop("k")
-    b = a.join(by.select("k", F.col("ids").alias("excluded")), (F.col("query_id") + 1) % 40 == F.col("k"), "left").drop("k")
-    none = F.array().cast("array<string>")
-    return b.select("query_id", F.coalesce("expected", none).alias("expected"), F.coalesce("excluded", none).alias("excluded"))
+    item = F.col("item_id")
+    asked_for = F.explode(F.array(F.struct((item % 40).alias("k"), F.lit(True).alias("expected")), F.struct(((item + 1) % 40).alias("k"), F.lit(False).alias("expected"))))
+    items = tables.table(spark, sf_dir, "benchmark").select(item.alias("query_id"), asked_for.alias("a")).select("query_id", "a.*")
+    return items.join(firsts, "k", "left").select("query_id", "chunk_id", "expected")
 
 
-_RUN = "SELECT query_id, len(coalesce(expected, [])) - len(list_intersect(coalesce(expected, []), coalesce(got, []))) AS missing, len(list_intersect(coalesce(excluded, []), coalesce(got, []))) AS wrong FROM suite LEFT JOIN (SELECT query_id, list(chunk_id) AS got FROM hits GROUP BY query_id) USING (query_id)"
+_RUN = "results AS (SELECT query_id, count(*) FILTER (chunk_id IS NOT NULL AND expected AND NOT got) AS missing, count(*) FILTER (chunk_id IS NOT NULL AND NOT expected AND got) AS wrong FROM (SELECT s.*, h.chunk_id IS NOT NULL AS got FROM suite s LEFT JOIN hits h ON s.query_id = h.query_id AND s.chunk_id = h.chunk_id) GROUP BY query_id)"
 
 
-@query("e10_run_suite", _sql(f", {_SUITE}\nSELECT query_id, CAST(missing AS INTEGER) AS missing, CAST(wrong AS INTEGER) AS wrong, missing = 0 AND wrong = 0 AS passed FROM ({_RUN})"))
+@query("e10_run_suite", _sql(f", {_SUITE}, {_RUN}\nSELECT *, missing = 0 AND wrong = 0 AS passed FROM results"))
 def run_suite(spark, sf_dir):
-    return R.suite_results(_suite(spark, sf_dir), R.keyword_search(tables.chunks(spark, sf_dir), asked(spark, sf_dir)))
+    return R.suite_results(_suite(spark, sf_dir), _hits(spark, sf_dir))
+
+
+@query("e10_suite_report", _sql(f", {_SUITE}, {_RUN}\nSELECT count(*) FILTER (missing = 0 AND wrong = 0) AS passed, count(*) FILTER (missing > 0 OR wrong > 0) AS failed, round(count(*) FILTER (missing = 0 AND wrong = 0) / count(*), 6) AS pass_rate FROM results"))
+def suite_report(spark, sf_dir):
+    return R.suite_report(run_suite(spark, sf_dir))
 
 
-@query("e11_suite_coverage", _sql("SELECT doc_id, count(*) AS chunks, count(n) AS retrieved, count(*) FILTER (n >= 3) AS often FROM chunks LEFT JOIN (SELECT chunk_id, count(DISTINCT query_id) AS n FROM hits GROUP BY chunk_id) USING (chunk_id) GROUP BY doc_id"))
+_PER = "(SELECT doc_id, c.chunk_id, n FROM chunks c LEFT JOIN (SELECT chunk_id, count(DISTINCT query_id) AS n FROM hits GROUP BY chunk_id) h ON c.chunk_id = h.chunk_id)"
+
+
+@query("e11_suite_coverage", _sql(f"SELECT doc_id, count(*) AS chunks, count(n) AS retrieved, count(*) FILTER (n >= 3) AS often, round(count(n) / count(*), 6) AS rate FROM {_PER} GROUP BY doc_id"))
 def suite_coverage(spark, sf_dir):
-    chunks = tables.chunks(spark, sf_dir)
-    per = R.keyword_search(chunks, asked(spark, sf_dir)).groupBy("chunk_id").agg(F.countDistinct("query_id").alias("n"))
-    rows = chunks.select("doc_id", "chunk_id").join(per, "chunk_id", "left")
-    return rows.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count("n").alias("retrieved"), F.count_if(F.col("n") >= 3).alias("often"))
+    return R.suite_coverage(tables.chunks(spark, sf_dir), _hits(spark, sf_dir))[0]
+
+
+@query("e11_never_retrieved", _sql(f"SELECT doc_id, chunk_id FROM {_PER} WHERE n IS NULL"))
+def never_retrieved(spark, sf_dir):
+    return R.suite_coverage(tables.chunks(spark, sf_dir), _hits(spark, sf_dir))[1]
+
+
+_COMPARED = f"""{_ASKED}, {hits_sql('chunks', 3, 's')}, {hits_sql('page_chunks', 3, 'p')}, per AS (SELECT strategy, query_id, count(*) AS hits, arg_min(chunk_id, rank) AS top, max(raw) AS top_score
+  FROM (SELECT 'sections' AS strategy, * FROM shits UNION ALL SELECT 'pages', * FROM phits) GROUP BY ALL)"""
+
 
+def _compared(spark, sf_dir):
+    made = [(name, f(spark, sf_dir)) for name, f in (("sections", tables.chunks), ("pages", lambda s, d: page_chunks(tables.outline_blocks(s, d))))]
+    hits = [R.keyword_search(rows, asked(spark, sf_dir), 3).withColumn("strategy", F.lit(name)) for name, rows in made]
+    return R.compare_strategies(hits[0].unionByName(hits[1]))
 
-@query("e12_strategy_query_compare", statement(f", {_ASKED}, b AS (SELECT block_id AS chunk_id, content FROM outline), {_hits_sql('chunks', 3, 's')}, {_hits_sql('b', 3, 'b')}\nSELECT 'sections' AS strategy, query_id, count(*) AS hits, min(chunk_id) FILTER (rank = 1) AS top FROM shits GROUP BY query_id UNION ALL SELECT 'blocks', query_id, count(*), min(chunk_id) FILTER (rank = 1) FROM bhits GROUP BY query_id", "chunks"))
+
+@query("e12_strategy_query_compare", statement(f", {_COMPARED}\nSELECT * FROM per", "chunks", "page_chunks"))
 def strategy_query_compare(spark, sf_dir):
-    a = R.keyword_search(tables.chunks(spark, sf_dir), asked(spark, sf_dir), 3).withColumn("strategy", F.lit("sections"))
-    blocks = tables.outline_blocks(spark, sf_dir).select(F.col("block_id").alias("chunk_id"), "content")
-    b = R.keyword_search(blocks, asked(spark, sf_dir), 3).withColumn("strategy", F.lit("blocks"))
-    return a.unionByName(b).groupBy("strategy", "query_id").agg(F.count("*").alias("hits"), F.min(F.when(F.col("rank") == 1, F.col("chunk_id"))).alias("top"))
+    return _compared(spark, sf_dir)[0]
+
 
+@query(
+    "e12_strategy_means",
+    statement(f", {_COMPARED}, m AS (SELECT strategy, round(sum(CAST(round(top_score * 1000000) AS BIGINT)) / count(*)) / 1000000 AS mean_top FROM per GROUP BY strategy)\nSELECT *, row_number() OVER (ORDER BY mean_top DESC, strategy) = 1 AS best FROM m", "chunks", "page_chunks"),
+)
+def strategy_means(spark, sf_dir):
+    return _compared(spark, sf_dir)[1]
 
-_PACK = f"""blocksof AS (SELECT query_id, rank, chunk_id, score, hierarchy_path, start_page, '[Source ' || rank || ']' || chr(10) || content AS block FROM hits JOIN chunks USING (chunk_id) WHERE rank <= 5),
+
+_PACK = f"""blocksof AS (SELECT query_id, rank, chunk_id, '[Source ' || rank || ']' || chr(10) || CASE WHEN hierarchy_path <> '' THEN hierarchy_path || ' | ' ELSE '' END || 'page ' || start_page || ' | (Document ' || doc_id || ')' || chr(10) || content AS block
+  FROM hits JOIN chunks USING (chunk_id) WHERE rank <= 5),
 packed AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context, CAST(max(s) AS BIGINT) AS tokens, count(*) AS sources FROM (SELECT *, sum({TOKENS.format('block')}) OVER (PARTITION BY query_id ORDER BY rank) AS s FROM blocksof) WHERE s <= 1500 GROUP BY query_id)"""
 
 
+def _found(spark, sf_dir):
+    """Hits with their chunks' contents, sections, pages and titles."""
+    title = F.concat(F.lit("Document "), "doc_id")
+    chunks = tables.chunks(spark, sf_dir).select("chunk_id", "content", F.col("hierarchy_path").alias("section"), F.col("start_page").alias("page"), title.alias("title"))
+    return stored(_hits(spark, sf_dir), "hits").join(chunks, "chunk_id")
+
+
 def _packed(spark, sf_dir):
-    chunks = tables.chunks(spark, sf_dir)
-    hits = R.keyword_search(chunks, asked(spark, sf_dir)).join(chunks.select("chunk_id", "content"), "chunk_id")
-    return R.pack_context(hits)
+    return R.pack_context(_found(spark, sf_dir))
 
 
 @query("e13_pack_context", _sql(f", {_PACK}\nSELECT query_id, context, tokens, sources FROM packed"))
@@ -181,34 +256,59 @@ def build_prompt(spark, sf_dir):
     return rows.select("query_id", R.build_prompt(F.col("context"), F.col("query")).alias("prompt"))
 
 
-@query("e15_citations", _sql("SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, coalesce(nullif(hierarchy_path, ''), 'Unknown Document') AS title, start_page AS page, score FROM hits JOIN chunks USING (chunk_id)"))
+@query(
+    "e15_citations",
+    _sql("SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, CASE WHEN doc_id % 10 = 0 THEN 'Unknown Document' ELSE 'Document ' || doc_id END AS title, hierarchy_path AS section, start_page AS page, score FROM hits JOIN chunks USING (chunk_id)"),
+)
 def citations(spark, sf_dir):
-    chunks = tables.chunks(spark, sf_dir)
-    hits = R.keyword_search(chunks, asked(spark, sf_dir)).join(chunks, "chunk_id")
-    title = F.coalesce(F.nullif("hierarchy_path", F.lit("")), F.lit("Unknown Document"))
-    return hits.select("query_id", "rank", "chunk_id", title.alias("title"), F.col("start_page").alias("page"), "score")
+    """Some documents have no title."""
+    title = F.when(F.col("doc_id") % 10 > 0, F.concat(F.lit("Document "), "doc_id"))
+    chunks = tables.chunks(spark, sf_dir).select("chunk_id", title.alias("title"), F.col("hierarchy_path").alias("section"), F.col("start_page").alias("page"))
+    rows = _hits(spark, sf_dir).join(chunks, "chunk_id", "left")
+    return rows.select(
+        "query_id", "rank", F.coalesce("chunk_id", F.lit("unknown")).alias("chunk_id"), F.coalesce("title", F.lit("Unknown Document")).alias("title"), F.coalesce("section", F.lit("")).alias("section"), "page",
+        F.coalesce("score", F.lit(0.0)).alias("score"),
+    )
 
 
 @query("e16_citation_snippets", _sql("SELECT query_id, CAST(rank AS INTEGER) AS rank, CASE WHEN rank > 5 THEN '' WHEN length(t) > 200 THEN substr(t, 1, 200) || '...' ELSE t END AS snippet FROM (SELECT *, trim(content) AS t FROM hits JOIN (SELECT chunk_id, content FROM chunks) USING (chunk_id))"))
 def citation_snippets(spark, sf_dir):
-    chunks = tables.chunks(spark, sf_dir).select("chunk_id", F.trim("content").alias("t"))
-    hits = R.keyword_search(chunks.withColumnRenamed("t", "content"), asked(spark, sf_dir)).join(chunks, "chunk_id")
+    hits = _found(spark, sf_dir).withColumn("t", F.trim("content"))
     cut = F.when(F.col("rank") > 5, "").when(F.length("t") > 200, F.concat(F.substring("t", 1, 200), F.lit("..."))).otherwise(F.col("t"))
     return hits.select("query_id", "rank", cut.alias("snippet"))
 
 
-@query("e17_batch_rag")
+@query(
+    "e17_batch_rag",
+    _sql(
+        f", {_PACK}\nSELECT query_id, replace(replace('{R.PROMPT.replace(chr(10), chr(1))}', '{{context}}', context), '{{query}}', query) AS prompt, sources, regexp_extract(content, '^([^.!?]*[.!?]?)', 1) AS answer FROM packed JOIN asked USING (query_id) JOIN hits USING (query_id) JOIN (SELECT chunk_id, content FROM chunks) USING (chunk_id) WHERE rank = 1"
+    ).replace(chr(1), "' || chr(10) || '"),
+)
 def batch_rag(spark, sf_dir):
-    """Answers are the first source's first sentence unless a model is given."""
-    rows = _packed(spark, sf_dir).join(asked(spark, sf_dir), "query_id")
-    first = F.regexp_extract("context", r"\]\n([^.!?]*[.!?]?)", 1)
-    return rows.select("query_id", R.build_prompt(F.col("context"), F.col("query")).alias("prompt"), first.alias("answer"))
+    """Answers by the default in place of a model."""
+    hits = _found(spark, sf_dir)
+    return R.batch_answers(R.pack_context(hits), asked(spark, sf_dir), hits.where("rank = 1"))
+
+
+_SLOTS = "slotted AS (SELECT lang AS slot, chunk_id, content FROM chunks JOIN documents USING (doc_id))"
+_BY_SLOT = f"""qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TERMS.format('query')}) AS term FROM asked) GROUP BY ALL),
+ct AS (SELECT slot, chunk_id, len, term, count(*) AS tf FROM (SELECT slot, chunk_id, len({_TERMS.format('content')}) AS len, unnest({_TERMS.format('content')}) AS term FROM slotted) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+dfs AS (SELECT slot, term, count(*) AS df FROM ct GROUP BY ALL), ns AS (SELECT slot, count(*) AS n FROM slotted GROUP BY slot),
+raws AS (SELECT slot, query_id, chunk_id, sum(times * tf / len * (ln((n + 1) / (df * times + 1)) + 1)) AS raw FROM ct JOIN dfs USING (slot, term) JOIN qt USING (term) JOIN ns USING (slot) GROUP BY ALL)"""
 
 
-@query("e18_fan_out_queries", "SELECT item_id AS query_id, lang AS slot FROM benchmark, (SELECT DISTINCT lang FROM documents)")
+@query(
+    "e18_fan_out_queries",
+    statement(
+        f", {_ASKED}, {_SLOTS}, {_BY_SLOT}\nSELECT slot, query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(raw / max(raw) OVER (PARTITION BY slot, query_id), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY slot, query_id ORDER BY round(raw, 9) DESC, chunk_id) AS rank FROM raws WHERE raw > 0) WHERE rank <= 5",
+        "chunks",
+    ),
+)
 def fan_out_queries(spark, sf_dir):
-    slots = tables.table(spark, sf_dir, "documents").select(F.col("lang").alias("slot")).distinct()
-    return asked(spark, sf_dir).select("query_id").join(R.small(slots, 1000), F.lit(True))
+    """Every query against the corpus of each language."""
+    slots = tables.table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("slot"))
+    chunks = tables.chunks(spark, sf_dir).select("doc_id", "chunk_id", "content").join(slots, "doc_id")
+    return R.keyword_search(chunks, asked(spark, sf_dir), 5, "slot").drop("raw")
 
 
 @query("e19_search_documents", "SELECT doc_id, title FROM (SELECT doc_id, string_split(text, chr(10))[1] AS title FROM documents) WHERE contains(lower(title), 'the') ORDER BY doc_id LIMIT 10")
@@ -217,15 +317,30 @@ def search_documents(spark, sf_dir):
     return rows.where(F.lower("title").contains("the")).orderBy("doc_id").limit(10)
 
 
-@query("e20_conversation_rollup", "SELECT conv_id, CASE WHEN length(t) > 80 THEN substr(t, 1, 80) || '...' ELSE t END AS title, turns FROM (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS t, count(*) AS turns FROM conversations GROUP BY conv_id)")
+@query(
+    "e20_conversation_rollup",
+    f"""SELECT conv_id, CASE WHEN t IS NULL OR t = '' THEN 'New conversation' WHEN length(t) > 80 THEN substr(t, 1, 77) || '...' ELSE t END AS title, turns, n FROM (SELECT conv_id, {STRIP.format("arg_min(text, turn) FILTER (role = 'user')")} AS t,
+  string_agg(turn || ':' || role, ',' ORDER BY turn, role) AS turns, count(*) AS n FROM conversations GROUP BY conv_id)""",
+)
 def conversation_rollup(spark, sf_dir):
+    """Titles from first questions, and the turns in order; the newest first."""
     rows = tables.table(spark, sf_dir, "conversations")
     user = F.when(F.col("role") == "user", F.struct("turn", "text"))
-    per = rows.groupBy("conv_id").agg(F.min(user)["text"].alias("t"), F.count("*").alias("turns"))
-    return per.select("conv_id", F.when(F.length("t") > 80, F.concat(F.substring("t", 1, 80), F.lit("..."))).otherwise(F.col("t")).alias("title"), "turns")
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    per = rows.groupBy("conv_id").agg(strip(F.min(user)["text"]).alias("t"), F.array_join(F.transform(turns, lambda x: F.concat_ws(":", x["turn"], x["role"])), ",").alias("turns"), F.count("*").alias("n"))
+    title = F.when(F.coalesce("t", F.lit("")) == "", "New conversation").when(F.length("t") > 80, F.concat(F.substring("t", 1, 77), F.lit("..."))).otherwise(F.col("t"))
+    return per.select("conv_id", title.alias("title"), "turns", "n").orderBy(F.desc("conv_id"))
 
 
-@query("e21_document_catalog", statement("SELECT doc_id, source, count(*) AS chunks, max(end_page) AS pages FROM chunks JOIN documents USING (doc_id) GROUP BY doc_id, source", "chunks"))
+@query(
+    "e21_document_catalog",
+    statement(
+        f"SELECT doc_id, source, any_value(title) AS title, 'text' AS type, count(*) AS chunks, max(end_page) AS pages FROM chunks JOIN (SELECT doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: {STRIP.format('x')}), lambda x: x <> '' AND length(x) < 100)[1] AS title FROM documents) USING (doc_id) GROUP BY doc_id, source",
+        "chunks",
+    ),
+)
 def document_catalog(spark, sf_dir):
     per = tables.chunks(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max("end_page").alias("pages"))
-    return per.join(tables.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").select("doc_id", "source", "chunks", "pages")
+    lines = F.filter(F.transform(F.split("text", "\n"), strip), lambda x: (x != "") & (F.length(x) < 100))
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", "source", F.get(lines, 0).alias("title"), F.lit("text").alias("type"))
+    return per.join(docs, "doc_id").select("doc_id", "source", "title", "type", "chunks", "pages")

@@ -46,7 +46,8 @@ step(
     f"""SELECT *, {TOKENS.format('content')} AS tokens FROM (SELECT doc_id, pos, block_id, page,
   CASE WHEN pos % 5 = 0 THEN 'heading' WHEN pos % 11 = 7 THEN 'table' WHEN pos % 13 = 9 THEN 'code' ELSE 'text' END AS type,
   CASE WHEN pos % 5 = 0 THEN CAST(1 + (pos // 5 + doc_id) % 3 AS INTEGER) END AS heading_level,
-  CASE WHEN pos % 5 = 0 THEN {STRIP.format('substr(content, 1, 40)')} ELSE content END AS content FROM blocks)""",
+  CASE WHEN pos % 5 = 0 THEN {STRIP.format('substr(content, 1, 40)')} WHEN pos % 11 = 7 THEN CASE WHEN pos % 2 = 0 THEN content || chr(10) || '|---|' ELSE '| a |' || chr(10) || '|---|' || chr(10) || content END
+    ELSE content END AS content FROM blocks)""",
     "blocks",
 )
 step(
@@ -75,21 +76,33 @@ step(
     "heads",
 )
 step(
-    "sections",
+    "sections0",
     f"""SELECT doc_id, section_no, max(CASE WHEN type = 'heading' THEN content END) AS heading, max(CASE WHEN type = 'heading' THEN heading_level END) AS level,
   max(CASE WHEN type = 'heading' THEN array_to_string(path, ' > ') END) AS path, max(CASE WHEN type = 'heading' THEN CAST(len(path) AS BIGINT) END) AS depth,
   coalesce(string_agg(CASE WHEN type <> 'heading' THEN content END, chr(10) || chr(10) ORDER BY pos), '') AS content, CAST(sum({TOKENS.format('content')}) AS BIGINT) AS tokens,
-  count(CASE WHEN type <> 'heading' THEN 1 END) AS n_content, min(page) AS start_page, max(page) AS end_page FROM pathed GROUP BY doc_id, section_no""",
+  count(CASE WHEN type <> 'heading' THEN 1 END) AS n_content, min(page) AS start_page, max(page) AS end_page,
+  coalesce(string_agg(CASE WHEN type <> 'heading' THEN block_id END, ',' ORDER BY pos), '') AS block_ids, max(CASE WHEN type = 'heading' THEN pos END) AS hpos,
+  max(CASE WHEN type = 'heading' THEN CASE heading_level WHEN 2 THEN p1 WHEN 3 THEN greatest(p1, p2) END END) AS ppos FROM pathed GROUP BY doc_id, section_no""",
     "pathed",
 )
+step(
+    "sections",
+    """SELECT s.*, p.section_no AS parent_no, coalesce(c.n, 0) AS child_count FROM sections0 s LEFT JOIN sections0 p ON s.doc_id = p.doc_id AND s.ppos = p.hpos
+  LEFT JOIN (SELECT doc_id, ppos, count(*) AS n FROM sections0 WHERE ppos IS NOT NULL GROUP BY ALL) c ON s.doc_id = c.doc_id AND s.hpos = c.ppos""",
+    "sections0",
+)
+_BROKEN = "type = 'table' AND len(string_split(content, chr(10))) >= 2 AND (NOT contains(string_split(content, chr(10))[1], '|') OR NOT contains(string_split(content, chr(10))[2], '---'))"
+_CHUNK = f"""string_agg(content, chr(10) || chr(10) ORDER BY pos) AS content, count(*) AS block_count, string_agg(block_id, ',' ORDER BY pos) AS block_ids, min(page) AS start_page, max(page) AS end_page,
+  arg_max(type, pos) AS last_type, bool_or(type = 'heading') AS has_heading, bool_or(type IN ('text', 'list', 'table')) AS has_content, bool_or({_BROKEN}) AS has_broken_table"""
 step(
     "chunks0",
-    """SELECT doc_id, section_no AS chunk_pos, doc_id || '-' || section_no AS chunk_id, string_agg(content, chr(10) || chr(10) ORDER BY pos) AS content, count(*) AS block_count,
-  coalesce(max(CASE WHEN type = 'heading' THEN array_to_string(path, ' > ') END), '') AS hierarchy_path, min(page) AS start_page, max(page) AS end_page,
-  arg_max(type, pos) AS last_type, bool_or(type = 'heading') AS has_heading, bool_or(type IN ('text', 'list', 'table')) AS has_content FROM pathed GROUP BY doc_id, section_no""",
+    f"""SELECT doc_id, section_no AS chunk_pos, doc_id || '-' || section_no AS chunk_id, coalesce(max(CASE WHEN type = 'heading' THEN array_to_string(path, ' > ') END), '') AS hierarchy_path,
+  {_CHUNK} FROM pathed GROUP BY doc_id, section_no""",
     "pathed",
 )
 step("chunks", f"SELECT *, {TOKENS.format('content')} AS token_count FROM chunks0", "chunks0")
+step("pages0", f"SELECT doc_id, CAST(page - 1 AS BIGINT) AS chunk_pos, doc_id || '-p' || page AS chunk_id, '' AS hierarchy_path, {_CHUNK} FROM outline GROUP BY doc_id, page", "outline")
+step("page_chunks", f"SELECT *, {TOKENS.format('content')} AS token_count FROM pages0", "pages0")
 step(
     "examples",
     """SELECT u.conv_id || ':' || u.turn AS example_id, u.conv_id, u.turn, u.text AS question, a.text AS answer, u.conv_id % 7 AS competency, u.conv_id % 7 % 2 AS discipline,
@@ -99,7 +112,12 @@ step(
 step(
     "competencies",
     """SELECT DISTINCT conv_id % 7 AS competency, conv_id % 7 % 2 AS discipline, 'competency ' || conv_id % 7 AS name, 10 + 5 * (conv_id % 7) AS target,
-  CASE WHEN conv_id % 7 >= 3 THEN conv_id % 7 // 3 END AS parent FROM conversations""",
+  CASE WHEN conv_id % 7 >= 3 THEN conv_id % 7 // 3 END AS parent, coalesce(description, '') AS description FROM conversations LEFT JOIN (SELECT doc_id, substr(text, 1, 200) AS description FROM documents WHERE doc_id < 7) ON doc_id = conv_id % 7""",
+)
+step(
+    "memberships",
+    """SELECT contributor, discipline, ['lead', 'member', 'admin'][CAST(contributor % 3 + 1 AS INTEGER)] AS role, CASE WHEN contributor % 2 = 0 THEN [] ELSE [1, 3, 5] END AS areas FROM
+  (SELECT DISTINCT conv_id % 5 AS contributor, conv_id % 7 % 2 AS discipline FROM conversations UNION ALL SELECT DISTINCT 90, conv_id % 7 % 2 FROM conversations)""",
 )
 step(
     "evals",

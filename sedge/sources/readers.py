@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import small, stored
+
 #: Formats by lower-case extension.
 FORMATS = {"pdf": "pdf", "docx": "docx", "md": "markdown", "markdown": "markdown", "mdown": "markdown", "txt": "text", "text": "text"}
 MAX_BYTES = 100 * 1024 * 1024
 
 
 def scan_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Files below a folder with their format, and why one is turned down."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    """Files below a folder with their format, and why one is turned down.
+
+    ``content`` is read only where it is used: listing does not load it, and the
+    first bytes are looked at in PDF files of ``max_bytes`` or less only.  Empty files
+    have no row, as Spark passes them over."""
+    read = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = read().load(path)
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     kind = F.create_map(*[F.lit(x) for pair in FORMATS.items() for x in pair])[extension]
     magic = F.substring("content", 1, 5) == F.lit(b"%PDF-")
-    reason = (
-        F.when(kind.isNull(), "unknown extension").when(F.col("length") > max_bytes, "too large").when((kind == "pdf") & ~magic, "not a PDF")
-    )
-    return files.select("path", "length", extension.alias("extension"), kind.alias("format"), reason.alias("rejected"), "content")
+    named = read().option("pathGlobFilter", "*.[pP][dD][fF]").load(path).where(F.col("length") <= max_bytes)
+    wrong = small(named.where(~magic).select("path", F.lit(True).alias("__wrong")))
+    reason = F.when(kind.isNull(), "unknown extension").when(F.col("length") > max_bytes, "too large").when(F.col("__wrong"), "not a PDF")
+    return files.join(wrong, "path", "left").select("path", "length", extension.alias("extension"), kind.alias("format"), reason.alias("rejected"), "content")
 
 
 def read_texts(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -61,6 +68,31 @@ def stream_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/{{{name}}}")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of text files with their numbers, from 1.
+
+    Lines are written once with their places in their block; a block's first number
+    is what the blocks before it hold, a small table."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    rows = stored(spark.read.text(path).select(place.alias("p"), F.monotonically_increasing_id().alias("id"), "value").select("p.*", "id", "value"), "lines")
+    blocks = rows.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = small(blocks.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before")))
+    return rows.join(starts, ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "value")
+
+
+def validate_jsonl(lines: DataFrame, required: list[str], limit: int = 100_000) -> DataFrame:
+    """(file, line, reason): lines that are no JSON object or lack a field, and files
+    of more than ``limit`` records (without a line); blank lines are passed over."""
+    held = F.from_json("value", "map<string,string>")
+    fields = lines.where(F.trim("value") != "").withColumn("o", held)
+    missing = F.array_compact(F.array(*[F.when(F.coalesce(F.trim(F.col("o")[c]), F.lit("")) == "", F.lit(c)) for c in required]))
+    reason = F.when(F.col("o").isNull(), "not an object").when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", ")))
+    bad = fields.select("file", "line", reason.alias("reason")).where("reason IS NOT NULL")
+    large = fields.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    return bad.union(large.select("file", F.lit(None).cast("bigint"), F.lit("too many records")))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows whose required fields are not blank, and the rejected lines."""
     rows = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)

@@ -5,9 +5,17 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used where ``spark.checkpoint.dir`` is unset and all runs on one machine.
 ONE_MACHINE = "file:///tmp/sedge-shared"
+#: Rows that are broadcast at most (short ones: some 50 bytes).
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has ``limit`` rows or fewer."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -40,12 +40,14 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outline_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks with an outline put on them: every fifth is a heading."""
+    """Blocks with an outline put on them: every fifth is a heading; tables get a
+    rule, half of them without a header."""
     pos = F.col("pos")
     kind = F.when(pos % 5 == 0, "heading").when(pos % 11 == 7, "table").when(pos % 13 == 9, "code").otherwise("text")
     level = F.when(pos % 5 == 0, (1 + (F.floor(pos / 5) + F.col("doc_id")) % 3).cast("int"))
     rows = blocks(spark, sf_dir).withColumns({"type": kind, "heading_level": level})
-    content = F.when(pos % 5 == 0, strip(F.substring("content", 1, 40))).otherwise(F.col("content"))
+    table = F.when(pos % 2 == 0, F.concat("content", F.lit("\n|---|"))).otherwise(F.concat(F.lit("| a |\n|---|\n"), "content"))
+    content = F.when(pos % 5 == 0, strip(F.substring("content", 1, 40))).when(F.col("type") == "table", table).otherwise(F.col("content"))
     return rows.withColumn("content", content).withColumn("tokens", tokens(F.col("content")))
 
 
@@ -94,15 +96,29 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def competencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The competencies that the examples name, with targets and parents."""
+    """The competencies that the examples name, with targets and parents; each is
+    described by the beginning of a document."""
     ids = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 7).alias("competency")).distinct()
+    said = table(spark, sf_dir, "documents").where("doc_id < 7").select(F.col("doc_id").alias("competency"), F.substring("text", 1, 200).alias("description"))
     c = F.col("competency")
-    return ids.select(
-        "competency", (c % 2).alias("discipline"), F.concat(F.lit("competency "), c).alias("name"),
+    return ids.join(said, "competency", "left").select(
+        "competency", (c % 2).alias("discipline"), F.concat(F.lit("competency "), c).alias("name"), F.coalesce("description", F.lit("")).alias("description"),
         (10 + 5 * c).alias("target"), F.when(c >= 3, F.floor(c / 3).cast("bigint")).alias("parent"),
     )
 
 
+def memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who contributes to a discipline, with roles and areas (none: all); one member
+    of each discipline is idle."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 5).alias("contributor"), (F.col("conv_id") % 7 % 2).alias("discipline")).distinct()
+    idle = rows.select(F.lit(90).cast("bigint").alias("contributor"), "discipline").distinct()
+    c, none = F.col("contributor"), F.array().cast("array<bigint>")
+    return rows.union(idle).select(
+        "contributor", "discipline", F.element_at(F.array(*map(F.lit, ("lead", "member", "admin"))), (c % 3 + 1).cast("int")).alias("role"),
+        F.when(c % 2 == 0, none).otherwise(F.array(*map(F.lit, (1, 3, 5))).cast("array<bigint>")).alias("areas"),
+    )
+
+
 def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs of answers, cut after a share of their words by run."""
     rows = examples(spark, sf_dir).select("example_id", "conv_id", "competency", "discipline", F.col("answer").alias("expected"))

@@ -7,7 +7,11 @@ import pytest
 from sedge.plans import load
 
 CATALOG = load()
-SLOW = {"d11_question_test", "d12_question_report", "d20_fix_report", "i9_predict_type", "i10_feature_importance", "i11_cross_validate", "i12_unknown_queue", "e3_embed"}
+#: Queries without SQL: tests of their own hold them against brute force or invariants.
+HELD_ELSEWHERE = {
+    "c18_chunk_fixed", "c19_chunk_hierarchy", "c21_chunk_recursive", "c22_add_overlap", "c23_merge_small", "e3_embed", "i7_synthetic_corpus", "i8_train_classifier", "i9_predict_type",
+    "i10_feature_importance", "i11_cross_validate", "i11_fold_report", "i12_unknown_queue",
+}
 
 
 @pytest.mark.parametrize("name", sorted(CATALOG.SQL))
@@ -15,9 +19,8 @@ def test_equals_sql(name, spark, sf_dir, duck, same):
     same(CATALOG.QUERIES[name](spark, sf_dir), duck, CATALOG.SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(CATALOG.QUERIES) - set(CATALOG.SQL) - SLOW))
-def test_runs(name, spark, sf_dir):
-    assert CATALOG.QUERIES[name](spark, sf_dir).count() >= 0
+def test_every_query_is_held_against_something():
+    assert set(CATALOG.QUERIES) - set(CATALOG.SQL) == HELD_ELSEWHERE
 
 
 def test_entry_points(spark):
