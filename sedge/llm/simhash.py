@@ -116,18 +116,19 @@ def _signed(x: int) -> int:
 
 
 def groups(known: DataFrame) -> DataFrame:
-    """(fp, whole) of distinct fingerprints: the smallest fingerprint reachable."""
+    """``known`` distinct fingerprints (fp, ...) with ``whole``, the smallest
+    fingerprint reachable."""
     near = components(near_links(known.select("fp"))).withColumnsRenamed({"node": "fp", "component": "near"})
-    nodes = stored(known.select("fp").join(near, "fp", "left").select("fp", F.coalesce("near", "fp").alias("grp")), "groups")
-    joined = components(far_links(nodes)).withColumnsRenamed({"node": "grp", "component": "whole"})
-    return nodes.join(joined, "grp", "left").select("fp", F.coalesce("whole", "grp").alias("whole"))
+    nodes = stored(known.join(near, "fp", "left").withColumn("grp", F.coalesce("near", "fp")).drop("near"), "groups")
+    joined = components(far_links(nodes.select("fp", "grp"))).withColumnsRenamed({"node": "grp", "component": "whole"})
+    return nodes.join(joined, "grp", "left").withColumn("whole", F.coalesce("whole", "grp")).drop("grp")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) for each input row."""
     rows = stored(fingerprints(docs, id_column, text_column), "fingerprints")
     known = stored(rows.groupBy("fp").agg(F.min(F.col(f"`{id_column}`")).alias("first_id")), "distinct")
-    labels = known.join(groups(known), "fp")
+    labels = groups(known)
     first = labels.groupBy("whole").agg(F.min("first_id").alias("component_id"))
     by_fp = labels.join(first, "whole").select("fp", "component_id")
     out = rows.join(by_fp, "fp")
@@ -155,7 +156,7 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     rows = stored(map_rows(searched, ["key", "id", "text"], f"key string, id {kind}, fp bigint", _start_keyed), "fingerprints")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best")
     known = stored(rows.groupBy("fp").agg(best), "distinct")
-    winners = known.join(groups(known), "fp").groupBy("whole").agg(F.min("best")["key"].alias("key"))
+    winners = groups(known).groupBy("whole").agg(F.min("best")["key"].alias("key"))
     repeats = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     winners = stored(winners.select("key").join(small(stored(repeats, "repeats")), "key", "left"), "winners")
     if not winners.where("n > 1").limit(1).count():
