@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_main, media, mixing, pieces, pii, quality, secret_scan, simhash, token_counts, warc
+from . import bpe, html_main, media, mixing, phrases, pieces, pii, quality, secret_scan, simhash, token_counts, warc
 from .common import stored, text_of
 
 
@@ -70,9 +70,13 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(_table(spark, sf_dir, "documents"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.oracle_sql(), "op6_quality_rules": quality.oracle_sql()}
+    return {"op1_mixing": mixing.oracle_sql(), "op6_quality_rules": quality.oracle_sql(), "op13_phrases": phrases.oracle_sql()}
