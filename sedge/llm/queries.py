@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_main, media, mixing, phrases, pieces, pii, quality, secret_scan, simhash, token_counts, warc
+from . import bpe, html_main, media, mixing, negatives, phrases, pieces, pii, quality, secret_scan, simhash, token_counts, warc
 from .common import stored, text_of
 
 
@@ -66,6 +66,13 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth row as anchor; every seventh row has a label that is off by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.whole_rows(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", moved)
+    return negatives.mine(rows, F.col("id") % 100 == 0)
+
+
 def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(_table(spark, sf_dir, "documents"))
 
@@ -79,4 +86,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.oracle_sql(), "op6_quality_rules": quality.oracle_sql(), "op13_phrases": phrases.oracle_sql()}
+    return {"op1_mixing": mixing.oracle_sql(), "op6_quality_rules": quality.oracle_sql(), "op11_hard_negatives": negatives.oracle_sql(), "op13_phrases": phrases.oracle_sql()}
