@@ -11,7 +11,8 @@ none.  Structure alone drops the chrome; what the host repeats decides within
 content:
 
 * the content streams of a host's distinct pages are dealt by a digest of the
-  page to groups of bounded size and concatenated; a suffix array of the group
+  page to groups of bounded size, of ``GROUP_PAGES`` pages on average at least, and
+  concatenated; a suffix array of the group
   puts suffixes that begin alike next to each other.  Where neighbours share
   ``WINDOW`` tokens or more they are one interval, a substring that is repeated
   on so many distinct pages.  Longer repeats are covered by the intervals of
@@ -22,8 +23,9 @@ content:
 * a candidate is boilerplate if it stands in the content of ``SHARE`` of the
   host's distinct pages, or of ``CHROME_SHARE`` if it stands in the chrome of as
   many, and on ``MIN_PAGES`` in each case;
-* tokens covered by boilerplate go, other runs stay.  A main text of which more
-  than half is covered is a copy of other articles and stays whole.
+* tokens covered by boilerplate go, other runs stay; a sentence that ends with its
+  stop goes whole or not at all.  A main text of which more than half would go is a
+  copy of other articles and stays whole.
 
 Pages are parsed once.  Copies of a page (equal html) count as one page.
 Substrings of different groups are matched by 64-bit hashes.
@@ -38,6 +40,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 from html import unescape
 
 import numpy as np
@@ -55,8 +59,9 @@ SHARE, CHROME_SHARE, MIN_PAGES = 0.5, 0.1, 3
 #: Substrings of all hosts that are broadcast at most (8 bytes each); more are
 #: joined by shuffle.
 SENT = 1_000_000
-#: Characters of html in a group, about.
-GROUP_CHARS = 2_000_000
+#: Characters of content in a group, about; and pages in a group of a host that is
+#: cut, on average at least: with so many, no share of a group is a single page.
+GROUP_CHARS, GROUP_PAGES = 2_000_000, 40
 
 TAG = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?:.*?\]\]>|.*\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|math|object)\b[^>]*+>(?:.*?</\1\s*>|.*\Z)"
@@ -104,6 +109,26 @@ def chrome_name(word: str) -> bool:
     return not parts.isdisjoint(CHROME_NAMES) and parts <= CHROME_NAMES | LAYOUT_NAMES
 
 
+#: What hides the rest of a page where no tag can end any more.
+HIDDEN = re.compile(r"<!--|<!\[CDATA\[", re.I)
+
+
+def tags(html: str) -> Iterator[re.Match]:
+    """Tags, comments and hidden elements in order.  Behind the last ``>`` nothing is
+    a tag, so it is not searched: what is tried in front of it is found."""
+    end = html.rfind(">") + 1
+    for m in TAG.finditer(html, 0, end):
+        text = m[0]
+        if m.end() == end < len(html) and (
+            text.startswith("<!--") and not (text.endswith("-->") and len(text) > 6)
+            or text[:9].upper() == "<![CDATA[" and not text.endswith("]]>")
+            or m[1] and not re.search(rf"(?i)</{m[1]}\s*>\Z", text)
+        ):
+            # It is not closed: the whole page behind it is hidden.
+            m = TAG.match(html, m.start())
+        yield m
+
+
 def blocks(html: str) -> list[tuple[str, str]]:
     """(region, text) of each block in page order; regions are main, chrome,
     title and open."""
@@ -120,8 +145,8 @@ def blocks(html: str) -> list[tuple[str, str]]:
                 out.append(("title" if stack and stack[-1][0] == "title" else region, text))
             parts.clear()
 
-    at, inline = 0, False
-    for m in TAG.finditer(html):
+    at, inline, open_ = 0, False, Counter()
+    for m in tags(html):
         if m.start() > at:
             parts.append(html[at : m.start()])
         at = m.end()
@@ -146,11 +171,13 @@ def blocks(html: str) -> list[tuple[str, str]]:
                     elif region == "open" and (name in MAIN_TAGS or 'role="main"' in m[4]):
                         region = "main"
                     stack.append((name, region))
-            elif any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
-                    pass
+                    open_[name] += 1
+            elif open_[name]:
+                while (gone := stack.pop()[0]) != name:
+                    open_[gone] -= 1
+                open_[name] -= 1
     if at < len(html):
-        parts.append(html[at:])
+        parts.append(HIDDEN.split(html[at:], maxsplit=1)[0])
     close()
     return out
 
@@ -236,7 +263,7 @@ def _parsed():
         out = []
         for i, url, host, digest, html in zip(ids, urls, hosts, digests, htmls):
             is_main, content, chrome = content_of(html)
-            out.append((i, url, host, digest, len(html or ""), is_main, content, " ".join(chrome)))
+            out.append((i, url, host, digest, sum(map(len, content)), is_main, content, " ".join(chrome)))
         return out
 
     return step
@@ -303,9 +330,22 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["host", "window", "digest", "content", "chrome"])
 
 
+#: The last word of a sentence.
+STOP = re.compile(r"[.!?\u2026\u3002]+[\"'\u201d\u2019\u00bb)\]]*\Z")
+
+
+def whole_sentences(block: list[str], gone: np.ndarray) -> np.ndarray:
+    """``gone``, but of a sentence with its end only if all of it is; what no end
+    closes is taken by words."""
+    ends = np.array([STOP.search(w) is not None for w in block], bool)
+    sentence = np.concatenate([[0], np.cumsum(ends)[:-1]])
+    kept = np.bincount(sentence, ~gone)
+    return np.where(sentence < ends.sum(), kept[sentence] == 0, gone)
+
+
 def left_over(content: list[str], sought: np.ndarray, is_main: bool) -> tuple[list[str], int]:
     """The blocks of a content less what boilerplate covers, and the tokens that
-    were covered."""
+    were covered, whole sentences only."""
     words = [t.split() for t in content]
     stream = [w for block in words for w in block]
     _, _, starts, hashed = _hashes([stream])
@@ -316,6 +356,11 @@ def left_over(content: list[str], sought: np.ndarray, is_main: bool) -> tuple[li
     np.add.at(edge, at, 1)
     np.add.at(edge, at + WINDOW, -1)
     gone = np.cumsum(edge)[:-1] > 0
+    k = 0
+    for block in words:
+        if block:
+            gone[k : k + len(block)] = whole_sentences(block, gone[k : k + len(block)])
+        k += len(block)
     covered = int(gone.sum())
     if is_main and covered * 2 > len(stream):
         return content, covered
@@ -346,7 +391,10 @@ def _texts():
 
 
 def _joined(pages: DataFrame, windows: DataFrame, how: str = "inner") -> DataFrame:
-    """``pages`` with their host's ``windows``, broadcast if they are few in all."""
+    """``pages`` with their host's ``windows``, broadcast if they are few in all.
+
+    A host has few: a candidate is on a share of a group's pages, so a group has no
+    more of them than some pages' tokens."""
     n = windows.agg(F.sum(F.size("windows"))).first()[0] or 0
     return pages.join(F.broadcast(windows) if n <= SENT else windows, "host", how)
 
@@ -357,7 +405,8 @@ def boilerplate(pages: DataFrame) -> DataFrame:
     distinct = pages.groupBy("host", "digest").agg(F.max("chars").alias("chars"))
     hosts = stored(distinct.groupBy("host").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")), "hosts")
     # Hosts of more than one group are few: so many groups hold so many characters.
-    large = small(hosts.where(F.col("chars") > GROUP_CHARS).select("host", F.ceil(F.col("chars") / GROUP_CHARS).alias("parts")))
+    parts = F.least(F.ceil(F.col("chars") / GROUP_CHARS), F.floor(F.col("n") / GROUP_PAGES))
+    large = small(hosts.select("host", parts.alias("parts")).where("parts > 1"))
     dealt = pages.join(large, "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
     dealt = dealt.select("host", F.pmod(F.xxhash64("digest"), F.col("parts")).alias("bucket"), "parts", "digest", "content")
     streams = dealt.mapInArrow(_streams, "host string, bucket bigint, parts bigint, digest binary, text binary")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import re
 from collections import Counter, defaultdict
 from hashlib import md5
@@ -252,6 +253,7 @@ def test_suffix_array_decides_within_articles(spark, monkeypatch):
     """What a host repeats goes from articles too; passages that two articles
     share, copies of a page and copied articles stay."""
     monkeypatch.setattr(html_main, "GROUP_CHARS", 1_500)
+    monkeypatch.setattr(html_main, "GROUP_PAGES", 1)
     notice = "please read our house rules before you write to the editors of this paper"
     quote = "to be or not to be that is the question here"
     rows = []
@@ -313,6 +315,7 @@ def test_repeats_equal_brute_force():
 def test_boilerplate_equals_brute_force(spark, monkeypatch):
     """Which substrings go, against counts of all windows of each host's pages."""
     monkeypatch.setattr(html_main, "GROUP_CHARS", 900)
+    monkeypatch.setattr(html_main, "GROUP_PAGES", 1)
     monkeypatch.setattr(html_main, "SENT", 0)
     r = random.Random(13)
     lines = [" ".join(f"l{k}t{j}" for j in range(9)) for k in range(8)]
@@ -352,6 +355,59 @@ def test_names_of_chrome_inside_articles(spark):
     assert html_main.main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "html", ["<a " * 300_000, "<p a='" * 170_000, "<b>x</b>" + "<p a='" * 170_000 + "<!-- y", "<div>" * 100_000 + "</section>" * 50_000, "<p '\"" * 200_000 + ">", "<!-- a " * 100_000, "<script>" * 100_000, "&amp" * 200_000]
+)
+def test_broken_pages_are_read_in_linear_time(html):
+    began = time.time()
+    html_main.blocks(html)
+    assert time.time() - began < 5
+
+
+def test_tags_behind_the_last_end():
+    text = lambda html: [t for _, t in html_main.blocks(html)]
+    assert text("<p>a</p>b <i c") == ["a", "b <i c"]
+    assert text("<p>a</p>b <!-- c <i d") == ["a", "b"] and text("<p>a</p><!-- c > d") == ["a"]
+    assert text("x<!--> a <i ") == ["x"] and text("x<!-- a --> b") == ["x b"]
+    assert text("x<script> a > b") == ["x"] and text("x<script> a </script> b <") == ["x b <"]
+    assert text("x<div><p>y</section></div>z") == ["x", "y", "z"]
+
+
+def test_long_pages_without_repeats_have_no_candidates(spark, monkeypatch):
+    monkeypatch.setattr(html_main, "GROUP_CHARS", 20_000)
+    r = random.Random(21)
+    rows = [(k, f"http://h/{k}", "<article><p>" + " ".join(f"w{r.randrange(10**9)}" for _ in range(400)) + "</p></article>") for k in range(120)]
+    parsed = html_main.parsed(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    dealt = parsed.select("host", F.lit(0).cast("bigint").alias("bucket"), F.lit(3).cast("bigint").alias("parts"), "digest", "content")
+    streams = dealt.mapInArrow(html_main._streams, "host string, bucket bigint, parts bigint, digest binary, text binary")
+    assert streams.groupBy("host", "bucket").applyInArrow(html_main._group, "host string, window bigint").count() == 0
+    assert html_main.boilerplate(parsed).count() == 0
+
+
+def test_sentences_go_whole(spark):
+    shared = "All stories of this paper may be read again at any later time."
+    rows = [(k, f"http://h/{k}", f"<article><p>Story {k} has words {k} of its own {k} and more {k}. {shared} Page {k} ends.</p></article>") for k in range(6)]
+    out = {x.page_id: x.text for x in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {k: f"Story {k} has words {k} of its own {k} and more {k}. Page {k} ends." for k in range(6)}
+
+
+def test_planted_boilerplate_is_found(spark):
+    """Ten lines planted into nine tenths of a host's articles of fresh words."""
+    r = random.Random(22)
+    lines = [" ".join(f"p{n}q{r.randrange(999)}" for _ in range(12)) + "." for n in range(10)]
+    rows, planted = [], 0
+    for k in range(80):
+        own = [" ".join(f"o{r.randrange(10**6)}" for _ in range(15)) + "." for _ in range(30)]
+        mine = [x for x in lines if r.random() < 0.9]
+        planted += len(mine)
+        for x in mine:
+            own.insert(r.randrange(len(own)), x)
+        rows.append((k, f"http://h/{k}", f"<article><p>{' '.join(own)}</p></article>"))
+    texts = [x.text for x in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    left = sum(t.count(x) for t in texts for x in lines)
+    assert left <= 0.1 * planted and all(t.count("o") >= 15 * 30 for t in texts)
+
+
 # ----------------------------------------------------------------- pipeline
 
 
