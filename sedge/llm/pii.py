@@ -12,8 +12,9 @@ mail and network addresses, cards with other signs between their digits, and wha
 is taken for such.  Its features are shapes of whole words and of their
 neighbours and a few cue words, never the word itself.  Only marked words can be
 in a span: those with a digit or an ``@``, those with a bracketed ``at`` or dot,
-and the neighbours of a word ``dot``.  That cuts texts exactly into short runs,
-which are decoded by Viterbi in batches of equal length.  A span is added if it
+and the neighbours of a word ``dot``.  That cuts texts into runs, which are decoded by
+Viterbi in batches of equal length; a line end or more than ``GAP`` blanks end a
+run, so no added span reaches over them.  A span is added if it
 meets no base span and passes its kind's own test, with the spelling undone: an
 address by the base pattern, network parts at most 255, a card's length and
 check digit, 9 to 15 digits of a phone.
@@ -21,14 +22,17 @@ check digit, 9 to 15 digits of a phone.
 Defined results: a null text is the empty text (no spans, the hash of the empty
 string); repeated rows give repeated rows; ``find_personal_data`` reads no
 other column and ``redact`` keeps them all; an empty table gives an empty
-table.  Texts are scanned whole, in time linear in their length.
+table.  Texts are scanned whole, in time linear in their length; words of more
+than ``LONGEST_REMEMBERED`` characters are not kept in a worker's tables.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from bisect import bisect_left
+from functools import lru_cache, wraps
 from hashlib import sha256
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -105,20 +109,37 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 # ------------------------------------------------------------ features, field
 
 
-@lru_cache(1 << 16)
+#: White space inside a run at most.
+GAP = 4
+#: Longer words are not remembered.
+LONGEST_REMEMBERED = 64
+
+
+def remembered(f):
+    """Results of short words in a bounded table."""
+    held = lru_cache(1 << 16)(f)
+
+    @wraps(f)
+    def of(word):
+        return held(word) if len(word) <= LONGEST_REMEMBERED else f(word)
+
+    return of
+
+
+@remembered
 def shape(word: str) -> str:
     """Letters as x, digits as their run length up to 5, the rest as it is."""
     out = re.sub("[^\\W\\d_]+", "x", word)
     return re.sub("\\d+", lambda m: str(min(len(m[0]), 5)), out)
 
 
-@lru_cache(1 << 16)
+@remembered
 def cue(word: str) -> str:
     w = word.strip(".,:;()[]{}<>#\"'").lower()
     return next((k for k, words in CUES.items() if w in words), "-")
 
 
-@lru_cache(1 << 16)
+@remembered
 def own_features(word: str) -> tuple[str, ...]:
     digits = sum(map(str.isdigit, word))
     s = shape(word.strip(EDGES))
@@ -135,21 +156,26 @@ def own_features(word: str) -> tuple[str, ...]:
     )
 
 
-def features(before: list[str], words: list[str], after: list[str], at: int) -> list[str]:
-    """Of word ``at`` of a run, with the words around the run."""
+def features(before: list[str], words: list[str], after: list[str]) -> list[list[str]]:
+    """Of each word of a run, with the words around the run."""
     line = [*["^"] * (2 - len(before)), *before, *words, *after, *["$"] * (2 - len(after))]
-    at += 2
-    near = lambda k: shape(line[k].strip(EDGES)) if has_mark(line[k]) else "w"
+    near = [shape(w.strip(EDGES)) if has_mark(w) else "w" for w in line]
+    cues = [cue(w) for w in line]
+    # The last telling cue in front of each word.
+    told = list(accumulate(cues, lambda held, k: held if k in ("-", "number") else k, initial="-"))
     return [
-        "bias",
-        *own_features(line[at]),
-        f"-s={near(at - 1)}",
-        f"+s={near(at + 1)}",
-        f"-c={cue(line[at - 1])}",
-        f"-2c={cue(line[at - 2])}",
-        f"+c={cue(line[at + 1])}",
-        f"-cc={cue(line[at - 2])}|{cue(line[at - 1])}",
-        f"--={next((k for k in (cue(x) for x in reversed(line[:at])) if k not in ('-', 'number')), '-')}",
+        [
+            "bias",
+            *own_features(line[at]),
+            f"-s={near[at - 1]}",
+            f"+s={near[at + 1]}",
+            f"-c={cues[at - 1]}",
+            f"-2c={cues[at - 2]}",
+            f"+c={cues[at + 1]}",
+            f"-cc={cues[at - 2]}|{cues[at - 1]}",
+            f"--={told[at]}",
+        ]
+        for at in range(2, 2 + len(words))
     ]
 
 
@@ -182,7 +208,7 @@ class Field:
 
     def scores(self, before: list[str], words: list[str], after: list[str]) -> np.ndarray:
         known = self.names.get
-        return np.stack([self.emit[[k for f in features(before, words, after, t) if (k := known(f)) is not None]].sum(0) for t in range(len(words))])
+        return np.stack([self.emit[[k for f in own if (k := known(f)) is not None]].sum(0) for own in features(before, words, after)])
 
     def decode(self, runs: list[np.ndarray]) -> list[np.ndarray]:
         """The best tags of runs of scores, batched by length."""
@@ -219,7 +245,7 @@ def train(table, rounds: int = 150, rate: float = 0.3, decay: float = 0.05) -> F
             for a, b in group:
                 held = next(((x, k) for x, y, k in spans if a < y and x < b), None)
                 tags.append(0 if held is None else TAGS.index(f"{'B' if a <= held[0] else 'I'}-{held[1]}"))
-            rows = [[names.setdefault(f, len(names)) for f in features(before, words, after, t)] for t in range(len(words))]
+            rows = [[names.setdefault(f, len(names)) for f in own] for own in features(before, words, after)]
             runs.append((rows, tags))
     n, width = len(TAGS), len(runs[0][0][0])
     emit, move, start = np.zeros((len(names), n)), np.zeros((n, n)), np.zeros(n)
@@ -294,6 +320,9 @@ def _word_after(text: str, at: int) -> tuple[int, int]:
     return at, end
 
 
+LINE_END = re.compile(r"[\n\r\x0b\x0c\x85\u2028\u2029]")
+
+
 def marked_runs(text: str) -> list[list[tuple[int, int]]]:
     """The places of marked words, in runs with only white space between."""
     places = {m.span() for m in CANDIDATE.finditer(text)}
@@ -314,7 +343,8 @@ def marked_runs(text: str) -> list[list[tuple[int, int]]]:
                 places.add(step(text, beyond[0] if step is _word_before else beyond[1]))
     runs: list[list[tuple[int, int]]] = []
     for place in sorted(p for p in places if p[0] < p[1]):
-        if runs and (text[runs[-1][-1][1] : place[0]].isspace()):
+        gap = text[runs[-1][-1][1] : place[0]] if runs and place[0] - runs[-1][-1][1] <= GAP else ""
+        if gap.isspace() and not LINE_END.search(gap):
             runs[-1].append(place)
         else:
             runs.append([place])
@@ -339,6 +369,8 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, str]]], field:
             runs.append(field.scores(*surroundings(text, group)))
             places.append((k, group))
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+    firsts = [[a for a, _, _ in spans] for spans in base]
+    reaches = [list(accumulate((b for _, b, _ in spans), max)) for spans in base]
     for tags, (k, group) in zip(field.decode(runs), places):
         at = 0
         while at < len(tags):
@@ -350,15 +382,20 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, str]]], field:
             while end < len(tags) and TAGS[tags[end]] == "I" + tag[1:]:
                 end += 1
             a, b = trimmed(texts[k], group[at][0], group[end - 1][1])
-            if a < b and plausible(texts[k][a:b], tag[2:]) and not any(a < y and x < b for x, y, _ in base[k]):
+            # Base spans that begin before the end, and how far these reach.
+            met = bisect_left(firsts[k], b)
+            if a < b and not (met and reaches[k][met - 1] > a) and plausible(texts[k][a:b], tag[2:]):
                 out[k].append((a, b, tag[2:]))
             at = end
     return out
 
 
+PAIRED = re.compile(r".[^()\[\]{}]*[)\]}].")
+
+
 def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
     """A span without the signs around it; brackets that pair inside it stay."""
-    while a < b and text[a] in EDGES and not (text[a] in "([{" and re.match(r".[^()\[\]{}]*[)\]}].", text[a:b])):
+    while a < b and text[a] in EDGES and not (text[a] in "([{" and PAIRED.match(text, a, b)):
         a += 1
     while b > a and text[b - 1] in EDGES:
         b -= 1
