@@ -14,8 +14,13 @@ The group's largest is found by a partial aggregate; groups of one record take
 no part in the join, and the join's sides are tables of slim rows, so that Spark
 can split a digest that a third of all records share.  Revisit records are
 written from headers alone.  Responses are streamed once more from the captured
-archives, a bounded set of archives at a time: the ids of the set's revisits are
-broadcast (``SENT`` at most) and their records passed over.
+archives, a bounded set of archives at a time: the ids of the set's revisits, which
+lie in a folder of the set's own, are broadcast (``SENT`` at most) and their records
+passed over.
+
+Every archive begins with a warcinfo record.  Written records have fresh headers: ids
+of their own, the date of writing, the id of their archive's warcinfo record and
+digests taken anew; revisits name the id of the response as it is written.
 
 Defined results: a null html is the empty payload; a null url writes no target;
 records without an id are revisits of the group's largest id, or responses if
@@ -29,6 +34,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+from datetime import datetime, timezone
 from functools import reduce
 from urllib.parse import quote, unquote
 
@@ -41,6 +47,7 @@ from .common import map_rows, shared_folder, stored
 VERSION, END = "WARC/1.1", "\r\n"
 CUT = END * 2 + VERSION + END
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: The date of captures, unless one is given.
 DATE = "2024-01-01T00:00:00Z"
 NAMES = uuid.UUID("8a3fb0cf-7f6c-4f8b-a0f6-3d9a4b5f2c11")
 #: Records in one archive at most.
@@ -49,6 +56,8 @@ ARCHIVE_RECORDS = 100_000
 SENT = 200_000
 #: Sets of archives copied by one job.
 SETS_AT_ONCE = 8
+#: A warcinfo record, by its first field (the first record of a file has its version).
+INFO = r"\A(?:WARC/1\.1\r\n)?WARC-Type: warcinfo\r\n"
 RECORD_ID = r"\r\nWARC-Record-ID: <urn:uuid:([^>]+)>"
 
 
@@ -60,7 +69,32 @@ def record_id(page_id, payload_digest: str, kind: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMES, f'{kind}|{page_id}|{payload_digest}')}>"
 
 
-def record(kind: str, page_id, url: str | None, payload: bytes | None, size: int, held: str, refers: tuple | None = None) -> str:
+def framed(fields: list[tuple[str, str]], block: bytes) -> str:
+    """A record as text, without the line ends behind it."""
+    fields = [*fields, ("WARC-Block-Digest", f"sha1:{digest(block)}"), ("Content-Length", str(len(block)))]
+    return VERSION + END + "".join(f"{k}: {v}{END}" for k, v in fields) + END + block.decode("utf-8", "surrogatepass")
+
+
+class Archive:
+    """The archives of one task: each begins with a warcinfo record, whose id the
+    records behind it bear."""
+
+    def __init__(self, date: str, most: int, what: str):
+        self.date, self.most, self.what, self.n, self.info = date, most, what, 0, ""
+
+    def begun(self) -> list[tuple[str]]:
+        """The records to put in front of the next one."""
+        self.n += 1
+        if (self.n - 1) % self.most:
+            return []
+        self.n += 1
+        self.info = f"<urn:uuid:{uuid.uuid4()}>"
+        block = f"software: sedge{END}format: WARC File Format 1.1{END}description: {self.what}{END}".encode()
+        fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", self.info), ("WARC-Date", self.date), ("Content-Type", "application/warc-fields")]
+        return [(framed(fields, block),)]
+
+
+def record(kind: str, page_id, url: str | None, payload: bytes | None, size: int, held: str, refers: tuple | None = None, date: str = DATE, info: str = "", own_id: str | None = None) -> str:
     """One record as text, without the line ends behind it.  A revisit has the
     size and the digest of a payload only."""
     top = f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=UTF-8{END}Content-Length: {size}{END * 2}"
@@ -70,13 +104,14 @@ def record(kind: str, page_id, url: str | None, payload: bytes | None, size: int
     block = top.encode() + body
     fields = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", record_id(page_id, held, kind)),
-        ("WARC-Date", DATE),
+        ("WARC-Record-ID", own_id or record_id(page_id, held, kind)),
+        ("WARC-Date", date),
         ("WARC-Payload-Digest", f"sha1:{held}"),
-        ("WARC-Block-Digest", f"sha1:{digest(block)}"),
         ("Content-Type", "application/http; msgtype=response"),
         ("X-Payload-Length", str(size)),
     ]
+    if info:
+        fields.append(("WARC-Warcinfo-ID", info))
     if url is not None:
         fields.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
     if page_id is not None:
@@ -84,14 +119,12 @@ def record(kind: str, page_id, url: str | None, payload: bytes | None, size: int
     if coded:
         fields.append(("X-Payload-Encoding", "base64"))
     if kind == "revisit":
-        fields += [("WARC-Profile", PROFILE), ("WARC-Truncated", "length"), ("WARC-Refers-To-Date", DATE)]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Truncated", "length"), ("WARC-Refers-To-Date", date)]
         if refers:
             fields += [("WARC-Refers-To", record_id(refers[0], held, "response")), ("X-Refers-To-Page", quote(str(refers[0])))]
             if refers[1] is not None:
                 fields.append(("WARC-Refers-To-Target-URI", refers[1].replace("\r", "%0D").replace("\n", "%0A")))
-    fields.append(("Content-Length", str(len(block))))
-    head = "".join(f"{k}: {v}{END}" for k, v in fields)
-    return f"{VERSION}{END}{head}{END}{block.decode('utf-8', 'surrogatepass')}"
+    return framed(fields, block)
 
 
 def parsed(text: str) -> tuple[dict[str, str], bytes]:
@@ -106,38 +139,64 @@ def parsed(text: str) -> tuple[dict[str, str], bytes]:
     return fields, data[:size]
 
 
-def _captured():
-    def step(ids, urls, htmls):
-        out = []
-        for i, url, html in zip(ids, urls, htmls):
-            payload = (html or "").encode("utf-8", "surrogatepass")
-            out.append((record("response", i, url, payload, len(payload), digest(payload)),))
-        return out
+def _captured(date: str, most: int):
+    def start():
+        archive = Archive(date, most, "captured pages")
 
-    return step
+        def step(ids, urls, htmls):
+            out = []
+            for i, url, html in zip(ids, urls, htmls):
+                payload = (html or "").encode("utf-8", "surrogatepass")
+                held = digest(payload)
+                out += archive.begun()
+                out.append((record("response", i, url, payload, len(payload), held, None, date, archive.info, record_id(i, held, "captured")),))
+            return out
 
+        return step
 
-def _revisits():
-    def step(ids, urls, sizes, digests, refers, refer_urls):
-        return [
-            (record("revisit", i, url, None, size, held, None if to is None else (to, to_url)),)
-            for i, url, size, held, to, to_url in zip(ids, urls, sizes, digests, refers, refer_urls)
-        ]
+    return start
 
-    return step
 
+def _revisits(date: str, most: int):
+    def start():
+        archive = Archive(date, most, "revisits of deduplicated pages")
 
-def _renewed():
-    def step(texts):
-        out = []
-        for text in texts:
-            fields, block = parsed(text)
-            fields["WARC-Date"] = DATE
-            head = "".join(f"{k}: {v}{END}" for k, v in fields.items())
-            out.append((f"{VERSION}{END}{head}{END}{block.decode('utf-8', 'surrogatepass')}",))
-        return out
+        def step(ids, urls, sizes, digests, refers, refer_urls):
+            out = []
+            for i, url, size, held, to, to_url in zip(ids, urls, sizes, digests, refers, refer_urls):
+                out += archive.begun()
+                out.append((record("revisit", i, url, None, size, held, None if to is None else (to, to_url), date, archive.info),))
+            return out
 
-    return step
+        return step
+
+    return start
+
+
+#: Fields that a copied record gets anew.
+RENEWED = ("WARC-Record-ID", "WARC-Date", "WARC-Warcinfo-ID", "WARC-Block-Digest", "Content-Length")
+
+
+def _renewed(date: str, most: int):
+    def start():
+        archive = Archive(date, most, "responses of deduplicated pages")
+
+        def step(texts):
+            out = []
+            for text in texts:
+                fields, block = parsed(text)
+                page = fields.get("X-Page-Id")
+                held = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                out += archive.begun()
+                own = record_id(None if page is None else unquote(page), held, "response")
+                kept = [(k, v) for k, v in fields.items() if k not in RENEWED and k != "WARC-Type"]
+                fresh = [("WARC-Type", "response"), ("WARC-Record-ID", own), ("WARC-Date", date), ("WARC-Warcinfo-ID", archive.info)]
+                out.append((framed([*fresh, *kept], block),))
+            return out
+
+        return step
+
+    return start
 
 
 def _save(lines: DataFrame, path: str) -> None:
@@ -146,9 +205,9 @@ def _save(lines: DataFrame, path: str) -> None:
     writer.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
+def write_archives(pages: DataFrame, path: str, date: str = DATE) -> None:
     """A response record for each row (page_id, url, html)."""
-    _save(map_rows(pages, ["page_id", "url", "html"], "value string", _captured), path)
+    _save(map_rows(pages, ["page_id", "url", "html"], "value string", _captured(date, ARCHIVE_RECORDS)), path)
 
 
 def _lines(spark: SparkSession, paths) -> DataFrame:
@@ -163,6 +222,8 @@ def _fields(with_payload: bool):
             out = []
             for text, file in zip(texts, files):
                 fields, block = parsed(text)
+                if fields["WARC-Type"] == "warcinfo":
+                    continue
                 _, _, body = block.partition((END * 2).encode())
                 if fields.get("X-Payload-Encoding") == "base64":
                     body = base64.b64decode(body)
@@ -226,9 +287,10 @@ def _sets(by_file: DataFrame, limit: int):
         yield held, n
 
 
-def deduplicated(pages: DataFrame, folder: str | None = None, sent: int = SENT) -> DataFrame:
+def deduplicated(pages: DataFrame, folder: str | None = None, sent: int = SENT, date: str | None = None) -> DataFrame:
     """Archive all pages, read the archives, write deduplicated ones with fresh
-    headers, and return what those hold."""
+    headers (of ``date``, the present unless it is given), and return what those hold."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     spark, kind = pages.sparkSession, pages.schema["page_id"].dataType.simpleString()
     folder = folder or shared_folder(spark, "warc")
     captured, out = f"{folder}/captured", f"{folder}/deduplicated"
@@ -236,29 +298,39 @@ def deduplicated(pages: DataFrame, folder: str | None = None, sent: int = SENT)
     headers = stored(read_archives(spark, captured, id_type=kind), "headers")
     verdicts = stored(resolved(headers), "verdicts")
     columns = ["page_id", "url", "payload_bytes", "payload_digest", "refers_to", "refers_to_url"]
-    _save(map_rows(verdicts.where("record_type = 'revisit'"), columns, "value string", _revisits), out)
-    _copy_responses(captured, verdicts, out, sent)
+    _save(map_rows(verdicts.where("record_type = 'revisit'"), columns, "value string", _revisits(date, ARCHIVE_RECORDS)), out)
+    _copy_responses(captured, verdicts, out, sent, date)
     return read_archives(spark, out, id_type=kind).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-def _copy_responses(captured: str, verdicts: DataFrame, out: str, sent: int) -> None:
+def _copy_responses(captured: str, verdicts: DataFrame, out: str, sent: int, date: str) -> None:
     """Copy the captured records that are no revisits, ``SETS_AT_ONCE`` sets of
-    archives in a job, each with the ids of its own revisits."""
+    archives in a job, each with the ids of its own revisits.
+
+    The ids are written once, in a folder for each set, so each is read once more."""
     spark = verdicts.sparkSession
-    revisit = F.col("record_type") == "revisit"
-    by_file = verdicts.groupBy("file").agg(F.count_if(revisit).alias("n"))
-    whole = (by_file.agg(F.sum("n")).first()[0] or 0) <= sent
-    sets = [(captured, 0)] if whole else _sets(by_file, sent)
+    gone = verdicts.where("record_type = 'revisit'").select("file", "record_id")
+    by_file = verdicts.groupBy("file").agg(F.count_if(F.col("record_type") == "revisit").alias("n"))
+    by_file = stored(by_file, "archives")
+    if (by_file.agg(F.sum("n")).first()[0] or 0) <= sent:
+        sets = [(captured, 0, gone)]
+    else:
+        held = list(_sets(by_file, sent))
+        places = spark.createDataFrame([(f, k) for k, (files, _) in enumerate(held) for f in files], "file string, set int")
+        folder = shared_folder(spark, "revisits-by-set")
+        gone.join(small(places), "file").select("set", "record_id").repartition("set").write.partitionBy("set").parquet(folder)
+        # A set without revisits has no folder.
+        sets = [(files, n, spark.read.schema("record_id string").parquet(f"{folder}/set={k}") if n else gone.limit(0)) for k, (files, n) in enumerate(held)]
     jobs: list[DataFrame] = []
 
     def copy() -> None:
-        _save(map_rows(reduce(DataFrame.union, jobs), ["value"], "value string", _renewed), out)
+        _save(map_rows(reduce(DataFrame.union, jobs), ["value"], "value string", _renewed(date, ARCHIVE_RECORDS)), out)
         jobs.clear()
 
-    for files, n in sets:
+    for files, n, ids in sets:
         lines = _lines(spark, files).select("value", F.regexp_extract("value", RECORD_ID, 1).alias("record_id"))
-        gone = verdicts.where(revisit if whole else revisit & F.col("file").isin(files)).select("record_id").distinct()
-        jobs.append(lines.join(F.broadcast(gone) if n <= sent else gone, "record_id", "left_anti"))
+        ids = ids.select("record_id").distinct()
+        jobs.append(lines.where(~F.col("value").rlike(INFO)).join(F.broadcast(ids) if n <= sent else ids, "record_id", "left_anti"))
         if len(jobs) == SETS_AT_ONCE:
             copy()
     if jobs:

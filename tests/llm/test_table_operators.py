@@ -199,6 +199,35 @@ def test_archives_round_trip(spark):
     assert warc.deduplicated(df.limit(0)).count() == 0
 
 
+def test_written_headers_are_fresh(spark, tmp_path, monkeypatch):
+    """Ids, dates and warcinfo records of captured and of written archives differ, and
+    revisits name the response as it is written."""
+    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 4)
+    rows = [(k, f"http://h/{k}", f"page {k % 5}") for k in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    warc.deduplicated(df, f"file://{tmp_path}/w", date="2025-02-03T04:05:06Z").count()
+    held = {}
+    for part in ("captured", "deduplicated"):
+        lines = warc._lines(spark, f"file://{tmp_path}/w/{part}").collect()
+        files: dict = {}
+        for x in lines:
+            files.setdefault(x.file, []).append(warc.parsed(x.value)[0])
+        for records in files.values():
+            assert len(records) <= 4 and records[0]["WARC-Type"] == "warcinfo"
+            assert all(r["WARC-Warcinfo-ID"] == records[0]["WARC-Record-ID"] for r in records[1:])
+        held[part] = [r for records in files.values() for r in records[1:]]
+        assert len({r["WARC-Record-ID"] for r in held[part]}) == 30
+    was, now = held["captured"], held["deduplicated"]
+    assert not {r["WARC-Record-ID"] for r in was} & {r["WARC-Record-ID"] for r in now}
+    assert {r["WARC-Date"] for r in was} == {warc.DATE} and {r["WARC-Date"] for r in now} == {"2025-02-03T04:05:06Z"}
+    responses = {r["X-Page-Id"]: r for r in now if r["WARC-Type"] == "response"}
+    assert len(responses) == 5
+    for r in now:
+        if r["WARC-Type"] == "revisit":
+            to = responses[r["X-Refers-To-Page"]]
+            assert r["WARC-Refers-To"] == to["WARC-Record-ID"] and r["WARC-Refers-To-Date"] == to["WARC-Date"] and r["WARC-Payload-Digest"] == to["WARC-Payload-Digest"]
+
+
 def test_archives_in_sets_and_a_digest_on_most_pages(spark, monkeypatch):
     """Small archives, copied by sets of few revisits; ids are strings."""
     monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 7)
