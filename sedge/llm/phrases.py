@@ -8,9 +8,10 @@ directly (``numpy.bincount``), the others as sorted coordinates.  Pairs found of
 enough are ranked in their turn, and pair ids beside word ids are counted in tiles in
 the same way: that gives the phrases of three words.
 
-What has no id is counted by its words, exactly and in the same pass.  Where every
-word (or pair) that is frequent enough has an id, what has none cannot be part of a
-candidate and is left out.
+What has no id is counted by its words, in the same pass, if it can be part of a
+candidate at all: words and pairs that are frequent enough but have no id are marked
+in bitmaps of a fixed size by their hashes.  What is not marked is too rare; what is
+marked by chance only costs a count.  So results are exact for corpora of any size.
 
 A task's counts are sums that leave it whenever its tables are full, and meet by
 phrase in a shuffle, so no word and no language is gathered in one task.
@@ -34,8 +35,9 @@ from .common import bounded_batches, stored
 NO_LANG = "und"
 #: Letters in lower case, tabs as blanks and the ends of pieces as line feeds.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?" or 10 <= c <= 13 else 32 if c == 9 else c for c in range(256))
-#: Ids of a blank's empty word, the end of a piece, and words without an id.
-EMPTY, END, OTHER = -3, -2, -1
+#: Ids of a blank's empty word, the end of a piece, words that are too rare for any
+#: candidate, and other words without an id.
+EMPTY, END, RARE, OTHER = -4, -3, -2, -1
 
 
 @dataclass(frozen=True)
@@ -43,9 +45,11 @@ class Sizes:
     """Bounds of what a task holds; results are the same for any of them."""
 
     words: int = 150_000  # words with ids, of all languages
-    pairs: int = 500_000  # pairs with ids, of all languages
+    pairs: int = 2_000_000  # pairs with ids, of all languages
     tile: int = 1024  # a side of the dense tile
-    held: int = 400_000  # entries of a task's table of phrases or coordinates
+    held: int = 300_000  # entries of a task's table of phrases
+    codes: int = 2_000_000  # coordinates that are sorted at once
+    bits: int = 27  # bitmaps have two to the power of this
     letters: int = 1 << 20  # bytes of texts taken at once
     langs: int = 16  # languages with tiles at once
 
@@ -59,19 +63,21 @@ def mine(docs: DataFrame, lang_column: str = "lang", text_column: str = "text",
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.coalesce(F.col(f"`{lang_column}`"), F.lit(NO_LANG)).alias("lang"), F.col(f"`{text_column}`").alias("text"))
-    words = stored(_summed(texts.mapInArrow(_count_words(sizes), "lang string, phrase string, f bigint")), "words")
+    words = stored(_summed(texts.mapInArrow(_count_words(sizes), COUNTS)), "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = words.where(F.col("f") >= least)
 
-    ids, every_word = _ranked(frequent, sizes.words)
-    held = spark.sparkContext.broadcast(ids)
-    pairs = texts.mapInArrow(_count_pairs(held, every_word, sizes), "lang string, phrase string, f bigint")
-    pairs = stored(_summed(pairs).where(F.col("f") >= least), "pairs")
-
-    ranked, every_pair = _ranked(pairs, sizes.pairs)
-    held_pairs = spark.sparkContext.broadcast(_pair_codes(ids, ranked))
-    triples = texts.mapInArrow(_count_triples(held, held_pairs, every_word, every_pair and every_word, sizes), "lang string, phrase string, f bigint")
-    triples = stored(_summed(triples).where(F.col("f") >= least), "triples")
+    ids, rest = _word_ids(frequent, sizes.words)
+    held = spark.sparkContext.broadcast((ids, _bitmap(rest.select(F.xxhash64("phrase").alias("h")), sizes)))
+    pairs = _met(texts.mapInArrow(_count_pairs(held, sizes), COUNTS), least)
+    pairs = stored(_named(pairs, held, None), "pairs")
+
+    ranked, rest = _pair_ranks(pairs, sizes.pairs)
+    marks = [_bitmap(x, sizes) for x in (_code_hashes(rest.where("code IS NOT NULL")), pairs.where("code IS NULL").select(F.xxhash64("phrase").alias("h")))]
+    held_pairs = spark.sparkContext.broadcast((ranked, *marks))
+    triples = _met(texts.mapInArrow(_count_triples(held, held_pairs, sizes), COUNTS), least)
+    triples = stored(_named(triples, held, held_pairs), "triples")
+    pairs, triples = (x.select("lang", "phrase", "f") for x in (pairs, triples))
     return _best(_outside(_scored(frequent, pairs, triples), pairs, triples, inside), totals, most)
 
 
@@ -79,42 +85,120 @@ def _summed(counts: DataFrame) -> DataFrame:
     return counts.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def _ranked(counts: DataFrame, most: int) -> tuple[dict[str, list[str]], bool]:
-    """The most frequent phrases of all languages, ``most`` of them or fewer, by
-    language in the order of their ranks; and whether those are all."""
+#: Counts as they leave a task: by the language's number and the code of two ids, or
+#: (without ids) by the language and the phrase itself.
+COUNTS = "no int, code bigint, lang string, phrase string, f bigint"
+_COUNTS = pa.schema([("no", pa.int32()), ("code", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
+
+
+def _met(counts: DataFrame, least: int) -> DataFrame:
+    """The sums of what all tasks counted, of ``least`` and more.  A task's rows are
+    sums already, so they are dealt out before they are added up."""
+    keys = ["no", "code", "lang", "phrase"]
+    return counts.repartition(*keys).groupBy(*keys).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+
+
+def _named(counts: DataFrame, held, held_pairs) -> DataFrame:
+    """Counts with the phrases of their codes."""
+
+    def run(batches):
+        ids, _ = held.value
+        langs = sorted(ids)
+        for batch in batches:
+            no, code, lang, phrase, f = (c.to_pylist() for c in batch.columns)
+            for k, c in enumerate(code):
+                if c is not None:
+                    lang[k] = langs[no[k]]
+                    words, left, right = ids[lang[k]], c >> 32, c & 0xFFFFFFFF
+                    if held_pairs is not None:
+                        pair = int(held_pairs.value[0][no[k]][2][left])
+                        phrase[k] = f"{words[pair >> 32]} {words[pair & 0xFFFFFFFF]} {words[right]}"
+                    else:
+                        phrase[k] = f"{words[left]} {words[right]}"
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(phrase, pa.string()), batch.column(4)], schema=_COUNTS)
+
+    return counts.mapInArrow(run, COUNTS)
+
+
+def _level(counts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The most frequent rows, ``most`` or fewer, and the others.
+
+    Rows are taken by levels of frequency, a sixteenth of a power of two each."""
     level = F.floor(F.log2("f") * 16)
-    taken, lowest, every = 0, None, True
-    # A level is a sixteenth of a power of two: some hundred rows.
+    taken, lowest = 0, 1 << 30
     for row in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
         if taken + row.n > most:
-            every = False
             break
         taken, lowest = taken + row.n, row.level
+    return counts.where(level >= lowest), counts.where(level < lowest)
+
+
+def _word_ids(counts: DataFrame, most: int) -> tuple[dict[str, list[str]], DataFrame]:
+    """The words of each language that get ids, in the order of these; and the rest."""
+    taken, rest = _level(counts, most)
     out: dict[str, list[str]] = {}
-    if lowest is not None:
-        rows = counts.where(level >= lowest).collect()
-        for r in sorted(rows, key=lambda r: (-r.f, r.phrase)):
-            out.setdefault(r.lang, []).append(r.phrase)
-    return out, every
+    for r in sorted(taken.collect(), key=lambda r: (-r.f, r.phrase)):
+        out.setdefault(r.lang, []).append(r.phrase)
+    return out, rest
 
 
-def _pair_codes(ids: dict[str, list[str]], pairs: dict[str, list[str]]) -> dict:
-    """Of each language the pairs whose words have ids, as sorted codes with ranks."""
+def _pair_ranks(pairs: DataFrame, most: int) -> tuple[dict[int, tuple], DataFrame]:
+    """By the languages' numbers: sorted codes of pairs, their ranks, codes by rank;
+    and the pairs without a rank."""
     import numpy as np
 
+    taken, rest = _level(pairs, most)
+    table = taken.where("code IS NOT NULL").select("no", "code", "f").toArrow()
+    no, code, f = (table.column(c).to_numpy() for c in ("no", "code", "f"))
     out = {}
-    for lang, held in pairs.items():
-        place = {w: n for n, w in enumerate(ids.get(lang, []))}
-        rows = []
-        for rank, pair in enumerate(held):
-            a, b = (place.get(w) for w in pair.split(" "))
-            if a is not None and b is not None:
-                rows.append((a << 32 | b, rank))
-        codes = np.array(sorted(rows), np.int64).reshape(-1, 2)
-        out[lang] = (codes[:, 0].copy(), codes[:, 1].copy(), held)
+    for n in np.unique(no).tolist():
+        own = no == n
+        by_rank = code[own][np.lexsort((code[own], -f[own]))]
+        order = np.argsort(by_rank)
+        out[n] = (by_rank[order], order.astype(np.int32), by_rank)
+    return out, rest
+
+
+def _mixed(codes):
+    """Hashes of the codes of pairs."""
+    import numpy as np
+
+    h = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ h >> np.uint64(29)).view(np.int64)
+
+
+def _code_hashes(pairs: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_mixed(batch.column(0).to_numpy()), pa.int64())], names=["h"])
+
+    return pairs.select("code").mapInArrow(run, "h bigint")
+
+
+def _bitmap(hashes: DataFrame, sizes: Sizes):
+    """Bits of the hashes ``h``, as 64-bit words; None where there are none."""
+    import numpy as np
+
+    place = F.col("h").bitwiseAND(F.lit((1 << sizes.bits) - 1))
+    rows = hashes.select(F.shiftrightunsigned(place, 6).alias("word"), F.expr("shiftleft(1L, CAST(h & 63 AS INT))").alias("bit"))
+    table = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    if not table.num_rows:
+        return None
+    out = np.zeros(1 << max(0, sizes.bits - 6), np.int64)
+    out[table.column("word").to_numpy()] = table.column("bits").to_numpy()
     return out
 
 
+def _marked(bitmap, h):
+    """Whether the bits of hashes are set."""
+    import numpy as np
+
+    if bitmap is None:
+        return np.zeros(len(h), bool)
+    place = h & (len(bitmap) * 64 - 1)
+    return (bitmap[place >> 6] >> (h & 63)) & 1 > 0
+
+
 # ----------------------------------------------------------------- in a task
 
 
@@ -144,8 +228,6 @@ def _by_lang(batches, letters: int):
 class Phrases:
     """Counts of phrases by language; leaves the task whenever it is full."""
 
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
-
     def __init__(self, most: int):
         self.most, self.by_lang, self.size = most, {}, 0
 
@@ -160,12 +242,12 @@ class Phrases:
 
     def leave(self):
         for lang, own in self.by_lang.items():
-            yield self.batch(lang, [p.decode("utf-8", "surrogatepass") for p in own], list(own.values()))
+            n = len(own)
+            words = pa.array([p.decode("utf-8", "surrogatepass") for p in own], pa.string())
+            none = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array([lang] * n, pa.string()), words, pa.array(own.values(), pa.int64())], schema=_COUNTS)
         self.by_lang, self.size = {}, 0
 
-    def batch(self, lang, phrases, counts):
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())], schema=self.schema)
-
 
 def _count_words(sizes: Sizes):
     def run(batches):
@@ -185,132 +267,143 @@ class Tiles:
     """Counts of neighbouring ids of one language: a dense tile for the low ids,
     sorted coordinates for the rest."""
 
-    def __init__(self, sizes: Sizes):
+    def __init__(self, no: int, sizes: Sizes):
         import numpy as np
 
-        self.side, self.most = sizes.tile, sizes.held
+        self.no, self.side, self.most = no, sizes.tile, sizes.codes
         self.dense = np.zeros(self.side * self.side, np.int64)
-        self.codes, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.codes, self.size = [], 0
 
-    def add(self, a, b) -> None:
+    def add(self, a, b):
+        """Count pairs; coordinates leave when there are too many."""
         import numpy as np
 
         low = (a < self.side) & (b < self.side)
         self.dense += np.bincount(a[low] * self.side + b[low], minlength=len(self.dense))
-        codes, counts = np.unique(a[~low] << 32 | b[~low], return_counts=True)
-        both, place = np.unique(np.concatenate([self.codes, codes]), return_inverse=True)
-        self.counts = np.bincount(place, np.concatenate([self.counts, counts]), len(both)).astype(np.int64)
-        self.codes = both
+        self.codes.append(a[~low] << 32 | b[~low])
+        self.size += len(self.codes[-1])
+        if self.size > self.most:
+            yield self._coordinates()
 
-    def leave(self, coordinates_only: bool = False):
-        """(a, b, count) of what is held, which is then empty."""
+    def leave(self):
         import numpy as np
 
-        out = [(self.codes >> 32, self.codes & 0xFFFFFFFF, self.counts)]
-        self.codes, self.counts = self.codes[:0], self.counts[:0]
-        if not coordinates_only:
-            met = np.flatnonzero(self.dense)
-            out.append((met // self.side, met % self.side, self.dense[met]))
-            self.dense[:] = 0
-        return [np.concatenate(x) for x in zip(*out)]
+        met = np.flatnonzero(self.dense)
+        yield self._batch(met // self.side << 32 | met % self.side, self.dense[met])
+        yield self._coordinates()
+
+    def _coordinates(self):
+        import numpy as np
+
+        codes, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *self.codes]), return_counts=True)
+        self.codes, self.size = [], 0
+        return self._batch(codes, counts)
+
+    def _batch(self, codes, counts):
+        n = len(codes)
+        none = pa.nulls(n, pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([self.no] * n, pa.int32()), pa.array(codes, pa.int64()), none, none, pa.array(counts, pa.int64())], schema=_COUNTS)
 
 
 class Numbers:
-    """Texts of a language as ids."""
+    """Texts of a language as ids, and what is counted of them."""
 
-    def __init__(self, words: list[str]):
-        self.words = [w.encode("utf-8", "surrogatepass") for w in words]
-        self.ids = {w: n for n, w in enumerate(self.words)} | {b"": EMPTY, b"\n": END}
+    def __init__(self, lang: str, held: tuple, no: int, sizes: Sizes):
+        ids, self.frequent = held
+        self.ids = {w.encode("utf-8", "surrogatepass"): n for n, w in enumerate(ids.get(lang, []))} | {b"": EMPTY, b"\n": END}
+        self.tiles = Tiles(no, sizes)
 
     def of(self, texts):
         """(ids, words) of the texts in order, ends of pieces between them."""
         import numpy as np
 
         parts, get = parts_of(texts), self.ids.get
-        ids = np.fromiter((get(p, OTHER) for p in parts), np.int64, len(parts))
+        ids = np.fromiter((get(p, RARE) for p in parts), np.int64, len(parts))
         full = np.flatnonzero(ids != EMPTY)
-        return ids[full], [parts[k] for k in full.tolist()]
+        ids, words = ids[full], [parts[k] for k in full.tolist()]
+        if self.frequent is not None:
+            rare = np.flatnonzero(ids == RARE)
+            ids[rare[_marked(self.frequent, _hashed([words[k] for k in rare.tolist()]))]] = OTHER
+        return ids, words
 
 
-def _named(lang, phrases: Phrases, left: list[bytes], right: list[bytes], tiles: Tiles, coordinates_only: bool = False):
-    """What a language's tiles hold, by its words, in bounded batches."""
-    a, b, f = tiles.leave(coordinates_only)
-    for k in range(0, len(a), 50_000):
-        names = [(left[x] + b" " + right[y]).decode("utf-8", "surrogatepass") for x, y in zip(a[k : k + 50_000].tolist(), b[k : k + 50_000].tolist())]
-        yield phrases.batch(lang, names, f[k : k + 50_000])
-
+def _hashed(phrases: list[bytes]):
+    """The hashes that Spark's ``xxhash64`` gives."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
 
-def _count_pairs(held, every: bool, sizes: Sizes):
-    def run(batches):
-        numbers, tiles, rest = {}, {}, Phrases(sizes.held)
-        for lang, texts in _by_lang(batches, sizes.letters):
-            if lang not in numbers:
-                if len(numbers) >= sizes.langs:
-                    gone, its = numbers.popitem()
-                    yield from _named(gone, rest, its.words, its.words, tiles.pop(gone))
-                numbers[lang], tiles[lang] = Numbers(held.value.get(lang, [])), Tiles(sizes)
-            own = numbers[lang]
-            ids, words = own.of(texts)
-            a, b = ids[:-1], ids[1:]
-            tiles[lang].add(*(x[(a >= 0) & (b >= 0)] for x in (a, b)))
-            if not every:
-                other = ((a == OTHER) & (b != END) | (b == OTHER) & (a != END)).nonzero()[0].tolist()
-                rest.add(lang, [words[k] + b" " + words[k + 1] for k in other])
-                yield from rest.full()
-            if len(tiles[lang].codes) > sizes.held:
-                yield from _named(lang, rest, own.words, own.words, tiles[lang], True)
-        for lang, own in numbers.items():
-            yield from _named(lang, rest, own.words, own.words, tiles[lang])
-        yield from rest.leave()
+    return np.fromiter((xxh64_intdigest(p, 42) for p in phrases), np.uint64, len(phrases)).view(np.int64)
 
-    return run
 
+def _counting(held, sizes: Sizes, count):
+    """Runs ``count(lang, numbers, texts, rest)`` over the texts, for a bounded number
+    of languages at once."""
 
-def _count_triples(held, held_pairs, every_word: bool, every_pair: bool, sizes: Sizes):
     def run(batches):
-        import numpy as np
-
-        numbers, tiles, rest = {}, {}, Phrases(sizes.held)
+        places = {lang: n for n, lang in enumerate(sorted(held.value[0]))}
+        numbers, rest = {}, Phrases(sizes.held)
         for lang, texts in _by_lang(batches, sizes.letters):
             if lang not in numbers:
                 if len(numbers) >= sizes.langs:
-                    gone, its = numbers.popitem()
-                    yield from _named(gone, rest, its[3], its[0].words, tiles.pop(gone))
-                codes, ranks, names = held_pairs.value.get(lang, (np.zeros(0, np.int64), np.zeros(0, np.int64), []))
-                numbers[lang], tiles[lang] = (Numbers(held.value.get(lang, [])), codes, ranks, [p.encode("utf-8", "surrogatepass") for p in names]), Tiles(sizes)
-            own, codes, ranks, names = numbers[lang]
-            ids, words = own.of(texts)
-            if len(ids) < 3:
-                continue
-            pair = _ranks(ids[:-1], ids[1:], codes, ranks)
-            first, second, third = pair[:-1], pair[1:], ids[2:]
-            # Both pairs of a candidate are frequent, so both have ranks if all frequent ones do.
-            met = (first >= 0) & (second >= 0)
-            tiles[lang].add(first[met], third[met])
-            if not every_pair:
-                whole = (ids[:-2] != END) & (ids[1:-1] != END) & (third != END) & ~met
-                if every_word:
-                    whole &= (ids[:-2] >= 0) & (ids[1:-1] >= 0) & (third >= 0)
-                rest.add(lang, [b" ".join(words[k : k + 3]) for k in whole.nonzero()[0].tolist()])
-                yield from rest.full()
-            if len(tiles[lang].codes) > sizes.held:
-                yield from _named(lang, rest, names, own.words, tiles[lang], True)
-        for lang, (own, _, _, names) in numbers.items():
-            yield from _named(lang, rest, names, own.words, tiles[lang])
+                    yield from numbers.pop(next(iter(numbers))).tiles.leave()
+                numbers[lang] = Numbers(lang, held.value, places.get(lang, -1), sizes)
+            yield from count(lang, numbers[lang], texts, rest)
+            yield from rest.full()
+        for own in numbers.values():
+            yield from own.tiles.leave()
         yield from rest.leave()
 
     return run
 
 
-def _ranks(a, b, codes, ranks):
+def _count_pairs(held, sizes: Sizes):
+    def count(lang, own, texts, rest):
+        ids, words = own.of(texts)
+        a, b = ids[:-1], ids[1:]
+        known = (a >= 0) & (b >= 0)
+        yield from own.tiles.add(a[known], b[known])
+        other = ((a >= OTHER) & (b >= OTHER) & ~known).nonzero()[0].tolist()
+        rest.add(lang, [words[k] + b" " + words[k + 1] for k in other])
+
+    return _counting(held, sizes, count)
+
+
+def _count_triples(held, held_pairs, sizes: Sizes):
+    """Both pairs of a candidate are frequent: they have a rank or are marked."""
+
+    def count(lang, own, texts, rest):
+        ids, words = own.of(texts)
+        if len(ids) < 3:
+            return
+        ranked, by_code, by_phrase = held_pairs.value
+        a, b = ids[:-1], ids[1:]
+        pair = _ranks(a, b, ranked.get(own.tiles.no))
+        maybe = pair >= 0
+        left = ((a >= 0) & (b >= 0) & ~maybe).nonzero()[0] if by_code is not None else []
+        if len(left):
+            maybe[left] = _marked(by_code, _mixed(a[left] << 32 | b[left]))
+        left = ((a >= OTHER) & (b >= OTHER) & ((a < 0) | (b < 0))).nonzero()[0] if by_phrase is not None else []
+        if len(left):
+            maybe[left] = _marked(by_phrase, _hashed([words[k] + b" " + words[k + 1] for k in left.tolist()]))
+        first, second, third = pair[:-1], pair[1:], ids[2:]
+        known = (first >= 0) & (second >= 0)
+        yield from own.tiles.add(first[known], third[known])
+        whole = maybe[:-1] & maybe[1:] & ~known
+        rest.add(lang, [b" ".join(words[k : k + 3]) for k in whole.nonzero()[0].tolist()])
+
+    return _counting(held, sizes, count)
+
+
+def _ranks(a, b, held):
     """The rank of each pair of ids, or -1."""
     import numpy as np
 
-    if not len(codes):
+    if held is None or not len(held[0]):
         return np.full(len(a), -1, np.int64)
+    codes, ranks, _ = held
     key = np.where((a >= 0) & (b >= 0), a << 32 | b, -1)
     at = np.minimum(np.searchsorted(codes, key), len(codes) - 1)
-    return np.where(codes[at] == key, ranks[at], -1)
+    return np.where(codes[at] == key, ranks[at].astype(np.int64), -1)
 
 
 # -------------------------------------------------------------------- scores

@@ -190,7 +190,7 @@ def brute_phrases(rows, least=10, most=2000, inside=50):
     return sorted(out)
 
 
-SIZES = [phrases.Sizes(), phrases.Sizes(words=8, pairs=5, tile=4, held=20, letters=200, langs=1), phrases.Sizes(words=500, pairs=3, tile=2, held=10, letters=50, langs=2), phrases.Sizes(words=0, pairs=0)]
+SIZES = [phrases.Sizes(), phrases.Sizes(words=8, pairs=5, tile=4, held=20, codes=50, letters=200, langs=1), phrases.Sizes(words=500, pairs=3, tile=2, held=10, codes=9, letters=50, langs=2, bits=7), phrases.Sizes(words=0, pairs=0, bits=6)]
 
 
 @pytest.mark.parametrize("sizes", SIZES)
