@@ -220,37 +220,140 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFra
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def similar_to(vectors: DataFrame, queries: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Vectors with a cosine of ``threshold`` or more to a query, itself left out."""
+#: Vectors that pivots are chosen of, and pivots, at most.
+PIVOT_SAMPLE, PIVOTS = 4096, 256
+
+
+def pivots_of(vectors: DataFrame, n: int):
+    """Up to ``n`` unit vectors far from each other, of a bounded sample: each is the
+    one that is farthest from those before it.  They only decide which vectors lie in
+    a block together, never what is found."""
+    import numpy as np
+
+    rows = vectors.select("embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).collect()
+    if not rows:
+        return np.zeros((0, 0))
+    m = np.array([r.embedding for r in rows], np.float64).reshape(len(rows), -1)
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), NORM_FLOOR)
+    chosen, apart = [], np.full(len(m), np.inf)
+    while len(chosen) < min(n, len(m)) and apart.max(initial=0) > 0:
+        chosen.append(int(apart.argmax()))
+        apart = np.minimum(apart, ((m - m[chosen[-1]]) ** 2).sum(1))
+    return m[chosen]
+
+
+def near_blocks(vectors: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+    """(block, ids, units, centre, radius): unit vectors in blocks of about ``rows``
+    that lie about the same pivot, with the ball that holds them."""
+    import pyarrow as pa
 
-    def take(a, b, s):
+    from ..shipping import ship
+
+    spark = vectors.sparkSession
+    ship(spark)
+    n = vectors.count()
+    pivots = spark.sparkContext.broadcast(pivots_of(vectors, min(PIVOTS, -(-2 * n // rows) or 1)))
+
+    def assign(batches):
         import numpy as np
 
-        return np.nonzero((s >= threshold - 1e-12) & (a[:, None] != b))
+        for batch in batches:
+            m = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), NORM_FLOOR)
+            own = (m @ pivots.value.T).argmax(1) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in m], pa.binary()), pa.array(own, pa.int32())], names=["i", "unit", "pivot"])
+
+    def pack(key, table):
+        import numpy as np
 
-    return _products(_against(vectors, queries), take, ("query_id", "vec_id"))
+        m = np.frombuffer(b"".join(table["unit"].to_pylist())).reshape(table.num_rows, -1)
+        centre = m.mean(0)
+        radius = float(np.sqrt(((m - centre) ** 2).sum(1)).max())
+        ids = pa.array([table["i"].to_pylist()], pa.list_(pa.int64()))
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "ids": ids, "units": pa.array([m.tobytes()], pa.binary()), "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": pa.array([radius])})
 
+    units = stored(vectors.select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(assign, "i bigint, unit binary, pivot int"), "units")
+    sizes = units.groupBy("pivot").agg(F.count("*").alias("n"))
+    parts = F.broadcast(sizes.select("pivot", F.ceil(F.col("n") / rows).alias("parts")))
+    dealt = units.join(parts, "pivot").select((F.col("pivot") * F.lit(1 << 32) + F.pmod(F.xxhash64("i"), F.col("parts"))).alias("block"), "i", "unit")
+    return dealt.groupBy("block").applyInArrow(pack, "block bigint, ids array<bigint>, units binary, centre array<double>, radius double")
 
-def similar_pairs(vectors: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(a, b, n_a, n_b, score): pairs of different vectors with a cosine of
-    ``threshold`` or more, each named by the smallest id of its equals, with their
-    numbers; copies make no pairs.
 
-    Blocks have a fixed number of rows, and each pair of blocks is one task's
-    product, so memory does not grow with the table."""
-    classes = stored(vectors.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")), "classes")
-    blocks = stored(packed(classes), "blocks")
-    other = blocks.select(F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("units").alias("units2"))
-    pairs = blocks.crossJoin(other).where("block <= block2")
+def reach_of(threshold: float) -> float:
+    """How far apart vectors of length one or less are at most if their product is
+    ``threshold`` or more: |u - v|^2 = |u|^2 + |v|^2 - 2uv <= 2 - 2uv."""
+    return max(0.0, 2 - 2 * threshold) ** 0.5
 
-    def take(a, b, s):
+
+_BALL = ["block", "ids", "units", "centre", "radius"]
+
+
+def block_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(block, block2): the pairs of blocks that can hold a pair of similar vectors.  By
+    the triangle inequality the others' balls are too far apart.
+
+    Only centres and radii meet here, a row for each block."""
+    centres = stored(left.select("block", "centre", "radius"), "centres")
+    other = stored(right.select(F.col("block").alias("block2"), F.col("centre").alias("centre2"), F.col("radius").alias("radius2")), "centres")
+    apart = F.sqrt(F.aggregate(F.zip_with("centre", "centre2", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    met = centres.crossJoin(small(other))
+    return met.where(apart - F.col("radius") - F.col("radius2") <= reach_of(threshold) + 1e-6).select("block", "block2")
+
+
+def _verified(left: DataFrame, right: DataFrame, pairs: DataFrame, threshold: float, slack: float, halves: bool) -> DataFrame:
+    """(l, r, score) of the similar vectors of pairs of blocks; a row meets the other
+    block only if it is near enough to the ball around that.  With ``halves`` both sides
+    are one table, and of a block with itself each pair is given once."""
+    reach = reach_of(threshold) + 1e-6
+
+    def run(batches):
         import numpy as np
+        import pyarrow as pa
 
-        x, y = np.nonzero(s >= threshold - 1e-9)
-        keep = a[x] < b[y] if len(a) == len(b) and (a == b).all() else a[x] != b[y]
-        return x[keep], y[keep]
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {name: batch.column(c)[k].as_py() for c, name in enumerate(batch.schema.names)}
+                a, b = np.array(row["ids"]), np.array(row["ids2"])
+                u, v = np.frombuffer(row["units"]).reshape(len(a), -1), np.frombuffer(row["units2"]).reshape(len(b), -1)
+                own = halves and row["block"] == row["block2"]
+                if not own:
+                    near = np.sqrt(((u - row["centre2"]) ** 2).sum(1)) <= reach + row["radius2"]
+                    near2 = np.sqrt(((v - row["centre"]) ** 2).sum(1)) <= reach + row["radius"]
+                    a, u, b, v = a[near], u[near], b[near2], v[near2]
+                s = u @ v.T
+                x, y = np.nonzero(s >= threshold - slack)
+                keep = a[x] < b[y] if own else a[x] != b[y]
+                x, y = x[keep], y[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(a[x], pa.int64()), pa.array(b[y], pa.int64()), pa.array(s[x, y], pa.float64())], names=["l", "r", "score"])
+
+    other = right.select(*[F.col(c).alias(f"{c}2") for c in _BALL])
+    met = left.join(small(pairs), "block").join(other, "block2")
+    return met.select(*_BALL, *[f"{c}2" for c in _BALL]).mapInArrow(run, "l bigint, r bigint, score double")
+
+
+def similar_to(vectors: DataFrame, queries: DataFrame, threshold: float = 0.8, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Vectors with a cosine of ``threshold`` or more to a query, itself left out; by
+    blocks about pivots, as in ``similar_pairs``."""
+    asked = stored(near_blocks(queries.select(F.col("query_id").alias("vec_id"), F.col("query_vector").alias("embedding")), rows), "query-blocks")
+    blocks = stored(near_blocks(vectors, rows), "blocks")
+    met = _verified(asked, blocks, stored(block_pairs(asked, blocks, threshold), "block-pairs"), threshold, 1e-12, False)
+    return met.withColumnsRenamed({"l": "query_id", "r": "vec_id"})
+
+
+def similar_pairs(vectors: DataFrame, threshold: float = 0.8, rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, n_a, n_b, score): pairs of different vectors with a cosine of
+    ``threshold`` or more, each named by the smallest id of its equals, with their
+    numbers; copies make no pairs.
 
-    met = _products(pairs, take, ("l", "r")).select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"), "score")
+    Blocks hold vectors about one pivot.  Pairs of blocks whose balls are too far apart
+    are passed over before any vector moves, and so are, in the others, the rows that
+    are too far from the other ball; what is left is multiplied.  Blocks have a fixed
+    number of rows, so memory does not grow with the table."""
+    classes = stored(vectors.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")), "classes")
+    blocks = stored(near_blocks(classes, rows), "blocks")
+    near = stored(block_pairs(blocks, blocks, threshold).where("block <= block2"), "block-pairs")
+    met = _verified(blocks, blocks, near, threshold, 1e-9, True)
+    met = met.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"), "score")
     sizes = classes.select("vec_id", "n")
     met = met.join(sizes.select(F.col("vec_id").alias("a"), F.col("n").alias("n_a")), "a")
     return met.join(sizes.select(F.col("vec_id").alias("b"), F.col("n").alias("n_b")), "b").select("a", "b", "n_a", "n_b", "score")

@@ -331,6 +331,7 @@ def test_vectors_in_small_blocks_equal_all_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(retrieval, "BLOCK_ROWS", 7)
     monkeypatch.setattr(retrieval.packed, "__defaults__", ("vec_id", "embedding", 7))
+    monkeypatch.setattr(retrieval.near_blocks, "__defaults__", (7,))
     rng = np.random.default_rng(5)
     base = rng.normal(size=(12, 5))
     rows = [(k, [float(x) for x in (base[k % 12] + rng.normal(0, 0.2, 5)).round(3)]) for k in range(60)] + [(100 + k, [1.0, 0.0, 0.0, 0.0, 0.0]) for k in range(9)] + [(200, [0.0] * 5)]
