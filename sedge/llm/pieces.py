@@ -73,6 +73,7 @@ class Model:
         if len(self.byte_ids) < 256:
             raise ValueError(f"{path} has no pieces for all bytes")
         self.size, self.longest = n, max(map(len, pieces))
+        self.digits = [*map(str, range(n))]
         symbols = dict(pieces)
         for p in pieces:
             for c in p:
@@ -195,9 +196,21 @@ class Model:
         chars = np.frombuffer("".join(words[n] for n in group).encode("utf-32-le"), np.uint32)
         word = np.repeat(np.arange(len(group)), [len(words[n]) for n in group])
         word, symbols, place = self.rounds(self.char[chars], word)
-        cuts = np.flatnonzero(np.diff(word)) + 1
-        for k, (ids, at) in zip(word[np.r_[0, cuts]].tolist() if len(word) else [], zip(np.split(symbols, cuts), np.split(place, cuts))):
-            out[group[k]] = self.ids(ids, at, chars)
+        ends = np.searchsorted(word, np.arange(len(group)), side="right")
+        strange = np.flatnonzero(symbols >= self.size)
+        flat = symbols.tolist()
+        if len(strange):
+            extra, whole, at = np.zeros(len(symbols), np.int64), [], 0
+            for k in strange.tolist():
+                made = self.ids(symbols[k : k + 1], place[k : k + 1], chars)
+                whole += flat[at:k] + made
+                extra[k], at = len(made) - 1, k + 1
+            flat = whole + flat[at:]
+            ends = ends + np.r_[0, np.cumsum(extra)][ends]
+        at = 0
+        for n, end in zip(group, ends.tolist()):
+            out[n] = flat[at:end]
+            at = end
 
     def ids(self, symbols, place, chars) -> list[int]:
         """Ids of symbols; what is no piece is given by its bytes."""
@@ -318,24 +331,45 @@ def model(path: str) -> Model:
 
 
 class Encoder:
-    """Texts to ids with a bounded memory of words."""
+    """Texts to ids with a bounded memory of words, each kept without the mark in front."""
 
     def __init__(self, m: Model):
         self.model, self.known = m, {}
-        self.split = re.compile(f"{MARK}+[^{MARK}]*")
+        self.split = re.compile(f"{MARK}({MARK}*[^{MARK}]*)")
+
+    def parts(self, text: str) -> list[str]:
+        """The words of a text, less one mark in front of each."""
+        if not text:
+            return []
+        if "  " in text or text[0] == " " or MARK in text:
+            return self.split.findall(MARK + text.replace(" ", MARK))
+        return text.split(" ")
 
     def texts(self, texts: list[str]) -> list[str]:
         """The ids of each text as decimal numbers joined by commas."""
-        parts = [self.split.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        fresh = [w for w in {w for p in parts for w in p} if w not in self.known]
+        out, late, get = [], [], self.known.__getitem__
+        for n, text in enumerate(texts):
+            words = self.parts(text)
+            try:
+                out.append(",".join(map(get, words)))
+            except KeyError:
+                out.append("")
+                late.append((n, words))
+        if late:
+            self._learn({w for _, words in late for w in words})
+            for n, words in late:
+                out[n] = ",".join(map(self.known.__getitem__, words))
+            for w in self.long:
+                del self.known[w]
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        fresh = [w for w in words if w not in self.known]
         if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {}
-            fresh = list({w for p in parts for w in p})
-        made = dict(zip(fresh, (",".join(map(str, ids)) for ids in self.model.words(fresh))))
-        known = self.known
-        known.update((w, v) for w, v in made.items() if len(w) <= LONGEST_REMEMBERED)
-        long = {w: v for w, v in made.items() if len(w) > LONGEST_REMEMBERED}
-        return [",".join([known[w] if len(w) <= LONGEST_REMEMBERED else long[w] for w in p]) for p in parts]
+            self.known, fresh = {}, list(words)
+        name = self.model.digits.__getitem__
+        self.known.update(zip(fresh, [",".join(map(name, ids)) for ids in self.model.words([MARK + w for w in fresh])]))
+        self.long = [w for w in fresh if len(w) > LONGEST_REMEMBERED]
 
 
 def _starter(path: str, keep_ids: bool):
