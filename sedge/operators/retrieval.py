@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..sources.shared import BROADCAST_ROWS, small, stored
+from ..sources.shared import small, stored
+from .keyword_index import Index, build_index, search
 
-#: Weights of a block of queries, and blocks, that are held against all chunks as
-#: matrices.
-CELLS, BLOCKS = 4_000_000, 8
+#: Terms of a block of queries, and blocks, that are put to an index; and terms of all
+#: corpora together.
+CELLS, BLOCKS, CORPUS_TERMS = 400_000, 8, 2_000_000
 NORM_FLOOR = 1e-10
 
 
@@ -25,129 +26,39 @@ def keyword_search(chunks: DataFrame, queries: DataFrame, k: int = 10, by: str |
     the sum itself.  With ``by``, a column of the chunks, each of its values is a
     corpus of its own that every query is put to.
 
-    Query sets of up to ``CELLS`` weights (queries times terms) a block, in up to
-    ``BLOCKS`` blocks, are held against the chunks as matrix products, and only the
-    best of a partition leave it; larger sets meet the chunks by term."""
+    The chunks are indexed first (``keyword_index``); to search an index that is there,
+    use ``search_index``."""
+    return search_index(build_index(chunks, by), queries, k)
+
+
+def search_index(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
+    """Top ``k`` chunks of each query by an index, in as many blocks of ``CELLS`` query
+    terms as it takes; sets of more than ``BLOCKS`` blocks meet the postings by term."""
     asked = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    asked = stored(asked, "asked")
-    keys = [by] if by else []
-    size = asked.agg(F.countDistinct("query_id").alias("q"), F.countDistinct("term").alias("t"), F.count("*").alias("n")).first()
-    cells = size.q * size.t
-    if size.n <= BROADCAST_ROWS * 5 and cells <= CELLS * BLOCKS:
-        scores = _by_matrix(chunks, asked, k, keys, -(-cells // CELLS))
+    asked, keys = stored(asked, "asked"), index.keys
+    size = asked.agg(F.countDistinct("term").alias("t"), F.count("*").alias("n")).first()
+    if size.n <= CELLS * BLOCKS and (not keys or index.sizes().count() * size.t <= CORPUS_TERMS):
+        scores = search(index, asked, k, max(1, -(-size.n // CELLS)))
     else:
-        scores = _by_terms(chunks, asked, keys)
+        scores = _by_terms(index, asked)
     order = Window.partitionBy(*keys, "query_id").orderBy(F.desc(F.round("raw", 9)), "chunk_id")
     top = scores.where("raw > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     best = F.max("raw").over(Window.partitionBy(*keys, "query_id"))
     return top.select(*keys, "query_id", "rank", "chunk_id", F.round(F.col("raw") / best, 6).alias("score"), F.round("raw", 6).alias("raw"))
 
 
-def _by_terms(chunks: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+def _by_terms(index: Index, asked: DataFrame) -> DataFrame:
     """Scores by joins on terms: a row for each term that a chunk and a query share."""
-    wanted = small(asked.select("term").distinct())
-    # The words are a column before they are exploded: beside the generator their
-    # expression would run again for each row that it gives.
-    worded = chunks.select(*keys, "chunk_id", terms(F.col("content")).alias("words"))
-    sized = worded.select(*keys, "chunk_id", F.size("words").alias("len"), F.explode("words").alias("term"))
-    counted = sized.join(wanted, "term", "left_semi").groupBy(*keys, "chunk_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = counted.groupBy(*keys, "term").agg(F.count("*").alias("df"))
-    n = chunks.groupBy(*keys).agg(F.count("*").alias("n"))
-    scored = counted.join(df, [*keys, "term"]).join(small(asked), "term")
-    scored = scored.join(small(n), keys) if keys else scored.join(F.broadcast(n))
+    keys = index.keys
+    rows = index.postings().join(small(asked.select("term").distinct()), "term", "left_semi")
+    df = rows.groupBy(*keys, "term").agg(F.sum("n").alias("df"))
+    met = rows.select(*keys, "shard", "term", F.explode(F.arrays_zip("places", "shares")).alias("p")).select(*keys, "shard", "term", "p.places", "p.shares")
+    scored = met.join(df, [*keys, "term"]).join(small(asked), "term")
+    scored = scored.join(small(index.sizes()), keys) if keys else scored.join(F.broadcast(index.sizes()))
     idf = F.log((F.col("n") + 1) / (F.col("df") * F.col("times") + 1)) + 1
-    return scored.groupBy(*keys, "query_id", "chunk_id").agg(F.sum(F.col("times") * F.col("tf") / F.col("len") * idf).alias("raw"))
-
-
-def _by_matrix(chunks: DataFrame, asked: DataFrame, k: int, keys: list[str], blocks: int) -> DataFrame:
-    """Scores by products of a batch's term shares with the queries' weights: the
-    best ``k`` of each partition, blocks of queries one after another."""
-    from ..shipping import ship
-
-    spark = chunks.sparkSession
-    ship(spark)
-    wanted = F.broadcast(asked.select("term").distinct())
-    words = chunks.select(*keys, F.array_distinct(terms(F.col("content"))).alias("words")).select(*keys, F.explode("words").alias("term"))
-    found: dict = {}
-    # Both tables are bounded by the query set and by the corpora asked.
-    for row in words.join(wanted, "term", "left_semi").groupBy(*keys, "term").agg(F.count("*").alias("df")).toLocalIterator():
-        found.setdefault(row[0] if keys else None, {})[row.term] = row.df
-    sizes = {(row[0] if keys else None): row.n for row in chunks.groupBy(*keys).agg(F.count("*").alias("n")).collect()}
-    rows = asked.orderBy("query_id", "term").collect()
-    ids = sorted({r.query_id for r in rows}, key=str)
-    kind = asked.schema["query_id"].dataType.simpleString()
-    slot = f"`{keys[0]}` {chunks.schema[keys[0]].dataType.simpleString()}, " if keys else ""
-    chunk_kind = chunks.schema["chunk_id"].dataType.simpleString()
-    schema = f"{slot}query_id {kind}, chunk_id {chunk_kind}, raw double"
-    out, step = None, -(-len(ids) // max(1, blocks))
-    for at in range(0, len(ids), max(1, step)):
-        own = set(ids[at : at + step])
-        held = spark.sparkContext.broadcast(([(r.query_id, r.term, r.times) for r in rows if r.query_id in own], found, sizes))
-        part = chunks.select(*keys, "chunk_id", "content").mapInArrow(_best_of(held, k, bool(keys), schema), schema)
-        out = part if out is None else out.union(part)
-    return out if out is not None else spark.createDataFrame([], schema)
-
-
-def _best_of(held, k: int, slotted: bool, schema: str):
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    out = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches):
-        import re
-
-        import numpy as np
-        import pyarrow as pa
-
-        rows, found, sizes = held.value
-        queries = list(dict.fromkeys(q for q, _, _ in rows))
-        place = {q: n for n, q in enumerate(queries)}
-        column: dict[str, int] = {}
-        for _, t, _ in rows:
-            column.setdefault(t, len(column))
-        split, weights, best = re.compile("[a-z]+"), {}, {}
-
-        def weight(slot):
-            if slot not in weights:
-                w, df, n = np.zeros((len(column), len(queries))), found.get(slot, {}), sizes.get(slot, 0)
-                for q, t, times in rows:
-                    if t in df:
-                        w[column[t], place[q]] = times * (np.log((n + 1) / (df[t] * times + 1)) + 1)
-                weights[slot] = w
-            return weights[slot]
-
-        for batch in batches:
-            slots = batch.column(0).to_pylist() if slotted else [None] * batch.num_rows
-            ids, texts = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            for slot in set(slots):
-                own = [j for j in range(len(ids)) if slots[j] == slot]
-                for start in range(0, len(own), 500):
-                    part = own[start : start + 500]
-                    shares = np.zeros((len(part), len(column)))
-                    for r, j in enumerate(part):
-                        words = [w for w in split.findall((texts[j] or "").lower()) if len(w) > 1]
-                        for w in words:
-                            if (c := column.get(w)) is not None:
-                                shares[r, c] += 1
-                        if words:
-                            shares[r] /= len(words)
-                    raw = shares @ weight(slot)
-                    key = np.round(raw, 9)
-                    for q in range(len(queries)):
-                        scores = key[:, q]
-                        met = np.flatnonzero(raw[:, q] > 0)
-                        if len(met) > k:
-                            least = np.partition(scores[met], len(met) - k)[len(met) - k]
-                            met = met[scores[met] >= least]
-                        if len(met):
-                            kept = best.get((slot, q), []) + [(-scores[m], ids[part[m]], raw[m, q]) for m in met.tolist()]
-                            best[slot, q] = sorted(kept)[:k]
-        flat = [(*([slot] if slotted else []), queries[q], i, float(r)) for (slot, q), kept in best.items() for _, i, r in kept]
-        columns = list(zip(*flat)) or [[] for _ in out]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
-
-    return run
+    sums = scored.groupBy(*keys, "query_id", "shard", "places").agg(F.sum(F.col("times") * F.col("shares") * idf).alias("raw"))
+    named = index.rows.where("term IS NULL").select("shard", "chunks")
+    return sums.join(named, "shard").select(*keys, "query_id", F.get("chunks", F.col("places")).alias("chunk_id"), "raw")
 
 
 # ------------------------------------------------------------------- vectors

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sedge.operators import retrieval
+from sedge.operators import keyword_index, retrieval
 
 
 def unit_clusters(r, centres, each, width, spread):
@@ -49,3 +49,68 @@ def test_work_grows_below_the_square_on_clustered_vectors(spark):
         met[centres], of[centres] = retrieval.block_pairs(blocks, blocks, 0.8).count(), blocks.count() ** 2
         print(f"{centres * 50} vectors: {of[centres] - met[centres]} of {of[centres]} pairs of blocks passed over")
     assert met[32] <= 8 * met[8] and met[32] < 0.2 * of[32]
+
+
+def brute_hits(chunks, queries, k):
+    """{(query, rank): chunk} by whole sums."""
+    import math
+    import re
+    from collections import Counter
+
+    split = lambda t: [w for w in re.findall("[a-z]+", (t or "").lower()) if len(w) > 1]
+    words = {c: Counter(split(t)) for c, t in chunks}
+    df = Counter(w for x in words.values() for w in x)
+    out = {}
+    for q, text in queries:
+        asked, scores = Counter(split(text)), {}
+        for c, x in words.items():
+            n = x.total()
+            s = sum(times * x[t] / n * (math.log((len(words) + 1) / (df[t] * times + 1)) + 1) for t, times in asked.items() if t in x)
+            if s > 0:
+                scores[c] = s
+        for r, c in enumerate(sorted(scores, key=lambda c: (-round(scores[c], 9), c))[:k]):
+            out[q, r + 1] = c
+    return out
+
+
+def zipf_text(r, n, kinds):
+    return " ".join(f"w{''.join(chr(97 + int(d)) for d in str(int(kinds ** r.random())))}" for _ in range(n))
+
+
+@pytest.mark.parametrize("shard,block", [(4096, 64), (40, 4)])
+def test_index_gives_the_exact_best(spark, monkeypatch, shard, block):
+    monkeypatch.setattr(keyword_index, "SHARD", shard)
+    monkeypatch.setattr(keyword_index, "POSTINGS", block)
+    monkeypatch.setattr(keyword_index.best_of, "__defaults__", (block,))
+    r = random.Random(33)
+    chunks = [(f"c{k:04d}", zipf_text(r, r.randint(0, 60), 900)) for k in range(600)] + [("d1", None), ("d2", "")] + [(f"e{k}", "same few words") for k in range(20)]
+    queries = [(k, zipf_text(r, r.randint(0, 12), 900)) for k in range(40)] + [(90, "same words"), (91, "wb " * 9), (92, None)]
+    df = spark.createDataFrame(chunks, "chunk_id string, content string").repartition(4)
+    index = keyword_index.build_index(df)
+    asked = spark.createDataFrame(queries, "query_id int, query string")
+    got = {(x.query_id, x.rank): x.chunk_id for x in retrieval.search_index(index, asked, 5).collect()}
+    assert got == brute_hits(chunks, queries, 5)
+    assert retrieval.keyword_search(df.limit(0), asked, 5).count() == 0
+    assert retrieval.search_index(index, asked.limit(0), 5).count() == 0
+
+
+def test_index_is_written_once_and_stops_early(spark, tmp_path):
+    """Two query sets over one folder; postings behind the bounds are not read."""
+    r = random.Random(34)
+    common = ["".join(r.choices("abcdefghij", k=4)) for _ in range(200)]
+    topic = lambda k: "topic" + "".join(chr(97 + int(d)) for d in str(k % 500))
+    chunks = [(f"c{k:05d}", " ".join([*r.sample(common, 40), *[topic(k)] * r.randint(3, 5)])) for k in range(4000)]
+    df = spark.createDataFrame(chunks, "chunk_id string, content string").repartition(2)
+    folder = f"file://{tmp_path}/index"
+    keyword_index.build_index(df, folder=folder)
+    index = keyword_index.open_index(spark, folder)
+    for seed in (1, 2):
+        q = random.Random(seed)
+        queries = [(k, " ".join([topic(q.randrange(500)), *q.sample(common, 4)])) for k in range(15)]
+        asked = spark.createDataFrame(queries, "query_id int, query string")
+        got = {(x.query_id, x.rank): x.chunk_id for x in retrieval.search_index(index, asked, 3).collect()}
+        assert got == brute_hits(chunks, queries, 3)
+        weights = asked.select("query_id", F.explode(retrieval.terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+        read, every = keyword_index.postings_read(index, weights, 3)
+        print(f"{read} of {every} postings read")
+        assert 0 < read < 0.6 * every
