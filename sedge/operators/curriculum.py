@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, strip
-from ..sources.shared import Rounds, stored
-from .retrieval import small
+from ..sources.shared import Rounds, shared_folder, small, stored
+from .set_index import SetIndex, add_sets, bucket_of, build_sets, load_by, near_sets, save_by
 
 # Metadata fields, their patterns, formats and profiles.
 FIELDS = {
@@ -375,27 +376,117 @@ def conflicts(examples: DataFrame, threshold: float = 0.7, keys: tuple = ("disci
     in question and answer (named by the smallest id), and the number of classes whose
     questions are alike and whose answers are not.
 
-    Of the classes with a question alike, those with an answer alike are taken off:
-    both are sparse joins, so a question with many answers makes no pairs of them.
     With ``new``, only examples that meet it are asked about, against all."""
-    rows = examples.select("example_id", *keys, question_tokens(F.col("question")).alias("q"), question_tokens(F.col("answer")).alias("a"), (F.lit(True) if new is None else new).alias("asked"))
-    rows = rows.withColumns({"qc": set_class(F.col("q")), "ac": set_class(F.col("a"))})
+    rows = _classed(examples, keys).withColumn("asked", F.lit(True) if new is None else new)
     by = [*keys, "qc", "ac"]
     classes = stored(rows.groupBy(*by).agg(F.min("example_id").alias("class_id"), F.max("asked").alias("asked"), F.first("q").alias("q"), F.first("a").alias("a")), "classes")
-    sets = lambda of, key, c: of.groupBy(*keys, F.col(key).alias("cls")).agg(F.first(c).alias("tokens"))
     asked = classes.where("asked")
-    near_q = stored(similar_sets(sets(asked, "qc", "q"), sets(classes, "qc", "q"), keys, threshold), "questions")
-    near_a = similar_sets(sets(asked, "ac", "a"), sets(classes, "ac", "a"), keys, threshold)
-    counts = classes.groupBy(*keys, F.col("qc").alias("cls2")).agg(F.count("*").alias("n"))
-    met = near_q.join(counts, [*keys, "cls2"]).groupBy(*keys, F.col("cls").alias("qc")).agg(F.sum("n").alias("met"))
-    # Classes alike in both: by the near questions and the near answers of a class.
-    pairs = asked.select(*by).join(near_q.select(*keys, F.col("cls").alias("qc"), F.col("cls2").alias("qc2")), [*keys, "qc"])
-    pairs = pairs.join(near_a.select(*keys, F.col("cls").alias("ac"), F.col("cls2").alias("ac2")), [*keys, "ac"])
-    same = pairs.join(classes.select(*keys, F.col("qc").alias("qc2"), F.col("ac").alias("ac2")), [*keys, "qc2", "ac2"], "left_semi").groupBy(*by).agg(F.count("*").alias("same"))
-    links = asked.select(*by, "class_id").join(met, [*keys, "qc"]).join(same, by).select(*by, "class_id", (F.col("met") - F.col("same")).alias("links"))
+    near_q = stored(similar_sets(_sets(asked, "qc", "q", keys), _sets(classes, "qc", "q", keys), keys, threshold), "questions")
+    near_a = stored(similar_sets(_sets(asked, "ac", "a", keys), _sets(classes, "ac", "a", keys), keys, threshold), "answers")
+    links = _links(asked.select(*by, "class_id"), classes, classes, near_q, near_a, keys)
     return rows.where("asked").join(links, by).select("example_id", "class_id", "links")
 
 
+def _classed(examples: DataFrame, keys: tuple) -> DataFrame:
+    rows = examples.select("example_id", *keys, question_tokens(F.col("question")).alias("q"), question_tokens(F.col("answer")).alias("a"))
+    return rows.withColumns({"qc": set_class(F.col("q")), "ac": set_class(F.col("a"))})
+
+
+def _sets(of: DataFrame, key: str, c: str, keys: tuple) -> DataFrame:
+    return of.groupBy(*keys, F.col(key).alias("cls")).agg(F.first(c).alias("tokens"))
+
+
+def _links(asked: DataFrame, by_question: DataFrame, by_answer: DataFrame, near_q: DataFrame, near_a: DataFrame, keys: tuple) -> DataFrame:
+    """(keys, qc, ac, class_id, links) of the classes that are asked about: the classes
+    with a question alike less those that have an answer alike as well.
+
+    Those are counted from the side of a class that has fewer classes alike, of which
+    each is a row that is looked up on the other side: near questions never meet near
+    answers as a product.  ``by_question`` and ``by_answer`` hold all classes."""
+    by = [*keys, "qc", "ac"]
+
+    def alike(near: DataFrame, classes: DataFrame, side: str, name: str) -> DataFrame:
+        counts = classes.groupBy(*keys, F.col(side).alias("cls2")).agg(F.count("*").alias("n"))
+        return near.join(counts, [*keys, "cls2"]).groupBy(*keys, F.col("cls").alias(side)).agg(F.sum("n").alias(name))
+
+    sized = asked.join(alike(near_q, by_question, "qc", "met"), [*keys, "qc"]).join(alike(near_a, by_answer, "ac", "met_a"), [*keys, "ac"])
+    sized = stored(sized, "sized")
+
+    def same(rows: DataFrame, near: DataFrame, other: DataFrame, classes: DataFrame, side: str, beyond: str) -> DataFrame:
+        met = rows.select(*by).join(near.select(*keys, F.col("cls").alias(side), F.col("cls2").alias(f"{side}2")), [*keys, side])
+        met = met.join(classes.select(*keys, F.col(side).alias(f"{side}2"), F.col(beyond).alias(f"{beyond}2")), [*keys, f"{side}2"])
+        return met.join(other.select(*keys, F.col("cls").alias(beyond), F.col("cls2").alias(f"{beyond}2")), [*keys, beyond, f"{beyond}2"], "left_semi").select(*by)
+
+    fewer = F.col("met") <= F.col("met_a")
+    both = same(sized.where(fewer), near_q, near_a, by_question, "qc", "ac").union(same(sized.where(~fewer), near_a, near_q, by_answer, "ac", "qc"))
+    both = both.groupBy(*by).agg(F.count("*").alias("same"))
+    return sized.join(both, by).select(*by, "class_id", (F.col("met") - F.col("same")).alias("links"))
+
+
+@dataclass(frozen=True)
+class ConflictIndex:
+    """Stored questions, answers and classes that batches are checked against."""
+
+    questions: SetIndex
+    answers: SetIndex
+    folder: str
+    like: DataFrame  # an empty table of classes
+
+    def classes(self, side: str, near: DataFrame) -> DataFrame:
+        """The classes in the buckets of the near sets of one side."""
+        rows = load_by(self.like.sparkSession, f"{self.folder}/classes-{side}", self.like, near.select(bucket_of("cls2").alias("bucket")))
+        return rows.drop("bucket")
+
+
+def index_examples(examples: DataFrame, threshold: float = 0.7, keys: tuple = ("discipline",), folder: str | None = None) -> ConflictIndex:
+    """An index of a corpus of examples, to check and add batches."""
+    folder = folder or shared_folder(examples.sparkSession, "conflict-index")
+    classes = stored(_with_ids(_classed(examples, keys), keys), "classes")
+    questions = build_sets(_sets(classes, "qc", "q", keys), keys, threshold, f"{folder}/questions")
+    answers = build_sets(_sets(classes, "ac", "a", keys), keys, threshold, f"{folder}/answers")
+    index = ConflictIndex(questions, answers, folder, classes.select(*keys, "qc", "ac", "class_id").limit(0))
+    _save_classes(index, classes, "error")
+    return index
+
+
+def _with_ids(rows: DataFrame, keys: tuple) -> DataFrame:
+    return rows.groupBy(*keys, "qc", "ac").agg(F.min("example_id").alias("class_id"), F.first("q").alias("q"), F.first("a").alias("a"))
+
+
+def _save_classes(index: ConflictIndex, classes: DataFrame, mode: str) -> None:
+    for side in ("qc", "ac"):
+        save_by(classes.select(index.like.columns), bucket_of(side), f"{index.folder}/classes-{side}", mode)
+
+
+def check_batch(index: ConflictIndex, examples: DataFrame, add: bool = False) -> DataFrame:
+    """``conflicts`` of a batch of new examples against the index and the batch; with
+    ``add`` the batch is then part of the index.
+
+    Of the index only the buckets are read in which something near the batch can lie."""
+    keys = index.questions.keys
+    by = [*keys, "qc", "ac"]
+    rows = stored(_classed(examples, keys), "batch")
+    own = stored(_with_ids(rows, keys), "batch-classes")
+    near_q = stored(near_sets(index.questions, _sets(own, "qc", "q", keys)), "questions")
+    near_a = stored(near_sets(index.answers, _sets(own, "ac", "a", keys)), "answers")
+    every = {side: _merged(index.classes(side, near).unionByName(own.select(index.like.columns)), by) for side, near in (("qc", near_q), ("ac", near_a))}
+    asked = every["qc"].join(own.select(*by), by, "left_semi")
+    links = _links(asked, every["qc"], every["ac"], near_q, near_a, keys)
+    out = rows.join(links, by).select("example_id", "class_id", "links")
+    if add:
+        out = stored(out, "checked")
+        add_sets(index.questions, _sets(own, "qc", "q", keys))
+        add_sets(index.answers, _sets(own, "ac", "a", keys))
+        # Classes that are there already come again, perhaps with a smaller id.
+        _save_classes(index, own, "append")
+    return out
+
+
+def _merged(classes: DataFrame, by: list[str]) -> DataFrame:
+    """Classes once, named by the smallest id."""
+    return stored(classes.groupBy(*by).agg(F.min("class_id").alias("class_id")), "merged-classes")
+
+
 def citation_forms(examples: DataFrame) -> DataFrame:
     """Citations written in more than one way, and who writes them."""
     rows = examples.select("example_id", F.explode(F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "question", "answer"), F.lit(CITATION), F.lit(0)))).alias("form"))

@@ -486,8 +486,9 @@ def conflicts(spark, sf_dir):
 
 @query("f31_check_new_examples", statement(f", {_NEAR}\nSELECT example_id, class_id, links FROM clashes WHERE ends_with(example_id, '*')", "examples"))
 def check_new_examples(spark, sf_dir):
-    """The rows that are new, marked by a star, against all."""
-    return C.conflicts(_copies(spark, sf_dir), new=F.col("example_id").endswith("*"))
+    """The rows that are new, marked by a star, as a batch against an index of the others."""
+    rows, new = _copies(spark, sf_dir), F.col("example_id").endswith("*")
+    return C.check_batch(C.index_examples(rows.where(~new)), rows.where(new))
 
 
 @query(

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sedge.operators import keyword_index, retrieval
+from sedge.operators import curriculum, keyword_index, retrieval, set_index
 
 
 def unit_clusters(r, centres, each, width, spread):
@@ -114,3 +114,76 @@ def test_index_is_written_once_and_stops_early(spark, tmp_path):
         read, every = keyword_index.postings_read(index, weights, 3)
         print(f"{read} of {every} postings read")
         assert 0 < read < 0.6 * every
+
+
+def sentence(r, n=6):
+    return " ".join(r.choices("a b c d e f g h".split(), k=r.randint(0, n)))
+
+
+def test_batches_against_an_index_equal_the_rebuild(spark, tmp_path):
+    """Three batches, each added; copies, empty texts and new tokens among them."""
+    r = random.Random(35)
+    rows = [(f"e{k:03d}", k % 2, sentence(r), sentence(r)) for k in range(90)]
+    rows += [(f"d{k:03d}", 0, "the same question here", f"answer {k} is {'x' * k}") for k in range(15)] + [("a000", 1, rows[3][2], rows[3][3]), ("b000", None, "q", "a")]
+    schema = "example_id string, discipline int, question string, answer string"
+    frame = lambda part: spark.createDataFrame(part, schema)
+    parts = [rows[:60], rows[60:75], rows[75:100], rows[100:]]
+    index = curriculum.index_examples(frame(parts[0]), folder=f"file://{tmp_path}/index")
+    for k in (1, 2, 3):
+        ids = [x[0] for x in parts[k]]
+        want = curriculum.conflicts(frame([x for p in parts[: k + 1] for x in p]), new=F.col("example_id").isin(ids))
+        got = curriculum.check_batch(index, frame(parts[k]), add=True)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert curriculum.check_batch(index, frame(rows).limit(0)).count() == 0
+    empty = curriculum.index_examples(frame(rows).limit(0))
+    assert sorted(map(tuple, curriculum.check_batch(empty, frame(rows)).collect())) == sorted(map(tuple, curriculum.conflicts(frame(rows)).collect()))
+
+
+def test_a_batch_reads_its_buckets_only(spark, tmp_path):
+    rows = spark.createDataFrame([(0, f"s{k}", [f"t{k}", f"u{k}", f"v{k}"]) for k in range(400)], "discipline int, cls string, tokens array<string>")
+    index = set_index.build_sets(rows, ("discipline",), 0.7, f"file://{tmp_path}/sets")
+    batch = spark.createDataFrame([(0, "new", ["t7", "u7", "v7"])], "discipline int, cls string, tokens array<string>")
+    wanted = set_index._prefixes(index, batch).select(set_index.bucket_of("t").alias("bucket"))
+    read = {f.rsplit("/", 2)[1] for f in index.prefixes(wanted).select(F.input_file_name().alias("f")).distinct().toPandas()["f"]}
+    assert len(read) <= wanted.distinct().count() < set_index.BUCKETS / 4
+    assert {(x.cls, x.cls2) for x in set_index.near_sets(index, batch).collect()} == {("new", "s7"), ("new", "new")}
+
+
+def test_near_questions_and_near_answers_make_no_product(spark):
+    """A class with 1,000 near questions and 1,000 near answers."""
+    base = [f"w{j}" for j in range(20)]
+    rows = [("a0", 0, " ".join(base), " ".join(f"v{j}" for j in range(20)))]
+    rows += [(f"q{k:04d}", 0, " ".join([*base, f"x{k}"]), f"answer number {k} is z{k}") for k in range(1000)]
+    rows += [(f"r{k:04d}", 0, f"other question of y{k} and {k}", " ".join([*(f"v{j}" for j in range(20)), f"x{k}"])) for k in range(1000)]
+    df = spark.createDataFrame(rows, "example_id string, discipline int, question string, answer string")
+    classes = curriculum.stored(curriculum._with_ids(curriculum._classed(df, ("discipline",)), ("discipline",)), "classes")
+    own = classes.where("class_id = 'a0'")
+    near = [curriculum.stored(curriculum.similar_sets(curriculum._sets(own, c, t, ("discipline",)), curriculum._sets(classes, c, t, ("discipline",)), ("discipline",), 0.7), c) for c, t in (("qc", "q"), ("ac", "a"))]
+    assert [x.count() for x in near] == [1001, 1001]
+    links = curriculum._links(own.select("discipline", "qc", "ac", "class_id"), classes, classes, *near, ("discipline",))
+    assert links.first().links == 1000
+    made = _largest_join(spark, links)
+    assert made <= 5000
+
+
+def _largest_join(spark, df):
+    """The most rows that a join of the finished plan gives."""
+    df.write.format("noop").mode("overwrite").save()
+    df = df.select("*")
+    df.collect()
+    plan, most = df._jdf.queryExecution().executedPlan(), 0
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in name:
+            todo.append(node.plan())
+            continue
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return most
