@@ -2,21 +2,55 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, tokens
+from .registry import register_model, register_strategy, sizer, strategy
 
 # References that point out of a chunk.
 ORPHAN_REFERENCES = (
     r"\bsee above\b", r"\bsee below\b", r"\bas shown above\b", r"\bas shown below\b", r"\bas mentioned\b",
     r"\bthe following\b$", r"^the above\b", r"\brefer to\s*$",
 )
+# Words that a chunk should not begin with.
 BAD_STARTS = ("and ", "or ", "but ", "however, ", "therefore, ")
 #: Weights of the parts of a chunk's quality.
 WEIGHTS = {"token_range": 0.25, "sentences": 0.20, "hierarchy": 0.25, "tables": 0.15, "references": 0.15}
 
 
+def _size(text: str) -> int:
+    return max(1, len(text) // 4) if text else 0
+
+
+def estimate(c: Column) -> Column:
+    """The default token counter."""
+    return tokens(c)
+
+
+estimate.plain = _size
+
+
+def count_words(c: Column) -> Column:
+    """Words as tokens."""
+    return F.size(F.filter(F.split(c, r"[ \t\n\x0B\f\r]+"), lambda x: x != "")).cast("bigint")
+
+
+count_words.plain = lambda text: len([w for w in re.split(r"[ \t\n\x0B\f\r]+", text) if w])
+#: Words and signs, as a vectorised model.
+PIECES = r"\w+|[^\w\s]"
+register_strategy("token_counter", "estimate", estimate)
+register_strategy("token_counter", "words", count_words)
+register_model("token_counter", "pieces", lambda: re.compile(PIECES), lambda pattern, texts: [len(pattern.findall(t)) for t in texts])
+
+
+def counted(blocks: DataFrame, counter: str) -> DataFrame:
+    """Blocks with their tokens by a registered counter."""
+    return blocks if counter == "estimate" else blocks.withColumn("tokens", strategy("token_counter", counter)(F.col("content")).cast("bigint"))
+
+
 def folded(rows: DataFrame, by: tuple, item: list[str], fold, schema: str) -> DataFrame:
     """Fold each group's rows in the order of their first field.
 
@@ -103,8 +137,10 @@ def pack(blocks: DataFrame, max_tokens: int, target: int | None = None, by: tupl
     return folded(rows, by, ["pos", "tokens", "alone"], fold, f"pos {kind}, group_no int")
 
 
-def fixed_chunks(blocks: DataFrame, max_tokens: int = 200, target: int = 150, overlap: int = 20, min_tokens: int = 20) -> DataFrame:
-    """Chunks of packed blocks that overlap by whole blocks."""
+def fixed_chunks(blocks: DataFrame, max_tokens: int = 200, target: int = 150, overlap: int = 20, min_tokens: int = 20, counter: str = "estimate") -> DataFrame:
+    """Chunks of packed blocks that overlap by whole blocks; ``counter`` names the
+    token counter."""
+    blocks = counted(blocks, counter)
     groups = pack(blocks, max_tokens, target, overlap=overlap, min_tokens=min_tokens)
     rows = blocks.join(groups, ["doc_id", "pos"])
     parts = F.array_sort(F.collect_list(F.struct("pos", "content")))
@@ -118,11 +154,14 @@ def split_sentences(c: Column) -> Column:
     return F.split(c, r"(?<=[.!?])\s+")
 
 
-def hierarchy_chunks(blocks: DataFrame, max_tokens: int = 400, target: int = 200) -> DataFrame:
+def hierarchy_chunks(blocks: DataFrame, max_tokens: int = 400, target: int = 200, counter: str = "estimate") -> DataFrame:
     """A section that fits is one chunk; others are packed in groups by target,
-    the heading with the first; blocks over the limit are cut at sentences."""
+    the heading with the first; blocks over the limit are cut at sentences.
+    ``counter`` names the token counter."""
     from .sections import assign_sections
 
+    blocks, tokens = counted(blocks, counter), strategy("token_counter", counter)
+
     rows = assign_sections(blocks).select("doc_id", "section_no", "pos", "type", "content", "tokens")
     long = (F.col("tokens") > max_tokens) & ~F.col("type").isin("table", "code")
     pieces = F.when(long, split_sentences(F.col("content"))).otherwise(F.array("content"))
@@ -143,14 +182,10 @@ def hierarchy_chunks(blocks: DataFrame, max_tokens: int = 400, target: int = 200
 SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ")
 
 
-def _size(text: str) -> int:
-    return max(1, len(text) // 4) if text else 0
-
-
-def _recursive(text: str, target: int, at: int = 0) -> list[str]:
+def _recursive(text: str, target: int, at: int = 0, size=_size) -> list[str]:
     """Pieces of ``target`` tokens or fewer, cut at the coarsest separators that do;
     what has none is cut by characters.  Pieces that fit together are joined."""
-    if _size(text) <= target:
+    if size(text) <= target:
         return [text]
     while at < len(SEPARATORS):
         sep, at = SEPARATORS[at], at + 1
@@ -160,8 +195,8 @@ def _recursive(text: str, target: int, at: int = 0) -> list[str]:
             # A part ends with this separator, so finer ones cut it.
             out: list[str] = []
             room = -1
-            for piece in (q for p in parts for q in _recursive(p, target, at)):
-                n = _size(piece)
+            for piece in (q for p in parts for q in _recursive(p, target, at, size)):
+                n = size(piece)
                 if n <= room:
                     out[-1] += piece
                     room -= n
@@ -169,20 +204,34 @@ def _recursive(text: str, target: int, at: int = 0) -> list[str]:
                     out.append(piece)
                     room = target - n
             return out
-    return [text[k : k + 4 * target] for k in range(0, len(text), 4 * target)]
-
-
-def recursive_chunks(blocks: DataFrame, target: int = 150, min_tokens: int = 20, max_tokens: int = 200, overlap: int = 20) -> DataFrame:
+    if size is _size:
+        return [text[k : k + 4 * target] for k in range(0, len(text), 4 * target)]
+    out = []
+    while text:
+        # The longest beginning that fits, one character at least.
+        low, high = 1, len(text)
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if size(text[:middle]) <= target else (low, middle - 1)
+        out.append(text[:low])
+        text = text[low:]
+    return out
+
+
+def recursive_chunks(blocks: DataFrame, target: int = 150, min_tokens: int = 20, max_tokens: int = 200, overlap: int = 20, counter: str = "estimate") -> DataFrame:
     """Blocks cut at the coarsest separators that make pieces small enough; small
     pieces joined with the next, the last words of each put before the next.
 
     Tables and code stand alone.  The recursion goes text by text; Spark deals
-    documents to tasks in batches."""
+    documents to tasks in batches.  ``counter`` names the token counter."""
+    load = sizer(counter)
 
     def fold(items):
+        # Loaded once in a worker.
+        _size = fold.size = getattr(fold, "size", None) or load()
         chunks: list[str] = []
         for _, alone, content in items:
-            pieces = [content] if alone else [p.strip() for p in _recursive(content, target) if p.strip()]
+            pieces = [content] if alone else [p.strip() for p in _recursive(content, target, 0, _size) if p.strip()]
             for piece in pieces:
                 joined = f"{chunks[-1]}\n\n{piece}" if chunks else ""
                 if chunks and _size(chunks[-1]) < min_tokens and _size(joined) <= max_tokens:
@@ -272,19 +321,25 @@ def score_references(content: Column) -> Column:
     return F.when(out, 0.6).otherwise(1.0)
 
 
-def quality(chunks: DataFrame) -> DataFrame:
-    """The five scores of each chunk and their weighted sum."""
-    rows = chunks.withColumns(
-        {
-            "token_range": score_token_range(F.col("token_count")),
-            "sentences": score_sentences(F.col("content")),
-            "hierarchy": score_hierarchy(F.col("last_type"), F.col("has_heading"), F.col("has_content")),
-            "tables": F.when(F.col("has_broken_table"), 0.7).otherwise(1.0),
-            "references": score_references(F.col("content")),
-        }
-    )
-    overall = sum((F.col(k) * w for k, w in WEIGHTS.items()), F.lit(0.0))
-    return rows.withColumn("overall", F.round(overall, 6))
+for _name, _scorer in {
+    "token_range": lambda: score_token_range(F.col("token_count")),
+    "sentences": lambda: score_sentences(F.col("content")),
+    "hierarchy": lambda: score_hierarchy(F.col("last_type"), F.col("has_heading"), F.col("has_content")),
+    "tables": lambda: F.when(F.col("has_broken_table"), 0.7).otherwise(1.0),
+    "references": lambda: score_references(F.col("content")),
+}.items():
+    register_strategy("scorer", _name, _scorer)
+
+
+def quality(chunks: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """The scores of each chunk by registered scorers and their weighted sum.  A scorer
+    gives a column of the chunk's columns; one that is a model gets the content."""
+    made = {}
+    for name in weights:
+        scorer = strategy("scorer", name)
+        made[name] = scorer(F.col("content")) if hasattr(scorer, "load") else scorer()
+    overall = sum((F.col(k) * w for k, w in weights.items()), F.lit(0.0))
+    return chunks.withColumns(made).withColumn("overall", F.round(overall, 6))
 
 
 def mean_score(column: str = "overall") -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..sources.shared import small, stored
 from .keyword_index import Index, build_index, search
+from .registry import Model, dimension_of, register_model, register_strategy, strategy
 
 #: Terms of a block of queries, and blocks, that are put to an index; and terms of all
 #: corpora together.
@@ -358,14 +359,82 @@ def first_sentence(prompt: Column, content: Column) -> Column:
     return F.regexp_extract(content, r"^([^.!?]*[.!?]?)", 1)
 
 
-def batch_answers(packed_: DataFrame, queries: DataFrame, best: DataFrame, answer=first_sentence) -> DataFrame:
-    """Prompts and answers of all queries; ``answer`` is a model's column function of
-    the prompt and the best hit's content."""
+def batch_answers(packed_: DataFrame, queries: DataFrame, best: DataFrame, answer: str = "first_sentence") -> DataFrame:
+    """Prompts and answers of all queries; ``answer`` names the registered model, of the
+    prompt and the best hit's content."""
+    answer = strategy("model", answer)
     rows = packed_.join(queries, "query_id").join(best.select("query_id", "content"), "query_id")
     rows = rows.withColumn("prompt", build_prompt(F.col("context"), F.col("query")))
     return rows.select("query_id", "prompt", "sources", answer(F.col("prompt"), F.col("content")).alias("answer"))
 
 
+def _closest(_, prompts, contents):
+    import re
+
+    out = []
+    for prompt, content in zip(prompts, contents):
+        asked = set(re.findall(r"\w+", prompt.rpartition("\nQuestion: ")[2].lower()))
+        said = [s for s in re.split(r"(?<=[.!?])\s+", content) if s]
+        out.append(max(said, key=lambda s: len(asked & set(re.findall(r"\w+", s.lower()))), default=""))
+    return out
+
+
+register_strategy("model", "first_sentence", first_sentence)
+#: The best hit's sentence that has most words of the question, the first of equals.
+register_model("model", "closest_sentence", lambda: None, _closest)
+
+
+def _projection():
+    import numpy as np
+
+    return np.random.default_rng(20240101).normal(size=(1024, LETTERS_DIMENSION))
+
+
+def _letters(projection, texts):
+    import zlib
+
+    import numpy as np
+
+    out = np.zeros((len(texts), LETTERS_DIMENSION))
+    for k, t in enumerate(texts):
+        low = t.lower()
+        counts = np.bincount([zlib.crc32(low[j : j + 3].encode("utf-8", "surrogatepass")) % 1024 for j in range(len(low) - 2)], minlength=1024)
+        v = counts @ projection
+        out[k] = v / max(np.linalg.norm(v), NORM_FLOOR)
+    return out.astype(np.float32)
+
+
+LETTERS_DIMENSION = 64
+#: Groups of three letters, hashed and projected.
+register_model("embedder", "letters", _projection, _letters, LETTERS_DIMENSION)
+
+
+def hashed_terms(chunks: DataFrame) -> DataFrame:
+    """The embedding without a model: hashed term frequencies, scaled by rarity."""
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    rows = chunks.select("chunk_id", terms(F.col("content")).alias("terms"))
+    tf = HashingTF(inputCol="terms", outputCol="tf", numFeatures=256).transform(rows)
+    idf = IDF(inputCol="tf", outputCol="idf").fit(tf).transform(tf)
+    out = Normalizer(inputCol="idf", outputCol="vector").transform(idf)
+    return out.select("chunk_id", vector_to_array("vector").alias("embedding"))
+
+
+hashed_terms.dimension = 256
+register_strategy("embedder", "hashed_terms", hashed_terms)
+
+
+def embed(chunks: DataFrame, name: str, dimension: int | None = None) -> DataFrame:
+    """(chunk_id, embedding) of chunks by a registered embedder, of ``dimension`` if one
+    is wanted: that and the name are checked when the query is planned."""
+    dimension_of(name, dimension)
+    made = strategy("embedder", name)
+    if isinstance(made, Model):
+        return chunks.select("chunk_id", made(F.col("content")).alias("embedding"))
+    return made(chunks)
+
+
 PROMPT = "Use the context to answer.\n\nContext:\n{context}\n\nQuestion: {query}\nAnswer:"
 
 

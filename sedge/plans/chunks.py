@@ -295,6 +295,24 @@ def chunk_fixed(spark, sf_dir):
     return C.fixed_chunks(tables.outline_blocks(spark, sf_dir))
 
 
+@query("c18_chunk_fixed_by_words")
+def chunk_fixed_by_words(spark, sf_dir):
+    """Packed by a registered token counter."""
+    return C.fixed_chunks(tables.outline_blocks(spark, sf_dir), counter="words")
+
+
+@query("c21_chunk_recursive_by_pieces")
+def chunk_recursive_by_pieces(spark, sf_dir):
+    """Cut by a counter that is a vectorised model."""
+    return C.recursive_chunks(tables.outline_blocks(spark, sf_dir), counter="pieces")
+
+
+@query("c1_count_words", statement(r"SELECT block_id, CAST(len(list_filter(regexp_split_to_array(content, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS BIGINT) AS tokens FROM outline", "outline"))
+def count_words(spark, sf_dir):
+    """Tokens by the name of a counter."""
+    return C.counted(tables.outline_blocks(spark, sf_dir), "words").select("block_id", "tokens")
+
+
 @query("c19_chunk_hierarchy")
 def chunk_hierarchy(spark, sf_dir):
     return C.hierarchy_chunks(tables.outline_blocks(spark, sf_dir))

@@ -526,6 +526,13 @@ def register(spark, sf_dir):
     return strategy("chunker", "sections")(tables.outline_blocks(spark, sf_dir)).select("chunk_id", "token_count")
 
 
+@query("u1_custom_scorer", scored_sql("SELECT chunk_id, round(0.5 * sentences + 0.5 * CASE WHEN regexp_matches(content, '[0-9]') THEN 0.0 ELSE 1.0 END, 6) AS overall FROM scored"))
+def custom_scorer(spark, sf_dir):
+    """A scorer of one's own beside one that is there, each by its name."""
+    register_strategy("scorer", "no_digits", lambda: F.when(F.col("content").rlike("[0-9]"), 0.0).otherwise(1.0))
+    return C.quality(tables.chunks(spark, sf_dir), {"sentences": 0.5, "no_digits": 0.5}).select("chunk_id", "overall")
+
+
 @query("a2_read_text_docs", "SELECT CAST(sum(length(text) + 1) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS warnings FROM documents")
 def read_text_docs(spark, sf_dir):
     """Documents written as text files, found again and decoded."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
 from ..functions.text import strip
-from ..operators.registry import register_strategy, strategy
+from ..operators.retrieval import hashed_terms  # noqa: F401
 from ..operators.sections import page_chunks
 from ..sources import tables
 from ..sources.shared import stored
@@ -74,25 +74,16 @@ def search_in_documents(spark, sf_dir):
     return R.vector_search(v.where("label % 2 = 0"), q).withColumn("score", F.round("score", 6))
 
 
-def hashed_terms(chunks):
-    """The embedding without a model: hashed term frequencies, scaled by rarity."""
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
-
-    rows = chunks.select("chunk_id", R.terms(F.col("content")).alias("terms"))
-    tf = HashingTF(inputCol="terms", outputCol="tf", numFeatures=256).transform(rows)
-    idf = IDF(inputCol="tf", outputCol="idf").fit(tf).transform(tf)
-    out = Normalizer(inputCol="idf", outputCol="vector").transform(idf)
-    return out.select("chunk_id", vector_to_array("vector").alias("embedding"))
-
-
-register_strategy("embedder", "hashed_terms", hashed_terms)
-
-
 @query("e3_embed")
 def embed(spark, sf_dir):
     """By a registered embedder; a model is registered in the same way."""
-    return strategy("embedder", "hashed_terms")(tables.chunks(spark, sf_dir))
+    return R.embed(tables.chunks(spark, sf_dir), "hashed_terms", 256)
+
+
+@query("e3_embed_by_model")
+def embed_by_model(spark, sf_dir):
+    """By a vectorised model that each worker loads once."""
+    return R.embed(tables.chunks(spark, sf_dir), "letters", 64)
 
 
 @query("e4_similar_chunks", f"WITH {_VECS} SELECT b.vec_id AS query_id, a.vec_id, round({_COS}, 6) AS score FROM vecs a, vecs b WHERE b.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND {_COS} >= 0.8 - 1e-12")
@@ -290,6 +281,13 @@ def batch_rag(spark, sf_dir):
     return R.batch_answers(R.pack_context(hits), asked(spark, sf_dir), hits.where("rank = 1"))
 
 
+@query("e17_batch_rag_by_model")
+def batch_rag_by_model(spark, sf_dir):
+    """Answers by a vectorised model, by name."""
+    hits = _found(spark, sf_dir)
+    return R.batch_answers(R.pack_context(hits), asked(spark, sf_dir), hits.where("rank = 1"), "closest_sentence")
+
+
 _SLOTS = "slotted AS (SELECT lang AS slot, chunk_id, content FROM chunks JOIN documents USING (doc_id))"
 _BY_SLOT = f"""qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TERMS.format('query')}) AS term FROM asked) GROUP BY ALL),
 ct AS (SELECT slot, chunk_id, len, term, count(*) AS tf FROM (SELECT slot, chunk_id, len({_TERMS.format('content')}) AS len, unnest({_TERMS.format('content')}) AS term FROM slotted) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
