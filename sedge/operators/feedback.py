@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+from ..streaming.runs import read_batches, run_batches, write_once
+
 TYPES = ("accepted", "rejected", "rephrased", "follow_up", "flagged_error", "citation_clicked", "no_result")
 FAILURES = ("no_result", "rejected", "flagged_error")
 
@@ -21,6 +24,32 @@ def first_of_each_stream(signals: DataFrame) -> DataFrame:
     return signals.dropDuplicates(["signal_id"])
 
 
+def recorded(signals: DataFrame, folder: str | None = None, days: bool = True) -> DataFrame:
+    """Record a stream of signals, each id once, in whatever order of time they come.
+
+    No state is kept: the ids of a batch are held against those recorded on the same
+    days (a signal that is sent again keeps its time; with ``days`` false, against all),
+    which lie in folders by day.  A batch that runs again after a failure replaces what
+    it wrote, and does not look at it."""
+    spark = signals.sparkSession
+    folder = folder or shared_folder(spark, "stream-recorded")
+    out = f"{folder}/out"
+    day = F.coalesce(F.date_format("ts", "yyyy-MM-dd"), F.lit("none"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in signals.schema) + ", day string"
+
+    def record(batch: DataFrame, number: int) -> None:
+        rows = first_of_each(batch).withColumn("day", day)
+        if number:
+            met = [r.day for r in rows.select("day").distinct().collect()]
+            old = read_batches(batch.sparkSession, out, schema).where(F.col("batch") < number)
+            old = (old.where(F.col("day").isin(met)) if days else old).select(F.col("signal_id").alias("__old"))
+            rows = rows.join(old, F.col("signal_id").eqNullSafe(F.col("__old")), "left_anti")
+        write_once(rows, out, number, ("day",))
+
+    run_batches(signals, folder, record)
+    return read_batches(spark, out, schema).select(*signals.columns)
+
+
 def filtered(signals: DataFrame, conversation=None, discipline=None, kind=None, start=None, end=None) -> DataFrame:
     """Signals of a conversation, a discipline, a type and a time, each if given."""
     for column, value in (("conversation_id", conversation), ("discipline_id", discipline), ("signal_type", kind)):

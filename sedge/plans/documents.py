@@ -9,6 +9,7 @@ from ..operators import documents as D
 from ..operators.registry import register_strategy, strategy
 from ..sources import readers, tables
 from ..sources.shared import shared_folder, stored
+from ..streaming.runs import exported
 from .catalog import SQL, query
 from .chunks import scored_sql
 from .sql import STRIP, statement
@@ -236,6 +237,12 @@ def export_signals(spark, sf_dir):
     return spark.read.schema(rows.schema).json(_written(rows, "json"))
 
 
+@query("a23_export_signals_stream", statement("SELECT signal_id, signal_type, query FROM signals", "signals"))
+def export_signals_stream(spark, sf_dir):
+    """As a stream, each batch written once."""
+    return exported(tables.signals(spark, sf_dir, True).select("signal_id", "signal_type", "query"), "signals-export")
+
+
 @query("a10_read_training_jsonl", statement("SELECT question AS instruction, answer AS output FROM examples WHERE turn % 4 <> 0", "examples"))
 def read_training_jsonl(spark, sf_dir):
     q = F.when(F.col("turn") % 4 == 0, "").otherwise(F.col("question"))
@@ -470,13 +477,17 @@ def unknown_queue(spark, sf_dir):
 _LOGGED = "SELECT doc_id, ['bad', 'good', 'odd', NULL][CAST(CASE WHEN doc_id % 11 = 0 THEN 3 WHEN doc_id % 13 = 0 THEN 4 ELSE quality + 1 END AS INTEGER)] AS label FROM labels"
 
 
-def _label_log(spark, sf_dir):
-    """A log of labels; some lines are cut, some name no class."""
+def _label_lines(spark, sf_dir):
+    """The folder of a log of labels; some lines are cut, some name no class."""
     d = F.col("doc_id")
     name = F.when(d % 11 == 0, "odd").otherwise(F.when(F.col("quality") == 1, "good").otherwise("bad"))
     line = F.to_json(F.struct("doc_id", name.alias("label")))
     cut = F.when((d % 11 != 0) & (d % 13 == 0), F.substring(line, 1, 9)).otherwise(line)
-    return D.manual_labels(spark.read.text(_written(tables.table(spark, sf_dir, "labels").select(cut.alias("value")), "text")), ["good", "bad"])
+    return _written(tables.table(spark, sf_dir, "labels").select(cut.alias("value")), "text")
+
+
+def _label_log(spark, sf_dir):
+    return D.manual_labels(spark.read.text(_label_lines(spark, sf_dir)), ["good", "bad"])
 
 
 @query("i13_manual_labels", f"SELECT label, count(*) AS n FROM ({_LOGGED}) WHERE label IN ('good', 'bad') GROUP BY label")
@@ -484,6 +495,13 @@ def manual_labels(spark, sf_dir):
     return _label_log(spark, sf_dir)[0].groupBy("label").agg(F.count("*").alias("n"))
 
 
+@query("i13_manual_labels_stream", f"SELECT label, count(*) AS n FROM ({_LOGGED}) WHERE label IN ('good', 'bad') GROUP BY label")
+def manual_labels_stream(spark, sf_dir):
+    """The log as a stream that is appended to the table of labels."""
+    lines = spark.readStream.schema("value string").text(_label_lines(spark, sf_dir))
+    return exported(D.manual_labels(lines, ["good", "bad"])[0], "manual-labels").groupBy("label").agg(F.count("*").alias("n"))
+
+
 @query("i13_rejected_labels", f"SELECT CASE WHEN label = 'odd' THEN 'unknown class' ELSE 'corrupt' END AS reason, count(*) AS n FROM ({_LOGGED}) WHERE label IS NULL OR label = 'odd' GROUP BY 1")
 def rejected_labels(spark, sf_dir):
     return _label_log(spark, sf_dir)[1].groupBy("reason").agg(F.count("*").alias("n"))

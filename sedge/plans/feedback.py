@@ -24,7 +24,8 @@ def record_signals(spark, sf_dir):
 
 @query("h1_record_signals_stream", statement("SELECT signal_id, signal_type, ts FROM signals", "signals"))
 def record_signals_stream(spark, sf_dir):
-    return finished(B.first_of_each_stream(tables.signals(spark, sf_dir, True)), "signals").select("signal_id", "signal_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    """As a stream in files, each id once."""
+    return B.recorded(tables.signals(spark, sf_dir, True)).select("signal_id", "signal_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query("h2_filter_signals", statement("SELECT signal_id FROM signals WHERE discipline_id = 'd1' AND signal_type = 'rejected' AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25'", "signals"))

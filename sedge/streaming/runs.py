@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import shared_folder
 
@@ -22,3 +24,33 @@ def finished(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     # Complete results are aggregates: each batch replaces the table.
     writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out")).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def batch_folder(folder: str, batch: int) -> str:
+    return f"{folder}/batch={batch}"
+
+
+def write_once(rows: DataFrame, folder: str, batch: int, by: tuple = ()) -> None:
+    """Write a batch under its number: when it runs again after a failure it takes the
+    place of what it left, so that every row is there once."""
+    rows.write.mode("overwrite").partitionBy(*by).parquet(batch_folder(folder, batch))
+
+
+def read_batches(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """What all batches wrote, with ``batch``, the number of each."""
+    return spark.read.schema(f"{schema}, batch bigint").parquet(folder)
+
+
+def run_batches(stream: DataFrame, folder: str, handle: Callable[[DataFrame, int], None]) -> None:
+    """Run a stream over what is there, batch by batch; offsets lie in the folder, so a
+    run after a failure begins with the batch that failed, under the same number."""
+    stream.writeStream.option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).foreachBatch(handle).start().awaitTermination()
+
+
+def exported(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Export a stream to a folder of batches, each written once."""
+    spark = stream.sparkSession
+    folder = folder or shared_folder(spark, f"stream-{name}")
+    run_batches(stream, folder, lambda df, batch: write_once(df, f"{folder}/out", batch))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+    return read_batches(spark, f"{folder}/out", schema).drop("batch")

@@ -187,3 +187,64 @@ def _largest_join(spark, df):
         children = node.children()
         todo += [children.apply(i) for i in range(children.size())]
     return most
+
+
+def test_signals_of_many_days_are_recorded_once(spark, tmp_path):
+    """Days in any order, repeats in one batch, in later ones and long after."""
+    from sedge.operators import feedback
+    from sedge.sources import readers
+
+    r = random.Random(36)
+    base = [(k, f"2024-{1 + k % 12:02d}-{1 + k % 28:02d} 10:00:00") for k in range(400)] + [(None, "2024-05-05 00:00:00"), (1000, None)]
+    sent = base + r.sample(base, 200) + base[:50]
+    r.shuffle(sent)
+    for k in range(10):
+        part = spark.createDataFrame(sent[k::10], "signal_id long, ts string").select("signal_id", F.col("ts").cast("timestamp").alias("ts"))
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = readers.stream_of(spark, f"{tmp_path}/in")
+    got = feedback.recorded(stream, f"file://{tmp_path}/recorded")
+    assert sorted(-1 if x.signal_id is None else x.signal_id for x in got.collect()) == sorted({x[0] if x[0] is not None else -1 for x in base})
+    # No state store is left behind: what a run keeps is what it wrote.
+    import os
+
+    assert not os.path.isdir(f"{tmp_path}/recorded/offsets/state")
+
+
+def test_a_batch_that_runs_again_writes_once(spark, tmp_path):
+    from sedge.operators import feedback
+    from sedge.sources import readers
+    from sedge.streaming import runs
+
+    for k in range(8):
+        spark.createDataFrame([(k * 10 + j, j) for j in range(10)], "signal_id long, n int").select("signal_id", "n", F.lit("2024-01-01").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = readers.stream_of(spark, f"{tmp_path}/in")
+    tries = []
+
+    def fails(df, batch):
+        runs.write_once(df, f"{tmp_path}/out", batch)
+        tries.append(batch)
+        if len(tries) == 2:
+            raise RuntimeError("lost behind the write")
+
+    with pytest.raises(Exception, match="lost behind the write"):
+        runs.run_batches(stream, f"{tmp_path}", fails)
+    runs.run_batches(stream, f"{tmp_path}", fails)
+    assert tries.count(tries[1]) == 2
+    rows = runs.read_batches(spark, f"{tmp_path}/out", "signal_id bigint, n int").collect()
+    assert sorted(x.signal_id for x in rows) == list(range(80))
+    # The same for recorded signals: a first run fails behind its second batch.
+    held, once = feedback.write_once, []
+
+    def breaks(*a, **b):
+        held(*a, **b)
+        once.append(1)
+        if len(once) == 2:
+            raise RuntimeError("lost behind the write")
+
+    feedback.write_once = breaks
+    try:
+        with pytest.raises(Exception, match="lost behind the write"):
+            feedback.recorded(stream, f"{tmp_path}/again")
+    finally:
+        feedback.write_once = held
+    assert sorted(x.signal_id for x in feedback.recorded(stream, f"{tmp_path}/again").collect()) == list(range(80))
