@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..sources.shared import small, stored
 
 
 def markdown_lines(docs: DataFrame) -> DataFrame:
@@ -341,16 +342,18 @@ def fingerprints(groups: dict[str, DataFrame], docs: DataFrame) -> DataFrame:
 FIT_ROWS = 50_000
 
 
+def fit_rows(rows: DataFrame, most: int = FIT_ROWS) -> DataFrame:
+    """At most about ``most`` labelled rows: a share by hash, the same in every run."""
+    n = rows.count()
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(most / n * 1_000_000))
+
+
 def fitted(rows: DataFrame, trees: int = 30, depth: int = 5, most: int = FIT_ROWS):
     """A forest over labelled vectors (doc_id, features, label)."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
-    n = rows.count()
-    if n > most:
-        # A share by hash: the same rows in every run, and no sort.
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(most / n * 1_000_000))
-    held = rows.select(array_to_vector("features").alias("v"), F.col("label").cast("double").alias("label"))
+    held = fit_rows(rows, most).select(array_to_vector("features").alias("v"), F.col("label").cast("double").alias("label"))
     return RandomForestClassifier(featuresCol="v", numTrees=trees, maxDepth=depth, seed=42).fit(held)
 
 
@@ -360,23 +363,120 @@ def predicted(model, rows: DataFrame, least: float = 0.45) -> DataFrame:
 
     p = F.col("probabilities")
     top: Column = F.array_max(p)
-    out = model.transform(rows.withColumn("v", array_to_vector("features"))).withColumn("probabilities", vector_to_array("probability"))
+    out = model.transform(rows.withColumn("v", array_to_vector("features")))
+    held = F.col("probability") if isinstance(model, Boosted) else vector_to_array("probability")
+    out = out.withColumn("probabilities", held)
     kept = [c for c in ("doc_id", "label", "fold") if c in rows.columns]
     return out.select(*kept, top.alias("confidence"), F.when(top < least, "unknown").otherwise((F.array_position(p, top) - 1).cast("string")).alias("predicted"), "probabilities")
 
 
-def cross_validated(rows: DataFrame, folds: int = 5) -> DataFrame:
+#: Buckets of hashes in which rows are ranked.
+FOLD_BUCKETS = 4096
+
+
+def stratified_folds(rows: DataFrame, folds: int = 5, label: str = "label", id_column: str = "doc_id") -> DataFrame:
+    """``rows`` with ``fold``: the rows of a label in the order of their hashes go to the
+    folds in turn, so a label's folds differ by one row at most.
+
+    Ranks come from counts by bucket of hashes and from ranks within a bucket, so no
+    task sorts a label."""
+    h = F.xxhash64(F.col(id_column), F.lit(7))
+    rows = rows.withColumns({"__h": h, "__b": F.pmod(h, F.lit(FOLD_BUCKETS))})
+    sizes = rows.groupBy(label, "__b").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col(label).alias("__l"), F.col("__b").alias("__b2"), F.coalesce(before, F.lit(0)).alias("__start"))
+    placed = rows.withColumn("__r", F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h", id_column)) - 1)
+    placed = placed.join(small(starts), F.col(label).eqNullSafe(F.col("__l")) & (F.col("__b") == F.col("__b2")))
+    return placed.withColumn("fold", ((F.col("__start") + F.col("__r")) % folds).cast("int")).drop("__h", "__b", "__l", "__b2", "__start", "__r")
+
+
+class Boosted:
+    """Boosted trees for many classes: of each class a model that tells it from the
+    rest, fitted side by side."""
+
+    def __init__(self, models: dict):
+        self.models = models
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (with the vector ``v``) and ``probability``, by class from 0."""
+        from pyspark.ml.functions import vector_to_array
+
+        top = max(self.models)
+        kept = rows.columns
+        for k, model in self.models.items():
+            made = model.transform(rows)
+            rows = made.select(*rows.columns, vector_to_array("probability")[1].alias(f"__p{k}"))
+        raw = [F.col(f"__p{k}") if k in self.models else F.lit(0.0) for k in range(top + 1)]
+        total = F.greatest(sum(raw, F.lit(0.0)), F.lit(1e-12))
+        return rows.select(*kept, F.array(*[p / total for p in raw]).alias("probability"))
+
+    def save(self, path: str) -> None:
+        for k, model in self.models.items():
+            model.write().overwrite().save(f"{path}/class={k}")
+
+
+def boosted(rows: DataFrame, rounds: int = 10, depth: int = 3, most: int = FIT_ROWS) -> Boosted:
+    """Gradient-boosted trees over labelled vectors (doc_id, features, label)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    rows = fit_rows(rows, most).select(array_to_vector("features").alias("v"), F.col("label").cast("int").alias("label"))
+    rows = stored(rows, "fit")
+    classes = sorted(r.label for r in rows.select("label").distinct().collect())
+    spark = rows.sparkSession
+
+    def fit(k: int):
+        own = rows.withColumn("own", (F.col("label") == k).cast("double"))
+        return k, GBTClassifier(featuresCol="v", labelCol="own", maxIter=rounds, maxDepth=depth, seed=42).fit(own)
+
+    with ThreadPoolExecutor(4) as pool:
+        return Boosted(dict(pool.map(inheritable_thread_target(spark)(fit), classes)))
+
+
+def load_model(path: str, classes: list[int] | None = None):
+    """A stored model: a forest, or with ``classes`` the boosted trees of these."""
+    from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
+
+    if classes is None:
+        return RandomForestClassificationModel.load(path)
+    return Boosted({k: GBTClassificationModel.load(f"{path}/class={k}") for k in classes})
+
+
+def cross_validated(rows: DataFrame, folds: int = 5, fit=None) -> DataFrame:
     """(fold, label, predicted, n): the confusion matrix of each fold, predicted by a
-    model of the others.  Folds are by hash, so no class is ranked in one task."""
-    rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(folds)).cast("int"))
+    model (a forest, or what ``fit`` makes of rows) of the others.  Folds are
+    stratified by label."""
+    rows = stored(stratified_folds(rows, folds), "folds")
     out = None
     for k in range(folds):
-        model = fitted(rows.where(F.col("fold") != k))
+        model = (fit or fitted)(rows.where(F.col("fold") != k))
         part = predicted(model, rows.where(F.col("fold") == k), 0.0)
         out = part if out is None else out.union(part)
     return out.groupBy("fold", F.col("label").cast("int").alias("label"), F.col("predicted").cast("int").alias("predicted")).agg(F.count("*").alias("n"))
 
 
+def retrain_report(rows: DataFrame, known: Column, folder: str, folds: int = 3, fit=None) -> DataFrame:
+    """(model, label, n, accuracy, gain): the model of the labels that were ``known``
+    and that of all labels, on the same folds, neither fitted on the fold that it is
+    tried on; and both, fitted on all their rows, stored in the folder."""
+    fit = fit or (lambda x: fitted(x, 10))
+    rows = stored(stratified_folds(rows.withColumn("known", known), folds), "folds")
+    out = None
+    for name, own in (("before", rows.where("known")), ("after", rows)):
+        fit(own).write().overwrite().save(f"{folder}/{name}")
+        for k in range(folds):
+            part = predicted(fit(own.where(F.col("fold") != k)), rows.where(F.col("fold") == k), 0.0).withColumn("model", F.lit(name))
+            out = part if out is None else out.union(part)
+    right = F.count_if(F.col("label").cast("int").cast("string") == F.col("predicted"))
+    report = out.groupingSets([[F.col("model"), F.col("label")], [F.col("model")]], F.col("model"), F.col("label")).agg(F.count("*").alias("n"), (right / F.count("*")).alias("accuracy"))
+    # Two rows a label.
+    old = F.first(F.when(F.col("model") == "before", F.col("accuracy")), ignorenulls=True).over(Window.partitionBy("label"))
+    return report.withColumn("gain", F.col("accuracy") - old)
+
+
 def fold_report(confusion: DataFrame, baseline: float = 0.7) -> DataFrame:
     """Accuracy of each class and in all, over all folds, and whether it is enough."""
     right = F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0))
