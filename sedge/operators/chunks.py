@@ -151,7 +151,9 @@ def fixed_chunks(blocks: DataFrame, max_tokens: int = 200, target: int = 150, ov
 
 
 def split_sentences(c: Column) -> Column:
-    return F.split(c, r"(?<=[.!?])\s+")
+    """Sentences, each but the last with one blank behind it."""
+    parts = F.split(c, r"(?<=[.!?])\s+")
+    return F.transform(parts, lambda x, k: F.when(k < F.size(parts) - 1, F.concat(x, F.lit(" "))).otherwise(x))
 
 
 def hierarchy_chunks(blocks: DataFrame, max_tokens: int = 400, target: int = 200, counter: str = "estimate") -> DataFrame:

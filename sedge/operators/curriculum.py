@@ -548,6 +548,62 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataF
     return child.where(F.col(column).isNotNull()).join(parent.select(F.col(key).alias(column)), column, "left_anti")
 
 
+#: The curriculum's tables: key, columns that must be filled, and references as (column,
+#: table that it names, what a removal there does here).
+CURRICULUM = {
+    "contributors": (("id",), ("name",), ()),
+    "disciplines": (("id",), ("name", "description", "created_by"), (("created_by", "contributors", "keep"),)),
+    "competencies": (("id",), ("name", "description", "discipline_id"), (("discipline_id", "disciplines", "cascade"), ("parent_id", "competencies", "set null"))),
+    "examples": (
+        ("id",), ("question", "ideal_answer", "competency_id", "contributor_id", "discipline_id", "review_status"),
+        (("competency_id", "competencies", "cascade"), ("contributor_id", "contributors", "keep"), ("discipline_id", "disciplines", "cascade")),
+    ),
+    "discipline_contributors": (("discipline_id", "contributor_id"), ("role",), (("discipline_id", "disciplines", "cascade"), ("contributor_id", "contributors", "cascade"))),
+    "curriculum_versions": (("id",), ("discipline_id", "version_number", "created_by"), (("discipline_id", "disciplines", "cascade"), ("created_by", "contributors", "keep"))),
+    "discovery_sessions": (("id",), ("discipline_name", "contributor_id"), (("contributor_id", "contributors", "keep"),)),
+}
+
+
+def audit(tables: dict[str, DataFrame], schema: dict = CURRICULUM) -> DataFrame:
+    """(audit, subject, n): references without rows, repeated keys and missing values of
+    tables; one row for each thing that can be wrong."""
+    parts = []
+    for name, (key, filled, references) in schema.items():
+        rows = tables[name]
+        parts += [("orphans", f"{name}.{c}", orphans(rows, c, tables[to], "id")) for c, to, _ in references]
+        parts.append(("repeated", f"{name}.{'+'.join(key)}", rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")))
+        parts += [("missing", f"{name}.{c}", rows.where(F.col(c).isNull())) for c in filled]
+    made = [rows.agg(F.count("*").alias("n")).select(F.lit(kind).alias("audit"), F.lit(subject).alias("subject"), "n") for kind, subject, rows in parts]
+    return reduce(DataFrame.unionByName, made)
+
+
+def removal(tables: dict[str, DataFrame], name: str, gone: DataFrame, schema: dict = CURRICULUM) -> DataFrame:
+    """(table, effect, n): the rows that the removal of ``gone`` rows of a table takes
+    along, at any distance, those whose reference is emptied, and those that forbid it.
+
+    The tables are taken in the order of their references, each once."""
+    removed = {name: gone.select("id").distinct()}
+    counts = [(name, "removed", gone)]
+    for child, (key, _, references) in schema.items():
+        met, rows = [(c, removed[to], effect) for c, to, effect in references if to in removed], tables[child]
+        hit = lambda c, ids: rows.join(ids.select(F.col("id").alias(c)).distinct(), c, "left_semi").select(*rows.columns)  # noqa: B023, E731
+        taken = [hit(c, ids) for c, ids, effect in met if effect == "cascade"]
+        if taken and child != name:
+            whole = reduce(DataFrame.unionByName, taken).dropDuplicates(list(key))
+            counts.append((child, "removed", whole))
+            if "id" in rows.columns:
+                removed[child] = whole.select("id").distinct()
+            # References within the table itself, of rows that stay.
+            met += [(c, removed[child], effect) for c, to, effect in references if to == child]
+        rest = rows.join(removed[child], "id", "left_anti") if child in removed else rows
+        for c, ids, effect in met:
+            if effect != "cascade":
+                left = rest.join(ids.select(F.col("id").alias(c)).distinct(), c, "left_semi")
+                counts.append((f"{child}.{c}", "emptied" if effect == "set null" else "forbidden", left))
+    made = [rows.agg(F.count("*").alias("n")).select(F.lit(t).alias("table"), F.lit(effect).alias("effect"), "n") for t, effect, rows in counts]
+    return reduce(DataFrame.unionByName, made)
+
+
 def scaffold(chunks: DataFrame, source: str = "corpus") -> DataFrame:
     """Question and answer candidates from chunks of 50 to 2000 tokens, with where
     they come from."""

@@ -66,16 +66,19 @@ def front_matter(docs: DataFrame) -> DataFrame:
 
 #: Character references that blocks decode, the ampersand's last.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-KINDS = {"h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "p": "text", "li": "list_item", "pre": "code", "td": "table"}
+KINDS = {"h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "p": "text", "li": "list_item", "pre": "code", "table": "table"}
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:
-    """Blocks of pages: cut at opening tags, as closing ones may be missing."""
+    """Blocks of pages: cut at opening tags, as closing ones may be missing.  A table is
+    one block, its rows lines, its cells behind bars."""
     clean = F.regexp_replace("html", r"(?s)<(script|style|nav|head|footer)\b.*?</\1>|<!--.*?-->", " ")
-    found = F.regexp_extract_all(clean, F.lit(r"(?s)<(h[1-6]|p|li|pre|td)\b[^>]*>((?:(?!<(?:h[1-6]|p|li|pre|td)\b).)*+)"), F.lit(0))
+    found = F.regexp_extract_all(clean, F.lit(r"(?s)<(h[1-6]|p|li|pre|table)\b[^>]*>((?:(?!<(?:h[1-6]|p|li|pre|table)\b).)*+)"), F.lit(0))
     rows = pages.select("page_id", F.posexplode(found).alias("pos", "raw"))
     tag = F.lower(F.regexp_extract("raw", r"^<([a-zA-Z0-9]+)", 1))
-    text = strip(F.regexp_replace(F.regexp_replace("raw", r"<[^>]*>", ""), r"\s+", " "))
+    cells = F.regexp_replace(F.regexp_replace("raw", r"<tr\b[^>]*>", "\x01"), r"<t[dh]\b[^>]*>", " | ")
+    bare = F.regexp_replace(F.regexp_replace(cells, r"<[^>]*>", ""), r"\s+", " ")
+    text = strip(F.regexp_replace(bare, " ?\x01 ?", "\n"))
     for entity, sign in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(sign))
     kind = F.create_map(*[F.lit(x) for p in KINDS.items() for x in p])[tag]

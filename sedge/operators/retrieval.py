@@ -316,6 +316,16 @@ def suite_results(wanted: DataFrame, hits: DataFrame) -> DataFrame:
     return per.withColumn("passed", (F.col("missing") == 0) & (F.col("wrong") == 0))
 
 
+def suite_by_rule(sizes: DataFrame, hits: DataFrame) -> DataFrame:
+    """The same of suites that name chunks by a rule: ``sizes`` (query_id, expected) has
+    how many chunks a query expects, ``hits`` (query_id, chunk_id, expected) its hits,
+    true or false where the query names them.  What a suite names is never listed."""
+    met = hits.where("expected IS NOT NULL").dropDuplicates(["query_id", "chunk_id"]).groupBy("query_id")
+    met = met.agg(F.count_if("expected").alias("right"), F.count_if(~F.col("expected")).alias("wrong"))
+    per = sizes.join(met, "query_id", "left").fillna(0, ["right", "wrong"]).select("query_id", (F.col("expected") - F.col("right")).alias("missing"), "wrong")
+    return per.withColumn("passed", (F.col("missing") == 0) & (F.col("wrong") == 0))
+
+
 def suite_report(results: DataFrame) -> DataFrame:
     """Queries that pass and fail, and their rate."""
     n = F.count_if("passed")

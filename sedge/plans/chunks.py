@@ -328,6 +328,12 @@ def split_sentences(spark, sf_dir):
     return tables.table(spark, sf_dir, "documents").select("doc_id", F.size(C.split_sentences(F.col("text"))).cast("bigint").alias("sentences"))
 
 
+@query("c20_sentences", r"SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN pos < n - 1 THEN sentence || ' ' ELSE sentence END AS sentence FROM (SELECT doc_id, len(s) AS n, unnest(s) AS sentence, unnest(range(len(s))) AS pos FROM (SELECT doc_id, string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents))")
+def sentences(spark, sf_dir):
+    """The sentences themselves, with the blank behind each."""
+    return tables.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(C.split_sentences(F.col("text"))).alias("pos", "sentence"))
+
+
 @query("c21_chunk_recursive")
 def chunk_recursive(spark, sf_dir):
     return C.recursive_chunks(tables.outline_blocks(spark, sf_dir))

@@ -362,6 +362,68 @@ def integrity_audit(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
+_SEVEN = """contributors AS (SELECT DISTINCT conv_id % 5 AS id, CASE WHEN conv_id % 5 > 0 THEN 'c' || conv_id % 5 END AS name FROM conversations),
+disciplines AS (SELECT DISTINCT discipline AS id, 'd' || discipline AS name, 'a discipline' AS description, discipline * 7 AS created_by FROM competencies),
+comps AS (SELECT competency AS id, name, CASE WHEN competency <> 4 THEN 'of it' END AS description, CASE WHEN competency = 6 THEN 9 ELSE discipline END AS discipline_id, parent AS parent_id FROM competencies),
+exs AS (SELECT example_id AS id, question, CASE WHEN conv_id % 13 > 0 THEN answer END AS ideal_answer, competency AS competency_id, contributor AS contributor_id, CASE WHEN conv_id % 11 = 0 THEN 9 ELSE discipline END AS discipline_id, review_status FROM examples
+  UNION ALL SELECT example_id, question, answer, competency, contributor, discipline, review_status FROM examples WHERE conv_id % 17 = 0),
+members AS (SELECT discipline AS discipline_id, contributor AS contributor_id, CASE WHEN contributor <> 3 THEN role END AS role FROM memberships),
+versions AS (SELECT 'v' || competency AS id, discipline AS discipline_id, competency // 3 AS version_number, competency AS created_by FROM competencies),
+sessions AS (SELECT DISTINCT 's' || conv_id % 9 AS id, CASE WHEN conv_id % 9 <> 2 THEN 'talk' END AS discipline_name, conv_id % 9 AS contributor_id FROM conversations)"""
+_NAMED = {"contributors": "contributors", "disciplines": "disciplines", "competencies": "comps", "examples": "exs", "discipline_contributors": "members", "curriculum_versions": "versions", "discovery_sessions": "sessions"}
+_AUDITED = " UNION ALL ".join(
+    q
+    for t, (key, filled, refs) in C.CURRICULUM.items()
+    for q in [
+        *[f"SELECT 'orphans' AS audit, '{t}.{c}' AS subject, count(*) AS n FROM {_NAMED[t]} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT id FROM {_NAMED[u]})" for c, u, _ in refs],
+        f"SELECT 'repeated' AS audit, '{t}.{'+'.join(key)}' AS subject, count(*) AS n FROM (SELECT {', '.join(key)} FROM {_NAMED[t]} GROUP BY ALL HAVING count(*) > 1)",
+        *[f"SELECT 'missing' AS audit, '{t}.{c}' AS subject, count(*) AS n FROM {_NAMED[t]} WHERE {c} IS NULL" for c in filled],
+    ]
+)
+
+
+def _curriculum(spark, sf_dir):
+    """The seven tables of a curriculum, with faults in each."""
+    conv = tables.table(spark, sf_dir, "conversations")
+    comps, ex = tables.competencies(spark, sf_dir), tables.examples(spark, sf_dir)
+    c, k = F.col("competency"), F.col("conv_id")
+    again = ex.where(k % 17 == 0).select(F.col("example_id").alias("id"), "question", F.col("answer").alias("ideal_answer"), c.alias("competency_id"), F.col("contributor").alias("contributor_id"), F.col("discipline").alias("discipline_id"), "review_status")
+    own = ex.select(
+        F.col("example_id").alias("id"), "question", F.when(k % 13 > 0, F.col("answer")).alias("ideal_answer"), c.alias("competency_id"), F.col("contributor").alias("contributor_id"),
+        F.when(k % 11 == 0, 9).otherwise(F.col("discipline")).alias("discipline_id"), "review_status",
+    )
+    return {
+        "contributors": conv.select((k % 5).alias("id")).distinct().withColumn("name", F.when(F.col("id") > 0, F.concat(F.lit("c"), "id"))),
+        "disciplines": comps.select(F.col("discipline").alias("id")).distinct().select("id", F.concat(F.lit("d"), "id").alias("name"), F.lit("a discipline").alias("description"), (F.col("id") * 7).alias("created_by")),
+        "competencies": comps.select(c.alias("id"), "name", F.when(c != 4, "of it").alias("description"), F.when(c == 6, 9).otherwise(F.col("discipline")).alias("discipline_id"), F.col("parent").alias("parent_id")),
+        "examples": own.unionByName(again),
+        "discipline_contributors": tables.memberships(spark, sf_dir).select(F.col("discipline").alias("discipline_id"), F.col("contributor").alias("contributor_id"), F.when(F.col("contributor") != 3, F.col("role")).alias("role")),
+        "curriculum_versions": comps.select(F.concat(F.lit("v"), c).alias("id"), F.col("discipline").alias("discipline_id"), F.floor(c / 3).alias("version_number"), c.alias("created_by")),
+        "discovery_sessions": conv.select((k % 9).alias("contributor_id")).distinct().select(F.concat(F.lit("s"), "contributor_id").alias("id"), F.when(F.col("contributor_id") != 2, "talk").alias("discipline_name"), "contributor_id"),
+    }
+
+
+@query("f19_curriculum_audit", statement(f", {_SEVEN}\n{_AUDITED}", "examples", "competencies", "memberships"))
+def curriculum_audit(spark, sf_dir):
+    """Faults of the seven tables."""
+    return C.audit(_curriculum(spark, sf_dir))
+
+
+@query(
+    "f19_removal",
+    statement(
+        f""", {_SEVEN}, gone AS (SELECT id FROM disciplines WHERE id = 0), gc AS (SELECT DISTINCT id FROM comps WHERE discipline_id IN (SELECT id FROM gone)), ge AS (SELECT DISTINCT id FROM exs WHERE discipline_id IN (SELECT id FROM gone) OR competency_id IN (SELECT id FROM gc))
+SELECT 'disciplines' AS "table", 'removed' AS effect, count(*) AS n FROM gone UNION ALL SELECT 'competencies', 'removed', count(*) FROM gc UNION ALL SELECT 'competencies.parent_id', 'emptied', count(*) FROM comps WHERE id NOT IN (SELECT id FROM gc) AND parent_id IN (SELECT id FROM gc)
+UNION ALL SELECT 'examples', 'removed', count(*) FROM ge UNION ALL SELECT 'discipline_contributors', 'removed', count(*) FROM (SELECT DISTINCT discipline_id, contributor_id FROM members WHERE discipline_id IN (SELECT id FROM gone)) UNION ALL SELECT 'curriculum_versions', 'removed', count(*) FROM versions WHERE discipline_id IN (SELECT id FROM gone)""",
+        "examples", "competencies", "memberships",
+    ),
+)
+def removal(spark, sf_dir):
+    """What the removal of a discipline takes along."""
+    held = _curriculum(spark, sf_dir)
+    return C.removal(held, "disciplines", held["disciplines"].where("id = 0"))
+
+
 _OPS = "CASE WHEN event_type = 'error' AND event_id % 5 = 0 THEN 'delete' WHEN event_type = 'signup' THEN 'insert' ELSE 'update' END"
 
 

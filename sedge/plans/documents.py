@@ -69,14 +69,15 @@ _DROPPED = "html"
 for _t in ("script", "style", "nav", "head", "footer"):
     _DROPPED = f"regexp_replace({_DROPPED}, '(?s)<{_t}\\b.*?</{_t}>', ' ', 'g')"
 _DROPPED = f"regexp_replace({_DROPPED}, '(?s)<!--.*?-->', ' ', 'g')"
-_BARE = STRIP.format(r"regexp_replace(regexp_replace(raw, '<[^>]*>', '', 'g'), '\s+', ' ', 'g')")
+_CELLS_OF = r"regexp_replace(regexp_replace(raw, '<tr\b[^>]*>', chr(1), 'g'), '<t[dh]\b[^>]*>', ' | ', 'g')"
+_BARE = STRIP.format(rf"regexp_replace(regexp_replace(regexp_replace({_CELLS_OF}, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'), ' ?\x01 ?', chr(10), 'g')")
 for _a, _b in D.ENTITIES:
     _BARE = f"replace({_BARE}, '{_a}', '{_b.replace(chr(39), chr(39) * 2)}')"
 
 
 @query(
     "a8_html_to_blocks",
-    rf"""WITH cut AS (SELECT page_id, string_split(regexp_replace({_DROPPED}, '<(h[1-6]|p|li|pre|td)\b([^>]*>)', chr(1) || '<\1\2', 'g'), chr(1))[2:] AS parts FROM pages),
+    rf"""WITH cut AS (SELECT page_id, string_split(regexp_replace({_DROPPED}, '<(h[1-6]|p|li|pre|table)\b([^>]*>)', chr(2) || '<\1\2', 'g'), chr(2))[2:] AS parts FROM pages),
 b AS (SELECT page_id, unnest(parts) AS raw, CAST(unnest(range(len(parts))) AS INTEGER) AS pos FROM cut), t AS (SELECT page_id, pos, lower(regexp_extract(raw, '^<([a-zA-Z0-9]+)', 1)) AS tag, {_BARE} AS content FROM b)
 SELECT page_id, pos, CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN 'heading' ELSE CASE tag WHEN 'p' THEN 'text' WHEN 'li' THEN 'list_item' WHEN 'pre' THEN 'code' ELSE 'table' END END AS type, content, CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN CAST(substr(tag, 2, 1) AS INTEGER) END AS heading_level
   FROM t WHERE content <> ''""",

@@ -248,3 +248,29 @@ def test_a_batch_that_runs_again_writes_once(spark, tmp_path):
     finally:
         feedback.write_once = held
     assert sorted(x.signal_id for x in feedback.recorded(stream, f"{tmp_path}/again").collect()) == list(range(80))
+
+
+def test_suites_by_rule_equal_listed_ones(spark):
+    r = random.Random(37)
+    names = [f"c{k}" for k in range(60)]
+    rows, wanted = [], []
+    for q in range(25):
+        expected, excluded = r.sample(names, r.randint(0, 6)), r.sample(names, r.randint(0, 6))
+        excluded = [c for c in excluded if c not in expected]
+        hits = r.sample(names, 8) + (expected if q % 3 else [])
+        rows += [(q, c, c in expected if c in expected or c in excluded else None) for c in {*hits}]
+        wanted += [(q, c, True) for c in expected] + [(q, c, False) for c in excluded] + ([(q, None, None)] if not expected and not excluded else [])
+    hits = spark.createDataFrame(rows, "query_id int, chunk_id string, expected boolean")
+    listed = spark.createDataFrame(wanted, "query_id int, chunk_id string, expected boolean")
+    sizes = listed.groupBy("query_id").agg(F.count_if("expected").alias("expected"))
+    key = lambda df: sorted((x.query_id, x.missing, x.wrong, x.passed) for x in df.collect())
+    assert key(retrieval.suite_by_rule(sizes, hits)) == key(retrieval.suite_results(listed, hits))
+
+
+def test_tables_of_html_are_one_block(spark):
+    from sedge.operators import documents
+
+    html = "<h1>T</h1><p>a<table class=x><tr><th>h &amp; i</th><th>j</th></tr>\n<tr><td>1<td>2 <b>3</b></tr></table><p>b"
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    got = [(x.type, x.content) for x in documents.html_blocks(df).orderBy("pos").collect()]
+    assert got == [("heading", "T"), ("text", "a"), ("table", "| h & i | j\n| 1 | 2 3"), ("text", "b")]
