@@ -29,6 +29,9 @@ from .common import map_rows, stored
 from .components import components
 
 BITS, SHINGLE, SEED, DISTANCE = 64, 3, 42, 3
+#: Fingerprints that share a segment's value from which on the other segment splits
+#: them, and rows of one fingerprint from which on these stay where they are.
+CROWD, HOT_ROWS = 2000, 100_000
 #: Repeats of a whole row from which it is set apart before rows are shuffled.
 HOT = 1000
 
@@ -95,9 +98,12 @@ def near_links(fps: DataFrame) -> DataFrame:
     return balls.select(F.col("fp").alias("a"), least.alias("b")).where("a <> b").distinct()
 
 
-def far_links(nodes: DataFrame) -> DataFrame:
+def far_links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Links (a, b) of groups: ``nodes`` (fp, grp) of different groups whose
-    fingerprints differ in ``DISTANCE`` bits or fewer."""
+    fingerprints differ in ``DISTANCE`` bits or fewer.
+
+    Where more than ``crowd`` fingerprints share a segment's value, the other segment is
+    looked up too: of its four bytes one is equal, as three bits differ at most."""
     segment = lambda k: F.shiftrightunsigned("fp", 32 * k).bitwiseAND(F.lit(0xFFFFFFFF))
     table = nodes.select("fp", "grp", F.explode(F.array(*[F.struct(F.lit(k).alias("seg"), segment(k).alias("value")) for k in (0, 1)])).alias("s"))
     table = table.select("fp", "grp", "s.seg", "s.value")
@@ -106,9 +112,25 @@ def far_links(nodes: DataFrame) -> DataFrame:
     probes = probes.select(
         F.col("fp").alias("fp2"), F.col("grp").alias("grp2"), "seg", F.col("value").bitwiseXOR(F.col("mask")).alias("value")
     )
-    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= DISTANCE
-    met = table.join(probes, ["seg", "value"]).where((F.col("grp") < F.col("grp2")) & apart)
-    return met.select(F.col("grp").alias("a"), F.col("grp2").alias("b")).distinct()
+    crowded = stored(table.groupBy("seg", "value").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("seg", "value"), "crowded")
+    keys = ["seg", "value"]
+    if not crowded.limit(1).count():
+        met = _apart(table.join(probes, keys))
+    else:
+        crowded = small(crowded)
+        met = _apart(table.join(crowded, keys, "left_anti").join(probes.join(crowded, keys, "left_anti"), keys))
+        # The bytes of the other segment: those of the fingerprint from bit 32 on for the first.
+        byte = lambda fp, j: F.when(F.col("seg") == 0, F.shiftrightunsigned(fp, 32 + 8 * j)).otherwise(F.shiftrightunsigned(fp, 8 * j)).bitwiseAND(F.lit(0xFF))
+        bytes_of = lambda fp: F.explode(F.array(*[F.struct(F.lit(j).alias("j"), byte(fp, j).alias("byte")) for j in range(4)]))
+        own = table.join(crowded, keys, "left_semi").select("*", bytes_of("fp").alias("x")).select("fp", "grp", *keys, "x.j", "x.byte")
+        other = probes.join(crowded, keys, "left_semi").select("*", bytes_of("fp2").alias("x")).select("fp2", "grp2", *keys, "x.j", "x.byte")
+        met = met.union(_apart(own.join(other, [*keys, "j", "byte"])))
+    return met.distinct()
+
+
+def _apart(met: DataFrame) -> DataFrame:
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= DISTANCE
+    return met.where((F.col("grp") < F.col("grp2")) & near).select(F.col("grp").alias("a"), F.col("grp2").alias("b"))
 
 
 def _signed(x: int) -> int:
@@ -127,11 +149,18 @@ def groups(known: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) for each input row."""
     rows = stored(fingerprints(docs, id_column, text_column), "fingerprints")
-    known = stored(rows.groupBy("fp").agg(F.min(F.col(f"`{id_column}`")).alias("first_id")), "distinct")
+    known = stored(rows.groupBy("fp").agg(F.min(F.col(f"`{id_column}`")).alias("first_id"), F.count("*").alias("n")), "distinct")
     labels = groups(known)
     first = labels.groupBy("whole").agg(F.min("first_id").alias("component_id"))
-    by_fp = labels.join(first, "whole").select("fp", "component_id")
-    out = rows.join(by_fp, "fp")
+    by_fp = stored(labels.join(first, "whole").select("fp", "component_id", "n"), "components")
+    hot = by_fp.where(F.col("n") > HOT_ROWS)
+    if hot.limit(1).count():
+        # Rows of a fingerprint that many have are labelled without a shuffle; there is
+        # one such fingerprint for HOT_ROWS rows at most.
+        hot = small(hot)
+        out = rows.join(hot, "fp", "left_anti").join(by_fp, "fp").unionByName(rows.join(hot, "fp"))
+    else:
+        out = rows.join(by_fp, "fp")
     return out.select(F.col(f"`{id_column}`"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

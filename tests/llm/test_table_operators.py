@@ -254,6 +254,28 @@ def test_payloads_come_back(spark, tmp_path):
     assert {(x.page_id, x.url, x.html) for x in warc.read_archives(spark, f"file://{tmp_path}/w", True).collect()} == set(rows)
 
 
+def test_crowded_segments_and_a_hot_fingerprint(spark, monkeypatch):
+    """Ten thousand fingerprints share a segment's value, by other look-ups than those
+    without the split; and one fingerprint is on a third of all rows."""
+    r = random.Random(51)
+    values = {(0x1234ABCD << 32) | r.randrange(1 << 32) for _ in range(10_000)}
+    base = list(values)[:300]
+    for v in base:
+        for bits in (1, 2, 3):
+            values.add(v ^ sum(1 << k for k in r.sample(range(64), bits)))
+    fps = [simhash._signed(v) for v in values]
+    nodes = spark.createDataFrame([(x, x) for x in fps], "fp long, grp long")
+    split = set(map(tuple, simhash.far_links(nodes, 2000).collect()))
+    assert split == set(map(tuple, simhash.far_links(nodes, 10**9).collect())) and len(split) >= 900
+    monkeypatch.setattr(simhash, "HOT_ROWS", 50)
+    docs = [(k, "one text that a third of all rows have in common here" if k % 3 == 0 else f"text {k} is {k * 7} and {k * 11} of {k * 13}") for k in range(240)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x.doc_id: (x.fingerprint, x.component_id) for x in simhash.near_duplicates(df).collect()}
+    assert len(got) == 240 and {got[k][1] for k in range(0, 240, 3)} == {0}
+    monkeypatch.setattr(simhash, "HOT_ROWS", 10**9)
+    assert {x.doc_id: (x.fingerprint, x.component_id) for x in simhash.near_duplicates(df).collect()} == got
+
+
 # --------------------------------------------------------------------- HTML
 
 
