@@ -62,9 +62,9 @@ def folded(rows: DataFrame, by: tuple, item: list[str], fold, schema: str) -> Da
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    from ..shipping import ship
+    from ..shipping import bounded_batches
 
-    ship(rows.sparkSession)
+    bounded_batches(rows.sparkSession)
     groups = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*item))).alias("items"))
     keys = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in by)
     out = to_arrow_schema(StructType.fromDDL(f"{keys}, {schema}"))

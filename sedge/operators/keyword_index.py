@@ -48,10 +48,10 @@ class Index:
 
 def build_index(chunks: DataFrame, by: str | None = None, folder: str | None = None) -> Index:
     """Index ``chunks`` (chunk_id, content and, with it, ``by``) into a folder."""
-    from ..shipping import ship
+    from ..shipping import bounded_batches
 
     spark = chunks.sparkSession
-    ship(spark)
+    bounded_batches(spark)
     folder = folder or shared_folder(spark, "keyword-index")
     kind = chunks.schema["chunk_id"].dataType.simpleString()
     slot = f"`{by}` {chunks.schema[by].dataType.simpleString()}, " if by else ""

@@ -72,9 +72,9 @@ def packed(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "
     """(block, ids, units): unit vectors in blocks of about ``rows``, as matrices."""
     import pyarrow as pa
 
-    from ..shipping import ship
+    from ..shipping import bounded_batches
 
-    ship(vectors.sparkSession)
+    bounded_batches(vectors.sparkSession)
     n = -(-vectors.count() // rows) or 1
 
     def pack(key, table):
@@ -159,10 +159,10 @@ def near_blocks(vectors: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     that lie about the same pivot, with the ball that holds them."""
     import pyarrow as pa
 
-    from ..shipping import ship
+    from ..shipping import bounded_batches
 
     spark = vectors.sparkSession
-    ship(spark)
+    bounded_batches(spark)
     n = vectors.count()
     pivots = spark.sparkContext.broadcast(pivots_of(vectors, min(PIVOTS, -(-2 * n // rows) or 1)))
 

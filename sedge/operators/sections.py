@@ -31,7 +31,8 @@ def with_paths(blocks: DataFrame, levels: int = LEVELS) -> DataFrame:
     of every heading.
 
     The ancestor at a level is the last heading of that level, if it is later
-    than the last heading of each higher level."""
+    than the last heading of each higher level.  Headings deeper than ``levels`` count
+    as of that level."""
     heading = F.col("type") == "heading"
     level = F.least("heading_level", F.lit(levels))
     last = [F.last(F.when(heading & (level == k), F.struct("pos", "content")), True).over(_order()) for k in range(1, levels + 1)]
