@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, tokens
+from ..sources.shared import stored
 from .registry import register_model, register_strategy, sizer, strategy
 
 # References that point out of a chunk.
@@ -224,37 +225,78 @@ def recursive_chunks(blocks: DataFrame, target: int = 150, min_tokens: int = 20,
     """Blocks cut at the coarsest separators that make pieces small enough; small
     pieces joined with the next, the last words of each put before the next.
 
-    Tables and code stand alone.  The recursion goes text by text; Spark deals
-    documents to tasks in batches.  ``counter`` names the token counter."""
+    Tables and code stand alone.  Texts are cut block by block; only the sizes of a
+    document's pieces are folded in order, and texts meet again chunk by chunk.
+    ``counter`` names the token counter; of two texts with a blank line between it must
+    count what it counts of each (the estimate is taken of characters)."""
     load = sizer(counter)
+    kind = blocks.schema["pos"].dataType.simpleString()
+    key = blocks.schema["doc_id"].dataType.simpleString()
+
+    def cut(size):
+        def step(docs, places, alone, texts):
+            for doc, pos, whole, text in zip(docs, places, alone, texts):
+                pieces = [text] if whole else [p.strip() for p in _recursive(text, target, 0, size) if p.strip()]
+                yield from ((doc, pos, k, piece, len(piece), size(piece)) for k, piece in enumerate(pieces))
+
+        return step
 
     def fold(items):
-        # Loaded once in a worker.
-        _size = fold.size = getattr(fold, "size", None) or load()
-        chunks: list[str] = []
-        for _, alone, content in items:
-            pieces = [content] if alone else [p.strip() for p in _recursive(content, target, 0, _size) if p.strip()]
-            for piece in pieces:
-                joined = f"{chunks[-1]}\n\n{piece}" if chunks else ""
-                if chunks and _size(chunks[-1]) < min_tokens and _size(joined) <= max_tokens:
-                    chunks[-1] = joined
-                else:
-                    chunks.append(piece)
-        out, before = [], ""
-        for k, chunk in enumerate(chunks):
-            tail, room = [], overlap
-            for word in reversed(before.split()):
-                room -= _size(word)
-                if room < 0:
-                    break
-                tail.append(word)
-            content = " ".join(reversed(tail)) + "\n\n" + chunk if tail else chunk
-            out.append((k, content, _size(content)))
-            before = chunk
+        out, group, chars, held = [], -1, 0, 0
+        for pos, part, n, tokens_ in items:
+            whole = chars + 2 + n
+            joined = max(1, whole // 4) if counter == "estimate" else held + tokens_
+            if group >= 0 and held < min_tokens and joined <= max_tokens:
+                chars, held = whole, joined
+            else:
+                group, chars, held = group + 1, n, tokens_
+            out.append((pos, part, group))
         return out
 
+    def lead(size):
+        def step(docs, places, texts, before):
+            for doc, pos, text, last in zip(docs, places, texts, before):
+                tail, room = [], overlap
+                for word in reversed((last or "").split()):
+                    room -= size(word)
+                    if room < 0:
+                        break
+                    tail.append(word)
+                content = " ".join(reversed(tail)) + "\n\n" + text if tail else text
+                yield doc, pos, content, size(content)
+
+        return step
+
     rows = blocks.select("doc_id", "pos", F.col("type").isin("table", "code").alias("alone"), "content")
-    return folded(rows, ("doc_id",), ["pos", "alone", "content"], fold, "chunk_pos int, content string, token_count bigint")
+    pieces = _mapped(rows, load, cut, f"doc_id {key}, pos {kind}, part int, content string, chars bigint, tokens bigint")
+    pieces = stored(pieces, "pieces")
+    groups = folded(pieces, ("doc_id",), ["pos", "part", "chars", "tokens"], fold, f"pos {kind}, part int, chunk_pos int")
+    parts = F.array_sort(F.collect_list(F.struct("pos", "part", "content")))
+    made = pieces.join(groups, ["doc_id", "pos", "part"]).groupBy("doc_id", "chunk_pos").agg(F.array_join(F.transform(parts, lambda x: x["content"]), "\n\n").alias("content"))
+    before = F.lag("content").over(Window.partitionBy("doc_id").orderBy("chunk_pos"))
+    return _mapped(made.select("doc_id", "chunk_pos", "content", before.alias("before")), load, lead, f"doc_id {key}, chunk_pos int, content string, token_count bigint")
+
+
+def _mapped(rows: DataFrame, load, make, schema: str) -> DataFrame:
+    """Rows by ``make(size)`` of the columns of a batch, with a counter loaded once in a
+    task."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    from ..shipping import bounded_batches
+
+    bounded_batches(rows.sparkSession)
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        step = None
+        for batch in batches:
+            step = step or make(load())
+            columns = list(zip(*step(*(c.to_pylist() for c in batch.columns)))) or [[] for _ in out]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
+
+    return rows.mapInArrow(run, schema)
 
 
 def add_overlap(chunks: DataFrame, overlap: int = 20) -> DataFrame:

@@ -88,6 +88,43 @@ def test_recursive_chunks_by_a_counter(spark, sf_dir):
     assert "".join(cut) == ",".join("abcdefghij") * 20 and all(pieces(x) <= 30 for x in cut)
 
 
+def loop_of_chunks(items, target, least, most, overlap, size):
+    """Chunks of one document's (alone, content) in a plain loop."""
+    chunks: list[str] = []
+    for alone, content in items:
+        for piece in [content] if alone else [p.strip() for p in C._recursive(content, target, 0, size) if p.strip()]:
+            joined = f"{chunks[-1]}\n\n{piece}" if chunks else ""
+            if chunks and size(chunks[-1]) < least and size(joined) <= most:
+                chunks[-1] = joined
+            else:
+                chunks.append(piece)
+    out, before = [], ""
+    for chunk in chunks:
+        tail, room = [], overlap
+        for word in reversed(before.split()):
+            room -= size(word)
+            if room < 0:
+                break
+            tail.insert(0, word)
+        out.append(" ".join(tail) + "\n\n" + chunk if tail else chunk)
+        before = chunk
+    return out
+
+
+@pytest.mark.parametrize("name,size", [("estimate", C._size), ("words", words), ("pieces", pieces)])
+def test_recursive_chunks_equal_a_plain_loop(spark, sf_dir, name, size):
+    blocks = tables.outline_blocks(spark, sf_dir).where("doc_id < 30")
+    docs: dict = {}
+    for x in blocks.orderBy("doc_id", "pos").collect():
+        docs.setdefault(x.doc_id, []).append((x.type in ("table", "code"), x.content))
+    for target, least, most, overlap in ((150, 20, 200, 20), (12, 5, 30, 4), (30, 0, 40, 0)):
+        got: dict = {}
+        for x in C.recursive_chunks(blocks, target, least, most, overlap, name).orderBy("doc_id", "chunk_pos").collect():
+            assert x.token_count == size(x.content)
+            got.setdefault(x.doc_id, []).append(x.content)
+        assert got == {d: loop_of_chunks(items, target, least, most, overlap, size) for d, items in docs.items()}
+
+
 def test_embedders_are_checked(spark, sf_dir):
     chunks = tables.chunks(spark, sf_dir).limit(50)
     rows = retrieval.embed(chunks, "letters", 64).join(chunks, "chunk_id").collect()

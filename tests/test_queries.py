@@ -10,7 +10,8 @@ CATALOG = load()
 #: Queries without SQL: tests of their own hold them against brute force or invariants.
 HELD_ELSEWHERE = {
     "c18_chunk_fixed", "c19_chunk_hierarchy", "c21_chunk_recursive", "c22_add_overlap", "c23_merge_small", "e3_embed", "i7_synthetic_corpus", "i8_train_classifier", "i9_predict_type",
-    "i10_feature_importance", "i11_cross_validate", "i11_fold_report", "i12_unknown_queue",
+    "i10_feature_importance", "i11_cross_validate", "i11_fold_report", "i12_unknown_queue", "i14_retrain_report", "c18_chunk_fixed_by_words", "c21_chunk_recursive_by_pieces",
+    "e3_embed_by_model", "e17_batch_rag_by_model",
 }
 
 
