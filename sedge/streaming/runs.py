@@ -37,7 +37,11 @@ def write_once(rows: DataFrame, folder: str, batch: int, by: tuple = ()) -> None
 
 
 def read_batches(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """What all batches wrote, with ``batch``, the number of each."""
+    """What all batches wrote, with ``batch``, the number of each; nothing if there was
+    no batch."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], f"{schema}, batch bigint")
     return spark.read.schema(f"{schema}, batch bigint").parquet(folder)
 
 

@@ -274,3 +274,13 @@ def test_tables_of_html_are_one_block(spark):
     df = spark.createDataFrame([(1, html)], "page_id long, html string")
     got = [(x.type, x.content) for x in documents.html_blocks(df).orderBy("pos").collect()]
     assert got == [("heading", "T"), ("text", "a"), ("table", "| h & i | j\n| 1 | 2 3"), ("text", "b")]
+
+
+def test_streams_without_a_batch_are_empty(spark, tmp_path):
+    from sedge.operators import feedback
+    from sedge.streaming import runs
+
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("signal_id long, ts timestamp").parquet(f"{tmp_path}/in")
+    assert feedback.recorded(stream, f"file://{tmp_path}/none").count() == 0
+    assert runs.exported(stream, "none", f"file://{tmp_path}/none-too").count() == 0
