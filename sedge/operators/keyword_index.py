@@ -179,7 +179,7 @@ def _searched(held, k: int, schema: str, slotted: bool, counted: bool):
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    out = to_arrow_schema(StructType.fromDDL(schema))
+    out, block = to_arrow_schema(StructType.fromDDL(schema)), POSTINGS
 
     def run(key, table):
         import numpy as np
@@ -193,7 +193,7 @@ def _searched(held, k: int, schema: str, slotted: bool, counted: bool):
         rows, read, every = [], 0, 0
         for query, weights in held.value.get(slot, []):
             plan = [(t, w) for t, w in weights if t in postings]
-            places, raw, did = best_of(plan, postings, n, k)
+            places, raw, did = best_of(plan, postings, n, k, block)
             read += did
             every += sum(len(postings[t][0]) for t, _ in plan)
             if not counted:

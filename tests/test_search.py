@@ -81,7 +81,6 @@ def zipf_text(r, n, kinds):
 def test_index_gives_the_exact_best(spark, monkeypatch, shard, block):
     monkeypatch.setattr(keyword_index, "SHARD", shard)
     monkeypatch.setattr(keyword_index, "POSTINGS", block)
-    monkeypatch.setattr(keyword_index.best_of, "__defaults__", (block,))
     r = random.Random(33)
     chunks = [(f"c{k:04d}", zipf_text(r, r.randint(0, 60), 900)) for k in range(600)] + [("d1", None), ("d2", "")] + [(f"e{k}", "same few words") for k in range(20)]
     queries = [(k, zipf_text(r, r.randint(0, 12), 900)) for k in range(40)] + [(90, "same words"), (91, "wb " * 9), (92, None)]
@@ -94,8 +93,10 @@ def test_index_gives_the_exact_best(spark, monkeypatch, shard, block):
     assert retrieval.search_index(index, asked.limit(0), 5).count() == 0
 
 
-def test_index_is_written_once_and_stops_early(spark, tmp_path):
-    """Two query sets over one folder; postings behind the bounds are not read."""
+def test_index_is_written_once_and_stops_early(spark, tmp_path, monkeypatch):
+    """Two query sets over one folder; postings behind the bounds are not read, in
+    blocks of 16, as lists are short here."""
+    monkeypatch.setattr(keyword_index, "POSTINGS", 16)
     r = random.Random(34)
     common = ["".join(r.choices("abcdefghij", k=4)) for _ in range(200)]
     topic = lambda k: "topic" + "".join(chr(97 + int(d)) for d in str(k % 500))
