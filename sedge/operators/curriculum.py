@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, strip
 from ..sources.shared import Rounds, shared_folder, small, stored
-from .set_index import SetIndex, add_sets, bucket_of, build_sets, load_by, near_sets, save_by
+from .set_index import SIGNATURE, SetIndex, add_sets, bucket_of, build_sets, load_by, may_be_near, near_sets, ordered_sets, prefixes_of, ranks_of, save_by
 
 # Metadata fields, their patterns, formats and profiles.
 FIELDS = {
@@ -342,33 +342,35 @@ def question_tokens(c: Column) -> Column:
 
 def set_class(c: Column) -> Column:
     """A key of a set of tokens."""
-    return F.md5(F.to_json(F.array_sort(c)))
+    return F.unhex(F.md5(F.to_json(F.sort_array(c))))
 
 
-def similar_sets(left: DataFrame, right: DataFrame, keys: tuple, threshold: float) -> DataFrame:
+def similar_sets(left: DataFrame, right: DataFrame, keys: tuple, threshold: float, ranks: DataFrame | None = None) -> DataFrame:
     """Pairs (keys, cls, cls2) of sets (keys, cls, tokens) of the left table with those
     of the right whose Jaccard similarity is ``threshold`` or more, each with itself
     too.
 
     Exact join by prefixes: tokens ordered by rarity, each set indexed under its first
-    (1 - t) n + 1 tokens, equal tokens met, sizes compared, pairs verified.  Sets
-    without tokens equal each other only."""
-    flat = right.select(*keys, "cls", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
-    rare = flat.groupBy(*keys, "t").agg(F.count("*").alias("df"))
+    (1 - t) n + 1 tokens, equal tokens met, sizes and signatures compared, pairs
+    verified.  Where they meet tokens and sets are named by hashes; those join no others.
+    Sets without tokens equal each other only."""
+    ranks = stored(ranks_of(right, keys) if ranks is None else ranks, "ranks")
+    all_sets = stored(ordered_sets(right, keys, ranks), "ordered-sets")
+    asked = all_sets if left is right else stored(ordered_sets(left, keys, ranks), "ordered-sets")
+    held = [F.xxhash64(*keys, "cls").alias("id"), "n", *SIGNATURE]
 
     def index(sets: DataFrame) -> DataFrame:
-        flat = sets.select(*keys, "cls", F.size("tokens").alias("n"), F.explode("tokens").alias("t")).join(rare, [*keys, "t"])
-        # A window's partition is one set.
-        flat = flat.withColumn("r", F.row_number().over(Window.partitionBy(*keys, "cls").orderBy("df", "t")))
-        return flat.where(F.col("r") <= F.floor(F.col("n") * (1 - threshold) + 1e-9) + 1).select(*keys, "cls", "n", "t")
-
-    y = index(right).select(*keys, F.col("cls").alias("cls2"), F.col("n").alias("n2"), "t")
-    near = index(left).join(y, [*keys, "t"]).where((F.col("n2") >= F.col("n") * threshold - 1e-9) & (F.col("n") >= F.col("n2") * threshold - 1e-9))
-    near = near.where("cls <> cls2").select(*keys, "cls", "cls2").distinct()
-    other = right.select(*keys, F.col("cls").alias("cls2"), F.col("tokens").alias("tokens2"))
-    both = near.join(left, [*keys, "cls"]).join(other, [*keys, "cls2"])
+        return prefixes_of(sets, keys, threshold).select(F.xxhash64(*keys, "t").alias("h"), *held)
+
+    y = index(all_sets).select("h", *[F.col(c).alias(f"{c}2") for c in ("id", "n", *SIGNATURE)])
+    near = index(asked).join(y, "h").where(may_be_near(threshold)).where("id <> id2").select("id", "id2").distinct()
+    own = asked.select(held[0], *keys, "cls", "tokens")
+    other = all_sets.select(held[0].alias("id2"), *[F.col(k).alias(f"{k}2") for k in keys], F.col("cls").alias("cls2"), F.col("tokens").alias("tokens2"))
+    both = near.join(own, "id").join(other, "id2")
+    for k in keys:
+        both = both.where(F.col(k) == F.col(f"{k}2"))
     alike = both.where(jaccard(F.col("tokens"), F.col("tokens2"), 1.0) >= threshold).select(*keys, "cls", "cls2")
-    return alike.union(left.select(*keys, "cls", F.col("cls").alias("cls2")))
+    return alike.union(asked.select(*keys, "cls", F.col("cls").alias("cls2")))
 
 
 def conflicts(examples: DataFrame, threshold: float = 0.7, keys: tuple = ("discipline",), new: Column | None = None) -> DataFrame:
@@ -377,14 +379,19 @@ def conflicts(examples: DataFrame, threshold: float = 0.7, keys: tuple = ("disci
     questions are alike and whose answers are not.
 
     With ``new``, only examples that meet it are asked about, against all."""
-    rows = _classed(examples, keys).withColumn("asked", F.lit(True) if new is None else new)
+    rows = stored(_classed(examples, keys).withColumn("asked", F.lit(True) if new is None else new), "examples")
     by = [*keys, "qc", "ac"]
-    classes = stored(rows.groupBy(*by).agg(F.min("example_id").alias("class_id"), F.max("asked").alias("asked"), F.first("q").alias("q"), F.first("a").alias("a")), "classes")
-    asked = classes.where("asked")
-    near_q = stored(similar_sets(_sets(asked, "qc", "q", keys), _sets(classes, "qc", "q", keys), keys, threshold), "questions")
-    near_a = stored(similar_sets(_sets(asked, "ac", "a", keys), _sets(classes, "ac", "a", keys), keys, threshold), "answers")
-    links = _links(asked.select(*by, "class_id"), classes, classes, near_q, near_a, keys)
-    return rows.where("asked").join(links, by).select("example_id", "class_id", "links")
+    classes = stored(rows.groupBy(*by).agg(F.min("example_id").alias("class_id"), F.max("asked").alias("asked")), "classes")
+    asked = classes if new is None else classes.where("asked")
+
+    def near(key: str, c: str) -> DataFrame:
+        # Texts are not in the classes: sets and their ranks come from the rows.
+        every = _sets(rows, key, c, keys)
+        own = every if new is None else _sets(rows.where("asked"), key, c, keys)
+        return stored(similar_sets(own, every, keys, threshold, ranks_of(rows.select(*keys, F.col(c).alias("tokens")), keys)), c)
+
+    links = _links(asked.select(*by, "class_id"), classes, classes, near("qc", "q"), near("ac", "a"), keys)
+    return rows.where("asked").select("example_id", *by).join(links, by).select("example_id", "class_id", "links")
 
 
 def _classed(examples: DataFrame, keys: tuple) -> DataFrame:
@@ -441,10 +448,11 @@ class ConflictIndex:
 def index_examples(examples: DataFrame, threshold: float = 0.7, keys: tuple = ("discipline",), folder: str | None = None) -> ConflictIndex:
     """An index of a corpus of examples, to check and add batches."""
     folder = folder or shared_folder(examples.sparkSession, "conflict-index")
-    classes = stored(_with_ids(_classed(examples, keys), keys), "classes")
-    questions = build_sets(_sets(classes, "qc", "q", keys), keys, threshold, f"{folder}/questions")
-    answers = build_sets(_sets(classes, "ac", "a", keys), keys, threshold, f"{folder}/answers")
-    index = ConflictIndex(questions, answers, folder, classes.select(*keys, "qc", "ac", "class_id").limit(0))
+    rows = stored(_classed(examples, keys), "examples")
+    classes = stored(rows.groupBy(*keys, "qc", "ac").agg(F.min("example_id").alias("class_id")), "classes")
+    sides = [(_sets(rows, key, c, keys), ranks_of(rows.select(*keys, F.col(c).alias("tokens")), keys), name) for key, c, name in (("qc", "q", "questions"), ("ac", "a", "answers"))]
+    questions, answers = (build_sets(sets, keys, threshold, f"{folder}/{name}", ranks) for sets, ranks, name in sides)
+    index = ConflictIndex(questions, answers, folder, classes.limit(0))
     _save_classes(index, classes, "error")
     return index
 

@@ -4,19 +4,25 @@ Ranks of tokens are frozen when the index is built: any fixed order gives exact
 prefixes, and tokens without a rank come first.  Prefixes lie in folders by their
 token's bucket and sets by their own, so a batch reads the buckets of its tokens and
 of the sets that may be near, and no more.
+
+Beside its prefixes a set has a signature of ``SIGNATURE`` bits, each set by tokens of
+that hash.  Sets differ in at least as many tokens as their signatures in bits, so most
+that share no more than a rare token part where they meet, and are never written.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard
 from ..sources.shared import shared_folder, small, stored
 
 BUCKETS = 64
+#: Columns of 64 bits of a signature; tokens that have ranks at most.
+SIGNATURE, RANKED = ("s0", "s1", "s2", "s3"), 100_000
 
 
 def bucket_of(c: Column | str) -> Column:
@@ -38,6 +44,41 @@ def load_by(spark: SparkSession, path: str, like: DataFrame, wanted: DataFrame |
     return rows
 
 
+def ranks_of(sets: DataFrame, keys: tuple) -> DataFrame:
+    """(keys, t, df): the most frequent tokens, ``RANKED`` at most.  The others come
+    first in every set; which order it is only decides how many sets meet."""
+    flat = sets.select(*keys, F.explode("tokens").alias("t"))
+    return flat.groupBy(*keys, "t").agg(F.count("*").alias("df")).orderBy(F.desc("df"), *keys, "t").limit(RANKED)
+
+
+def ordered_sets(sets: DataFrame, keys: tuple, ranks: DataFrame) -> DataFrame:
+    """(keys, cls, n, signature, tokens): sets (keys, cls, tokens) with their tokens from
+    the rarest on; sets dealt by keys and class stay where they are."""
+    flat = sets.select(*keys, "cls", F.explode_outer("tokens").alias("t")).join(F.broadcast(ranks), [*keys, "t"], "left")
+    width = 64 * len(SIGNATURE)
+    # A shift takes a long's low six bits.
+    at, one = F.pmod(F.xxhash64("t"), F.lit(width)), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(t), {width}) AS INT))")
+    bits = [F.bit_or(F.when(F.floor(at / 64) == k, one).otherwise(F.lit(0).cast("bigint"))).alias(c) for k, c in enumerate(SIGNATURE)]
+    order = F.sort_array(F.collect_list(F.when(F.col("t").isNotNull(), F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))))
+    rows = flat.groupBy(*keys, "cls").agg(F.count("t").cast("int").alias("n"), *bits, order.alias("o"))
+    return rows.select(*keys, "cls", "n", *SIGNATURE, F.transform("o", lambda x: x["t"]).alias("tokens"))
+
+
+def prefixes_of(ordered: DataFrame, keys: tuple, threshold: float) -> DataFrame:
+    """(keys, cls, n, signature, t): each ordered set under its first (1 - t) n + 1 tokens."""
+    first = F.slice("tokens", F.lit(1), (F.floor(F.col("n") * (1 - threshold) + 1e-9) + 1).cast("int"))
+    return ordered.select(*keys, "cls", "n", *SIGNATURE, F.explode(first).alias("t"))
+
+
+def may_be_near(threshold: float) -> Column:
+    """Whether two sets (``n``, the signature; those of the other with a 2) can have a
+    similarity of ``threshold``, by their sizes and by the bits in which they differ:
+    |A - B| + |B - A| <= (1 - t) / (1 + t) (|A| + |B|)."""
+    n, m = F.col("n"), F.col("n2")
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}2"))) for c in SIGNATURE), F.lit(0))
+    return (m >= n * threshold - 1e-9) & (n >= m * threshold - 1e-9) & (apart <= (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-6)
+
+
 @dataclass(frozen=True)
 class SetIndex:
     """The folder of an index of sets (keys, cls, tokens) for one threshold."""
@@ -52,18 +93,19 @@ class SetIndex:
         return self.like.sparkSession.read.parquet(f"{self.folder}/ranks")
 
     def prefixes(self, wanted: DataFrame) -> DataFrame:
-        like = self.like.select(*self.keys, "cls", F.lit(0).alias("n"), F.lit("").alias("t"))
+        like = self.like.select(*self.keys, "cls", "n", *SIGNATURE, F.lit("").alias("t"))
         return load_by(self.like.sparkSession, f"{self.folder}/prefixes", like, wanted).drop("bucket")
 
     def sets(self, wanted: DataFrame | None = None) -> DataFrame:
         return load_by(self.like.sparkSession, f"{self.folder}/sets", self.like, wanted)
 
 
-def build_sets(sets: DataFrame, keys: tuple, threshold: float, folder: str | None = None) -> SetIndex:
+def build_sets(sets: DataFrame, keys: tuple, threshold: float, folder: str | None = None, ranks: DataFrame | None = None) -> SetIndex:
     """An index of distinct sets (keys, cls, tokens); its ranks are those of now."""
     spark = sets.sparkSession
-    index = SetIndex(folder or shared_folder(spark, "set-index"), tuple(keys), threshold, sets.select(*keys, "cls", "tokens").limit(0))
-    sets.select(*keys, F.explode("tokens").alias("t")).groupBy(*keys, "t").agg(F.count("*").alias("df")).write.parquet(f"{index.folder}/ranks")
+    bits = [F.lit(0).cast("bigint").alias(c) for c in SIGNATURE]
+    index = SetIndex(folder or shared_folder(spark, "set-index"), tuple(keys), threshold, sets.select(*keys, "cls", F.lit(0).alias("n"), *bits, "tokens").limit(0))
+    (ranks_of(sets, keys) if ranks is None else ranks).write.parquet(f"{index.folder}/ranks")
     _append(index, sets, "error")
     return index
 
@@ -71,21 +113,18 @@ def build_sets(sets: DataFrame, keys: tuple, threshold: float, folder: str | Non
 def add_sets(index: SetIndex, batch: DataFrame) -> None:
     """Add those sets of a batch that the index has not got; ranks stay."""
     known = index.sets(batch.select(bucket_of("cls").alias("bucket"))).select(*index.keys, "cls")
-    _append(index, stored(batch.join(known, [*index.keys, "cls"], "left_anti"), "added"), "append")
+    _append(index, batch.join(known, [*index.keys, "cls"], "left_anti"), "append")
 
 
 def _append(index: SetIndex, sets: DataFrame, mode: str) -> None:
-    save_by(sets.select(*index.keys, "cls", "tokens"), bucket_of("cls"), f"{index.folder}/sets", mode)
-    save_by(_prefixes(index, sets), bucket_of("t"), f"{index.folder}/prefixes", mode)
+    ordered = stored(ordered_sets(sets, index.keys, index.ranks), "ordered-sets")
+    save_by(ordered, bucket_of("cls"), f"{index.folder}/sets", mode)
+    save_by(prefixes_of(ordered, index.keys, index.threshold), bucket_of("t"), f"{index.folder}/prefixes", mode)
 
 
 def _prefixes(index: SetIndex, sets: DataFrame) -> DataFrame:
-    """Each set under its first (1 - t) n + 1 tokens by the frozen ranks."""
-    keys = index.keys
-    flat = sets.select(*keys, "cls", F.size("tokens").alias("n"), F.explode("tokens").alias("t")).join(index.ranks, [*keys, "t"], "left")
-    # A window's partition is one set.
-    flat = flat.withColumn("r", F.row_number().over(Window.partitionBy(*keys, "cls").orderBy(F.coalesce("df", F.lit(0)), "t")))
-    return flat.where(F.col("r") <= F.floor(F.col("n") * (1 - index.threshold) + 1e-9) + 1).select(*keys, "cls", "n", "t")
+    """Each set's prefix by the frozen ranks."""
+    return prefixes_of(ordered_sets(sets, index.keys, index.ranks), index.keys, index.threshold)
 
 
 def near_sets(index: SetIndex, batch: DataFrame) -> DataFrame:
@@ -95,8 +134,8 @@ def near_sets(index: SetIndex, batch: DataFrame) -> DataFrame:
     own = stored(_prefixes(index, batch), "batch-prefixes")
     old = index.prefixes(own.select(bucket_of("t").alias("bucket")))
     every = old.join(small(own.select(*keys, "t").distinct()), [*keys, "t"], "left_semi").unionByName(own).distinct()
-    other = every.select(*keys, F.col("cls").alias("cls2"), F.col("n").alias("n2"), "t")
-    near = own.join(other, [*keys, "t"]).where((F.col("n2") >= F.col("n") * threshold - 1e-9) & (F.col("n") >= F.col("n2") * threshold - 1e-9))
+    other = every.select(*keys, *[F.col(c).alias(f"{c}2") for c in ("cls", "n", *SIGNATURE)], "t")
+    near = own.join(other, [*keys, "t"]).where(may_be_near(threshold))
     near = stored(near.where("cls <> cls2").select(*keys, "cls", "cls2").distinct(), "candidates")
     tokens = index.sets(near.select(bucket_of("cls2").alias("bucket"))).select(*keys, "cls", "tokens")
     tokens = tokens.join(near.select(*keys, F.col("cls2").alias("cls")).distinct(), [*keys, "cls"], "left_semi").unionByName(batch.select(*keys, "cls", "tokens"))

@@ -285,3 +285,18 @@ def test_streams_without_a_batch_are_empty(spark, tmp_path):
     stream = spark.readStream.schema("signal_id long, ts timestamp").parquet(f"{tmp_path}/in")
     assert feedback.recorded(stream, f"file://{tmp_path}/none").count() == 0
     assert runs.exported(stream, "none", f"file://{tmp_path}/none-too").count() == 0
+
+
+def test_sets_that_share_a_rare_token_only_part_where_they_meet(spark):
+    """Each group of sets has one token in common, which makes no pairs; near sets are found."""
+    r = random.Random(5)
+    sets = [(0, f"g{g}-{k}", [f"a{g}", *(f"{r.random()}" for _ in range(60))]) for g in range(3) for k in range(40)]
+    sets += [(0, f"n{k}", [*sets[k][2][:52], *(f"{k}/{j}" for j in range(9))]) for k in range(0, 120, 10)]
+    df = spark.createDataFrame(sets, "discipline int, cls string, tokens array<string>")
+    ordered = set_index.ordered_sets(df, ("discipline",), set_index.ranks_of(df, ("discipline",)))
+    other = ordered.select(*[F.col(c).alias(f"{c}2") for c in ("cls", "n", *set_index.SIGNATURE)])
+    met = {(x.cls, x.cls2) for x in ordered.crossJoin(other).where("cls < cls2").where(set_index.may_be_near(0.7)).collect()}
+    near = {(a, b) for _, a, x in sets for _, b, y in sets if a < b and len({*x} & {*y}) >= 0.7 * len({*x} | {*y})}
+    assert len(near) == 12 and near <= met and len(met) < 40
+    got = curriculum.similar_sets(df, df, ("discipline",), 0.7).where("cls < cls2").collect()
+    assert {(x.cls, x.cls2) for x in got} == near
