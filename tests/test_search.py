@@ -300,3 +300,31 @@ def test_sets_that_share_a_rare_token_only_part_where_they_meet(spark):
     assert len(near) == 12 and near <= met and len(met) < 40
     got = curriculum.similar_sets(df, df, ("discipline",), 0.7).where("cls < cls2").collect()
     assert {(x.cls, x.cls2) for x in got} == near
+
+
+def test_many_queries_at_once_equal_one_by_one():
+    """Ties, weights below zero, unknown terms and fewer chunks than wanted."""
+    r = np.random.default_rng(3)
+    for n, k in ((500, 5), (3, 5), (40, 40)):
+        postings = {}
+        for j in range(30):
+            places = np.flatnonzero(r.random(n) < (0.6 if j < 10 else 0.05))
+            if len(places):
+                shares = r.integers(1, 4, len(places)) / 8
+                postings[f"t{j}"] = (places.astype(np.int32), shares, np.maximum.reduceat(shares, np.arange(0, len(places), 64)))
+        plans = [[(f"t{j}", w) for j, w in zip(r.permutation(35)[:12].tolist(), r.integers(-1, 5, 12).tolist())] for _ in range(300)] + [[]]
+        asked, places, raw = keyword_index.best_of_many(plans, postings, n, k)
+        for q, plan in enumerate(plans):
+            want = keyword_index.best_of([(t, w) for t, w in plan if t in postings], postings, n, k)
+            assert places[asked == q].tolist() == want[0].tolist()
+            assert np.allclose(raw[asked == q], want[1])
+
+
+def test_many_queries_do_not_search_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(keyword_index, "MANY", 1)
+    chunks = spark.createDataFrame([(0, "a b"), (1, ""), (2, None), (3, "Cat cat dog"), (4, "dog dog dog bird"), (5, "cat bird")], "chunk_id long, content string")
+    queries = spark.createDataFrame([(7, "cat"), (8, "dog bird"), (9, "fish")], "query_id long, query string")
+    many = sorted(map(tuple, retrieval.keyword_search(chunks, queries, 2).collect()))
+    monkeypatch.setattr(keyword_index, "MANY", 1000)
+    assert many == sorted(map(tuple, retrieval.keyword_search(chunks, queries, 2).collect()))
+    assert [(x[0], x[2]) for x in many] == [(7, 3), (7, 5), (8, 4), (8, 5)]
