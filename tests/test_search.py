@@ -328,3 +328,21 @@ def test_many_queries_do_not_search_one_by_one(spark, monkeypatch):
     monkeypatch.setattr(keyword_index, "MANY", 1000)
     assert many == sorted(map(tuple, retrieval.keyword_search(chunks, queries, 2).collect()))
     assert [(x[0], x[2]) for x in many] == [(7, 3), (7, 5), (8, 4), (8, 5)]
+
+
+def test_vector_search_multiplies_slices_and_keeps_ties(spark):
+    """More queries than a slice, copies beyond the wanted number: the smallest ids win."""
+    r = np.random.default_rng(8)
+    vectors = np.vstack([np.tile(r.normal(size=8), (30, 1)), r.normal(size=(370, 8))])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    blocks = retrieval.packed(df).collect()
+    pairs = spark.createDataFrame([(b.ids, b.units, b.ids, b.units) for b in blocks], "ids array<bigint>, units binary, ids2 array<bigint>, units2 binary")
+    made = {}
+    retrieval._products(pairs, lambda a, b, s: ([], []) if len(a) <= retrieval.SLICE else 1 / 0, ("l", "r")).collect()
+    for x in retrieval.vector_search(df, df.select(df.vec_id.alias("query_id"), df.embedding.alias("query_vector")), 4).collect():
+        made.setdefault(x.query_id, {})[x.rank] = x.vec_id
+    m = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    s = np.round(m @ m.T, 9)
+    for q, got in made.items():
+        assert [got[j] for j in range(1, 5)] == np.lexsort((np.arange(400), -s[q]))[:4].tolist()
+    assert len(made) == 400
