@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, strip
-from ..sources.shared import Rounds, shared_folder, small, stored
+from ..sources.shared import BROADCAST_IDS, Rounds, shared_folder, small, stored
 from .set_index import SIGNATURE, SetIndex, add_sets, bucket_of, build_sets, load_by, may_be_near, near_sets, ordered_sets, prefixes_of, ranks_of, save_by
 
 # Metadata fields, their patterns, formats and profiles.
@@ -362,14 +362,27 @@ def similar_sets(left: DataFrame, right: DataFrame, keys: tuple, threshold: floa
     def index(sets: DataFrame) -> DataFrame:
         return prefixes_of(sets, keys, threshold).select(F.xxhash64(*keys, "t").alias("h"), *held)
 
-    y = index(all_sets).select("h", *[F.col(c).alias(f"{c}2") for c in ("id", "n", *SIGNATURE)])
-    near = index(asked).join(y, "h").where(may_be_near(threshold)).where("id <> id2").select("id", "id2").distinct()
-    own = asked.select(held[0], *keys, "cls", "tokens")
-    other = all_sets.select(held[0].alias("id2"), *[F.col(k).alias(f"{k}2") for k in keys], F.col("cls").alias("cls2"), F.col("tokens").alias("tokens2"))
-    both = near.join(own, "id").join(other, "id2")
+    def named(sets: DataFrame, ids: DataFrame, suffix: str) -> DataFrame:
+        """The few sets that are in a pair."""
+        rows = sets.select(held[0], *keys, "cls", "tokens").join(small(ids.distinct(), BROADCAST_IDS), "id", "left_semi")
+        return rows.select(*[F.col(c).alias(f"{c}{suffix}") for c in ("id", *keys, "cls", "tokens")])
+
+    x = index(asked)
+    if left is right:
+        # Tokens of one set meet nothing, so their rows stay where they are.
+        met = x.groupBy("h").agg(F.count("*").alias("met")).where("met > 1")
+        x = x.join(small(met.select("h"), BROADCAST_IDS), "h", "left_semi")
+    y = (x if left is right else index(all_sets)).select("h", *[F.col(c).alias(f"{c}2") for c in ("id", "n", *SIGNATURE)])
+    # Of one table each pair meets once.
+    near = x.join(y, "h").where(may_be_near(threshold)).where("id < id2" if left is right else "id <> id2").select("id", "id2").distinct()
+    near = stored(near, "candidates")
+    both = near.join(named(asked, near.select("id"), ""), "id").join(named(all_sets, near.select(F.col("id2").alias("id")), "2"), "id2")
     for k in keys:
         both = both.where(F.col(k) == F.col(f"{k}2"))
     alike = both.where(jaccard(F.col("tokens"), F.col("tokens2"), 1.0) >= threshold).select(*keys, "cls", "cls2")
+    if left is right:
+        alike = stored(alike, "alike")
+        alike = alike.union(alike.select(*keys, F.col("cls2").alias("cls"), F.col("cls").alias("cls2")))
     return alike.union(asked.select(*keys, "cls", F.col("cls").alias("cls2")))
 
 

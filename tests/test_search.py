@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sedge.operators import curriculum, keyword_index, retrieval, set_index
+from sedge.sources.shared import stored
 
 
 def unit_clusters(r, centres, each, width, spread):
@@ -346,3 +348,18 @@ def test_vector_search_multiplies_slices_and_keeps_ties(spark):
     for q, got in made.items():
         assert [got[j] for j in range(1, 5)] == np.lexsort((np.arange(400), -s[q]))[:4].tolist()
     assert len(made) == 400
+
+
+def test_tables_between_jobs_leave_no_shuffles(spark):
+    """The files of the shuffle that made a stored table go with its job."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    spark._jvm.System.gc()
+    time.sleep(1)
+    before = disk.getAllFiles().size()
+    out = stored(spark.range(1000).repartition(3, "id"), "dealt")
+    for _ in range(50):
+        if disk.getAllFiles().size() <= before:
+            break
+        time.sleep(0.1)
+    assert disk.getAllFiles().size() <= before
+    assert out.count() == 1000
