@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -463,3 +464,17 @@ def test_stream_keeps_every_signal_in_any_order(spark, tmp_path):
         rows.selectExpr("signal_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, day) AS ts").coalesce(1).write.mode("append").parquet(path)
     out = finished(feedback.first_of_each_stream(readers.stream_of(spark, path)), "test_signals")
     assert sorted(x.signal_id for x in out.collect()) == list(range(120))
+
+
+def test_sentences_are_cut_in_one_pass(spark):
+    """As the definition says, and in time that does not grow with the square of the
+    number of sentences."""
+    texts = ["", " ", "a", "a.", "a. ", "a.\n\n b", "a... b?! c", " . . x", "a.b. c\t\td.  e", "no stop at all"]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", C.split_sentences(F.col("t")).alias("s")).collect()
+    for x in got:
+        parts = re.split(r"(?<=[.!?])\s+", texts[x.k])
+        assert x.s == [*(p + " " for p in parts[:-1]), parts[-1]]
+    began = time.time()
+    long = spark.range(1).select(F.repeat(F.lit("one sentence of some words, which ends here.  "), 20_000).alias("t"))
+    assert long.select(F.size(C.split_sentences(F.col("t")))).first()[0] == 20_001
+    assert time.time() - began < 20
