@@ -192,3 +192,20 @@ def test_scorers_by_name(spark, sf_dir):
         register_strategy("painter", "x", len)
     with pytest.raises(ValueError, match="dimension"):
         register_model("embedder", "x", len, len)
+
+
+def test_counters_get_many_texts_at_once():
+    """A batch of texts is cut with two calls for each separator at most, and one for
+    the texts themselves; as text by text."""
+    calls = []
+
+    def many(texts):
+        calls.append(len(texts))
+        return [len(re.findall(C.PIECES, t)) for t in texts]
+
+    texts = [" ".join(f"word{k % 7}{'.' * (k % 5 == 0)}{',' * (k % 3 == 0)}" for k in range(n)) for n in range(1, 200)]
+    got = C._recursive_all(texts, 12, many)
+    assert len(calls) <= 2 * len(C.SEPARATORS) + 2 and sum(calls) > 1000
+    assert [[p for p, _ in x] for x in got] == [C._recursive(t, 12, 0, lambda t: len(re.findall(C.PIECES, t))) for t in texts]
+    assert all(n == len(re.findall(C.PIECES, p)) <= 12 for x in got for p, n in x)
+    assert ["".join(p for p, _ in x) for x in got] == texts
