@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from sedge.functions.text import strip
 from sedge.operators import chunks as C
 from sedge.operators import curriculum, diagnostics, documents, evaluation, feedback, retrieval, sections
 from sedge.operators.registry import register_strategy, strategy
@@ -478,3 +479,20 @@ def test_sentences_are_cut_in_one_pass(spark):
     long = spark.range(1).select(F.repeat(F.lit("one sentence of some words, which ends here.  "), 20_000).alias("t"))
     assert long.select(F.size(C.split_sentences(F.col("t")))).first()[0] == 20_001
     assert time.time() - began < 20
+
+
+def test_references_and_ends_of_texts(spark):
+    """References are found in one scan as by each pattern, ends are stripped of what
+    the pattern takes, and what rules share is made once."""
+    texts = ["see below", "Belows", "xbelow", "As  noted", "it is AS NOTED: above", "previously", "seen section", "(see table  4)", "see table x", "\x0b\t a b \f\r\n", " x ", " \n ", "", "hence, so", " \n Hence", "Therefor"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    kinds = (diagnostics.FORWARD, diagnostics.BACKWARD, diagnostics.ASK_FORWARD, diagnostics.ASK_BACKWARD)
+    rows = df.select("k", *[diagnostics.any_match(F.col("t"), p).alias(f"m{n}") for n, p in enumerate(kinds)], strip(F.col("t")).alias("s"), diagnostics.connective(strip(F.col("t"))).alias("w"))
+    for x in rows.collect():
+        t = texts[x.k]
+        assert [x[f"m{n}"] for n in range(4)] == [any(re.search(f"(?ai){p}", t) for p in ps) for ps in kinds]
+        assert x.s == re.sub(r"^\s+|\s+$", "", t, flags=re.A)
+        assert x.w == x.s.lower().startswith(diagnostics.CONNECTIVES)
+    chunks = spark.createDataFrame([(1, 0, "1-0", " 3. a text as noted", 5)], "doc_id long, chunk_pos int, chunk_id string, content string, token_count long")
+    plan = diagnostics.questions(chunks, "reference")._jdf.queryExecution().optimizedPlan().toString()
+    assert "What is the main topic" not in plan and plan.count("as noted") <= 2
