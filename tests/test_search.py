@@ -363,3 +363,12 @@ def test_tables_between_jobs_leave_no_shuffles(spark):
         time.sleep(0.1)
     assert disk.getAllFiles().size() <= before
     assert out.count() == 1000
+
+
+@pytest.mark.parametrize("name", ["e9_retrieve", "e15_citations", "e16_citation_snippets"])
+def test_chunks_are_derived_once(spark, sf_dir, name):
+    """The plan of the result reads stored chunks, not the documents again."""
+    from sedge.plans import load
+
+    plan = load().QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "posexplode" not in plan
