@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, strip
-from ..sources.shared import BROADCAST_IDS, Rounds, shared_folder, small, stored
-from .set_index import SIGNATURE, SetIndex, add_sets, bucket_of, build_sets, load_by, may_be_near, near_sets, ordered_sets, prefixes_of, ranks_of, save_by
+from ..sources.shared import BROADCAST_IDS, Rounds, scratch, shared_folder, small, stored
+from .set_index import SIGNATURE, SetIndex, add_sets, begin_sets, bucket_of, index_prefixes, load_by, may_be_near, near_sets, ordered_sets, packed, prefixes_of, ranks_of, save_by, unpacked
 
 # Metadata fields, their patterns, formats and profiles.
 FIELDS = {
@@ -413,7 +413,7 @@ def _classed(examples: DataFrame, keys: tuple) -> DataFrame:
 
 
 def _sets(of: DataFrame, key: str, c: str, keys: tuple) -> DataFrame:
-    return of.groupBy(*keys, F.col(key).alias("cls")).agg(F.first(c).alias("tokens"))
+    return of.groupBy(*keys, F.col(key).alias("cls")).agg(F.first(packed(c)).alias("tokens")).withColumn("tokens", unpacked("tokens"))
 
 
 def _links(asked: DataFrame, by_question: DataFrame, by_answer: DataFrame, near_q: DataFrame, near_a: DataFrame, keys: tuple) -> DataFrame:
@@ -461,13 +461,21 @@ class ConflictIndex:
 def index_examples(examples: DataFrame, threshold: float = 0.7, keys: tuple = ("discipline",), folder: str | None = None) -> ConflictIndex:
     """An index of a corpus of examples, to check and add batches."""
     folder = folder or shared_folder(examples.sparkSession, "conflict-index")
-    rows = stored(_classed(examples, keys), "examples")
-    classes = stored(rows.groupBy(*keys, "qc", "ac").agg(F.min("example_id").alias("class_id")), "classes")
-    sides = [(_sets(rows, key, c, keys), ranks_of(rows.select(*keys, F.col(c).alias("tokens")), keys), name) for key, c, name in (("qc", "q", "questions"), ("ac", "a", "answers"))]
-    questions, answers = (build_sets(sets, keys, threshold, f"{folder}/{name}", ranks) for sets, ranks, name in sides)
-    index = ConflictIndex(questions, answers, folder, classes.limit(0))
-    _save_classes(index, classes, "error")
-    return index
+    spark, sides = examples.sparkSession, (("qc", "q", "questions"), ("ac", "a", "answers"))
+    with scratch(spark, "indexed-sets") as held:
+        # Each table goes before the next larger one is made of it.
+        with scratch(spark, "indexed") as hold:
+            rows = hold(_classed(examples, keys), "examples")
+            sets = {name: held(_sets(rows, key, c, keys), name) for key, c, name in sides}
+            ranks = {name: held(ranks_of(rows.select(*keys, F.col(c).alias("tokens")), keys), f"{name}-ranks") for _, c, name in sides}
+            classes = hold(rows.groupBy(*keys, "qc", "ac").agg(F.min("example_id").alias("class_id")), "classes")
+            like = classes.limit(0)
+            for side in ("qc", "ac"):
+                save_by(classes, bucket_of(side), f"{folder}/classes-{side}")
+        made = [begin_sets(sets[name], keys, threshold, f"{folder}/{name}", ranks[name]) for _, _, name in sides]
+    for side in made:
+        index_prefixes(side)
+    return ConflictIndex(*made, folder, like)
 
 
 def _with_ids(rows: DataFrame, keys: tuple) -> DataFrame:

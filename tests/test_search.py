@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -152,6 +153,21 @@ def test_a_batch_reads_its_buckets_only(spark, tmp_path):
     assert {(x.cls, x.cls2) for x in set_index.near_sets(index, batch).collect()} == {("new", "s7"), ("new", "new")}
 
 
+def test_an_index_leaves_its_own_folder_only_and_short_prefixes(spark, tmp_path):
+    """Tables that the index was made of are gone, and so are shuffles; a prefix's row has no signature."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    rows = [(f"e{k:04d}", k % 2, f"what is thing {k} of {k % 50}", " ".join(f"w{(k * j) % 997}" for j in range(1, 40))) for k in range(600)]
+    before = {p for p in shared.glob("*") if any(p.rglob("*.parquet"))} if shared.is_dir() else set()
+    index = curriculum.index_examples(spark.createDataFrame(rows, "example_id string, discipline int, question string, answer string"), folder=f"file://{tmp_path}/index")
+    after = {p for p in shared.glob("*") if any(p.rglob("*.parquet"))} if shared.is_dir() else set()
+    assert after == before
+    assert index.answers.sets().count() == 600
+    size = lambda name: sum(p.stat().st_size for p in (tmp_path / "index/answers" / name).rglob("*.parquet"))
+    every = index.answers.prefixes(spark.range(set_index.BUCKETS).select(F.col("id").cast("int").alias("bucket")))
+    assert every.columns == ["discipline", "id", "t"] and every.count() > 5 * 600
+    assert size("prefixes") < 2 * size("sets")
+
+
 def test_near_questions_and_near_answers_make_no_product(spark):
     """A class with 1,000 near questions and 1,000 near answers."""
     base = [f"w{j}" for j in range(20)]
