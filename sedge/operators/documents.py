@@ -192,7 +192,8 @@ PUNCTUATION = r"[!-/:-@\[-`{-~]"
 def char_features(docs: DataFrame) -> DataFrame:
     """Counts of kinds of characters, and their shares; what is of none is special."""
     n = F.length("text")
-    count = lambda p: n - F.length(F.regexp_replace("text", p, ""))
+    # Whole runs are taken out: a step a run, not a step a character.
+    count = lambda p: n - F.length(F.regexp_replace("text", f"{p}++", ""))
     rows = docs.select(
         "doc_id", n.alias("n"), count(r"\p{L}").alias("letters"), count(r"\p{Nd}").alias("digits"), count(BLANKS).alias("blanks"), count(PUNCTUATION).alias("punctuation"), count(r"\p{Lu}").alias("upper")
     )

@@ -8,7 +8,7 @@ from ..operators import chunks as C
 from ..operators import documents as D
 from ..operators.registry import register_strategy, strategy
 from ..sources import readers, tables
-from ..sources.shared import shared_folder, stored
+from ..sources.shared import BROADCAST_IDS, shared_folder, small, stored
 from ..streaming.runs import exported
 from .catalog import SQL, query
 from .chunks import scored_sql
@@ -302,11 +302,11 @@ _BOXES = """, boxes AS (SELECT doc_id, pos, page, content, type, 72 + CASE WHEN
   CASE WHEN doc_id % 2 = 1 AND pos % 2 = 0 THEN 270.0::DOUBLE ELSE 540 END AS x2, y1, y1 + 50 AS y2, 612.0::DOUBLE AS page_width, 720.0::DOUBLE + page % 3 AS page_height FROM decorated)"""
 
 
-def _boxes(spark, sf_dir):
+def _boxes(spark, sf_dir, docs=None):
     """Blocks with boxes; documents of odd ids are set in two columns."""
     odd, pos = F.col("doc_id") % 2 == 1, F.col("pos") % 2
     x1, x2 = 72 + F.when(odd & (pos == 1), 270.0).otherwise(0.0), F.when(odd & (pos == 0), 270.0).otherwise(540.0)
-    rows = tables.decorated_blocks(spark, sf_dir)
+    rows = tables.decorated_blocks(spark, sf_dir, docs)
     return rows.select("doc_id", "pos", "page", "content", "type", x1.alias("x1"), x2.alias("x2"), "bbox.y1", "bbox.y2", F.lit(612.0).alias("page_width"), (F.lit(720.0) + F.col("page") % 3).alias("page_height"))
 
 
@@ -355,10 +355,10 @@ SELECT doc_id, count(*) AS spans, count(DISTINCT font) AS font_count, min(size)
         "decorated",
     ),
 )
-def font_features(spark, sf_dir):
+def font_features(spark, sf_dir, docs=None):
     """Blocks as spans, with sizes and styles by their lengths and places."""
     pos = F.col("pos")
-    rows = tables.decorated_blocks(spark, sf_dir)
+    rows = tables.decorated_blocks(spark, sf_dir, docs)
     return D.font_features(rows.select(
         "doc_id", "content", (F.lit(8.0) + F.length("content") % 7).alias("size"), F.concat(F.lit("f"), pos % 3).alias("font"),
         F.col("type").isin("heading", "header").alias("bold"), (pos % 9 == 0).alias("italic"), (pos % 13 == 9).alias("mono"),
@@ -403,11 +403,13 @@ def sample_pages(spark, sf_dir):
     return D.sampled_pages(pages).select("doc_id", "page")
 
 
-def _fingerprints(spark, sf_dir):
-    docs, blocks, boxes = tables.table(spark, sf_dir, "documents"), tables.blocks(spark, sf_dir), _boxes(spark, sf_dir)
+def _fingerprints(spark, sf_dir, docs=None):
+    """Vectors of all documents, or of ``docs`` alone."""
+    docs = tables.table(spark, sf_dir, "documents") if docs is None else docs
+    blocks, boxes = tables.blocks(spark, sf_dir, docs), _boxes(spark, sf_dir, docs)
     groups = {
-        "byte": D.byte_features(docs, blocks), "font": font_features(spark, sf_dir), "layout": D.layout_features(boxes), "char": D.char_features(docs), "rep": D.repetition_features(boxes),
-        "rhythm": D.rhythm_features(tables.outline_blocks(spark, sf_dir)),
+        "byte": D.byte_features(docs, blocks), "font": font_features(spark, sf_dir, docs), "layout": D.layout_features(boxes), "char": D.char_features(docs), "rep": D.repetition_features(boxes),
+        "rhythm": D.rhythm_features(tables.outline_blocks(spark, sf_dir, docs)),
     }
     return stored(D.fingerprints(groups, docs), "fingerprints")
 
@@ -427,12 +429,22 @@ def fingerprint_vector(spark, sf_dir):
     return _fingerprints(spark, sf_dir).select("doc_id", F.array_join(whole, ",").alias("features"))
 
 
+def _labels(spark, sf_dir):
+    """Quality and toxicity make four classes."""
+    return tables.table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 2 + F.col("toxic")).cast("int").alias("label"))
+
+
 def _labelled(spark, sf_dir):
-    """Vectors of all documents, and those with labels: quality and toxicity make four
-    classes."""
+    """Vectors of all documents, and those with labels."""
     rows = _fingerprints(spark, sf_dir)
-    labels = tables.table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 2 + F.col("toxic")).cast("int").alias("label"))
-    return rows, rows.join(labels, "doc_id")
+    return rows, rows.join(_labels(spark, sf_dir), "doc_id")
+
+
+def _labelled_only(spark, sf_dir):
+    """Vectors of the documents with labels, the only ones that are made."""
+    labels = _labels(spark, sf_dir)
+    docs = tables.table(spark, sf_dir, "documents").join(small(labels.select("doc_id").distinct(), BROADCAST_IDS), "doc_id", "left_semi")
+    return _fingerprints(spark, sf_dir, stored(docs, "labelled-documents")).join(labels, "doc_id")
 
 
 @query("i7_synthetic_corpus")
@@ -454,14 +466,14 @@ def predict_type(spark, sf_dir):
 @query("i10_feature_importance")
 def feature_importance(spark, sf_dir):
     """The features of the model in the order of their weight."""
-    model = D.fitted(_labelled(spark, sf_dir)[1])
+    model = D.fitted(_labelled_only(spark, sf_dir))
     ranked = sorted(zip(D.NAMES, map(float, model.featureImportances.toArray())), key=lambda x: (-x[1], x[0]))
     return spark.createDataFrame([(n, w, k) for k, (n, w) in enumerate(ranked, 1)], "feature string, importance double, place int")
 
 
 @query("i11_cross_validate")
 def cross_validate(spark, sf_dir):
-    return D.cross_validated(_labelled(spark, sf_dir)[1])
+    return D.cross_validated(_labelled_only(spark, sf_dir))
 
 
 @query("i11_fold_report")
@@ -578,7 +590,7 @@ def project_to_tables(spark, sf_dir):
 def train_classifier(spark, sf_dir):
     """Boosted trees: what models of two thirds of the labelled documents say of the
     others."""
-    found = D.cross_validated(_labelled(spark, sf_dir)[1], 3, lambda rows: D.boosted(rows, 6))
+    found = D.cross_validated(_labelled_only(spark, sf_dir), 3, lambda rows: D.boosted(rows, 6))
     right = F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0))
     return found.groupBy("label").agg(F.sum("n").alias("n"), (right / F.sum("n")).alias("accuracy"))
 
@@ -586,5 +598,5 @@ def train_classifier(spark, sf_dir):
 @query("i14_retrain_report")
 def retrain_report(spark, sf_dir):
     """The models of the first half of the labels and of all of them."""
-    rows = _labelled(spark, sf_dir)[1]
+    rows = _labelled_only(spark, sf_dir)
     return D.retrain_report(rows, F.col("doc_id") % 2 == 0, shared_folder(spark, "models"))

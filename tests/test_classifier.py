@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedge.operators import documents as D
+from sedge.plans import documents as plans
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +60,17 @@ def test_both_models_are_tried_on_the_same_folds(labelled, tmp_path):
     assert by["before", None].n == by["after", None].n == 240
     assert all(abs(by["after", c].gain - (by["after", c].accuracy - by["before", c].accuracy)) < 1e-12 for c in (0, 1, 2, None))
     assert D.load_model(f"file://{tmp_path}/models/after").getNumTrees == 5
+
+
+@pytest.mark.parametrize("name", ["cross_validate", "train_classifier", "retrain_report"])
+def test_only_labelled_documents_get_vectors(spark, sf_dir, monkeypatch, name):
+    """The same vectors as among all documents, and none of documents without a label."""
+    made, given, real = [], [], D.fingerprints
+    monkeypatch.setattr(D, "fingerprints", lambda groups, docs: made.append(docs) or real(groups, docs))
+    monkeypatch.setattr(D, "cross_validated", lambda rows, *_: given.append(rows) or spark.createDataFrame([], "label int, predicted int, n long"))
+    monkeypatch.setattr(D, "retrain_report", lambda rows, *_: given.append(rows))
+    getattr(plans, name)(spark, sf_dir)
+    labels = {x.doc_id for x in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    assert {x.doc_id for x in made[0].select("doc_id").collect()} <= labels
+    whole = {x.doc_id: x.features for x in plans._labelled(spark, sf_dir)[1].collect()}
+    assert {x.doc_id: x.features for x in given[0].collect()} == whole and whole
