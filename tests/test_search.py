@@ -388,3 +388,18 @@ def test_chunks_are_derived_once(spark, sf_dir, name):
 
     plan = load().QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "posexplode" not in plan
+
+
+def test_strategies_are_corpora_of_one_index(spark, sf_dir, monkeypatch):
+    """The chunks of both strategies, made of blocks that are dealt once, in one index."""
+    from sedge.operators import sections
+    from sedge.plans import retrieval as plans
+    from sedge.sources import tables
+
+    built, real = [], retrieval.build_index
+    monkeypatch.setattr(retrieval, "build_index", lambda chunks, *more: built.append(chunks) or real(chunks, *more))
+    plans.strategy_means(spark, sf_dir)
+    assert len(built) == 1
+    blocks = tables.outline_blocks(spark, sf_dir)
+    want = [(s, x.chunk_id, x.content) for s, f in (("sections", sections.section_chunks), ("pages", sections.page_chunks)) for x in f(blocks).select("chunk_id", "content").collect()]
+    assert sorted((x.strategy, x.chunk_id, x.content) for x in built[0].collect()) == sorted(want) and want
