@@ -103,7 +103,10 @@ def far_links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     fingerprints differ in ``DISTANCE`` bits or fewer.
 
     Where more than ``crowd`` fingerprints share a segment's value, the other segment is
-    looked up too: of its four bytes one is equal, as three bits differ at most."""
+    looked up too: of its four bytes one is equal, as three bits differ at most.
+
+    Probes are 66 rows a node, but Spark sizes them as the nodes' files: without a hint
+    it would broadcast them."""
     segment = lambda k: F.shiftrightunsigned("fp", 32 * k).bitwiseAND(F.lit(0xFFFFFFFF))
     table = nodes.select("fp", "grp", F.explode(F.array(*[F.struct(F.lit(k).alias("seg"), segment(k).alias("value")) for k in (0, 1)])).alias("s"))
     table = table.select("fp", "grp", "s.seg", "s.value")
@@ -115,16 +118,16 @@ def far_links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     crowded = stored(table.groupBy("seg", "value").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("seg", "value"), "crowded")
     keys = ["seg", "value"]
     if not crowded.limit(1).count():
-        met = _apart(table.join(probes, keys))
+        met = _apart(table.join(probes.hint("merge"), keys))
     else:
         crowded = small(crowded)
-        met = _apart(table.join(crowded, keys, "left_anti").join(probes.join(crowded, keys, "left_anti"), keys))
+        met = _apart(table.join(crowded, keys, "left_anti").join(probes.join(crowded, keys, "left_anti").hint("merge"), keys))
         # The bytes of the other segment: those of the fingerprint from bit 32 on for the first.
         byte = lambda fp, j: F.when(F.col("seg") == 0, F.shiftrightunsigned(fp, 32 + 8 * j)).otherwise(F.shiftrightunsigned(fp, 8 * j)).bitwiseAND(F.lit(0xFF))
         bytes_of = lambda fp: F.explode(F.array(*[F.struct(F.lit(j).alias("j"), byte(fp, j).alias("byte")) for j in range(4)]))
         own = table.join(crowded, keys, "left_semi").select("*", bytes_of("fp").alias("x")).select("fp", "grp", *keys, "x.j", "x.byte")
         other = probes.join(crowded, keys, "left_semi").select("*", bytes_of("fp2").alias("x")).select("fp2", "grp2", *keys, "x.j", "x.byte")
-        met = met.union(_apart(own.join(other, [*keys, "j", "byte"])))
+        met = met.union(_apart(own.join(other.hint("merge"), [*keys, "j", "byte"])))
     return met.distinct()
 
 

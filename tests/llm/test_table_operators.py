@@ -276,6 +276,17 @@ def test_crowded_segments_and_a_hot_fingerprint(spark, monkeypatch):
     assert {x.doc_id: (x.fingerprint, x.component_id) for x in simhash.near_duplicates(df).collect()} == got
 
 
+@pytest.mark.parametrize("crowd", [1, 2000])
+def test_probes_are_not_broadcast(spark, crowd):
+    """Spark sizes the 66 probes of a node as the node's file, which is small."""
+    held = simhash.stored(spark.range(500).select(F.xxhash64("id").bitwiseAND(F.lit(~0xFF)).alias("fp")).selectExpr("fp", "fp AS grp"), "nodes")
+    held = held.union(held.selectExpr("fp + 1 AS fp", "grp + 1 AS grp"))
+    plan = simhash.far_links(held, crowd)._jdf.queryExecution().executedPlan().toString()
+    # Only segments' values that many share are broadcast, after a count.
+    assert plan.count("+- SortMergeJoin") + plan.count(":- SortMergeJoin") >= (2 if crowd == 1 else 1)
+    assert "Inner, BuildRight" not in plan and "Inner, BuildLeft" not in plan
+
+
 # --------------------------------------------------------------------- HTML
 
 
