@@ -403,3 +403,28 @@ def test_strategies_are_corpora_of_one_index(spark, sf_dir, monkeypatch):
     blocks = tables.outline_blocks(spark, sf_dir)
     want = [(s, x.chunk_id, x.content) for s, f in (("sections", sections.section_chunks), ("pages", sections.page_chunks)) for x in f(blocks).select("chunk_id", "content").collect()]
     assert sorted((x.strategy, x.chunk_id, x.content) for x in built[0].collect()) == sorted(want) and want
+
+
+def test_many_queries_leave_the_best_of_a_task_not_of_a_shard(spark, monkeypatch):
+    """Blocks of queries over many shards: the hits of one block, ties and copies of queries
+    included, and rows by the tasks; no product of queries and chunks by term."""
+    r = random.Random(12)
+    words = "ab cd ef gh ij kl mn".split()
+    chunks = spark.createDataFrame([(f"c{k:03d}", " ".join(r.choices(words, k=r.randint(0, 5)))) for k in range(200)], "chunk_id string, content string").repartition(2)
+    queries = spark.createDataFrame([(f"q{k}", " ".join(r.choices(words, k=2))) for k in range(40)], "query_id string, query string")
+    one_by_one = lambda: sorted(map(tuple, retrieval.keyword_search(chunks, queries, 3).collect()))
+    monkeypatch.setattr(keyword_index, "MANY", 1000)
+    monkeypatch.setattr(retrieval, "MANY", 1000)
+    whole = one_by_one()
+    for n in ("keyword_index", "retrieval"):
+        monkeypatch.setattr(globals()[n], "MANY", 2)
+    monkeypatch.setattr(keyword_index, "SHARD", 5)
+    index = retrieval.build_index(chunks)
+    assert index.rows.where("term IS NULL").count() >= 40
+    asked = queries.select("query_id", F.explode(retrieval.terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    assert keyword_index.search(index, asked, 3).count() <= 3 * 40 * tasks
+    monkeypatch.setattr(retrieval, "CELLS", 5)
+    monkeypatch.setattr(retrieval, "MET", 0)
+    monkeypatch.setattr(retrieval, "_by_terms", lambda *_: 1 / 0)
+    assert sorted(map(tuple, retrieval.search_index(index, queries, 3).collect())) == whole
