@@ -419,15 +419,15 @@ class Boosted:
             model.write().overwrite().save(f"{path}/class={k}")
 
 
-def boosted(rows: DataFrame, rounds: int = 10, depth: int = 3, most: int = FIT_ROWS) -> Boosted:
-    """Gradient-boosted trees over labelled vectors (doc_id, features, label)."""
+def boosted(rows: DataFrame, rounds: int = 10, depth: int = 3) -> Boosted:
+    """Gradient-boosted trees over all labelled vectors (doc_id, features, label)."""
     from concurrent.futures import ThreadPoolExecutor
 
     from pyspark import inheritable_thread_target
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    rows = fit_rows(rows, most).select(array_to_vector("features").alias("v"), F.col("label").cast("int").alias("label"))
+    rows = rows.select(array_to_vector("features").alias("v"), F.col("label").cast("int").alias("label"))
     rows = stored(rows, "fit")
     classes = sorted(r.label for r in rows.select("label").distinct().collect())
     spark = rows.sparkSession

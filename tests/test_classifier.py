@@ -46,6 +46,16 @@ def test_boosted_trees_on_rows_they_have_not_seen(labelled, tmp_path):
     assert sorted(map(str, D.predicted(again, rows.where("fold = 0"), 0.0).collect())) == sorted(map(str, found))
 
 
+@pytest.mark.parametrize("name, kind, fits", [("boosted", "GBTClassifier", 2), ("fitted", "RandomForestClassifier", 1)])
+def test_models_are_fitted_on_every_labelled_row(spark, monkeypatch, name, kind, fits):
+    from pyspark.ml import classification
+
+    given = []
+    monkeypatch.setattr(getattr(classification, kind), "fit", lambda self, held: given.append(held.count()))
+    getattr(D, name)(spark.range(60_000).selectExpr("id AS doc_id", "array(double(id)) AS features", "int(id % 2) AS label"))
+    assert given == [60_000] * fits
+
+
 def test_confusion_covers_every_row(labelled):
     matrix = D.cross_validated(labelled, 3, lambda x: D.fitted(x, 5, 3))
     assert matrix.agg(F.sum("n")).first()[0] == 240
