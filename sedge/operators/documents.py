@@ -342,22 +342,12 @@ def fingerprints(groups: dict[str, DataFrame], docs: DataFrame) -> DataFrame:
     return out.fillna(0.0, list(NAMES)).select("doc_id", F.array(*NAMES).alias("features"))
 
 
-#: Labelled rows that a classifier is fitted on at most, the first by their hashes.
-FIT_ROWS = 50_000
-
-
-def fit_rows(rows: DataFrame, most: int = FIT_ROWS) -> DataFrame:
-    """At most about ``most`` labelled rows: a share by hash, the same in every run."""
-    n = rows.count()
-    return rows if n <= most else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(most / n * 1_000_000))
-
-
-def fitted(rows: DataFrame, trees: int = 30, depth: int = 5, most: int = FIT_ROWS):
-    """A forest over labelled vectors (doc_id, features, label)."""
+def fitted(rows: DataFrame, trees: int = 30, depth: int = 5):
+    """A forest over all labelled vectors (doc_id, features, label)."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
-    held = fit_rows(rows, most).select(array_to_vector("features").alias("v"), F.col("label").cast("double").alias("label"))
+    held = rows.select(array_to_vector("features").alias("v"), F.col("label").cast("double").alias("label"))
     return RandomForestClassifier(featuresCol="v", numTrees=trees, maxDepth=depth, seed=42).fit(held)
 
 
